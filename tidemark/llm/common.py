@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -78,7 +79,7 @@ def texts_of(arr: pa.Array) -> list[str]:
 
 def slices(batch: pa.RecordBatch, name: str, most: int = 8 << 20):
     """Cut a batch so that column `name` has about `most` bytes in each piece; a longer row stands alone."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column(batch, name)), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(column(batch, name)), 0)).astype(np.int64)
     at, n = 0, len(size)
     ends = np.cumsum(size)
     while at < n:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, repetition, token_counts
+from . import byte_bpe, repetition, token_counts, url_filter, winnowing
 
 
 def queries() -> dict:
     return {
         "op2_repetition": repetition.op2_repetition,
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op5_winnowing": winnowing.op5_winnowing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": url_filter.ORACLE}
