@@ -80,11 +80,12 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         return counted.select(F.col("__id").alias(key), "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # Items of one length at a time keep their own fingerprints only.
-    prints = with_fingerprints(items, plans).select("__item", "__t", F.explode("__f").alias("f")).filter("f.t = __t").select("__item", "__t", F.col("f.h").alias("__h"), F.col("f.i").alias("__q"))
+    prints = with_fingerprints(items, plans).select("__item", "__t", F.explode_outer("__f").alias("f")).filter("f.t = __t").select("__item", "__t", F.col("f.h").alias("__h"), F.col("f.i").alias("__q"))
     prints = scratch(prints, "op5-prints")
     small = prints.count() <= BROADCAST_ROWS
     own = with_fingerprints(rows.select("__id", "__row", words(F.col("__text")).alias("__w")), plans)
-    own = own.select("__id", "__row", F.explode("__f").alias("f")).select("__id", "__row", F.col("f.t").alias("__t"), F.col("f.h").alias("__h"), F.col("f.i").alias("__i"))
+    # The outer form: the plain one adds a filter on the array, which would be pushed down and evaluate it again.
+    own = own.select("__id", "__row", F.explode_outer("__f").alias("f")).select("__id", "__row", F.col("f.t").alias("__t"), F.col("f.h").alias("__h"), F.col("f.i").alias("__i"))
     # First, which fingerprints of the benchmark occur; each once, whatever number of items has it.
     listed = prints.select("__t", "__h").distinct()
     meetings = scratch(own.join(F.broadcast(listed) if small else listed, ["__t", "__h"], "left_semi"), "op5-meetings")
@@ -98,7 +99,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         hit_rows.join(by_row, ["__id", "__row"])
         .select("__id", "__row", words(F.col("__text")).alias("__w"), "__met")
         .select("__id", "__row", F.expr("transform(__met, m -> struct(m.__t AS t, m.__h AS h, m.__i AS i, greatest(m.__i - m.__t, 0) AS base, slice(__w, greatest(m.__i - m.__t, 0) + 1, 3 * m.__t) AS near))").alias("__met"))
-        .select("__id", "__row", F.explode("__met").alias("m"))
+        .select("__id", "__row", F.explode_outer("__met").alias("m"))
         .select("__id", "__row", F.col("m.t").alias("__t"), F.col("m.h").alias("__h"), F.col("m.i").alias("__i"), F.col("m.base").alias("__base"), F.col("m.near").alias("__near"))
     )
     texts = prints.join(items.select("__item", "__w").distinct(), "__item")
