@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, relative_lz, repetition, token_counts, url_filter, winnowing
+from . import byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_repetition": repetition.op2_repetition,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_winnowing": winnowing.op5_winnowing,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_relative_lz": relative_lz.op8_relative_lz,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
