@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, winnowing
+from . import bwt_merge, byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_relative_lz": relative_lz.op8_relative_lz,
+        "op9_bwt_merge": bwt_merge.op9_bwt_merge,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
