@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bwt_merge, byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, winnowing
+from . import bwt_merge, byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, warc_zip, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_warc_zip": warc_zip.op1_warc_zip,
         "op2_repetition": repetition.op2_repetition,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_winnowing": winnowing.op5_winnowing,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE}
+    return {"op1_warc_zip": warc_zip.ORACLE, "op4_url_filter": url_filter.ORACLE}
