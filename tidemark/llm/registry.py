@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bwt_merge, byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, warc_zip, winnowing
+from . import bwt_merge, byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, warc_zip, winnowing, wrapper
 
 
 def queries() -> dict:
     return {
         "op1_warc_zip": warc_zip.op1_warc_zip,
         "op2_repetition": repetition.op2_repetition,
+        "op3_wrapper": wrapper.op3_wrapper,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_winnowing": winnowing.op5_winnowing,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
