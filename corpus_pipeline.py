@@ -1,12 +1,66 @@
-"""Corpus cleaning as a chain of stages; each is written as Parquet and read again by the next."""
+"""Corpus cleaning as a chain of stages; each is written as Parquet and read again by the next.
+
+quality rules -> one document of each group of near duplicates -> removal of repeated passages ->
+removal of contaminated documents -> token ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm import byte_bpe, jaccard_join, relative_lz, repetition, winnowing
+from tidemark.llm.bpe_files import default_path, default_pattern
+from tidemark.llm.common import shared_dir
+
+
+def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the repetition rule rejects go."""
+    return repetition.score(docs, into="__repetition").filter("__repetition.kept").drop("__repetition")
+
+
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by shingle similarity the document with the smallest id stays; of equal ids every row does."""
+    keep = jaccard_join.jaccard_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+
+
+def repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that a document with a smaller id has are cut from the text; n_chars follows."""
+    cut = relative_lz.parse(docs, cut=True).drop("relative_lz")
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words benchmark windows hit a twentieth or more go."""
+    return winnowing.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    return byte_bpe.encode_digests(docs, "doc_id", "text", default_path("byte_bpe_50k.tiktoken"), default_pattern())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE encoding and decoding", encoding),
+]
 
-#: The stages are not expressible in SQL; tests/llm holds them against brute force.
+#: SQL can express neither the components nor the encoding; tests/llm holds the chain against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    """The stages one after the other on documents, each result written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/tidemark/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.option("compression", "zstd").parquet(f"{base}/{i}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
+    return docs

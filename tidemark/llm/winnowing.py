@@ -67,8 +67,9 @@ def with_fingerprints(rows: DataFrame, plans: list[tuple[int, int]]) -> DataFram
     return out.select(*keep, F.concat(*made).alias("__f"))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
+def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, gram: int = GRAM, row: str | None = None) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs; row: also a hash of the text, so named."""
+    more = [F.col("__row").alias(row)] if row else []
     rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("__text"))
     items = bench.select(F.col(item).cast("string").alias("__item"), words(F.col(item_text)).alias("__w")).filter("size(__w) > 0").withColumn("__t", F.least(F.size("__w"), F.lit(size)))
     plans = [(t, min(gram, t)) for t in sorted(r[0] for r in items.select("__t").distinct().collect())]
@@ -77,7 +78,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     twenty = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
     if not plans:
         zero = F.lit(0).cast("long")
-        return counted.select(F.col("__id").alias(key), "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return counted.select(F.col("__id").alias(key), *more, "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # Items of one length at a time keep their own fingerprints only.
     prints = with_fingerprints(items, plans).select("__item", "__t", F.explode_outer("__f").alias("f")).filter("f.t = __t").select("__item", "__t", F.col("f.h").alias("__h"), F.col("f.i").alias("__q"))
@@ -128,11 +129,22 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     both = counted["__id"].eqNullSafe(found["__id"]) & (counted["__row"] == found["__row"])
     return (
         counted.join(found, both, "left")
-        .select(counted["__id"].alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
+        .select(counted["__id"].alias(key), *([counted["__row"].alias(row)] if row else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
         .withColumn("contaminated", twenty)
     )
 
 
+def clean(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs that are not contaminated, with their own columns.
+
+    Rows are told apart by key and text, so rows of one id with different texts are judged apart.
+    """
+    name = "__text_hash"
+    judged = contamination(docs, bench, key, text, row=name, **how).filter("contaminated").select(F.col(key).alias("__bad"), F.col(name).alias("__bad_text")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.join(judged, F.col(key).eqNullSafe(F.col("__bad")) & (own == F.col("__bad_text")), "left_anti")
+
+
 def op5_winnowing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
