@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, slices, utf8
-from .packed import chunks, grouped, unpack
+from .packed import SCHEMA, bundles, chunks, merged, rows, split, unpack
 from .relative_lz import LAST
 
 SIZE = 200
@@ -112,10 +112,9 @@ def _ranges(key: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray,
     return key[at], place[at], place[np.r_[at[1:] - 1, len(place) - 1]] + size
 
 
-def _binary(pairs: np.ndarray, text: np.ndarray, n: int):
-    """grouped() for (first, end) pairs in order of text."""
-    flat = np.ascontiguousarray(pairs.astype("<u4")).view("<u8")[:, 0] if len(pairs) else np.zeros(0, "<u8")
-    return grouped(flat, text, n)
+def _flat(pairs: np.ndarray) -> np.ndarray:
+    """(first, end) pairs as one 64-bit value each."""
+    return np.ascontiguousarray(pairs.astype("<u4")).view("<u8").reshape(-1)
 
 
 def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -133,36 +132,24 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 _, one, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 known = n[inverse] > 1
                 one = np.sort(one)
-                rows = list(chunks(h[one], text[one], parts, [keys], place[one], WIDTH))
-                has, flags = grouped(place[known].astype(np.uint32), text[known], len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[np.array([p for p, _ in rows], np.int64), keys[has] % parts].astype(np.int32)),
-                        pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(keys[has])]),
-                        pa.concat_arrays([pa.array([b for _, b in rows], pa.binary()), flags]),
-                    ],
-                    names=["__part", "__key", "__body"],
-                )
+                asks = list(chunks(h[one], text[one], parts, [keys], place[one], WIDTH))
+                yield rows([p for p, _ in asks], [b for _, b in asks], False)
+                yield rows(*bundles(place[known].astype("<u4"), text[known], keys, parts), True)
 
     def answer(batches):
-        raw = []
-        for batch in batches:
-            key = column(batch, "__key")
-            passed = batch.filter(key.is_valid())
-            if len(passed):
-                yield passed.select(["__key", "__body"])
-            raw += column(batch.filter(key.is_null()), "__body").to_pylist()
+        settled, raw = split(batches)
+        yield from settled
         h, text, per_text, place = unpack(raw, WIDTH)
+        raw.clear()
         if not len(h):
             return
         _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
         hit = n[inverse] > 1
-        has, flags = grouped(place[hit], text[hit], len(per_text[0]))
-        for s in range(0, len(has), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(per_text[0][has[s : s + 50_000]]), flags[s : s + 50_000]], names=["__key", "__body"])
+        yield rows(*bundles(place[hit].astype("<u4"), text[hit], per_text[0], parts), True)
 
-    asked = docs.select("__key", "__text").mapInArrow(ask, "__part int, __key long, __body binary")
-    return asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, "__key long, __body binary").groupBy("__key").agg(F.collect_list("__body").alias("__anchors"))
+    asked = docs.select("__key", "__text").mapInArrow(ask, SCHEMA)
+    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u4", "__anchors"), "__key long, __anchors binary")
 
 
 def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, block: int) -> DataFrame:
@@ -175,7 +162,7 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
             for piece in slices(batch, "__text", 4 << 20):
                 data, offs = utf8(column(piece, "__text"))
                 keys = np.asarray(column(piece, "__key")).astype(np.int64)
-                wanted = np.concatenate([np.frombuffer(b"".join(x), np.uint32).astype(np.int64) + o for x, o in zip(column(piece, "__anchors").to_pylist(), offs.tolist(), strict=False)])
+                wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + o for x, o in zip(column(piece, "__anchors").to_pylist(), offs.tolist(), strict=False)])
                 first, last, anchor, h = runs(data, offs, size, gram)
                 ok = np.isin(anchor, wanted)
                 first, last, h = first[ok], last[ok], h[ok]
@@ -185,7 +172,6 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
                 _, one, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
                 known = n[inverse] > 1
                 pairs = np.stack([first - offs[text], last + size - offs[text]], axis=1)
-                has, flags = _binary(pairs[known], text[known], len(keys))
                 one = np.sort(one)
                 part = part_of(h[one], parts)
                 order = one[np.argsort(part, kind="stable")]
@@ -198,28 +184,20 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
                     blob = b"".join([raw[a:b] for a, b in zip(first[at].tolist(), (last[at] + size).tolist(), strict=True)])
                     which.append(k)
                     body.append(len(at).to_bytes(4, "little") + squeeze.compress(head + blob))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[np.array(which, np.int64), keys[has] % parts].astype(np.int32)),
-                        pa.concat_arrays([pa.nulls(len(which), pa.int64()), pa.array(keys[has])]),
-                        pa.concat_arrays([pa.array(body, pa.binary()), flags]),
-                    ],
-                    names=["__part", "__key", "__body"],
-                )
+                yield rows(which, body, False)
+                yield rows(*bundles(_flat(pairs[known]), text[known], keys, parts), True)
 
     def answer(batches):
         expand = zstandard.ZstdDecompressor()
+        settled, waiting = split(batches)
+        yield from settled
         heads, shards = [], []
-        for batch in batches:
-            key = column(batch, "__key")
-            passed = batch.filter(key.is_valid())
-            if len(passed):
-                yield passed.select(["__key", "__body"])
-            for raw in column(batch.filter(key.is_null()), "__body").to_pylist():
-                n = int.from_bytes(raw[:4], "little")
-                flat = expand.decompress(raw[4:])
-                heads.append(np.frombuffer(flat, "<i8", 3 * n).reshape(n, 3))
-                shards.append(np.frombuffer(flat, np.uint8, offset=24 * n))
+        for raw in waiting:
+            n = int.from_bytes(raw[:4], "little")
+            flat = expand.decompress(raw[4:])
+            heads.append(np.frombuffer(flat, "<i8", 3 * n).reshape(n, 3))
+            shards.append(np.frombuffer(flat, np.uint8, offset=24 * n))
+        waiting.clear()
         if not heads:
             return
         key, first, n = np.concatenate(heads).T
@@ -235,24 +213,23 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
         order = np.lexsort((place, key))
         key, first, end = _ranges(key[order], place[order], size)
         owners, text = np.unique(key, return_inverse=True)
-        has, flags = _binary(np.stack([first, end], axis=1), text, len(owners))
-        for s in range(0, len(has), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(owners[has[s : s + 50_000]]), flags[s : s + 50_000]], names=["__key", "__body"])
+        yield rows(*bundles(_flat(np.stack([first, end], axis=1)), text, owners, parts), True)
 
     joined = docs.select("__key", "__text").join(anchors, "__key")
-    asked = joined.mapInArrow(ask, "__part int, __key long, __body binary")
-    return asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, "__key long, __body binary").groupBy("__key").agg(F.collect_list("__body").alias("__ranges"))
+    asked = joined.mapInArrow(ask, SCHEMA)
+    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u8", "__ranges"), "__key long, __ranges binary")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans: removed (first byte, end)."""
     if size % block:
         raise ValueError("size must be a multiple of block")
-    rows = docs.select(F.col(key).alias("__own"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
-    unique = rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
-    rows = rows.withColumn("__key", F.col("__id") if unique["n"] == unique["d"] else F.xxhash64("__id", F.coalesce("__text", F.lit("")))).drop("__id")
-    ranges = repeated_ranges(rows, shared_anchors(rows, size, gram), size, gram, block)
-    joined = rows.join(ranges, "__key", "left").select("__own", "__text", "__ranges")
+    own_rows = docs.select(F.col(key).alias("__own"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
+    unique = own_rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
+    own_rows = own_rows.withColumn("__key", F.col("__id") if unique["n"] == unique["d"] else F.xxhash64("__id", F.coalesce("__text", F.lit("")))).drop("__id")
+    ranges = repeated_ranges(own_rows, shared_anchors(own_rows, size, gram), size, gram, block)
+    joined = own_rows.join(ranges, "__key", "left").select("__own", "__text", "__ranges")
     schema = T.StructType(
         [
             T.StructField(key, docs.schema[key].dataType),
@@ -270,7 +247,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                     raw = (x or "").encode()
                     own, at, kept, gone = [], 0, [], 0
                     if found:
-                        pairs = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2).astype(np.int64)
+                        pairs = np.frombuffer(found, "<u4").reshape(-1, 2).astype(np.int64)
                         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                         reach = np.maximum.accumulate(pairs[:, 1])
                         new = np.flatnonzero(np.r_[True, pairs[1:, 0] > reach[:-1]])

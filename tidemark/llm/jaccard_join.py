@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, column, mix, part_of, parts_for, scratch, slices, utf8
 from .graph import components
-from .packed import chunks, unpack
+from .packed import SCHEMA, bundles, chunks, rows, split, unbundle, unpack
 
 GRAM = 5
 NUMER, DENOM = 75, 100
@@ -114,7 +114,7 @@ def _signatures(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _shared(docs: DataFrame) -> DataFrame:
-    """Rows (__set, __n, __shared) for each set and part: how many of its shingles another set has; and, with a
+    """Rows (__set, __n, __shared) of the sets that may link: size, and how many shingles another set has; and, with a
     null __set, (__n, __shared) = (key, number of sets) of frequent shingles."""
     parts = parts_for(docs)
 
@@ -127,8 +127,8 @@ def _shared(docs: DataFrame) -> DataFrame:
                 one[np.unique(names, return_index=True)[1]] = True
                 text = np.repeat(np.arange(len(n)), n)
                 keep = one[text]
-                rows = list(chunks(h[keep], text[keep], parts, [names, n], None, WIDTH))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["__part", "__body"])
+                asks = list(chunks(h[keep], text[keep], parts, [names, n], None, WIDTH))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in asks], pa.int32()), pa.array([b for _, b in asks], pa.binary())], names=["__part", "__body"])
 
     def answer(batches):
         raw, part = [], 0
@@ -152,17 +152,26 @@ def _shared(docs: DataFrame) -> DataFrame:
         shared = np.bincount(own[np.repeat(sets, sets) > 1], minlength=len(names))
         at = np.flatnonzero(shared)
         often = np.flatnonzero(sets >= FREQUENT_FROM)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(names[at]), pa.nulls(len(often), pa.int64())]),
-                pa.array(np.r_[size[at], (part << 32) + shingle[head[often]].astype(np.int64)]),
-                pa.array(np.r_[shared[at], sets[often]].astype(np.int64)),
-            ],
-            names=["__set", "__n", "__shared"],
-        )
+        pairs = np.ascontiguousarray(np.stack([size[at], shared[at]], axis=1).astype("<u4")).view("<u8").reshape(-1)
+        yield rows(*bundles(pairs, np.arange(len(at)), names[at], parts), True)
+        often = np.stack([(part << 32) + shingle[head[often]].astype(np.int64), sets[often]], axis=1).astype("<i8")
+        yield rows([part] if len(often) else [], [often.tobytes()] if len(often) else [], False)
+
+    def total(batches):
+        settled, often = split(batches)
+        keys, ends, values = unbundle([x for batch in settled for x in column(batch, "__body").to_pylist()], "<u8")
+        pairs = values.view("<u4").reshape(-1, 2).astype(np.int64)
+        size = pairs[ends[:-1], 0] if len(keys) else np.zeros(0, np.int64)
+        shared = np.add.reduceat(pairs[:, 1], ends[:-1]) if len(keys) else size
+        may = DENOM * shared >= NUMER * size
+        yield pa.RecordBatch.from_arrays([pa.array(x[may]) for x in (keys, size, shared)], names=["__set", "__n", "__shared"])
+        for raw in often:
+            key, n = np.frombuffer(raw, "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(n)], names=["__set", "__n", "__shared"])
 
     asked = docs.select("__text").mapInArrow(ask, "__part int, __body binary")
-    return asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, "__set long, __n long, __shared long"), parts
+    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    return answered.repartitionById(parts, F.col("__part")).mapInArrow(total, "__set long, __n long, __shared long"), parts
 
 
 def _frequent(counts: DataFrame) -> np.ndarray:
@@ -327,17 +336,17 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row of docs."""
-    rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
-    named = scratch(_signatures(rows, ["__key", "__id"]), "op6-named")
-    counts, parts = _shared(rows)
+    own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
+    named = scratch(_signatures(own, ["__key", "__id"]), "op6-named")
+    counts, parts = _shared(own)
     counts = scratch(counts, "op6-counts")
-    wanted = counts.filter("__set is not null").groupBy("__set").agg(F.sum("__shared").alias("__shared"), F.max("__n").alias("__n")).filter(f"{DENOM} * __shared >= {NUMER} * __n")
+    wanted = counts.filter("__set is not null")
     frequent = _frequent(counts)
     # One row with a text for each wanted set.
     one = named.filter("__set is not null").groupBy("__set").agg(F.min("__id").alias("__id")).join(wanted.select("__set"), "__set", "left_semi")
-    texts = rows.select("__id", "__text").join(one.select("__id", F.col("__set").alias("__want")), "__id").select("__want", "__text")
+    texts = own.select("__id", "__text").join(one.select("__id", F.col("__set").alias("__want")), "__id").select("__want", "__text")
     sets = _prefixed(texts, frequent, parts)
-    unique = rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
+    unique = own.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
     if unique["n"] != unique["d"]:  # equal ids: a set may have come more than once
         sets = sets.dropDuplicates(["__set"])
     roots = links(sets)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
-from .common import U64, part_of
+from .common import U64, column, part_of
 
 
 def chunks(h: np.ndarray, text: np.ndarray, parts: int, per_text: list[np.ndarray], place: np.ndarray | None, width: int):
@@ -69,10 +70,86 @@ def unpack(binaries: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, l
     return np.concatenate(hs), np.concatenate(texts), merged, np.concatenate(places) if places else None
 
 
-def grouped(values: np.ndarray, owner: np.ndarray, n_owner: int) -> tuple[np.ndarray, pa.Array]:
-    """(owners that have values, their values as binaries); owner is ascending."""
-    count = np.bincount(owner, minlength=n_owner)
+def _gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indexes of runs of `count` from `first`, one run after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def bundles(values: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """(part, binary) of values by their owners' keys: one binary for all keys of a part. owner: ascending."""
+    count = np.bincount(owner, minlength=len(keys))
     has = np.flatnonzero(count)
-    offs = np.r_[0, np.cumsum(count[has] * values.itemsize)].astype(np.int64)
-    flat = pa.Array.from_buffers(pa.large_binary(), len(has), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
-    return has, flat.cast(pa.binary())
+    if not len(has):
+        return [], []
+    first = (np.cumsum(count) - count)[has]
+    count, own = count[has], keys[has]
+    dest = np.mod(own, parts)
+    order = np.argsort(dest, kind="stable")
+    values = values[_gather(first[order], count[order])]
+    dest, own, count = dest[order], own[order], count[order]
+    at, to = np.searchsorted(dest, np.arange(parts + 1)), np.r_[0, np.cumsum(count)]
+    where, bodies = [], []
+    for p in np.flatnonzero(np.diff(at)).tolist():
+        a, b = at[p], at[p + 1]
+        where.append(p)
+        bodies.append(int(b - a).to_bytes(4, "little") + own[a:b].astype("<i8").tobytes() + count[a:b].astype("<u4").tobytes() + values[to[a] : to[b]].tobytes())
+    return where, bodies
+
+
+def unbundle(bodies: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, ends, values): values[ends[i]:ends[i + 1]] are those of key i."""
+    keys, counts, values = [], [], []
+    for raw in bodies:
+        n = int.from_bytes(raw[:4], "little")
+        keys.append(np.frombuffer(raw, "<i8", n, 4))
+        counts.append(np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64))
+        values.append(np.frombuffer(raw, dtype, offset=4 + 12 * n))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, dtype)
+    key, count, flat = np.concatenate(keys), np.concatenate(counts), np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    flat = flat[_gather((np.cumsum(count) - count)[order], count[order])]
+    own, at = np.unique(key[order], return_index=True)
+    ends = np.r_[0, np.cumsum(count[order])]
+    return own, np.r_[ends[at], ends[-1]], flat
+
+
+def merged(dtype: str, name: str):
+    """A mapInArrow function: rows (__body) of a part to one row (__key, name) a key, its values in one binary."""
+
+    def run(batches):
+        bodies = [x for batch in batches for x in column(batch, "__body").to_pylist()]
+        keys, ends, values = unbundle(bodies, dtype)
+        del bodies
+        step = 10_000
+        for s in range(0, len(keys), step):
+            few = ends[s : s + step + 1]
+            offs = ((few - few[0]) * values.itemsize).astype(np.int64)
+            flat = pa.Array.from_buffers(pa.large_binary(), len(few) - 1, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(values[few[0] : few[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + step]), flat.cast(pa.binary())], names=["__key", name])
+
+    return run
+
+
+def rows(parts: list[int], bodies: list[bytes], settled: bool) -> pa.RecordBatch:
+    """Rows for a part: settled ones are bundles on their way to merged(), the others wait for an answer."""
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([settled] * len(parts), pa.bool_()), pa.array(bodies, pa.binary())], names=["__part", "__settled", "__body"])
+
+
+SCHEMA = "__part int, __settled boolean, __body binary"
+
+
+def split(batches):
+    """(batches of settled rows, to be passed on; list of the other binaries, complete once the batches are used up)."""
+    waiting: list[bytes] = []
+
+    def settled():
+        for batch in batches:
+            own = column(batch, "__settled")
+            waiting.extend(column(batch.filter(pc.invert(own)), "__body").to_pylist())
+            passed = batch.filter(own)
+            if len(passed):
+                yield passed.select(["__part", "__settled", "__body"])
+
+    return settled(), waiting

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Words, column, parts_for, slices, texts_of, utf8
-from .packed import chunks, grouped, unpack
+from .packed import SCHEMA, bundles, chunks, merged, rows, split, unpack
 
 SIZE = 13
 WIDTH = 7
@@ -57,7 +57,6 @@ def repeated_places(docs: DataFrame, size: int) -> DataFrame:
     docs: __id (long, never null), __key (unique to a row but for equal rows), __text.
     """
     parts = parts_for(docs)
-    out = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__key", T.LongType()), T.StructField("__body", T.BinaryType())])
 
     def ask(batches):
         for batch in batches:
@@ -72,31 +71,15 @@ def repeated_places(docs: DataFrame, size: int) -> DataFrame:
                 known = np.zeros(len(h), bool)
                 known[order] = ids[text[order]] > np.repeat(least, np.diff(np.r_[head, len(h)]))
                 open_ = np.flatnonzero(~known)
-                part, body = [], []
-                for p, raw in chunks(h[open_], text[open_], parts, [ids, keys], place[open_], WIDTH):
-                    part.append(p)
-                    body.append(raw)
-                has, flags = grouped(place[known].astype(np.uint32), text[known], len(ids))
-                own = keys[has]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[np.array(part, np.int64), own % parts].astype(np.int32)),
-                        pa.concat_arrays([pa.nulls(len(part), pa.int64()), pa.array(own)]),
-                        pa.concat_arrays([pa.array(body, pa.binary()), flags]),
-                    ],
-                    names=out.names,
-                )
+                asks = list(chunks(h[open_], text[open_], parts, [ids, keys], place[open_], WIDTH))
+                yield rows([p for p, _ in asks], [b for _, b in asks], False)
+                yield rows(*bundles(place[known].astype("<u4"), text[known], keys, parts), True)
 
     def answer(batches):
-        raw = []
-        for batch in batches:
-            key = column(batch, "__key")
-            passed = batch.filter(key.is_valid())
-            if len(passed):
-                yield passed.select(["__key", "__body"])
-            raw += column(batch.filter(key.is_null()), "__body").to_pylist()
+        settled, raw = split(batches)
+        yield from settled
         h, text, per_text, place = unpack(raw, WIDTH)
-        del raw
+        raw.clear()
         if not len(h):
             return
         ids, keys = per_text
@@ -108,13 +91,11 @@ def repeated_places(docs: DataFrame, size: int) -> DataFrame:
         least = np.minimum.reduceat(own, head)
         hit = np.zeros(len(order), bool)
         hit[order] = own > np.repeat(least, np.diff(np.r_[head, len(order)]))
-        has, flags = grouped(place[hit], text[hit], len(ids))
-        for s in range(0, len(has), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[has[s : s + 50_000]]), flags[s : s + 50_000]], names=["__key", "__body"])
+        yield rows(*bundles(place[hit].astype("<u4"), text[hit], keys, parts), True)
 
-    asked = docs.select("__id", "__key", "__text").mapInArrow(ask, out)
-    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, "__key long, __body binary")
-    return answered.groupBy("__key").agg(F.collect_list("__body").alias("__places"))
+    asked = docs.select("__id", "__key", "__text").mapInArrow(ask, SCHEMA)
+    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u4", "__places"), "__key long, __places binary")
 
 
 def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, cut: bool = False) -> DataFrame:
@@ -123,11 +104,11 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     cut: also replace the text by what is left of it, runs of kept words as they stood, joined by a blank.
     """
     ident = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    rows = docs.withColumn("__id", ident)
-    ids = rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
-    rows = rows.withColumn("__key", F.col("__id") if ids["n"] == ids["d"] else F.xxhash64("__id", F.coalesce(F.col(text), F.lit(""))))
-    places = repeated_places(rows.select("__id", "__key", F.col(text).alias("__text")), size)
-    joined = rows.drop("__id").join(places, "__key", "left").select(*docs.columns, "__places")
+    own = docs.withColumn("__id", ident)
+    ids = own.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
+    own = own.withColumn("__key", F.col("__id") if ids["n"] == ids["d"] else F.xxhash64("__id", F.coalesce(F.col(text), F.lit(""))))
+    places = repeated_places(own.select("__id", "__key", F.col(text).alias("__text")), size)
+    joined = own.drop("__id").join(places, "__key", "left").select(*docs.columns, "__places")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     schema, names = T.StructType([*docs.schema.fields, T.StructField("relative_lz", kind)]), docs.columns
 
@@ -141,7 +122,7 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                         got.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
                         left.append(x)
                         continue
-                    gone = removed_words(len(words), np.unique(np.frombuffer(b"".join(found), np.uint32)).astype(np.int64), size)
+                    gone = removed_words(len(words), np.unique(np.frombuffer(found, np.uint32)).astype(np.int64), size)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     got.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
                     if cut:
