@@ -1 +1 @@
-
+"""Query registry."""

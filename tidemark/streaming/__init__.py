@@ -1 +1 @@
-
+"""Streaming forms."""
