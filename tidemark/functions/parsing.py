@@ -14,7 +14,7 @@ def products(lines: DataFrame, value: str = "value", validate: bool = True) -> D
     validate: also drop rows with a blank id or name.
     """
     text = F.trim(F.col(value))
-    many = F.from_json(text, f"array<{PRODUCT.simpleString()}>", {"mode": "PERMISSIVE"})
+    many = F.from_json(text, f"array<struct<{PRODUCT}>>", {"mode": "PERMISSIVE"})
     one = F.array(F.from_json(text, PRODUCT))
     # from_json gives a row of nulls for broken objects, so the text must be valid JSON as a whole.
     sound = F.try_parse_json(text).isNotNull()

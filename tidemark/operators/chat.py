@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ordered intent rules; the first that has a keyword in the lower-cased text holds.
 INTENTS = [
@@ -86,7 +87,7 @@ def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100
 
     client is called on the executors and must be serialisable; tests pass a function without network.
     """
-    schema = rows.schema.add("answer", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())])
 
     def ask(text: str) -> str:
         import time

@@ -121,8 +121,8 @@ QUERIES = {
         "SELECT 'ORDER_' || o_orderkey AS \"productId\", 'INVENTORY_DECREASED' AS \"eventType\" FROM orders WHERE o_orderkey % 10 < 7 AND o_custkey % 5 <> 0",
     ),
     "cdc_merge": (
-        lambda s, d: catalogue.apply_changes(table(s, d, "orders").select((F.col("o_orderkey") % 500).alias("id"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderstatus") == "F", "d").otherwise("u").alias("op"), "o_totalprice"), "id", ["at"]),
-        "SELECT id, at, o_totalprice FROM (SELECT o_orderkey % 500 AS id, o_orderkey AS at, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus <> 'F'",
+        lambda s, d: catalogue.apply_changes(table(s, d, "orders").select((F.col("o_orderkey") % 500).alias("id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "d").otherwise("u").alias("op"), "o_totalprice"), "id", ["seq"]),
+        "SELECT id, seq, o_totalprice FROM (SELECT o_orderkey % 500 AS id, o_orderkey AS seq, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus <> 'F'",
     ),
     "envelopes": (
         lambda s, d: table(s, d, "orders").select(parsing.envelope("INVENTORY_UPDATE", F.struct(F.col("o_orderkey").alias("id")), F.col("o_orderkey")).alias("value")).select(F.get_json_object("value", "$.payload.id").cast("long").alias("id"), F.get_json_object("value", "$.eventType").alias("kind")),
@@ -145,8 +145,8 @@ QUERIES = {
         f"WITH {_PUR} SELECT CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS class, count(*) AS n FROM sc WHERE valid GROUP BY 1",
     ),
     "feature_map": (
-        lambda s, d: _purchases(s, d).select("o_orderkey", *(F.round(F.element_at(scoring.explain(F.col("history"), F.col("total_value"), F.col("basket_size"))[0], n), 6).alias(n) for n in scoring.FEATURES), F.element_at(scoring.explain(F.col("history"), F.col("total_value"), F.col("basket_size"))[1], "value").alias("importance")),
-        f"WITH {_PUR} SELECT o_orderkey, round((history - 3.0) / 2.0, 6) AS history, round((total_value - 150.0) / 100.0, 6) AS value, round((basket_size - 5.0) / 3.0, 6) AS size, 3.2::DOUBLE AS importance FROM pu",
+        lambda s, d: _purchases(s, d).select("o_orderkey", *(F.element_at(scoring.explain(F.col("history"), F.col("total_value"), F.col("basket_size"))[0], n).alias(n) for n in scoring.FEATURES), F.element_at(scoring.explain(F.col("history"), F.col("total_value"), F.col("basket_size"))[1], "value").alias("importance")),
+        f"WITH {_PUR} SELECT o_orderkey, (history - 3.0::DOUBLE) / 2.0::DOUBLE AS history, (total_value - 150.0::DOUBLE) / 100.0::DOUBLE AS value, (basket_size - 5.0::DOUBLE) / 3.0::DOUBLE AS size, 3.2::DOUBLE AS importance FROM pu",
     ),
     "scaler_minmax": (_scaled("minmax"), _scaled_sql("(c_acctbal - lo) / (hi - lo)")),
     "scaler_max": (_scaled("max"), _scaled_sql("c_acctbal / ab")),
