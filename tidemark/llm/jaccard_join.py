@@ -10,14 +10,15 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two sets lin
    sets that link share one of them. (The list of frequent shingles only chooses the order, any order is
    right; it is cut to FREQUENT entries by raising the frequency asked for.)
 4. Rounds of tiles gather near copies: sets of one size band that share a first shingle meet in a tile of
-   about TILE sets, very frequent shingles being dealt over several. In a tile, sets go by size; each is
-   held against the leaders so far whose size allows a link: the bits in which two bitmaps differ bound
-   the overlap from above, and what passes is intersected exactly. A set joins a leader or becomes one;
-   leaders alone enter the next round.
-5. What the rounds could not see is settled exactly: shingles whose sets have more than one leader give
-   the pairs of sets of different leaders in the same or the next size band; bitmaps, then exact
-   intersection.
-6. Components of the links between leaders, by stars.
+   about TILE sets, very frequent shingles being dealt over several, with the most central set in each. In
+   a tile, sets with the largest share of shingles known elsewhere go first (an original before its
+   variants); each is held against the leaders so far whose size allows a link: the bits in which two
+   bitmaps differ bound the overlap from above, and what passes is intersected exactly. A set joins a
+   leader or becomes one; leaders alone enter the next round.
+5. What the rounds could not see is settled exactly: where a shingle's sets are in more than one group so
+   far, all its sets meet again in tiles, blocks of BLOCK sets of one size band against each other and
+   against the next band. Bitmaps bound the pairs of different groups, and what passes is intersected.
+6. Components of all links found, by stars.
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`; with fewer than five words the whole sequence is the one
 shingle; a text without words, or null, is empty, linked with nothing and its own component.
@@ -39,6 +40,7 @@ GRAM = 5
 NUMER, DENOM = 75, 100
 BITS = 1024
 TILE = 256
+BLOCK = 512
 ROUNDS = 3
 FREQUENT = 1 << 20
 FREQUENT_FROM = 64
@@ -94,9 +96,9 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def band(n):
+def band(n, shift: float = 0.0):
     """Size band: sets that link are in the same or neighbouring bands."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3))).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + shift).cast("int")
 
 
 def _signatures(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -189,7 +191,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """(__set, __n, __all, __prefix, __bits) of candidate sets; docs: __want (set), __text."""
+    """(__set, __n, __shared, __all, __prefix, __bits) of candidate sets; docs: __want (set), __shared, __text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -208,15 +210,15 @@ def _prefixed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                     prefix.append(np.concatenate([own[~last], own[last]])[: len(own) // 4 + 1].view(np.int64).tolist())
                     bits.append(bitmap(own).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [column(piece, "__want").filter(pa.array(ok)), pa.array(np.diff(ends)[ok]), pa.array(every, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["__set", "__n", "__all", "__prefix", "__bits"],
+                    [column(piece, "__want").filter(pa.array(ok)), pa.array(np.diff(ends)[ok]), column(piece, "__shared").filter(pa.array(ok)), pa.array(every, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    names=["__set", "__n", "__shared", "__all", "__prefix", "__bits"],
                 )
 
-    return docs.mapInArrow(run, "__set long, __n long, __all binary, __prefix array<long>, __bits binary")
+    return docs.mapInArrow(run, "__set long, __n long, __shared long, __all binary, __prefix array<long>, __bits binary")
 
 
 def _lead(rows: list[tuple]) -> list[int]:
-    """For each (n, all, bits) of a tile, by size: the index of its leader, itself if none."""
+    """For each (n, all, bits) of a tile, in order: the index of its leader, itself if none."""
     n = np.array([r[0] for r in rows], np.int64)
     bits = np.stack([np.frombuffer(r[2], U64) for r in rows])
     leaders, out = [], []
@@ -224,7 +226,7 @@ def _lead(rows: list[tuple]) -> list[int]:
         found = i
         if leaders:
             at = np.array(leaders)
-            at = at[DENOM * n[at] >= NUMER * n[i]]
+            at = at[(DENOM * n[at] >= NUMER * n[i]) & (DENOM * n[i] >= NUMER * n[at])]
             at = at[may_link(n[at], n[i], overlap_bound(n[at], n[i], bits[at], bits[i]))]
             mine = np.frombuffer(rows[i][1], U64)
             for j in at.tolist():
@@ -238,11 +240,15 @@ def _lead(rows: list[tuple]) -> list[int]:
 
 
 def _round(sets: DataFrame, turn: int) -> DataFrame:
-    """sets with __leader, after one round of tiles."""
-    keyed = sets.withColumn("__token", F.expr(f"__prefix[least({turn}, size(__prefix) - 1)]")).withColumn("__band", band(F.col("__n")))
-    many = keyed.groupBy("__token", "__band").count().filter(F.col("count") > TILE).select("__token", "__band", F.ceil(F.col("count") / TILE).alias("__deal"))
-    keyed = keyed.join(many, ["__token", "__band"], "left").withColumn("__salt", F.pmod(F.xxhash64("__set", F.lit(turn)), F.coalesce("__deal", F.lit(1)))).drop("__deal")
-    names = ["__set", "__n", "__all", "__prefix", "__bits"]
+    """sets with __leader, after one round of tiles; bands are shifted by half in every other round."""
+    names = ["__set", "__n", "__shared", "__all", "__prefix", "__bits"]
+    keyed = sets.withColumn("__token", F.expr(f"__prefix[least({turn}, size(__prefix) - 1)]")).withColumn("__band", band(F.col("__n"), turn % 2 / 2)).withColumn("__rank", -F.col("__shared") / F.col("__n"))
+    many = keyed.groupBy("__token", "__band").agg(F.count("*").alias("__rows"), F.min_by("__set", F.struct("__rank", "__set")).alias("__pivot")).filter(F.col("__rows") > TILE)
+    many = many.select("__token", "__band", "__pivot", F.ceil(F.col("__rows") / TILE).alias("__deal"))
+    own = F.pmod(F.xxhash64("__set", F.lit(turn)), F.coalesce("__deal", F.lit(1)))
+    keyed = keyed.join(many, ["__token", "__band"], "left").withColumn("__own", own)
+    salts = F.when(F.col("__set") == F.col("__pivot"), F.sequence(F.lit(0).cast("long"), F.col("__deal") - 1)).otherwise(F.array("__own"))
+    keyed = keyed.withColumn("__salt", F.explode(salts)).withColumn("__copy", F.col("__salt") != F.col("__own")).drop("__deal", "__pivot", "__own")
 
     def run(batches):
         held, mark = None, None
@@ -254,9 +260,9 @@ def _round(sets: DataFrame, turn: int) -> DataFrame:
             lead = _lead(list(zip(rows["__n"], rows["__all"], rows["__bits"], strict=True)))
             for c in ("__all", "__prefix", "__bits"):  # of leaders alone these are read again
                 rows[c] = [x if i == j else None for i, (x, j) in enumerate(zip(rows[c], lead, strict=True))]
-            kinds = [column(table, c).type for c in names]
             leaders = pa.array([rows["__set"][j] for j in lead], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[c], t) for c, t in zip(names, kinds, strict=True)), leaders], names=[*names, "__leader"])
+            out = pa.RecordBatch.from_arrays([*(pa.array(rows[c], column(table, c).type) for c in names), leaders], names=[*names, "__leader"])
+            yield out.filter(pa.array([not x for x in rows["__copy"]]))
 
         for batch in batches:
             key = list(zip(*(np.asarray(column(batch, c)).tolist() for c in ("__token", "__band", "__salt")), strict=True))
@@ -270,8 +276,67 @@ def _round(sets: DataFrame, turn: int) -> DataFrame:
                     held, mark = piece, key[a]
         yield from settle(held)
 
-    dealt = keyed.repartition("__token", "__band", "__salt").sortWithinPartitions("__token", "__band", "__salt", "__n", "__set")
-    return dealt.select(*names, "__token", "__band", "__salt").mapInArrow(run, "__set long, __n long, __all binary, __prefix array<long>, __bits binary, __leader long")
+    dealt = keyed.repartition("__token", "__band", "__salt").sortWithinPartitions("__token", "__band", "__salt", "__rank", "__n", "__set")
+    return dealt.select(*names, "__token", "__band", "__salt", "__copy").mapInArrow(run, "__set long, __n long, __shared long, __all binary, __prefix array<long>, __bits binary, __leader long")
+
+
+def _tile_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (__seta, __setb, __na, __nb, __leadera, __leaderb) of different leaders that share a shingle and may link.
+
+    rows: __token, __set, __n, __leader, __bits. A shingle's sets of band k and, as guests, of band k - 1 make
+    blocks; each block meets itself and each other one in a tile. Guests do not meet guests.
+    """
+    own = rows.withColumn("__b", band(F.col("__n")))
+    dealt = own.select("*", F.explode(F.array(F.struct(F.col("__b").alias("k"), F.lit(False).alias("g")), F.struct((F.col("__b") + 1).alias("k"), F.lit(True).alias("g")))).alias("__at")).select("__token", "__set", "__n", "__leader", "__bits", F.col("__at.k").alias("__band"), F.col("__at.g").alias("__guest"))
+    # Bands with guests alone, or with one leader alone, have no pairs.
+    live = dealt.groupBy("__token", "__band").agg(F.count("*").alias("__rows"), F.count_if(~F.col("__guest")).alias("__hosts"), F.min("__leader").alias("__lo"), F.max("__leader").alias("__hi")).filter("__hosts > 0 AND __lo < __hi")
+    live = live.select("__token", "__band", F.ceil(F.col("__rows") / BLOCK).alias("__deal"))
+    dealt = dealt.join(live, ["__token", "__band"]).withColumn("__block", F.pmod(F.xxhash64("__set"), F.col("__deal")))
+    other = F.sequence(F.lit(0).cast("long"), F.col("__deal") - 1)
+    dealt = dealt.select("__token", "__band", "__set", "__n", "__leader", "__bits", "__guest", "__block", F.explode(other).alias("__o"))
+    dealt = dealt.withColumn("__lo", F.least("__block", "__o")).withColumn("__hi", F.greatest("__block", "__o"))
+    keys = ["__token", "__band", "__lo", "__hi"]
+
+    def run(batches):
+        held, mark = None, None
+
+        def settle(table):
+            if table is None or len(table) < 2:
+                return
+            s, n, lead, block = (np.asarray(column(table, c)) for c in ("__set", "__n", "__leader", "__block"))
+            guest = np.asarray(column(table, "__guest").to_pylist(), bool)
+            bits = np.frombuffer(b"".join(column(table, "__bits").to_pylist()), U64).reshape(len(s), -1)
+            _, _, lo, hi = mark
+            pairs = []
+            for i in range(len(s) - 1):
+                j = np.arange(i + 1, len(s))
+                j = j[(lead[j] != lead[i]) & ~(guest[j] & guest[i]) & (DENOM * n[j] >= NUMER * n[i]) & (DENOM * n[i] >= NUMER * n[j])]
+                if lo != hi:
+                    j = j[block[j] != block[i]]
+                if len(j):
+                    j = j[may_link(n[j], n[i], overlap_bound(n[j], n[i], bits[j], bits[i]))]
+                    if len(j):
+                        pairs.append((np.full(len(j), i), j))
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                swap = s[a] > s[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[a], s[b], n[a], n[b], lead[a], lead[b])], names=["__seta", "__setb", "__n", "__m", "__leadera", "__leaderb"])
+
+        for batch in batches:
+            key = list(zip(*(np.asarray(column(batch, c)).tolist() for c in keys), strict=True))
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = batch.slice(a, b - a)
+                if key[a] == mark:
+                    held = pa.Table.from_batches([held, piece]).combine_chunks().to_batches()[0]
+                else:
+                    yield from settle(held)
+                    held, mark = piece, key[a]
+        yield from settle(held)
+
+    placed = dealt.drop("__o").repartition(*keys).sortWithinPartitions(*keys)
+    return placed.mapInArrow(run, "__seta long, __setb long, __n long, __m long, __leadera long, __leaderb long")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
@@ -291,26 +356,19 @@ def _exact(pairs: DataFrame) -> DataFrame:
 def links(sets: DataFrame) -> DataFrame:
     """(__set, __root) of every candidate set; sets: as _prefixed gives them, without repeated sets."""
     sets = scratch(sets, "op6-sets")
-    state = sets.select("__set", F.col("__set").alias("__leader"))
-    active = sets
+    joined, active = None, sets
     for turn in range(ROUNDS):
         done = scratch(_round(active, turn), "op6-round")
-        step = done.select(F.col("__set").alias("__leader"), F.col("__leader").alias("__next")).filter("__leader <> __next")
-        state = state.join(step, "__leader", "left").select("__set", F.coalesce("__next", "__leader").alias("__leader"))
+        step = done.filter("__set <> __leader").select(F.col("__set").alias("u"), F.col("__leader").alias("v"))
+        joined = step if joined is None else joined.unionByName(step)
         active = done.filter("__set = __leader").drop("__leader")
-    state = scratch(state, "op6-state")
-    # Shingles that sets of different leaders share.
-    prefix = sets.select("__set", "__n", F.explode_outer("__prefix").alias("__token")).join(state, "__set")
+    groups = components(joined)
+    state = scratch(sets.select("__set").join(groups.toDF("__set", "__root"), "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__leader")), "op6-state")
+    # Shingles whose sets are in different groups.
+    prefix = sets.select("__set", "__n", "__bits", F.explode_outer("__prefix").alias("__token")).join(state, "__set")
     mixed = prefix.groupBy("__token").agg(F.min("__leader").alias("__lo"), F.max("__leader").alias("__hi")).filter("__lo < __hi").select("__token")
-    rows = scratch(prefix.join(mixed, "__token").withColumn("__band", band(F.col("__n"))), "op6-mixed")
-    a = rows.select("__token", F.explode(F.array("__band", F.col("__band") + 1)).alias("__band"), *(F.col(c).alias(c + "a") for c in ("__set", "__n", "__leader")))
-    b = rows.select("__token", "__band", *(F.col(c).alias(c + "b") for c in ("__set", "__n", "__leader")))
-    # Each unordered pair once: the side of the smaller set, or of two equal sizes the smaller name.
-    met = a.join(b, ["__token", "__band"]).filter(f"__leadera <> __leaderb AND (__na < __nb OR (__na = __nb AND __seta < __setb)) AND {DENOM} * __na >= {NUMER} * __nb")
-    pairs = met.select("__seta", "__setb", "__leadera", "__leaderb").distinct()
-    bits = sets.select("__set", "__n", "__bits")
-    pairs = pairs.join(bits.toDF("__seta", "__n", "__x"), "__seta").join(bits.toDF("__setb", "__m", "__y"), "__setb")
-    pairs = _bounded(pairs)
+    rows = scratch(prefix.join(mixed, "__token"), "op6-mixed")
+    pairs = _tile_pairs(rows).distinct()
     every = sets.select("__set", "__all")
     pairs = pairs.join(every.toDF("__seta", "__a"), "__seta").join(every.toDF("__setb", "__b"), "__setb").select("__leadera", "__leaderb", "__n", "__m", "__a", "__b")
     found = _exact(pairs).select(F.col("__leadera").alias("u"), F.col("__leaderb").alias("v"))
@@ -318,22 +376,6 @@ def links(sets: DataFrame) -> DataFrame:
     return state.join(roots.toDF("__leader", "__root"), "__leader", "left").select("__set", F.coalesce("__root", "__leader").alias("__root"))
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """The rows whose bitmaps (__x, __y) leave a link possible."""
-    rest = [c for c in pairs.columns if c not in ("__x", "__y")]
-    kinds = dict(pairs.dtypes)
-
-    def run(batches):
-        for batch in batches:
-            n, m = (np.asarray(column(batch, c)) for c in ("__n", "__m"))
-            if len(n):
-                x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), U64).reshape(len(n), -1) for c in ("__x", "__y"))
-                ok = may_link(n, m, (n + m - np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)) // 2)
-                yield batch.select(rest).filter(pa.array(ok))
-
-    return pairs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest))
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row of docs."""
     own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
@@ -343,8 +385,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     wanted = counts.filter("__set is not null")
     frequent = _frequent(counts)
     # One row with a text for each wanted set.
-    one = named.filter("__set is not null").groupBy("__set").agg(F.min("__id").alias("__id")).join(wanted.select("__set"), "__set", "left_semi")
-    texts = own.select("__id", "__text").join(one.select("__id", F.col("__set").alias("__want")), "__id").select("__want", "__text")
+    one = named.filter("__set is not null").groupBy("__set").agg(F.min("__id").alias("__id")).join(wanted.select("__set", "__shared"), "__set")
+    texts = own.select("__id", "__text").join(one.select("__id", "__shared", F.col("__set").alias("__want")), "__id").select("__want", "__shared", "__text")
     sets = _prefixed(texts, frequent, parts)
     unique = own.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
     if unique["n"] != unique["d"]:  # equal ids: a set may have come more than once
