@@ -56,7 +56,10 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.n
             break
         p = prefix_hashes(part)
         n = len(part) - gram + 1
-        h = mix((p[gram:] - p[:n]) * powers(len(p))[1][:n])
+        h = p[gram:] - p[:n]
+        del p
+        h *= powers(len(part) + 1)[1][:n]
+        h = mix(h)
         m = (h & ~U64(SPAN - 1)) | np.arange(n, dtype=U64)
         span = 1
         while span < width:
@@ -85,15 +88,17 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.n
     return np.concatenate(first), np.concatenate(last), np.concatenate(anchor), np.concatenate(hashes)
 
 
-def merge_shards(symbols: list[np.ndarray]) -> np.ndarray:
-    """Mask of the suffixes whose symbols, symbols[0] first, all equal those of another suffix."""
-    n = len(symbols[0])
+def merge_shards(n: int, symbols: int, symbol) -> np.ndarray:
+    """Mask of the n suffixes whose `symbols` symbols all equal those of another suffix.
+
+    symbol(j, order) gives the j-th symbol of the suffixes in order; it is asked for open ones only.
+    """
     order, border = np.arange(n), np.zeros(n, np.int64)  # the interleave, and which block each of it is in
-    for x in reversed(symbols):
-        by = np.argsort(x[order], kind="stable")
-        order, border = order[by], border[by]
+    for j in range(symbols - 1, -1, -1):
+        own = symbol(j, order)
+        by = np.argsort(own, kind="stable")
+        order, border, own = order[by], border[by], own[by]
         # Dealing keeps the former order within a symbol, so equal blocks of equal symbols stand together.
-        own = x[order]
         new = np.r_[True, (own[1:] != own[:-1]) | (border[1:] != border[:-1])] if len(order) else np.zeros(0, bool)
         border = np.cumsum(new)
         alone = np.bincount(border, minlength=1)[border] == 1
@@ -123,7 +128,7 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for piece in slices(batch, "__text", 6 << 20):
+            for piece in slices(batch, "__text", 2 << 20):
                 data, offs = utf8(column(piece, "__text"))
                 keys = np.asarray(column(piece, "__key")).astype(np.int64)
                 _, _, anchor, h = runs(data, offs, size, gram)
@@ -154,12 +159,12 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, block: int) -> DataFrame:
     """(__key, __ranges): for rows with any, byte ranges that windows occurring elsewhere cover."""
-    parts = parts_for(docs, 6 << 20)
+    parts = parts_for(docs, 2 << 20)
 
     def ask(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for piece in slices(batch, "__text", 4 << 20):
+            for piece in slices(batch, "__text", 2 << 20):
                 data, offs = utf8(column(piece, "__text"))
                 keys = np.asarray(column(piece, "__key")).astype(np.int64)
                 wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + o for x, o in zip(column(piece, "__anchors").to_pylist(), offs.tolist(), strict=False)])
@@ -207,7 +212,7 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
         at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
         p = prefix_hashes(data)
         del data
-        twice = merge_shards([_hashes(p, at + j, block) for j in range(0, size, block)])
+        twice = merge_shards(len(at), size // block, lambda j, order: _hashes(p, at[order] + j * block, block))
         del p, at
         key, place = np.repeat(key, n)[twice], (np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))[twice]
         order = np.lexsort((place, key))
