@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import bwt_merge, byte_bpe, jaccard_join, relative_lz, repetition, token_counts, url_filter, warc_zip, winnowing, wrapper
+from .oracles import oracle_sql
+
+__all__ = ["queries", "oracle_sql"]
 
 
 def queries() -> dict:
@@ -18,7 +21,3 @@ def queries() -> dict:
         "op9_bwt_merge": bwt_merge.op9_bwt_merge,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip": warc_zip.ORACLE, "op4_url_filter": url_filter.ORACLE}
