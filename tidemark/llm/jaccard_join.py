@@ -9,8 +9,8 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two sets lin
 3. Shingles are put in an order, frequent ones last, and a set of n keeps its first floor(n / 4) + 1: two
    sets that link share one of them. (The list of frequent shingles only chooses the order, any order is
    right; it is cut to FREQUENT entries by raising the frequency asked for.)
-4. Rounds of tiles gather near copies: sets of one size band that share a first shingle meet in a tile of
-   about TILE sets, very frequent shingles being dealt over several, with the most central set in each. In
+4. Rounds of tiles gather near copies: sets of one size band with the same least shingle, in an order by
+   hash that changes with the round, meet in a tile of about TILE sets, very frequent shingles being dealt over several, with the most central set in each. In
    a tile, sets with the largest share of shingles known elsewhere go first (an original before its
    variants); each is held against the leaders so far whose size allows a link: the bits in which two
    bitmaps differ bound the overlap from above, and what passes is intersected exactly. A set joins a
@@ -191,7 +191,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """(__set, __n, __shared, __all, __prefix, __bits) of candidate sets; docs: __want (set), __shared, __text."""
+    """(__set, __n, __shared, __all, __prefix, __bits, __keys) of candidate sets; docs: __want (set), __shared, __text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -203,18 +203,19 @@ def _prefixed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                 key = (part_of(h, parts).astype(np.int64) << 32) + (h & U64(0xFFFFFFFF)).astype(np.int64)
                 at = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
                 late = often[at] == key if len(often) else np.zeros(len(h), bool)
-                every, prefix, bits = [], [], []
+                every, prefix, bits, keys = [], [], [], []
                 for i in np.flatnonzero(ok).tolist():
                     own, last = h[ends[i] : ends[i + 1]], late[ends[i] : ends[i + 1]]
                     every.append(own.tobytes())
                     prefix.append(np.concatenate([own[~last], own[last]])[: len(own) // 4 + 1].view(np.int64).tolist())
                     bits.append(bitmap(own).tobytes())
+                    keys.append([int(mix(own + U64(turn)).min().view(np.int64)) for turn in range(1, ROUNDS + 1)])
                 yield pa.RecordBatch.from_arrays(
-                    [column(piece, "__want").filter(pa.array(ok)), pa.array(np.diff(ends)[ok]), column(piece, "__shared").filter(pa.array(ok)), pa.array(every, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["__set", "__n", "__shared", "__all", "__prefix", "__bits"],
+                    [column(piece, "__want").filter(pa.array(ok)), pa.array(np.diff(ends)[ok]), column(piece, "__shared").filter(pa.array(ok)), pa.array(every, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["__set", "__n", "__shared", "__all", "__prefix", "__bits", "__keys"],
                 )
 
-    return docs.mapInArrow(run, "__set long, __n long, __shared long, __all binary, __prefix array<long>, __bits binary")
+    return docs.mapInArrow(run, "__set long, __n long, __shared long, __all binary, __prefix array<long>, __bits binary, __keys array<long>")
 
 
 def _lead(rows: list[tuple]) -> list[int]:
@@ -241,8 +242,8 @@ def _lead(rows: list[tuple]) -> list[int]:
 
 def _round(sets: DataFrame, turn: int) -> DataFrame:
     """sets with __leader, after one round of tiles; bands are shifted by half in every other round."""
-    names = ["__set", "__n", "__shared", "__all", "__prefix", "__bits"]
-    keyed = sets.withColumn("__token", F.expr(f"__prefix[least({turn}, size(__prefix) - 1)]")).withColumn("__band", band(F.col("__n"), turn % 2 / 2)).withColumn("__rank", -F.col("__shared") / F.col("__n"))
+    names = ["__set", "__n", "__shared", "__all", "__bits", "__keys"]
+    keyed = sets.select(*names).withColumn("__token", F.col("__keys")[turn]).withColumn("__band", band(F.col("__n"), turn % 2 / 2)).withColumn("__rank", -F.col("__shared") / F.col("__n"))
     many = keyed.groupBy("__token", "__band").agg(F.count("*").alias("__rows"), F.min_by("__set", F.struct("__rank", "__set")).alias("__pivot")).filter(F.col("__rows") > TILE)
     many = many.select("__token", "__band", "__pivot", F.ceil(F.col("__rows") / TILE).alias("__deal"))
     own = F.pmod(F.xxhash64("__set", F.lit(turn)), F.coalesce("__deal", F.lit(1)))
@@ -258,7 +259,7 @@ def _round(sets: DataFrame, turn: int) -> DataFrame:
                 return
             rows = table.to_pydict()
             lead = _lead(list(zip(rows["__n"], rows["__all"], rows["__bits"], strict=True)))
-            for c in ("__all", "__prefix", "__bits"):  # of leaders alone these are read again
+            for c in ("__all", "__bits", "__keys"):  # of leaders alone these are read again
                 rows[c] = [x if i == j else None for i, (x, j) in enumerate(zip(rows[c], lead, strict=True))]
             leaders = pa.array([rows["__set"][j] for j in lead], pa.int64())
             out = pa.RecordBatch.from_arrays([*(pa.array(rows[c], column(table, c).type) for c in names), leaders], names=[*names, "__leader"])
@@ -277,7 +278,7 @@ def _round(sets: DataFrame, turn: int) -> DataFrame:
         yield from settle(held)
 
     dealt = keyed.repartition("__token", "__band", "__salt").sortWithinPartitions("__token", "__band", "__salt", "__rank", "__n", "__set")
-    return dealt.select(*names, "__token", "__band", "__salt", "__copy").mapInArrow(run, "__set long, __n long, __shared long, __all binary, __prefix array<long>, __bits binary, __leader long")
+    return dealt.select(*names, "__token", "__band", "__salt", "__copy").mapInArrow(run, "__set long, __n long, __shared long, __all binary, __bits binary, __keys array<long>, __leader long")
 
 
 def _tile_pairs(rows: DataFrame) -> DataFrame:
