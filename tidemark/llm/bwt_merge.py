@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, slices, utf8
+from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, slices, small_batches, utf8
 from .packed import SCHEMA, bundles, chunks, merged, rows, split, unpack
 from .relative_lz import LAST
 
@@ -230,6 +230,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans: removed (first byte, end)."""
     if size % block:
         raise ValueError("size must be a multiple of block")
+    small_batches(docs.sparkSession)
     own_rows = docs.select(F.col(key).alias("__own"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
     unique = own_rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
     own_rows = own_rows.withColumn("__key", F.col("__id") if unique["n"] == unique["d"] else F.xxhash64("__id", F.coalesce("__text", F.lit("")))).drop("__id")

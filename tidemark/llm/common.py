@@ -53,6 +53,13 @@ def parts_for(df: DataFrame, target: int = 16 << 20) -> int:
     return max(least, min(1 << 16, math.ceil(input_bytes(df) / target)))
 
 
+def small_batches(spark: SparkSession, records: int = 1000) -> None:
+    """Let Arrow batches have at most `records` rows, so that JVM and Python hold less of long texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > records:
+        spark.conf.set(name, str(records))
+
+
 # -- Arrow --------------------------------------------------------------------------------------
 
 
