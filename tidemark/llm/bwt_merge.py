@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, slices, small_batches, utf8
+from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, scratch, slices, small_batches, utf8
 from .packed import SCHEMA, bundles, chunks, merged, rows, split, unpack
 from .relative_lz import LAST
 
@@ -234,7 +234,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     own_rows = docs.select(F.col(key).alias("__own"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
     unique = own_rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
     own_rows = own_rows.withColumn("__key", F.col("__id") if unique["n"] == unique["d"] else F.xxhash64("__id", F.coalesce("__text", F.lit("")))).drop("__id")
-    ranges = repeated_ranges(own_rows, shared_anchors(own_rows, size, gram), size, gram, block)
+    # Written in between, so that no stage runs two Python functions and their workers at a time.
+    anchors = scratch(shared_anchors(own_rows, size, gram), "op9-anchors")
+    ranges = scratch(repeated_ranges(own_rows, anchors, size, gram, block), "op9-ranges")
     joined = own_rows.join(ranges, "__key", "left").select("__own", "__text", "__ranges")
     schema = T.StructType(
         [

@@ -103,20 +103,24 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     cut: also replace the text by what is left of it, runs of kept words as they stood, joined by a blank.
     """
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    own = docs.withColumn("__id", ident)
+    # Inside, columns go by place, so that no name of the table clashes with those used here.
+    inside = [f"c{i}" for i in range(len(docs.columns))]
+    own_key, own_text = inside[docs.columns.index(key)], inside[docs.columns.index(text)]
+    own = docs.toDF(*inside).withColumn("__id", F.coalesce(F.col(own_key).cast("long"), F.lit(LAST)))
     ids = own.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
-    own = own.withColumn("__key", F.col("__id") if ids["n"] == ids["d"] else F.xxhash64("__id", F.coalesce(F.col(text), F.lit(""))))
-    places = repeated_places(own.select("__id", "__key", F.col(text).alias("__text")), size)
-    joined = own.drop("__id").join(places, "__key", "left").select(*docs.columns, "__places")
+    own = own.withColumn("__key", F.col("__id") if ids["n"] == ids["d"] else F.xxhash64("__id", F.coalesce(F.col(own_text), F.lit(""))))
+    places = repeated_places(own.select("__id", "__key", F.col(own_text).alias("__text")), size)
+    joined = own.drop("__id").join(places, "__key", "left").select(*inside, "__places")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    schema, names = T.StructType([*docs.schema.fields, T.StructField("relative_lz", kind)]), docs.columns
+    schema, names = T.StructType([*docs.schema.fields, T.StructField("relative_lz", kind)]), inside
+
+    out_names = schema.names
 
     def finish(batches):
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, own_text):
                 got, left = [], []
-                for x, found in zip(column(piece, text).to_pylist(), column(piece, "__places").to_pylist(), strict=True):
+                for x, found in zip(column(piece, own_text).to_pylist(), column(piece, "__places").to_pylist(), strict=True):
                     words = (x or "").encode().split()
                     if not found:
                         got.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
@@ -132,8 +136,8 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                         runs = zip(np.flatnonzero(edge == -1).tolist(), (np.flatnonzero(edge == 1) - 1).tolist(), strict=True)
                         left.append(b" ".join(raw[w.start[a] : w.end[b]] for a, b in runs).decode())
                 struct = pa.StructArray.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=kind.names)
-                cols = [pa.array(left, pa.string()) if cut and n == text else column(piece, n) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, struct], names=schema.names)
+                cols = [pa.array(left, pa.string()) if cut and n == own_text else column(piece, n) for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, struct], names=out_names)
 
     return joined.mapInArrow(finish, schema)
 
