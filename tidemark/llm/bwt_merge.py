@@ -128,7 +128,7 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for piece in slices(batch, "__text", 2 << 20):
+            for piece in slices(batch, "__text", 1 << 20):
                 data, offs = utf8(column(piece, "__text"))
                 keys = np.asarray(column(piece, "__key")).astype(np.int64)
                 _, _, anchor, h = runs(data, offs, size, gram)
@@ -164,7 +164,7 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
     def ask(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for piece in slices(batch, "__text", 2 << 20):
+            for piece in slices(batch, "__text", 1 << 20):
                 data, offs = utf8(column(piece, "__text"))
                 keys = np.asarray(column(piece, "__key")).astype(np.int64)
                 wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + o for x, o in zip(column(piece, "__anchors").to_pylist(), offs.tolist(), strict=False)])
@@ -249,7 +249,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     def finish(batches):
         for batch in batches:
-            for piece in slices(batch, "__text"):
+            for piece in slices(batch, "__text", 1 << 20):
                 n_bytes, n_removed, spans, digest = [], [], [], []
                 for x, found in zip(column(piece, "__text").to_pylist(), column(piece, "__ranges").to_pylist(), strict=True):
                     raw = (x or "").encode()
