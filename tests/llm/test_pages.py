@@ -115,3 +115,25 @@ def test_registry_names():
     names = sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def _extracted(spark, pages):
+    frame = spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, (host, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r.page_id: r for r in wrapper.extract(frame).collect()}
+
+
+def _story(i, n=40):
+    return " ".join(f"w{(i * 7919 + k * 104729) % 99991}" for k in range(n))
+
+
+def test_template_inside_article(spark):
+    """Constant lines in articles go, wherever they stand; copies and near copies of an article stay."""
+    page = lambda body: f"<body><article>{body}</article></body>"
+    pages = [("own.org", page("".join(f"<p>{_story(i * 10 + k)}</p>" for k in range(1 + i % 3)) + "<p>Read more on our site</p>")) for i in range(12)]
+    pages += [("copy.org", page(f"<h1>One title</h1><p>{_story(1)}</p>") + " " * i) for i in range(12)]
+    pages += [("near.org", page(f"<h1>One title</h1><p>{_story(1)}</p><p>{_story(2, 60)}</p><p>{_story(3, 60)} end {i}</p>")) for i in range(12)]
+    out = _extracted(spark, pages)
+    for i in range(12):
+        assert out[i].text == "\n".join(_story(i * 10 + k) for k in range(1 + i % 3)) and out[i].n_template == 1
+        assert out[12 + i].text == f"One title\n{_story(1)}" and out[12 + i].n_template == 0
+        assert out[24 + i].text == f"One title\n{_story(1)}\n{_story(2, 60)}\n{_story(3, 60)} end {i}"
