@@ -137,3 +137,15 @@ def test_template_inside_article(spark):
         assert out[i].text == "\n".join(_story(i * 10 + k) for k in range(1 + i % 3)) and out[i].n_template == 1
         assert out[12 + i].text == f"One title\n{_story(1)}" and out[12 + i].n_template == 0
         assert out[24 + i].text == f"One title\n{_story(1)}\n{_story(2, 60)}\n{_story(3, 60)} end {i}"
+
+
+def test_template_of_layouts_and_mixed_nodes(spark):
+    """Two layouts of half the pages each, an odd first page, ids per page, template nodes with children."""
+    pages = [("two.org", "<table><tr><td>odd</table>")]
+    for i in range(8):
+        pages.append(("two.org", f"<body class=post-{i}><div id=p{i}>{_story(i)}</div><div>Copyright <a>X</a> 2020</div></body>"))
+        pages.append(("two.org", f"<body id='slug-{'abcdefgh'[i]}'><section><p>{_story(50 + i)}</p><p>All rights<br>kept by <b>us</b></p></section></body>"))
+    out = _extracted(spark, pages)
+    assert out[0].text == "odd"
+    for i in range(8):
+        assert out[1 + 2 * i].text == _story(i) and out[2 + 2 * i].text == _story(50 + i)
