@@ -53,6 +53,27 @@ def test_winnowing(frame, docs, bench, empty, spark):
     assert got(kept, "doc_id", "text") == sorted(((i, t) for (i, t), r in zip(docs, brute.op5(docs, bench), strict=True) if not r[5]), key=repr)
 
 
+def test_winnowing_without_ids(spark, docs, bench):
+    import duckdb
+
+    from tidemark.llm import oracles
+
+    first = {i: t for i, t in reversed(docs)}
+    rows = [*docs, (None, " ".join(first[0].split()[5:45])), (None, " ".join(first[3].split()[:30])), (900, " ".join(first[3].split()[:25]))]
+    items = [*bench, (None, " ".join(first[3].split()[:20])), (None, " ".join(first[0].split()[12:30]))]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    d, b = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id INTEGER, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+        want = con.sql(oracles.OP5).fetchall()
+    assert sum(r[0] is None and r[5] for r in want) >= 2
+    assert got(winnowing.contamination(d, b), *columns) == sorted(want, key=repr)
+    kept = [t for t, r in zip((t for _, t in rows), brute.op5(rows, items), strict=True) if not r[5]]
+    assert sorted(map(repr, kept)) == sorted(repr(r.text) for r in winnowing.clean(d, b).collect())
+
+
 def test_winnowing_is_native(frame, spark):
     b = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
     plan = winnowing.contamination(frame, b)._jdf.queryExecution().toString()

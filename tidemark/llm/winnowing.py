@@ -14,7 +14,8 @@ The benchmark's fingerprints are broadcast only while their number is under BROA
 the join is shuffled by fingerprint.
 
 Defined results: a null text has no words and is hit by nothing; an empty benchmark hits nothing;
-repeated document rows are judged each on its own; an item id that occurs twice counts once.
+repeated document rows are judged each on its own; an item id that occurs twice counts once. Documents
+without an id are judged like all others; items without an id hit words but are not counted or named.
 """
 
 from __future__ import annotations
@@ -70,15 +71,16 @@ def with_fingerprints(rows: DataFrame, plans: list[tuple[int, int]]) -> DataFram
 def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, gram: int = GRAM, row: str | None = None) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs; row: also a hash of the text, so named."""
     more = [F.col("__row").alias(row)] if row else []
-    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("__text"))
-    items = bench.select(F.col(item).cast("string").alias("__item"), words(F.col(item_text)).alias("__w")).filter("size(__w) > 0").withColumn("__t", F.least(F.size("__w"), F.lit(size)))
+    # Ids may be null: inside, a row is known by `__id`, a struct that is never null, and so are items.
+    rows = docs.select(F.struct(F.col(key).alias("id")).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("__text"))
+    items = bench.select(F.struct(F.col(item).cast("string").alias("id")).alias("__item"), words(F.col(item_text)).alias("__w")).filter("size(__w) > 0").withColumn("__t", F.least(F.size("__w"), F.lit(size)))
     plans = [(t, min(gram, t)) for t in sorted(r[0] for r in items.select("__t").distinct().collect())]
     counted = rows.select("__id", "__row", F.size(words(F.col("__text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     twenty = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
     if not plans:
         zero = F.lit(0).cast("long")
-        return counted.select(F.col("__id").alias(key), *more, "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return counted.select(F.col("__id.id").alias(key), *more, "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # Items of one length at a time keep their own fingerprints only.
     prints = with_fingerprints(items, plans).select("__item", "__t", F.explode_outer("__f").alias("f")).filter("f.t = __t").select("__item", "__t", F.col("f.h").alias("__h"), F.col("f.i").alias("__q"))
@@ -117,7 +119,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     )
     found = (
         windows.groupBy("__id", "__row")
-        .agg(F.array_sort(F.collect_set(F.struct("__s", "__t"))).alias("__spans"), F.array_sort(F.collect_set("__item")).alias("__items"))
+        .agg(F.array_sort(F.collect_set(F.struct("__s", "__t"))).alias("__spans"), F.array_sort(F.collect_set("__item.id")).alias("__items"))
         .select(
             "__id",
             "__row",
@@ -129,7 +131,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     both = counted["__id"].eqNullSafe(found["__id"]) & (counted["__row"] == found["__row"])
     return (
         counted.join(found, both, "left")
-        .select(counted["__id"].alias(key), *([counted["__row"].alias(row)] if row else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
+        .select(counted["__id"]["id"].alias(key), *([counted["__row"].alias(row)] if row else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
         .withColumn("contaminated", twenty)
     )
 
