@@ -119,6 +119,17 @@ def test_visibility(spark):
     assert see("a", "b") and see("b", "b") and see("c", None) and not see("c", "b")
 
 
+def test_history_reads_whole_texts(spark):
+    import hashlib
+
+    long = "x" * 60
+    rows = [(c, t, "user", f"{long} {c if t == 1 else ''}") for c in (1, 2) for t in range(12)]
+    out = {(r.conv_id, r.turn): r for r in chat.history(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    assert out[1, 2].history_sha256 != out[2, 2].history_sha256  # they differ after the 40th character only
+    want = "|".join(r[3] for r in rows[1:11])
+    assert out[1, 11].n_before == 10 and out[1, 11].history_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_localised(spark):
     raw = spark.createDataFrame([("u", None, "CHAT_MESSAGE", "hi", 1, ["DE"])], "userId string, toUserId string, type string, message string, timestamp bigint, languages array<string>")
     row = chat.localised(chat.enrich(raw), "DE").first()

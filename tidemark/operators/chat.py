@@ -45,10 +45,10 @@ def visible_to(user: Column, kind: Column, sender: Column, receiver: Column) ->
 
 
 def history(messages: DataFrame, n: int = 10) -> DataFrame:
-    """Each user message with the number and first 40 characters of up to n user messages before it, oldest first."""
+    """Each user message with the number and a digest of the whole texts of up to n user messages before it, oldest first."""
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-n, -1)
     users = messages.filter("role = 'user'")
-    return users.withColumn("__h", F.collect_list(F.substring("text", 1, 40)).over(w)).select("conv_id", "turn", F.size("__h").cast("long").alias("n_before"), F.sha2(F.array_join("__h", "|"), 256).alias("history_sha256"))
+    return users.withColumn("__h", F.collect_list("text").over(w)).select("conv_id", "turn", F.size("__h").cast("long").alias("n_before"), F.sha2(F.array_join("__h", "|"), 256).alias("history_sha256"))
 
 
 def last_n(messages: DataFrame, n: int = 10, key: str = "conv_id", order: str = "turn") -> DataFrame:
