@@ -89,6 +89,14 @@ def test_incremental_rules(spark):
     assert got == {(1, "a", "b"): (1.0, 1.0, 1.0), (1, "b", "a"): (1.0, 1.0, 1.0), (2, "c", "a"): (1.0, 0.5, 1.0), (2, "a", "c"): (0.5, 0.5, 1.0)}
 
 
+def test_pattern_store_keeps_its_own_cap(spark):
+    from tidemark.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rules = catalog.queries()["rules_global"](spark, sf).count()
+    assert 100 < rules < 5000 and catalog.queries()["pattern_store_newest"](spark, sf).count() == rules
+
+
 def test_basket_recommendation(spark):
     pat = spark.createDataFrame([("p1", ["phone"], "charger", 0.85), ("p2", ["phone", "case"], "film", 0.9)], "pattern_id string, antecedents array<string>, consequent string, confidence double")
     rows = [("s1", "ADD_TO_CART", "phone"), ("s2", "ADD_TO_CART", "charger"), ("s2", "ADD_TO_CART", "phone")]

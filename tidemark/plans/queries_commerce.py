@@ -100,7 +100,7 @@ QUERIES = {
         f"WITH {_INC}, e AS (SELECT antecedents || '_' || consequent AS pattern_id, seq, confidence FROM o WHERE (kind = 'full' AND confidence > 0.3 AND support > 0.01) OR (kind = 'single' AND confidence > 0.4)) SELECT pattern_id, min(seq) AS us, round(confidence, 6) AS confidence FROM (SELECT *, max(confidence) OVER (PARTITION BY pattern_id) AS best FROM e) WHERE confidence = best GROUP BY pattern_id, confidence",
     ),
     "pattern_store_newest": (
-        lambda s, d: baskets.newest(_rules(s, d).select(F.concat_ws("_", "a", "c").alias("pattern_id"), F.col("together").alias("us")), 100),
+        lambda s, d: baskets.newest(_rules(s, d).select(F.concat_ws("_", "a", "c").alias("pattern_id"), F.col("together").alias("us"))),
         f"WITH {_RULES_F} SELECT a || '_' || c AS pattern_id, together AS us FROM r ORDER BY us DESC, pattern_id LIMIT 100",
     ),
     "pattern_interestingness": (
