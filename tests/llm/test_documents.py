@@ -124,14 +124,51 @@ def test_bwt_merge(frame, docs, empty):
     assert bwt_merge.dedup(empty).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2), min_size=1, max_size=60))
-def test_merge_finds_equal_windows(text):
-    n, k = len(text), 3
-    padded = np.array([*text, *range(100, 100 + k)], np.uint64)
-    twice = bwt_merge.merge_shards(n, k, lambda j, order: padded[order + j])
-    grams = [tuple(padded[i : i + k].tolist()) for i in range(n)]
-    assert twice.tolist() == [grams.count(g) > 1 for g in grams]
+def _plain_intervals(strings, size):
+    """Intervals of common prefix `size` or more of one plain suffix array: in byte order, members in the order of strings."""
+    suffixes = sorted((s[i:], k, i) for k, s in enumerate(strings) for i in range(len(s) - size + 1))
+    groups = {}
+    for suffix, k, i in suffixes:
+        groups.setdefault(suffix[:size], []).append((k, i))
+    return [sorted(v) for v in groups.values() if len({k for k, _ in v}) > 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab", min_size=6, max_size=14), min_size=1, max_size=8), st.sampled_from([3, 4, 6, 5]), st.sampled_from([1, 20, 1000]))
+def test_merge_of_shards_equals_one_suffix_array(texts, size, room):
+    strings = []
+    for x in texts:  # strings whose own windows differ, as runs are
+        x = x.encode()
+        grams = [x[i : i + size] for i in range(len(x) - size + 1)]
+        if len(set(grams)) == len(grams) and len(x) >= size:
+            strings.append(x)
+    want = _plain_intervals(strings, size)
+    got_ = bwt_merge.shared_windows(strings, size, room)
+    assert [sorted(p.tolist()) for p in got_] == [sorted(i for v in want for k, i in v if k == s) for s in range(len(strings))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", min_size=6, max_size=14), min_size=2, max_size=8), st.sampled_from([4, 6, 5, 16]))
+def test_interleave_is_in_suffix_order(texts, size):
+    """Intervals come in byte order, and a symbol of the transform is the bytes before a suffix."""
+    step = bwt_merge.stride(size)
+    strings = [b"z" * step + x.encode() for x in texts if len(x) >= size]
+    strings = [x for x in strings if len({x[i : i + size] for i in range(len(x) - size + 1)}) == len(x) - size + 1]
+    if not strings:
+        return
+    start = np.cumsum([0, *map(len, strings)])
+    rows = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(start[:-1], start[1:], strict=True)])
+    source = np.repeat(np.arange(len(strings)), [len(x) - size + 1 for x in strings])
+    shard = bwt_merge.Shard(np.frombuffer(b"".join(strings), np.uint8), rows, source, step)
+    at, block = bwt_merge.interleave(shard.code, rows, source, size, step)
+    found = [[] for _ in range(len(np.unique(block)))]
+    for i, b in zip(at.tolist(), np.unique(block, return_inverse=True)[1].tolist(), strict=True):
+        found[b].append((int(source[i]), int(rows[i] - start[source[i]])))
+    assert found == _plain_intervals(strings, size)
+    flat = b"".join(strings)
+    for p in rows[rows % 3 == 0].tolist():
+        if p >= step:
+            assert int(shard.alphabet[shard.code[p - step]]).to_bytes(step, "big") == flat[p - step : p]
 
 
 def test_bpe(frame, docs, empty):

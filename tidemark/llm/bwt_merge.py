@@ -1,22 +1,30 @@
 """Suffix-array dedup by merging shard Burrows-Wheeler transforms.
 
 A byte goes when it lies in a string of `size` bytes that starts anywhere else too. Only suffixes that
-can share so much are sorted, in shards that meet in one place:
+can share so much are merged, in shards that meet in one place:
 
 1. Every window of `size` bytes has an anchor, the leftmost least hash of its k-grams; equal windows have
    equal anchors. Anchors (about one in ninety bytes) are counted over the whole input from packed rows.
-2. Runs of windows with one anchor that occurs again send their bytes to the part of that anchor; runs
-   that are equal within a slice of documents are settled there and sent once.
-3. A part merges its shards. A suffix is read as `size / block` symbols of `block` bytes, its transform's
-   symbol being the block before it. The interleave starts with the shards one after the other; each
-   pass deals the interleaved suffixes stably by their preceding symbol, which sorts the suffixes one
-   block further left by one symbol more and never compares suffixes. A border falls between neighbours
-   where the dealt symbol or an earlier border separates them, so that suffixes left together after h
-   passes share a prefix of h blocks; suffixes alone between borders are settled and leave. What stays
-   together through all passes is an interval of equal windows.
-
-Texts are UTF-8 bytes; matches never cross documents. Defined results: a null text is empty; texts under
-`size` bytes keep all; rows with equal ids count as different places, each judged on its own.
+2. Runs of windows with one anchor that occurs again send their bytes to the part of that anchor. Equal
+   runs (compared as bytes) are one string from there on: in a slice of documents before they are sent, in
+   a part while they arrive, so a passage of very many documents takes the room of one.
+3. In a part, the runs that share their anchor with a different run are the strings to be merged. A run is
+   the smallest shard: its own windows differ from each other. Runs make shards of about SHARD bytes, and
+   the shards make the part, both by the same interleave refinement (`interleave`):
+   the transform of a shard gives, for each suffix, the symbol before it, a string of up to eight bytes of an
+   alphabet in byte order; the alphabets of shards are merged first. The interleave starts with the shards
+   one after the other. Each pass deals it stably by the preceding symbols, which sorts the suffixes that
+   stand one symbol further left; suffixes are never compared, and none is sorted again. A border falls
+   between neighbours where the dealt symbol or an earlier border separates them: they part at that
+   common prefix. Of an interval between borders whose suffixes all come from one shard, the shard knows
+   order and common prefixes already, so it is settled and leaves. What is left after size bytes are the
+   intervals of common prefix `size` or more. A shard hands on one suffix of each such interval.
+   Suffixes that no window of their run begins with at that depth are left out from the start.
+
+Texts are UTF-8 bytes; matches never cross documents. Defined results: a null or empty text has no bytes and no
+spans; texts under `size` bytes keep all; rows with equal ids count as different places, each judged on its own, so
+repeated rows of `size` bytes lose all; texts of any length are hashed in stretches of SPAN; an empty table gives no
+rows; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,22 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, scratch, slices, small_batches, utf8
-from .packed import SCHEMA, bundles, chunks, merged, rows, split, unpack
+from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, scratch, slices, utf8
+from .packed import SCHEMA, bundles, chunks, gather, merged, rows, split, unpack
 from .relative_lz import LAST
 
 SIZE = 200
 GRAM = 24
-BLOCK = 50
-SPAN = 1 << 24
+SPAN = 1 << 20
+SHARD = 1 << 18
 WIDTH = 7
 
 
-def _hashes(p: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hash of size bytes from each place."""
-    return mix((p[at + size] - p[at]) * powers(len(p))[1][at])
-
-
 def runs(data: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor, anchor's hash) of each run of windows with one anchor."""
     first, last, anchor, hashes = [], [], [], []
@@ -88,33 +91,108 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.n
     return np.concatenate(first), np.concatenate(last), np.concatenate(anchor), np.concatenate(hashes)
 
 
-def merge_shards(n: int, symbols: int, symbol) -> np.ndarray:
-    """Mask of the n suffixes whose `symbols` symbols all equal those of another suffix.
+def stride(size: int) -> int:
+    """Bytes of a symbol: the largest divisor of size up to eight."""
+    return max(x for x in range(1, 9) if size % x == 0)
+
 
-    symbol(j, order) gives the j-th symbol of the suffixes in order; it is asked for open ones only.
+class Shard:
+    """Strings (one after the other in text) with the windows that begin in them, and their transform.
+
+    rows: places of the windows, source: the smaller shard each comes from. alphabet: the sorted distinct symbols;
+    code: that of the symbol at each place, so code[p - step] is the one before the suffix at p.
     """
-    order, border = np.arange(n), np.zeros(n, np.int64)  # the interleave, and which block each of it is in
-    for j in range(symbols - 1, -1, -1):
-        own = symbol(j, order)
-        by = np.argsort(own, kind="stable")
-        order, border, own = order[by], border[by], own[by]
-        # Dealing keeps the former order within a symbol, so equal blocks of equal symbols stand together.
-        new = np.r_[True, (own[1:] != own[:-1]) | (border[1:] != border[:-1])] if len(order) else np.zeros(0, bool)
-        border = np.cumsum(new)
-        alone = np.bincount(border, minlength=1)[border] == 1
-        order, border = order[~alone], border[~alone]
-    out = np.zeros(n, bool)
-    out[order] = True
+
+    __slots__ = ("text", "rows", "source", "step", "alphabet", "code")
+
+    def __init__(self, text: np.ndarray, rows: np.ndarray, source: np.ndarray, step: int):
+        self.text, self.rows, self.source, self.step = text, rows, source, step
+        key = np.zeros(max(len(text) - step + 1, 0), U64)
+        for j in range(step):
+            key <<= U64(8)
+            key |= text[j : len(text) - step + 1 + j]
+        self.alphabet, code = np.unique(key, return_inverse=True)
+        self.code = code.astype(np.int32)
+
+
+def interleave(code: np.ndarray, rows: np.ndarray, source: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes into rows, interval of each), in byte order: the windows that another source has too.
+
+    rows: shard after shard; windows of one source must differ from each other.
+    """
+    at, block = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    for depth in range(step, size + 1, step):
+        key = code[rows[at] + (size - depth)].astype(U64) << U64(32) | np.arange(len(at), dtype=U64)
+        key.sort()  # by symbol, then by the order so far: a stable deal
+        by, symbol = (key & U64(0xFFFFFFFF)).astype(np.int64), key >> U64(32)
+        at, block = at[by], block[by]
+        new = np.r_[True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])] if len(at) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        if not len(head):
+            break
+        own, count = source[at], np.diff(np.r_[head, len(at)])
+        open_ = np.repeat(np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head), count)
+        at, block = at[open_], np.cumsum(new)[open_]
+    return at, block
+
+
+def shared_windows(strings: list[bytes], size: int, room: int = SHARD) -> list[np.ndarray]:
+    """Per string, the places of its windows that another string has too; a string's own windows must differ."""
+    step, out = stride(size), []
+    shards: list[Shard] = []
+    first = at = 0
+    marks, heads = [], []
+    while first < len(strings):
+        last, held = first, 0
+        while last < len(strings) and (last == first or held + len(strings[last]) <= room):
+            held += len(strings[last])
+            last += 1
+        few = strings[first:last]
+        start = np.cumsum([0, *map(len, few)])
+        n = np.diff(start) - size + 1
+        own = np.repeat(np.arange(len(few)), n)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        shard = Shard(np.frombuffer(b"".join(few), np.uint8), start[own] + place, own, step)
+        hit, interval = interleave(shard.code, shard.rows, shard.source, size, step)
+        twice, carried = np.zeros(len(own), bool), np.ones(len(own), bool)
+        twice[hit], carried[hit] = True, False
+        lead = np.r_[True, interval[1:] != interval[:-1]] if len(hit) else np.zeros(0, bool)
+        mate = np.arange(len(own))  # the row that stands for each row from here on
+        mate[hit] = hit[lead][np.cumsum(lead) - 1] if len(hit) else hit
+        carried[hit[lead]] = True
+        shards.append(shard)
+        marks.append((len(few), n, place, twice, mate))
+        heads.append(np.flatnonzero(carried))
+        first = last
+    if len(shards) > 1:
+        alphabet = np.unique(np.concatenate([x.alphabet for x in shards]))
+        code = np.concatenate([np.r_[np.searchsorted(alphabet, x.alphabet).astype(np.int32)[x.code], np.zeros(len(x.text) - len(x.code), np.int32)] for x in shards])
+        base = np.cumsum([0, *(len(x.text) for x in shards)])
+        rows = np.concatenate([x.rows[h] + b for x, h, b in zip(shards, heads, base, strict=False)])
+        source = np.repeat(np.arange(len(shards)), [len(h) for h in heads])
+        for x in shards:
+            x.code = x.alphabet = None
+        hit, _ = interleave(code, rows, source, size, step)
+        ends = np.cumsum([0, *(len(h) for h in heads)])
+        hit = np.sort(hit)
+        for k, (_, _, _, twice, mate) in enumerate(marks):
+            own = hit[np.searchsorted(hit, ends[k]) : np.searchsorted(hit, ends[k + 1])] - ends[k]
+            also = np.zeros(len(twice), bool)
+            also[heads[k][own]] = True
+            twice |= also[mate]
+    for count, n, place, twice, _ in marks:
+        ends = np.cumsum(n)
+        for i in range(count):
+            out.append(place[ends[i] - n[i] : ends[i]][twice[ends[i] - n[i] : ends[i]]])
     return out
 
 
-def _ranges(key: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first byte, end) of what windows at ascending places of each key cover."""
+def _covered(place: np.ndarray, size: int) -> np.ndarray:
+    """(first byte, end) of what windows at ascending places cover, one row each."""
     if not len(place):
-        return key, place, place
-    new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)]
-    at = np.flatnonzero(new)
-    return key[at], place[at], place[np.r_[at[1:] - 1, len(place) - 1]] + size
+        return np.zeros((0, 2), np.int64)
+    cut = np.flatnonzero(np.diff(place) > 1)
+    return np.stack([place[np.r_[0, cut + 1]], place[np.r_[cut, len(place) - 1]] + size], axis=1)
 
 
 def _flat(pairs: np.ndarray) -> np.ndarray:
@@ -157,7 +235,48 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u4", "__anchors"), "__key long, __anchors binary")
 
 
-def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, block: int) -> DataFrame:
+class Runs:
+    """The runs that come to a part: each distinct string once, and who has it."""
+
+    def __init__(self, size: int):
+        self.size, self.number, self.anchor, self.own, self.first, self.which = size, {}, [], [], [], []
+
+    def add(self, raw: bytes) -> None:
+        n = int.from_bytes(raw[:4], "little")
+        flat = zstandard.ZstdDecompressor().decompress(raw[4:])
+        key, first, windows, anchor = np.frombuffer(flat, "<i8", 4 * n).reshape(n, 4).T
+        ends, which = (32 * n + np.cumsum(windows + self.size - 1)).tolist(), []
+        for end, w, a in zip(ends, windows.tolist(), anchor.tolist(), strict=True):
+            text = flat[end - w - self.size + 1 : end]
+            i = self.number.setdefault(text, len(self.anchor))
+            if i == len(self.anchor):
+                self.anchor.append(a)
+            which.append(i)
+        self.own.append(key.copy())
+        self.first.append(first.copy())
+        self.which.append(np.array(which, np.int64))
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, (first byte, end)) of what is repeated elsewhere, ordered by key."""
+        own, first, which = np.concatenate(self.own), np.concatenate(self.first), np.concatenate(self.which)
+        texts, many = list(self.number), np.bincount(which, minlength=len(self.number)) > 1
+        _, inverse, n = np.unique(np.array(self.anchor, np.int64), return_inverse=True, return_counts=True)
+        order = np.argsort(inverse, kind="stable")
+        merged_ = order[n[inverse[order]] > 1]  # runs of one anchor stand together
+        found = [np.zeros((0, 2), np.int64)] * len(texts)
+        for i, place in zip(merged_.tolist(), shared_windows([texts[i] for i in merged_.tolist()], self.size), strict=True):
+            found[i] = _covered(place, self.size)
+        for i in np.flatnonzero(many).tolist():
+            found[i] = np.array([[0, len(texts[i])]])
+        count = np.array([len(x) for x in found])
+        flat, start = np.concatenate(found), np.cumsum(count) - count
+        at = gather(start[which], count[which])
+        key, pairs = np.repeat(own, count[which]), flat[at] + np.repeat(first, count[which])[:, None]
+        by = np.argsort(key, kind="stable")
+        return key[by], pairs[by]
+
+
+def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int) -> DataFrame:
     """(__key, __ranges): for rows with any, byte ranges that windows occurring elsewhere cover."""
     parts = parts_for(docs, 2 << 20)
 
@@ -172,53 +291,37 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
                 ok = np.isin(anchor, wanted)
                 first, last, h = first[ok], last[ok], h[ok]
                 text = np.searchsorted(offs, first, "right") - 1
-                p = prefix_hashes(data)
-                whole = mix((p[last + size] - p[first]) * powers(len(p))[1][first]) + mix((last - first).astype(U64))
-                _, one, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                known = n[inverse] > 1
-                pairs = np.stack([first - offs[text], last + size - offs[text]], axis=1)
-                one = np.sort(one)
+                raw, seen = data.tobytes(), {}
+                strings = [raw[a:b] for a, b in zip(first.tolist(), (last + size).tolist(), strict=True)]
+                which = np.array([seen.setdefault(x, i) for i, x in enumerate(strings)], np.int64)
+                known = np.bincount(which, minlength=len(strings))[which] > 1
+                one = np.flatnonzero(which == np.arange(len(which)))
                 part = part_of(h[one], parts)
                 order = one[np.argsort(part, kind="stable")]
-                part = np.sort(part, kind="stable")
-                ends = np.searchsorted(part, np.arange(parts + 1))
-                raw, which, body = data.tobytes(), [], []
+                ends = np.searchsorted(np.sort(part), np.arange(parts + 1))
+                to, body = [], []
                 for k in np.flatnonzero(np.diff(ends)).tolist():
                     at = order[ends[k] : ends[k + 1]]
-                    head = np.stack([keys[text[at]], first[at] - offs[text[at]], last[at] - first[at] + 1], axis=1).astype("<i8").tobytes()
-                    blob = b"".join([raw[a:b] for a, b in zip(first[at].tolist(), (last[at] + size).tolist(), strict=True)])
-                    which.append(k)
-                    body.append(len(at).to_bytes(4, "little") + squeeze.compress(head + blob))
-                yield rows(which, body, False)
+                    head = np.stack([keys[text[at]], first[at] - offs[text[at]], last[at] - first[at] + 1, h[at].view(np.int64)], axis=1).astype("<i8").tobytes()
+                    to.append(k)
+                    body.append(len(at).to_bytes(4, "little") + squeeze.compress(head + b"".join([strings[i] for i in at.tolist()])))
+                yield rows(to, body, False)
+                pairs = np.stack([first - offs[text], last + size - offs[text]], axis=1)
                 yield rows(*bundles(_flat(pairs[known]), text[known], keys, parts), True)
 
     def answer(batches):
-        expand = zstandard.ZstdDecompressor()
         settled, waiting = split(batches)
-        yield from settled
-        heads, shards = [], []
-        for raw in waiting:
-            n = int.from_bytes(raw[:4], "little")
-            flat = expand.decompress(raw[4:])
-            heads.append(np.frombuffer(flat, "<i8", 3 * n).reshape(n, 3))
-            shards.append(np.frombuffer(flat, np.uint8, offset=24 * n))
-        waiting.clear()
-        if not heads:
-            return
-        key, first, n = np.concatenate(heads).T
-        data = np.concatenate(shards)
-        del heads, shards
-        start = np.cumsum(n + size - 1) - (n + size - 1)
-        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        p = prefix_hashes(data)
-        del data
-        twice = merge_shards(len(at), size // block, lambda j, order: _hashes(p, at[order] + j * block, block))
-        del p, at
-        key, place = np.repeat(key, n)[twice], (np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))[twice]
-        order = np.lexsort((place, key))
-        key, first, end = _ranges(key[order], place[order], size)
-        owners, text = np.unique(key, return_inverse=True)
-        yield rows(*bundles(_flat(np.stack([first, end], axis=1)), text, owners, parts), True)
+        held = Runs(size)
+        for batch in settled:
+            yield batch
+            while waiting:
+                held.add(waiting.pop())
+        while waiting:
+            held.add(waiting.pop())
+        if held.own:
+            key, pairs = held.ranges()
+            owners, text = np.unique(key, return_inverse=True)
+            yield rows(*bundles(_flat(pairs), text, owners, parts), True)
 
     joined = docs.select("__key", "__text").join(anchors, "__key")
     asked = joined.mapInArrow(ask, SCHEMA)
@@ -226,17 +329,14 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int, b
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u8", "__ranges"), "__key long, __ranges binary")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans: removed (first byte, end)."""
-    if size % block:
-        raise ValueError("size must be a multiple of block")
-    small_batches(docs.sparkSession)
     own_rows = docs.select(F.col(key).alias("__own"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
     unique = own_rows.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
     own_rows = own_rows.withColumn("__key", F.col("__id") if unique["n"] == unique["d"] else F.xxhash64("__id", F.coalesce("__text", F.lit("")))).drop("__id")
     # Written in between, so that no stage runs two Python functions and their workers at a time.
     anchors = scratch(shared_anchors(own_rows, size, gram), "op9-anchors")
-    ranges = scratch(repeated_ranges(own_rows, anchors, size, gram, block), "op9-ranges")
+    ranges = scratch(repeated_ranges(own_rows, anchors, size, gram), "op9-ranges")
     joined = own_rows.join(ranges, "__key", "left").select("__own", "__text", "__ranges")
     schema = T.StructType(
         [

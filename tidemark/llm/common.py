@@ -7,7 +7,9 @@ the same on every machine, so they can meet in a shuffle.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,26 +21,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BATCH_BYTES = 4 << 20
+STRETCH = 1 << 20
 
 
 # -- scratch ------------------------------------------------------------------------------------
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all runs in this machine, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
+@contextlib.contextmanager
+def light_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES while tables are written inside; then as the caller had it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with light_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,14 +80,7 @@ def parts_for(df: DataFrame, target: int = 16 << 20) -> int:
     size = input_bytes(df)
     if size > 1 << 42:
         size = df.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    return max(least, min(1 << 16, math.ceil(size / target)))
-
-
-def small_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Let Arrow batches have at most `records` rows, so that JVM and Python hold less of long texts at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > records:
-        spark.conf.set(name, str(records))
+    return max(least, math.ceil(size / target))
 
 
 # -- Arrow --------------------------------------------------------------------------------------
@@ -122,13 +138,16 @@ _POW: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_POW["up"]) < n:
-        size = max(n, 1 << 20)
-        for k, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            step = np.full(size, b, U64)
-            step[0] = 1
-            _POW[k] = np.multiply.accumulate(step)
-    return _POW["up"], _POW["down"]
+    if len(_POW["up"]) >= n:
+        return _POW["up"], _POW["down"]
+    size, out = max(n, (1 << 20) + (1 << 16)), []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        step = np.full(size, b, U64)
+        step[0] = 1
+        out.append(np.multiply.accumulate(step))
+    if n <= 1 << 22:  # longer ones, of single huge words, are not kept
+        _POW["up"], _POW["down"] = out
+    return out[0], out[1]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -146,9 +165,31 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 class Words:
-    """The words of many texts: hash of each, and `at`, the index of each text's first word (and the end)."""
+    """The words of many texts: hash of each, and `at`, the index of each text's first word (and the end).
+
+    Bytes are hashed in stretches of about STRETCH that end between words, so that a very long text takes no
+    more memory a byte than its words do.
+    """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
+        made, a, n = [], 0, len(data)
+        while a < n:
+            b = a + STRETCH
+            while b < n:
+                space = np.flatnonzero(_SPACE[data[b : b + STRETCH]])
+                if len(space):
+                    b += int(space[0])
+                    break
+                b += STRETCH
+            b = min(b, n)
+            made.append(self._stretch(data[a:b], offs[np.searchsorted(offs, a) : np.searchsorted(offs, b, "right")] - a, lower, a))
+            a = b
+        none = np.zeros(0, np.int64)
+        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, U64), none, none)
+        self.at = np.searchsorted(self.start, offs)
+
+    @staticmethod
+    def _stretch(data: np.ndarray, offs: np.ndarray, lower: bool, base: int):
         if lower:
             data = _LOWER[data]
         n = len(data)
@@ -161,9 +202,7 @@ class Words:
         end[:-1] &= ~word[1:] | first[1:n]
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
         p, down = prefix_hashes(data), powers(n + 1)[1]
-        self.hash = mix((p[e] - p[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        self.at = np.searchsorted(s, offs)
-        self.start, self.end = s, e
+        return mix((p[e] - p[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)), s + base, e + base
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, text, place in the text) of each run of k words that lies in one text."""

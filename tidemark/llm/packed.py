@@ -18,7 +18,7 @@ from .common import U64, column, part_of
 def chunks(h: np.ndarray, text: np.ndarray, parts: int, per_text: list[np.ndarray], place: np.ndarray | None, width: int):
     """(part, binary) pairs. text: ascending indexes into the arrays of per_text (int64 each)."""
     part = part_of(h, parts)
-    order = np.argsort(part.astype(np.uint16), kind="stable")
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts + 1))
     squeeze = zstandard.ZstdCompressor(level=1)
     for p in range(parts):
@@ -70,7 +70,7 @@ def unpack(binaries: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, l
     return np.concatenate(hs), np.concatenate(texts), merged, np.concatenate(places) if places else None
 
 
-def _gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+def gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Indexes of runs of `count` from `first`, one run after the other."""
     ends = np.cumsum(count)
     return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
@@ -86,7 +86,7 @@ def bundles(values: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int)
     count, own = count[has], keys[has]
     dest = np.mod(own, parts)
     order = np.argsort(dest, kind="stable")
-    values = values[_gather(first[order], count[order])]
+    values = values[gather(first[order], count[order])]
     dest, own, count = dest[order], own[order], count[order]
     at, to = np.searchsorted(dest, np.arange(parts + 1)), np.r_[0, np.cumsum(count)]
     where, bodies = [], []
@@ -109,7 +109,7 @@ def unbundle(bodies: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, dtype)
     key, count, flat = np.concatenate(keys), np.concatenate(counts), np.concatenate(values)
     order = np.argsort(key, kind="stable")
-    flat = flat[_gather((np.cumsum(count) - count)[order], count[order])]
+    flat = flat[gather((np.cumsum(count) - count)[order], count[order])]
     own, at = np.unique(key[order], return_index=True)
     ends = np.r_[0, np.cumsum(count[order])]
     return own, np.r_[ends[at], ends[-1]], flat
