@@ -84,7 +84,7 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.n
         first.append(at[new] + base)
         last.append(at[np.r_[new[1:] - 1, len(at) - 1]] + base)
         anchor.append(own[at[new]] + base)
-        hashes.append(h[own[at[new]]])
+        hashes.append(mix(h[own[at[new]]] + U64(0x9E3779B97F4A7C15)))  # least hashes have few high bits; parts need even ones
     if not first:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, U64)
