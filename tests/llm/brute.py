@@ -42,6 +42,20 @@ def covered(text, least):
     return sum(len(w[i].decode()) for i in cover), best
 
 
+def maximal_repeats(text, least):
+    """Number of strings of `least` words or more that occur twice or more and less often when prolonged to either side."""
+    w = words(text)
+    count = Counter(tuple(w[i:j]) for i in range(len(w)) for j in range(i + least, len(w) + 1))
+    sides = defaultdict(lambda: (set(), set()))
+    for i in range(len(w)):
+        for j in range(i + least, len(w) + 1):
+            x = tuple(w[i:j])
+            if count[x] > 1:
+                sides[x][0].add(w[i - 1] if i else i - 1)
+                sides[x][1].add(w[j] if j < len(w) else j)
+    return sum(len(a) > 1 and len(b) > 1 for a, b in sides.values())
+
+
 def op5(docs, bench, size=13):
     split = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     tok = lambda t: split.findall((t or "").encode().translate(LOW))
@@ -62,7 +76,8 @@ def op5(docs, bench, size=13):
     return out
 
 
-def op6(docs):
+def op6_groups(docs):
+    """(sets, number of each row's group)."""
     sets = []
     for i, t in docs:
         w = (t or "").encode().translate(LOW).split()
@@ -79,11 +94,16 @@ def op6(docs):
             x, y = sets[a][1], sets[b][1]
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 up[find(a)] = find(b)
+    return sets, [find(a) for a in range(len(sets))]
+
+
+def op6(docs):
+    sets, group = op6_groups(docs)
     least = {}
     for a, (i, _) in enumerate(sets):
         if i is not None:
-            least[find(a)] = min(least.get(find(a), i), i)
-    return [(i, len(s), least.get(find(a))) for a, (i, s) in enumerate(sets)]
+            least[group[a]] = min(least.get(group[a], i), i)
+    return [(i, len(s), least.get(group[a])) for a, (i, s) in enumerate(sets)]
 
 
 def op8_kept(docs, size=13):

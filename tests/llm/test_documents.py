@@ -39,6 +39,7 @@ def test_repetition_property(texts):
     texts = [" ".join(t) for t in texts]
     out = repetition.measure(pa.array(texts), 2, 1.0, 10**6)
     assert list(zip(out[7].tolist(), out[8].tolist(), strict=True)) == [brute.covered(t, 2) for t in texts]
+    assert out[9].tolist() == [brute.maximal_repeats(t, 2) for t in texts]
 
 
 def test_winnowing(frame, docs, bench, empty, spark):
@@ -105,7 +106,18 @@ def test_bitmaps_bound_the_overlap(a, b):
 def test_relative_lz(frame, docs, empty):
     out = relative_lz.parse(frame)
     assert out.columns == [*frame.columns, "relative_lz"]
-    flat = out.select("doc_id", "relative_lz.*")
+    flat = out.select("doc_id", "text", "relative_lz.*")
+    by_id = {}
+    for i, t in docs:
+        by_id.setdefault(i, []).append(brute.words(t))
+    n = 0
+    for r in flat.collect():
+        own = brute.words(r.text)
+        for f in r.factors:  # each is, word for word, a substring of its source, a smaller document
+            n += 1
+            assert f.length >= 13 and f.source < (r.doc_id if r.doc_id is not None else 2**63)
+            assert any(w[f.position : f.position + f.length] == own[f.start : f.start + f.length] for w in by_id[f.source])
+    assert n > 10
     assert got(flat, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op8(docs), key=repr)
     assert relative_lz.parse(empty).count() == 0
 

@@ -206,21 +206,27 @@ def encode(docs: DataFrame, key: str, text: str, path: str, pattern: str) -> Dat
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def encode_digests(docs: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encode() with the two binaries digested where they are made."""
+def encode_digests(docs: DataFrame, key: str, text: str, path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256: encode() with the two binaries digested where they are made.
+
+    ids: also the column `ids`, the token ids.
+    """
     schema = T.StructType([docs.schema[key], *(T.StructField(k, t) for k, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))])
+    wanted, schema = ids, T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if ids else schema
 
     def run(batches):
         e = encoder(path, pattern)
         for batch in batches:
-            for piece in slices(batch, text, 4 << 20):
+            for piece in slices(batch, text, 1 << 20):
                 ids = e.each(column(piece, text))
+                more = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] if wanted else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         column(piece, key),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
                         pa.array([hashlib.sha256(e.decode(x)).hexdigest() for x in ids], pa.string()),
+                        *more,
                     ],
                     names=schema.names,
                 )

@@ -12,7 +12,7 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u long, v long): root is the component's least node.
 
     Each round hangs the larger neighbours of a node (then the smaller ones) on its least neighbour;
@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = scratch(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
@@ -32,6 +32,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

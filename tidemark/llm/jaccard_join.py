@@ -22,7 +22,8 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two sets lin
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`; with fewer than five words the whole sequence is the one
 shingle; a text without words, or null, is empty, linked with nothing and its own component.
-Repeated rows and equal ids are separate rows of one node. A null id is larger than any other.
+Repeated rows and equal ids are separate rows of one node. A null id is larger than any other. Texts of any length
+are hashed in stretches; an empty table gives no rows; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def _signatures(docs: DataFrame, names: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "__text", 4 << 20):
+            for piece in slices(batch, "__text", 1 << 20):
                 h, ends = shingle_sets(column(piece, "__text"))
                 n = np.diff(ends)
                 yield pa.RecordBatch.from_arrays([*(column(piece, c) for c in names), pa.array(n), pa.array(set_ids(h, ends), mask=n == 0)], names=[*names, "__n", "__set"])
@@ -122,7 +123,7 @@ def _shared(docs: DataFrame) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for piece in slices(batch, "__text", 4 << 20):
+            for piece in slices(batch, "__text", 1 << 20):
                 h, ends = shingle_sets(column(piece, "__text"))
                 names, n = set_ids(h, ends), np.diff(ends)
                 one = np.zeros(len(n), bool)
@@ -197,7 +198,7 @@ def _prefixed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     def run(batches):
         often = shared.value
         for batch in batches:
-            for piece in slices(batch, "__text", 4 << 20):
+            for piece in slices(batch, "__text", 1 << 20):
                 h, ends = shingle_sets(column(piece, "__text"))
                 ok = set_ids(h, ends) == np.asarray(column(piece, "__want"))
                 key = (part_of(h, parts).astype(np.int64) << 32) + (h & U64(0xFFFFFFFF)).astype(np.int64)
@@ -377,10 +378,12 @@ def links(sets: DataFrame) -> DataFrame:
     return state.join(roots.toDF("__leader", "__root"), "__leader", "left").select("__set", F.coalesce("__root", "__leader").alias("__root"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for every row of docs."""
-    own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
-    named = scratch(_signatures(own, ["__key", "__id"]), "op6-named")
+def _placed(own: DataFrame, names: list[str]) -> tuple[DataFrame, bool]:
+    """(names, __id, __n, __root) of every row, root null for empty sets; and whether ids are unique.
+
+    own: names, __id (long, never null) and __text.
+    """
+    named = scratch(_signatures(own, [*names, "__id"]), "op6-named")
     counts, parts = _shared(own)
     counts = scratch(counts, "op6-counts")
     wanted = counts.filter("__set is not null")
@@ -389,16 +392,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     one = named.filter("__set is not null").groupBy("__set").agg(F.min("__id").alias("__id")).join(wanted.select("__set", "__shared"), "__set")
     texts = own.select("__id", "__text").join(one.select("__id", "__shared", F.col("__set").alias("__want")), "__id").select("__want", "__shared", "__text")
     sets = _prefixed(texts, frequent, parts)
-    unique = own.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
-    if unique["n"] != unique["d"]:  # equal ids: a set may have come more than once
+    ids = named.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
+    if ids["n"] != ids["d"]:  # equal ids: a set may have come more than once
         sets = sets.dropDuplicates(["__set"])
     roots = links(sets)
-    placed = named.join(roots, "__set", "left").select("__key", "__id", "__n", F.coalesce("__root", "__set").alias("__root"))
-    placed = scratch(placed, "op6-placed")
-    least = placed.filter("__root is not null").groupBy("__root").agg(F.min("__id").alias("__least"))
+    placed = named.join(roots, "__set", "left").select(*names, "__id", "__n", F.coalesce("__root", "__set").alias("__root"))
+    return scratch(placed, "op6-placed"), ids["n"] == ids["d"]
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) for every row of docs."""
+    own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
+    placed, _ = _placed(own, ["__key"])
+    least = placed.filter("__root is not null").groupBy("__root").agg(F.min(F.col("__key").cast("long")).alias("__least"))
     out = placed.join(least, "__root", "left")
-    small = F.when(F.coalesce("__least", "__id") < LAST, F.coalesce("__least", "__id"))
-    return out.select(F.col("__key").alias(key), F.col("__n").alias("n_shingles"), small.alias("component_id"))
+    alone = F.when(F.col("__root").isNull(), F.col("__key").cast("long"))
+    return out.select(F.col("__key").alias(key), F.col("__n").alias("n_shingles"), F.coalesce("__least", alone).alias("component_id"))
+
+
+def one_a_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs of each component, with its own columns: that of the smallest id, among equal ids of the least text hash.
+
+    A row with an empty set is alone; of repeated rows one stays.
+    """
+    inside = [f"c{i}" for i in range(len(docs.columns))]
+    own_key, own_text = inside[docs.columns.index(key)], inside[docs.columns.index(text)]
+    own = docs.toDF(*inside).withColumn("__id", F.coalesce(F.col(own_key).cast("long"), F.lit(LAST))).withColumn("__hash", F.xxhash64(F.coalesce(F.col(own_text), F.lit(""))))
+    placed, unique = _placed(own.select("__id", "__hash", F.col(own_text).alias("__text")), ["__hash"])
+    first = placed.filter("__root is not null").groupBy("__root").agg(F.min(F.struct("__id", "__hash")).alias("m")).select("m.__id", "m.__hash")
+    keep = first.unionByName(placed.filter("__root is null").select("__id", "__hash").distinct())
+    out = own.join(keep, ["__id", "__hash"], "left_semi")
+    if not unique:
+        out = out.dropDuplicates(["__id", "__hash"])
+    return out.select(*inside).toDF(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -3,15 +3,18 @@
 Words are the symbols. The suffix arrays of all texts of a slice are built together by prefix
 doubling (only suffixes whose order is still open are sorted again), with the text's number inside
 the first rank so that suffixes of different texts never tie. Neighbours in the suffix array give
-the longest common prefixes. Each interval of neighbours with common prefix l is a maximal repeated
-substring of l words; the union of the spans of all intervals is the union, over each pair of
-neighbours, of l words from both starts, so it is filled in from the pairs.
+the longest common prefixes, and a stack over these the intervals of common prefix l or more, which cannot be
+prolonged to the right. An interval whose suffixes do not all follow the same word cannot be prolonged to the left
+either: it is a maximal repeated substring. The union of the spans of these is the union, over all suffixes, of the
+deepest interval of each (one that can be prolonged to the left lies inside the spans of the longer one), so it is
+filled in from each pair of neighbours.
 
 A text fails when repeats of at least `min_words` words cover more than `max_fraction` of its word
 characters, or when the longest repeat has more than `max_longest` words.
 
-Defined results: a null or empty text has no words, all counts are 0 and it fails the base rule;
-repeated rows are judged each on its own; input columns pass through unchanged, whatever their names.
+Defined results: a null or empty text has no words, all counts are 0 and it fails the base rule; a very long
+text is one suffix array of its words; repeated rows are judged each on its own; an empty table gives no rows; input
+columns pass through unchanged, whatever their names, but `into` must not be one of them.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ FIELDS = [
     ("kept", "boolean"),
     ("covered_chars", "long"),
     ("longest_repeat", "long"),
-    ("n_intervals", "long"),
+    ("n_maximal", "long"),
 ]
 
 
@@ -90,14 +93,35 @@ def common_prefix(levels: list[np.ndarray], text: np.ndarray, a: np.ndarray, b:
     return out
 
 
+def intervals(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Rows (l, first, last) of all intervals of common prefix l or more.
+
+    lcp[i]: common prefix of the suffixes at[i] and at[i] + 1 of the suffix array; at ascends, what it leaves out is no repeat.
+    """
+    out, stack, before = [], [], -2
+    for i, l in zip(at.tolist(), lcp.tolist(), strict=True):
+        if i != before + 1:
+            out += [(x, lo, before + 1) for x, lo in stack]
+            stack.clear()
+        lo = i
+        while stack and stack[-1][0] > l:
+            x, lo = stack.pop()
+            out.append((x, lo, i))
+        if not stack or stack[-1][0] < l:
+            stack.append((l, lo))
+        before = i
+    out += [(x, lo, before + 1) for x, lo in stack]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
 def repeats(w: Words, min_words: int):
-    """Per text: mask of words in repeats of min_words or more, longest repeat, number of intervals."""
+    """Per text: mask of words in repeats of min_words or more, longest repeat, number of maximal repeats."""
     count = np.diff(w.at)
     n, texts = len(w.hash), len(count)
     text = np.repeat(np.arange(texts), count)
-    longest, intervals, cover = np.zeros(texts, np.int64), np.zeros(texts, np.int64), np.zeros(n, bool)
+    longest, maximal, cover = np.zeros(texts, np.int64), np.zeros(texts, np.int64), np.zeros(n, bool)
     if not n:
-        return cover, longest, intervals
+        return cover, longest, maximal
     rank, levels = suffix_ranks(w.hash, text)
     sa = np.argsort(rank, kind="stable")
     a, b = sa[:-1], sa[1:]
@@ -115,10 +139,13 @@ def repeats(w: Words, min_words: int):
         np.add.at(edge, s + lcp, -1)
     cover = np.cumsum(edge)[:-1] > 0
     np.maximum.at(longest, text[a[at]], lcp)
-    # An interval opens where the common prefix rises above that of the pair before it.
-    before = np.where(np.r_[False, at[1:] == at[:-1] + 1], np.r_[0, lcp[:-1]], 0) if len(at) else lcp
-    np.add.at(intervals, text[a[at]], (lcp > before).astype(np.int64))
-    return cover, longest, intervals
+    found = intervals(at, lcp)
+    first = w.at[:-1][text[sa]] == sa
+    left = np.where(first, np.arange(n, dtype=np.uint64), w.hash[sa - 1])
+    change = np.cumsum(np.r_[False, (left[1:] != left[:-1]) | first[1:] | first[:-1]])
+    found = found[change[found[:, 2]] > change[found[:, 1]]]
+    np.add.at(maximal, text[sa[found[:, 1]]], 1)
+    return cover, longest, maximal
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,11 +176,11 @@ def measure(texts: pa.Array, min_words: int, max_fraction: float, max_longest: i
     for j in range(3):
         in_window[start + j] = True
     word_chars, n_repeat = _sums(length, w.at), _sums(in_window, w.at)
-    cover, longest, intervals = repeats(w, min_words)
+    cover, longest, maximal = repeats(w, min_words)
     covered = _sums(np.where(cover, length, 0), w.at)
     failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
     kept = ~failed & (covered <= max_fraction * word_chars) & (longest <= max_longest)
-    return [n_words, word_chars, symbols, dup_lines, n_repeat, failed, kept, covered, longest, intervals]
+    return [n_words, word_chars, symbols, dup_lines, n_repeat, failed, kept, covered, longest, maximal]
 
 
 def score(
@@ -165,7 +192,7 @@ def score(
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text, 4 << 20):
+            for piece in slices(batch, text, 1 << 20):
                 got = measure(column(piece, text), min_words, max_fraction, max_longest)
                 struct = pa.StructArray.from_arrays([pa.array(x) for x in got], names=[k for k, _ in FIELDS])
                 yield pa.RecordBatch.from_arrays([*piece.columns, struct], names=[*piece.schema.names, into])

@@ -141,10 +141,13 @@ def clean(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
 
     Rows are told apart by key and text, so rows of one id with different texts are judged apart.
     """
-    name = "__text_hash"
-    judged = contamination(docs, bench, key, text, row=name, **how).filter("contaminated").select(F.col(key).alias("__bad"), F.col(name).alias("__bad_text")).distinct()
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.join(judged, F.col(key).eqNullSafe(F.col("__bad")) & (own == F.col("__bad_text")), "left_anti")
+    # Inside, columns go by place, so that no name of the table clashes with those used here.
+    inside = [f"c{i}" for i in range(len(docs.columns))]
+    own_key, own_text = inside[docs.columns.index(key)], inside[docs.columns.index(text)]
+    own = docs.toDF(*inside)
+    judged = contamination(own, bench, own_key, own_text, row="__hash", **how).filter("contaminated").select(F.col(own_key).alias("__bad"), F.col("__hash").alias("__bad_text")).distinct()
+    hash_ = F.xxhash64(F.coalesce(F.col(own_text), F.lit("")))
+    return own.join(judged, F.col(own_key).eqNullSafe(F.col("__bad")) & (hash_ == F.col("__bad_text")), "left_anti").toDF(*docs.columns)
 
 
 def op5_winnowing(spark, sf_dir: str) -> DataFrame:
