@@ -2,6 +2,10 @@
 
 quality rules -> one document of each group of near duplicates -> removal of repeated passages ->
 removal of contaminated documents -> token ids.
+
+Defined results: a null or empty text fails the quality rules, so it reaches no later stage; a null id counts as
+larger than any other; of repeated rows one stays; a text of which all words are cut stays as an empty one; an
+empty table passes all stages and gives no rows; extra columns pass through, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -16,20 +20,31 @@ from tidemark.llm.bpe_files import default_path, default_pattern
 from tidemark.llm.common import shared_dir
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, with underscores as long as docs has such a column."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the repetition rule rejects go."""
-    return repetition.score(docs, into="__repetition").filter("__repetition.kept").drop("__repetition")
+    name = fresh(docs, "repetition")
+    return repetition.score(docs, into=name).filter(F.col(name)["kept"]).drop(name)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingle similarity the document with the smallest id stays; of equal ids every row does."""
-    keep = jaccard_join.jaccard_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """Of each group linked by shingle similarity one row stays: that of the smallest id, of rows with one id that of the least text.
+
+    Texts without words are alone in their group, so of these one row an id stays.
+    """
+    return jaccard_join.one_a_component(docs)
 
 
 def repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that a document with a smaller id has are cut from the text; n_chars follows."""
-    cut = relative_lz.parse(docs, cut=True).drop("relative_lz")
+    name = fresh(docs, "relative_lz")
+    cut = relative_lz.parse(docs, cut=True, into=name).drop(name)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
@@ -39,8 +54,8 @@ def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of what they decode to."""
-    return byte_bpe.encode_digests(docs, "doc_id", "text", default_path("byte_bpe_50k.tiktoken"), default_pattern())
+    """doc_id, the token ids, their number, and digests of them and of what they decode to."""
+    return byte_bpe.encode_digests(docs, "doc_id", "text", default_path("byte_bpe_50k.tiktoken"), default_pattern(), ids=True)
 
 
 STAGES = [
