@@ -49,6 +49,33 @@ def test_archives(pages, rows, spark):
     assert none.count() == 0
 
 
+def test_archive_of_another_writer(spark, tmp_path):
+    """Several data members, a compressed CDXJ index, records without the writer's own fields."""
+    import gzip
+
+    def warc(url, body, kind="response"):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    data = {"a.warc.gz": [warc("http://x/1", b"one"), warc("http://x/2", "zwei ü".encode())], "b.warc.gz": [warc("http://x/3", b"", "revisit")]}
+    lines = []
+    for name, records in data.items():
+        at = 0
+        for k, raw in enumerate(records):
+            lines.append(f'x)/{k} 20240101000000 {{"url": "u", "filename": "{name}", "offset": "{at}", "length": "{len(raw)}"}}')
+            at += len(raw)
+    path = tmp_path / "other.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for name, records in data.items():
+            z.writestr(f"archive/{name}", b"".join(records))
+        z.writestr("indexes/index.cdxj.gz", gzip.compress(("!meta {}\n" + "\n".join(lines)).encode()))
+        z.writestr("pages/pages.jsonl", b"{}")
+    out = warc_zip.read_records(warc_zip.locate_records(spark.createDataFrame([(f"file://{path}",)], "path string"))).collect()
+    got = sorted((r.url, r.page_id, r.payload_bytes, r.payload_digest, r.record_type, bytes(r.payload)) for r in out)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == [("http://x/1", None, 3, sha(b"one"), "response", b"one"), ("http://x/2", None, 7, sha("zwei ü".encode()), "response", "zwei ü".encode()), ("http://x/3", None, None, None, "revisit", b"")]
+
+
 def test_directory_of_plain_zip():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:

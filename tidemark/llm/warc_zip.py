@@ -13,7 +13,8 @@ that was lost is in no report and never read.
 A record's payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least
 `least` bytes, that with the smallest page_id is a response and the others revisit it; smaller ones are
 all responses. Rows with a null page_id never are the smallest; rows that share the smallest are all
-responses. A null or odd url is written percent-encoded; an empty table gives no archive.
+responses. A null or odd url is written percent-encoded; an html of any length is one record; an empty table gives no
+archive; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             for page_id, url, html, digest, revisits in zip(*(column(batch, c).to_pylist() for c in ("__id", "__url", "__html", "__digest", "__revisits")), strict=True):
                 open_ = open_ or start()
                 raw = record(page_id, url, (html or "").encode(), digest, revisits)
-                open_[2].append(json.dumps({"offset": open_[3], "length": len(raw), "page": page_id}) + "\n")
+                open_[2].append(json.dumps({"filename": DATA.rpartition("/")[2], "offset": open_[3], "length": len(raw), "page": page_id}) + "\n")
                 open_[0].data(raw)
                 open_[3] += len(raw)
                 if open_[3] >= ROLL_BYTES or len(open_[2]) >= ROLL_RECORDS:
@@ -202,11 +203,33 @@ def _opened(uri: str):
 
     def read(offset: int, length: int) -> bytes:
         f.seek(offset)
-        return f.read(length)
+        raw = f.read(length)
+        if len(raw) != length:
+            raise EOFError(f"{uri} ends before {offset + length}")
+        return raw
 
     return f, read
 
 
+def index_entries(name: str, raw: bytes, members: dict[str, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(offset in the file, bytes) of the records that an index member lists.
+
+    A line ends with a JSON object of filename, offset and length, after a key and a time in the CDXJ form or alone.
+    filename is a member's whole name or its last part; an archive of one data member may leave it out.
+    """
+    data = {k: v for k, v in members.items() if k.startswith("archive/")}
+    known = {k.rpartition("/")[2]: at for k, (at, _) in data.items()} | {k: at for k, (at, _) in members.items()}
+    out = []
+    for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).splitlines():
+        if line.strip() and not line.startswith(b"!"):
+            x = json.loads(line[line.index(b"{") :])
+            if x.get("filename") is None and len(data) != 1:
+                raise ValueError("an index entry names none of several archive members")
+            base = known[x["filename"]] if x.get("filename") is not None else next(iter(data.values()))[0]
+            out.append((base + int(x["offset"]), int(x["length"])))
+    return sorted(out)
+
+
 def locate_records(archives: DataFrame) -> DataFrame:
     """(path, offsets, lengths): ranges of records in each archive, RECORDS_A_READ a row."""
 
@@ -217,14 +240,13 @@ def locate_records(archives: DataFrame) -> DataFrame:
                 members = directory(read, f.size())
                 for name, (at, size) in members.items():
                     if name.startswith("indexes/"):
-                        base = members[DATA][0]
-                        entries = [json.loads(x) for x in read(at, size).splitlines() if x.strip()]
+                        entries = index_entries(name, read(at, size), members)
                         rows = [entries[i : i + RECORDS_A_READ] for i in range(0, len(entries), RECORDS_A_READ)]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([path] * len(rows), pa.string()),
-                                pa.array([[base + x["offset"] for x in r] for r in rows], pa.list_(pa.int64())),
-                                pa.array([[x["length"] for x in r] for r in rows], pa.list_(pa.int64())),
+                                pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.int64())),
+                                pa.array([[x for _, x in r] for r in rows], pa.list_(pa.int64())),
                             ],
                             names=["path", "offsets", "lengths"],
                         )
@@ -248,7 +270,10 @@ def ranges(offsets: list[int], lengths: list[int], read):
 
 
 def read_records(located: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload of each located record."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload of each located record.
+
+    A response's payload is measured and digested; of a revisit these are what its header says, null if it says nothing.
+    """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
@@ -259,11 +284,13 @@ def read_records(located: DataFrame) -> DataFrame:
                 rows = []
                 for raw in ranges(offsets, lengths, read):
                     x = parse_record(raw)
-                    digest = x["warc-payload-digest"].removeprefix("sha256:")
-                    if x["warc-type"] == "response" and hashlib.sha256(x["payload"]).hexdigest() != digest:
+                    said = x.get("warc-payload-digest", "")
+                    said, n = said.removeprefix("sha256:") if said.startswith("sha256:") else None, x.get("payload-length")
+                    digest, n = (said, n and int(n)) if x["warc-type"] == "revisit" else (hashlib.sha256(x["payload"]).hexdigest(), len(x["payload"]))
+                    if said not in (None, digest):
                         raise ValueError(f"a payload in {path} does not have its digest")
                     page, to = x.get("page-id"), x.get("refers-to-page-id")
-                    rows.append((page and int(page), int(x["payload-length"]), digest, x["warc-type"], to and int(to), x.get("warc-target-uri"), x["payload"]))
+                    rows.append((page and int(page), n, digest, x["warc-type"], to and int(to), x.get("warc-target-uri"), x["payload"]))
                 f.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

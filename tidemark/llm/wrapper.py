@@ -166,7 +166,7 @@ def blocks(nodes: list[Node], gone: set[int] = frozenset()) -> list[str]:
 
     def border() -> None:
         if now:
-            text = " ".join(entities.unescape("".join(now)).split())
+            text = " ".join("".join(now).split())
             if text:
                 out.append(text)
             now.clear()
@@ -177,7 +177,7 @@ def blocks(nodes: list[Node], gone: set[int] = frozenset()) -> list[str]:
         if x is None:
             border()
         elif isinstance(x, str):
-            now.append(x)
+            now.append(entities.unescape(x))
         elif x.never:
             continue
         elif x.tag == "br":
@@ -193,7 +193,7 @@ def blocks(nodes: list[Node], gone: set[int] = frozenset()) -> list[str]:
 
 def own_text(node: Node) -> str:
     """The text between a node's borders that no element below it holds."""
-    return " ".join(entities.unescape(" ".join(x for x in node.kids if isinstance(x, str))).split())
+    return " ".join(" ".join(entities.unescape(x) for x in node.kids if isinstance(x, str)).split())
 
 
 class Matcher:
@@ -213,7 +213,7 @@ class Matcher:
             todo += x.boughs
         for x in reversed(order):
             text = own_text(x)
-            x.mark = zlib.crc32(text.encode()) if text else -1
+            x.mark = _hash(text) & (1 << 63) - 1 if text else -1
             x.size = 1 + (x.mark >= 0) + sum(y.size for y in x.boughs)
             x.shape = self.shapes.setdefault((x.label, x.mark, tuple(y.shape for y in x.boughs)), len(self.shapes))
         return node.shape
