@@ -40,7 +40,63 @@ def test_stale(spark):
     rows = [("LAPTOP", 0), ("KEYBOARD", 0), ("MOUSE", 0), ("LAPTOP", 30), ("KEYBOARD", 30), ("LAPTOP", 60)]
     df = spark.createDataFrame([(p, m * MIN, i) for i, (p, m) in enumerate(rows)], "product_id string, us bigint, seq int")
     got = sorted((r.product_id, r.fires_us // MIN, r.severity) for r in inventory.stale(df, ["us", "seq"], 60 * MIN, 150 * MIN).collect())
-    assert got == [("KEYBOARD", 90, "MEDIUM"), ("LAPTOP", 120, "MEDIUM"), ("MOUSE", 60, "HIGH")]
+    # FIXTURES F2: each timer fires after exactly one hour, so all three are MEDIUM.
+    assert got == [("KEYBOARD", 90, "MEDIUM"), ("LAPTOP", 120, "MEDIUM"), ("MOUSE", 60, "MEDIUM")]
+    seen = {r.product_id: r.severity for r in inventory.stale_at_horizon(df, ["us", "seq"], 60 * MIN, 150 * MIN).collect()}
+    assert seen == {"KEYBOARD": "MEDIUM", "LAPTOP": "MEDIUM", "MOUSE": "HIGH"}
+
+
+def test_reasons(spark):
+    ev = inventory.classify(updates(spark), ["us", "seq"]).withColumn("reason", inventory.reason())
+    got = {(r.seq, r.event_type): r.reason for r in ev.collect()}
+    assert got[2, "INVENTORY_DECREASED"] == "2 units sold/removed" and got[3, "INVENTORY_INCREASED"] == "7 units added to inventory"
+    assert got[4, "PRICE_CHANGED"] == "Price decreased by $100.00 (10.0%)" and got[0, "PRODUCT_ADDED"] is None
+    assert spark.range(1).select(inventory.stale_reason(F.lit(90 * MIN))).first()[0] == "No updates for 1.5 hours"
+
+
+def test_measures_are_not_rounded(spark):
+    df = spark.createDataFrame([(1.0, 1.1), (2.0, 1.9), (4.0, 4.3)], "y double, f double")
+    r = scoring.regression_metrics(df, "y", "f").first()
+    assert abs(r.mse - 0.11 / 3) < 1e-12 and abs(r.r2 - (1 - 0.11 / (14 / 3))) < 1e-12
+    m = scoring.binary_metrics(spark.createDataFrame([(1, 1), (1, 0), (0, 0), (1, 1)], "y int, p int"), "y", "p").first()
+    assert abs(m.recall - 2 / 3) < 1e-15
+
+
+def test_purchase_lines(spark):
+    good = '{"userId":"u","totalValue":250.0,"basketSize":8,"userPurchaseHistory":5}'
+    rows = [(good,), (good[:-1],), ("[]",), ('{"userId":null,"totalValue":9,"basketSize":1}',), (None,)]
+    got = [(r.channel, r.p and round(r.p, 4)) for r in scoring.classify_lines(spark.createDataFrame(rows, "value string")).collect()]
+    assert got == [("HIGH_VALUE", 0.9677), ("PARSE_ERROR", None), ("PARSE_ERROR", None), ("INVALID_DATA", None), ("PARSE_ERROR", None)]
+
+
+def test_records_and_current_products(spark):
+    from tidemark.schemas import ASSISTANT_CHAT
+
+    lines = spark.createDataFrame([('{"messageId":"m","text":"hi"}',), ("nope",), ('{"currentProduct":{"productId":"a","inventory":3}}',), ('{"currentProduct":null}',)], "value string")
+    assert [r.text for r in parsing.records(lines, ASSISTANT_CHAT).collect()] == ["hi", None, None]
+    assert [(r.productId, r.inventory) for r in parsing.current_products(lines).collect()] == [("a", 3)]
+
+
+def test_translation_and_time_limit(spark):
+    raw = spark.createDataFrame([("u", None, "CHAT_MESSAGE", "hi", 1, ["DE", "FR"]), ("u", None, "SYSTEM", "up", 2, ["DE"])], "userId string, toUserId string, type string, message string, timestamp bigint, languages array<string>")
+    out = chat.translated(chat.enrich(raw), lambda text, langs: {x: f"{text}-{x}" for x in langs if x != "FR"} | {"IT": "ciao"})
+    got = {r.type: (r.text, r.translated, r.translations) for r in chat.localised(out, "DE").collect()}
+    assert got == {"CHAT_MESSAGE": ("hi-DE", True, {"DE": "hi-DE", "FR": None}), "SYSTEM": ("up", False, {"DE": None})}
+
+    def slow(text):
+        import time
+
+        time.sleep(20 if text == "hang" else 0)
+        return text.upper()
+
+    asked = spark.createDataFrame([("a",), ("hang",), ("b",)], "prompt string").coalesce(1)
+    assert [r.answer for r in chat.answered(asked, slow, timeout=2.0, fallback="later").collect()] == ["A", "later", "B"]
+
+
+def test_not_followed(spark):
+    df = events(spark, [("s", "USER_LOGIN", 0), ("s", "PRODUCT_VIEW", 5), ("s", "ORDER_PLACED", 9), ("s", "USER_LOGIN", 10), ("t", "USER_LOGIN", 0), ("t", "ORDER_PLACED", 100)])
+    got = sorted((r.session_id, r.event_id) for r in cep.not_followed(df, "USER_LOGIN", "ORDER_PLACED", 50_000_000).collect())
+    assert got == [("s", 3), ("t", 4)]
 
 
 def test_router(spark):

@@ -49,6 +49,60 @@ def test_stale_stream(spark, tmp_path):
     assert got == {("a", (T0 + 1800) * 1000), ("b", T0 * 1000)}
 
 
+def test_sequences_stream(spark, tmp_path):
+    rows = [("s", i, k, i * 1000) for i, k in enumerate("VAOVVAO")] + [("t", 0, "V", 0)]
+    df = spark.createDataFrame(rows, "session_id string, event_id bigint, event_type string, us bigint")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    steps = [("a", "V", "next"), ("b", "A", "next"), ("c", "O", "next")]
+    got = sorted(r.ids for r in run(processors.sequences(stream, steps, 10_000, ttl_ms=3_600_000), "append", tmp_path, "seqs").collect())
+    assert got == ["0,1,2", "4,5,6"]
+
+
+def test_deductions_stream(spark, tmp_path):
+    rows = [("p", 0, 1, 5, None), ("p", 1, 2, None, 3), ("p", 2, 3, None, 2), ("p", 3, 4, None, 1), ("x", 0, 5, None, 4), ("p", 4, 6, None, 0), ("p", 5, 7, 9, None), ("p", 6, 8, None, 4)]
+    df = spark.createDataFrame(rows, "product_id string, us bigint, seq bigint, inventory int, quantity int")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    columns = ["product_id", "us", "previous", "current", "event_type", "sufficient"]
+    got = sorted(tuple(r) for r in run(processors.deductions(stream).select(*columns), "append", tmp_path, "deds").collect())
+    assert got == sorted(tuple(r) for r in inventory.deduct(df, ["us", "seq"]).select(*columns).collect()) and len(got) == 5
+
+
+def test_cart_context_stream(spark, tmp_path):
+    from tidemark.operators import chat
+
+    events = spark.createDataFrame([("k", 1, 1, "ADD_TO_CART", "a", 2.0), ("k", 2, 2, "ADD_TO_CART", "a", 3.0), ("k", 3, 3, "ADD_TO_CART", "b", 1.5), ("k", 9, 4, "ORDER_PLACED", None, None), ("j", 1, 5, "PRODUCT_VIEW", "a", 1.0)], "key string, us bigint, event_id bigint, event_type string, product_id string, value double")
+    messages = spark.createDataFrame([("k", 0, 10), ("k", 3, 11), ("k", 10, 12), ("j", 5, 13)], "key string, us bigint, msg_id bigint")
+    events.write.parquet(str(tmp_path / "events"))
+    messages.write.parquet(str(tmp_path / "messages"))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    columns = ["key", "msg_id", "item_count", "total_value", "products"]
+    out = run(processors.cart_context(read("messages", messages), read("events", events), ttl_ms=3_600_000).select(*columns), "append", tmp_path, "carts")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in chat.basket_context(messages, events).select(*columns).collect())
+
+
+def test_append_sink(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "a int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("a int").parquet(str(tmp_path / "in"))
+    sinks.append(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_stored_patterns(spark):
+    rows = readers.stored_patterns(spark, "no_such_table", 5).collect()
+    assert len(rows) == 9 and {r.timestamp for r in rows} == {5} and {r.category for r in rows} == {"electronics", "fashion", "home_kitchen", "sports"}
+
+
+def test_variants_by_price_band(spark):
+    df = spark.createDataFrame([(f"p{i}", "n", p) for i, p in enumerate([20.0, 60.0, 300.0, 700.0] * 5)], "product_id string, name string, price double")
+    rows = readers.variants(df).collect()
+    for r in rows:
+        lo, hi = next((lo, hi) for below, lo, hi in [(50, 50, 200), (200, 20, 100), (500, 10, 50), (1e9, 5, 25)] if r.price < below)
+        assert lo <= r.inventory <= hi
+    assert 40 <= len(rows) <= 60 and len({r.inventory for r in rows}) > 5
+
+
 @pytest.mark.parametrize(
     "steps,kinds,want",
     [
@@ -77,6 +131,11 @@ def test_versioned_table(spark, tmp_path):
     t.upsert(spark.createDataFrame([("a", 2.0)], "id string, c double"), [F.desc("c")])
     assert now()["a"] == 2.0
     assert len(t.expire(1)) == 1 and now() == {"a": 2.0, "b": 1.0, "c": 9.0}
+    for c in (4.0, 5.0):  # a null key is a key like others
+        t.upsert(spark.createDataFrame([(None, c)], "id string, c double"), [F.desc("c")])
+    assert now()[None] == 5.0 and t.read().count() == 4
+    t.upsert(spark.createDataFrame([(None, 1.0)], "id string, c double"), [F.desc("c")], lambda: F.col("n_c") > F.col("o_c"))
+    assert now()[None] == 5.0
 
 
 def test_fan_out_and_sinks(spark):

@@ -62,7 +62,18 @@ def patterns(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def cdc(lines: DataFrame, value: str = "value") -> DataFrame:
     """Change rows: op, table, before, after (JSON texts)."""
-    return lines.select(F.from_json(value, CDC).alias("c"), F.get_json_object(value, "$.before").alias("before"), F.get_json_object(value, "$.after").alias("after")).select("c.op", F.col("c.source.table").alias("table"), "before", "after").filter("op is not null")
+    return lines.select(F.from_json(value, CDC).alias("c")).select("c.op", F.col("c.source.table").alias("table"), "c.before", "c.after").filter("op is not null")
+
+
+def records(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """Rows of a schema from JSON objects (chat messages, basket updates, recommendations); what is none drops."""
+    text = F.trim(F.col(value))
+    return lines.filter(F.try_parse_json(text).isNotNull() & text.startswith("{")).select(F.from_json(text, schema).alias("r")).select("r.*")
+
+
+def current_products(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The product inside each inventory event's currentProduct; events without one, and broken texts, drop."""
+    return records(lines, f"currentProduct struct<{PRODUCT}>", value).filter("currentProduct is not null").select("currentProduct.*")
 
 
 def vehicles(lines: DataFrame, value: str = "value") -> DataFrame:

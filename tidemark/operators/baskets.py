@@ -41,12 +41,14 @@ def completed(events: DataFrame, mode: str = "refactored", timeout_us: int | Non
 def pair_rules(items: DataFrame, basket: str = "basket_id", item: str = "item", min_support: float = 0.01, min_confidence: float = 0.3) -> DataFrame:
     """Rules a -> c between single items over all baskets, with support, confidence and lift.
 
-    One shuffle by basket makes the pairs; counts are combined before they move.
+    One shuffle by basket serves all counts. A rule's support is no more than that of its items, so items at or
+    under min_support leave before pairs are made.
     """
-    rows = items.select(F.col(basket).alias("b"), F.col(item).alias("i"))
-    total = rows.agg(F.count_distinct("b").alias("total"))
-    sets = rows.groupBy("b").agg(F.collect_set("i").alias("s"), F.count("*").alias("n"))
-    freq = rows.groupBy("i").agg(F.count("*").alias("entries"), F.count_distinct("b").alias("baskets"))
+    each = items.select(F.col(basket).alias("b"), F.col(item).alias("i")).repartition("b").groupBy("b", "i").agg(F.count("*").alias("n"))
+    total = each.agg(F.count_distinct("b").alias("total"))
+    freq = each.groupBy("i").agg(F.sum("n").alias("entries"), F.count("*").alias("baskets"))
+    often = freq.join(F.broadcast(total)).filter(F.col("baskets") / F.col("total") > min_support).select("i")  # one row beside the counts
+    sets = each.join(often, "i", "left_semi").groupBy("b").agg(F.collect_list("i").alias("s"))
     pairs = sets.select(F.col("s").alias("s"), F.explode("s").alias("a")).select("a", F.explode("s").alias("c")).filter("a <> c").groupBy("a", "c").agg(F.count("*").alias("together"))
     a = freq.select(F.col("i").alias("a"), F.col("baskets").alias("of_a"))
     c = freq.select(F.col("i").alias("c"), F.col("entries").alias("entries_c"))

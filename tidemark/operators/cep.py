@@ -64,7 +64,8 @@ def burst(events: DataFrame, least: int, within_us: int, key: str = "session_id"
 
 def not_followed(events: DataFrame, first: str, then: str, within_us: int, key: str = "session_id") -> DataFrame:
     """Events of kind first with none of kind then after them within the limit."""
-    w = _by(key, ["us", "event_id"]).rowsBetween(1, W.unboundedFollowing)
+    # Seen from the end, what follows is a running minimum, one step a row.
+    w = W.partitionBy(key).orderBy(F.desc("us"), F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
     nxt = F.min(F.when(F.col("event_type") == then, F.col("us"))).over(w)
     return events.withColumn("__n", nxt).filter((F.col("event_type") == first) & (F.col("__n").isNull() | (F.col("__n") - F.col("us") > within_us))).select(key, "event_id", "us")
 

@@ -39,6 +39,30 @@ def localised(rows: DataFrame, language: str) -> DataFrame:
     return rows.withColumn("text", F.coalesce(got, "message")).withColumn("translated", got.isNotNull())
 
 
+def languages(rows: DataFrame, user: str = "user_id", language: str = "language", order: tuple = ("us",)) -> DataFrame:
+    """Each user's language, the last one told."""
+    return rows.filter(F.col(language).isNotNull()).groupBy(user).agg(F.max_by(language, F.struct(*order)).alias(language))
+
+
+def translated(rows: DataFrame, client, kind: str = "CHAT_MESSAGE") -> DataFrame:
+    """rows with translations filled by client(text, languages) -> {language: text}; other kinds, and failed calls, keep theirs."""
+
+    def run(parts):
+        for pdf in parts:
+            made = []
+            for what, text, old in zip(pdf["type"], pdf["message"], pdf["translations"], strict=True):
+                old = dict(old) if old is not None else {}
+                if what == kind and old and text is not None:
+                    try:
+                        old |= {k: v for k, v in client(text, list(old)).items() if k in old}
+                    except Exception:  # the original text stands in
+                        pass
+                made.append(old)
+            yield pdf.assign(translations=made)
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def visible_to(user: Column, kind: Column, sender: Column, receiver: Column) -> Column:
     """Anyone sees what is no chat message or has no receiver; else sender and receiver do."""
     return receiver.isNull() | (kind != "CHAT_MESSAGE") | (user == sender) | (user == receiver)
@@ -82,8 +106,8 @@ def prompt(role: str, cart: Column, past: Column, recs: Column, query: Column) -
     return F.concat_ws("\n", F.lit(role), part("Cart", cart), part("History", past), part("Recommendations", recs), part("Customer", query))
 
 
-def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100, retries: int = 3, pause: float = 1.0, fallback: str = "Sorry, I cannot answer right now.") -> DataFrame:
-    """rows with `answer` by client(text), in order, many in flight; after the retries the fallback.
+def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100, retries: int = 3, pause: float = 1.0, fallback: str = "Sorry, I cannot answer right now.", timeout: float = 60.0) -> DataFrame:
+    """rows with `answer` by client(text), in order, many in flight; after the retries, or timeout seconds, the fallback.
 
     client is called on the executors and must be serialisable; tests pass a function without network.
     """
@@ -101,10 +125,21 @@ def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100
         return fallback
 
     def run(parts):
-        from concurrent.futures import ThreadPoolExecutor
-
-        with ThreadPoolExecutor(workers) as pool:
-            for pdf in parts:
-                yield pdf.assign(answer=list(pool.map(ask, pdf[column])))
+        import time
+        from concurrent.futures import ThreadPoolExecutor, TimeoutError
+
+        for pdf in parts:
+            texts, answers = pdf[column].tolist(), []
+            for i in range(0, len(texts), workers):
+                pool = ThreadPoolExecutor(workers)  # its own, so that hung calls hold up no later ones
+                calls, until, hung = [pool.submit(ask, x) for x in texts[i : i + workers]], time.monotonic() + timeout, False
+                for call in calls:
+                    try:
+                        answers.append(call.result(max(0.0, until - time.monotonic())))
+                    except TimeoutError:
+                        hung = True
+                        answers.append(fallback)
+                pool.shutdown(wait=not hung, cancel_futures=True)
+            yield pdf.assign(answer=answers)
 
     return rows.mapInPandas(run, schema)

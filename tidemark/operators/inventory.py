@@ -106,10 +106,36 @@ def deduct(log: DataFrame, order: list[str], key: str = "product_id") -> DataFra
 
 
 def stale(updates: DataFrame, order: list[str], threshold_us: int, horizon_us: int, key: str = "product_id") -> DataFrame:
-    """Updates after which nothing came for threshold_us, up to the horizon; severity by the idle time."""
+    """Updates after which nothing came for threshold_us, up to the horizon; severity by the time idle when the timer fires.
+
+    A timer fires the moment the threshold is reached, so that time is the threshold: HIGH needs one of over two hours.
+    """
     w = W.partitionBy(key).orderBy(*order)
     idle = F.coalesce(F.lead("us").over(w), F.lit(horizon_us)) - F.col("us")
-    return updates.withColumn("idle_us", idle).filter(F.col("idle_us") >= threshold_us).withColumn("fires_us", F.col("us") + threshold_us).withColumn("severity", F.when(F.col("idle_us") > 2 * threshold_us, "HIGH").otherwise("MEDIUM"))
+    return updates.withColumn("idle_us", idle).filter(F.col("idle_us") >= threshold_us).withColumn("fires_us", F.col("us") + threshold_us).withColumn("severity", F.lit("HIGH" if threshold_us > 2 * HOUR else "MEDIUM"))
+
+
+def stale_at_horizon(updates: DataFrame, order: list[str], threshold_us: int, horizon_us: int, key: str = "product_id") -> DataFrame:
+    """stale() as seen from the horizon: severity by the whole idle time, HIGH beyond twice the threshold."""
+    rows = stale(updates, order, threshold_us, horizon_us, key)
+    return rows.withColumn("severity", F.when(F.col("idle_us") > 2 * threshold_us, "HIGH").otherwise("MEDIUM"))
+
+
+def reason(kind: str = "event_type") -> Column:
+    """The text of a change event of classify()."""
+    old, new, p, q = F.col("prev_inventory"), F.col("inventory"), F.col("prev_price"), F.col("price")
+    moved = F.format_string("Price %s by $%.2f (%.1f%%)", F.when(q > p, "increased").otherwise("decreased"), F.abs(q - p).cast("double"), F.abs(percent(p, q)).cast("double"))
+    return (
+        F.when(F.col(kind) == "OUT_OF_STOCK", F.lit("Product is now out of stock"))
+        .when(F.col(kind) == "BACK_IN_STOCK", F.format_string("Product restocked with %d units", new))
+        .when(F.col(kind) == "INVENTORY_DECREASED", F.format_string("%d units sold/removed", old - new))
+        .when(F.col(kind) == "INVENTORY_INCREASED", F.format_string("%d units added to inventory", new - old))
+        .when(F.col(kind) == "PRICE_CHANGED", moved)
+    )
+
+
+def stale_reason(idle_us: Column) -> Column:
+    return F.format_string("No updates for %.1f hours", idle_us / float(HOUR))
 
 
 def running(updates: DataFrame, order: list[str], key: str = "product_id", last: int = 10) -> DataFrame:

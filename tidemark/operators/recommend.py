@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 from .baskets import segmented
 from .sessions import ADD, VIEW
 
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, which is counted; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def top(df: DataFrame, k: int, per: list[str], order: list) -> DataFrame:
     """The first k rows of each group; `place` from 1."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(*per).orderBy(*order))).filter(F.col("place") <= k)
@@ -32,8 +24,9 @@ def for_baskets(events: DataFrame, patterns: DataFrame, k: int = 5, least: float
     adds = segmented(events, "refactored", None, key).filter(F.col("event_type") == ADD).withColumn("basket", F.collect_set("product_id").over(w)).select(key, "event_id", "basket")
     good = patterns.filter(F.col("confidence") > least).select("pattern_id", F.array_distinct("antecedents").alias("ants"), "consequent", "confidence")
     parts = good.select("pattern_id", F.size("ants").alias("need"), "consequent", "confidence", F.explode("ants").alias("item"))
-    held = adds.select(key, "event_id", "basket", F.explode("basket").alias("item")).join(small(parts), "item")
-    met = held.groupBy(key, "event_id", "pattern_id", "need", "consequent", "confidence").agg(F.count("*").alias("have"), F.first("basket").alias("basket")).filter("have = need AND NOT array_contains(basket, consequent)")
+    held = adds.select(key, "event_id", F.explode("basket").alias("item"))
+    met = held.join(parts, "item").groupBy(key, "event_id", "pattern_id", "need", "consequent", "confidence").agg(F.count("*").alias("have")).filter("have = need")
+    met = met.join(held.withColumnRenamed("item", "consequent"), [key, "event_id", "consequent"], "left_anti")
     each = met.groupBy(key, "event_id", "consequent").agg(F.max("confidence").alias("confidence"))
     ranked = top(each, k, [key, "event_id"], [F.desc("confidence"), "consequent"])
     out = ranked.groupBy(key, "event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "consequent"))), lambda x: x["consequent"]), ",").alias("products"))
@@ -47,7 +40,7 @@ def for_views(events: DataFrame, patterns: DataFrame, k: int = 3, key: str = "se
     parts = top(parts, k, ["product_id"], [F.desc("confidence"), "consequent"])
     lists = parts.groupBy("product_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "consequent"))), lambda x: x["consequent"]), ",").alias("products"))
     views = events.filter(F.col("event_type") == VIEW).select(key, "event_id", "product_id")
-    return views.join(small(lists), "product_id").select(key, "event_id", "products", F.lit("VIEW_BASED").alias("kind"), F.lit(0.65).alias("confidence"))
+    return views.join(lists, "product_id").select(key, "event_id", "products", F.lit("VIEW_BASED").alias("kind"), F.lit(0.65).alias("confidence"))
 
 
 def popular(events: DataFrame, k: int, item: str = "product_id") -> DataFrame:
@@ -56,16 +49,16 @@ def popular(events: DataFrame, k: int, item: str = "product_id") -> DataFrame:
 
 def by_rules(owned: DataFrame, rules: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     """Top consequents by summed confidence of the rules that a key's items meet, plus a hundredth of their rule count."""
-    met = owned.join(small(rules), owned["item"] == rules["a"]).select(key, "c", "confidence")
+    met = owned.join(rules, owned["item"] == rules["a"]).select(key, "c", "confidence")
     freq = rules.groupBy("c").agg(F.count("*").alias("freq"))
     have = owned.select(F.col(key), F.col("item").alias("c")).distinct()
-    scored = met.groupBy(key, "c").agg(F.sum("confidence").alias("s")).join(small(freq), "c").join(have, [key, "c"], "left_anti").select(key, "c", F.round(F.col("s") + F.col("freq") / 100, 6).alias("score"))
+    scored = met.groupBy(key, "c").agg(F.sum("confidence").alias("s")).join(freq, "c").join(have, [key, "c"], "left_anti").select(key, "c", F.round(F.col("s") + F.col("freq") / 100, 6).alias("score"))
     return top(scored, k, [key], [F.desc("score"), "c"])
 
 
 def cross_sell(owned: DataFrame, rules: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     """Top partners: one point for each association and confidence times support for each rule met."""
-    met = owned.join(small(rules), owned["item"] == rules["a"]).select(key, "c", (F.lit(1.0) + F.col("confidence") * F.col("support")).alias("p"))
+    met = owned.join(rules, owned["item"] == rules["a"]).select(key, "c", (F.lit(1.0) + F.col("confidence") * F.col("support")).alias("p"))
     have = owned.select(F.col(key), F.col("item").alias("c")).distinct()
     scored = met.groupBy(key, "c").agg(F.round(F.sum("p"), 6).alias("score")).join(have, [key, "c"], "left_anti")
     return top(scored, k, [key], [F.desc("score"), "c"])
@@ -74,7 +67,7 @@ def cross_sell(owned: DataFrame, rules: DataFrame, k: int = 5, key: str = "sessi
 def contextual(similar: DataFrame, current: DataFrame, viewed: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     """Top items by similarity to the current one plus half of that to viewed ones; viewed and current ones left out."""
     w = current.select(key, "item", F.lit(1.0).alias("w")).unionByName(viewed.select(key, "item", F.lit(0.5).alias("w")))
-    got = w.join(small(similar), "item").groupBy(key, "other").agg(F.round(F.sum(F.col("w") * F.col("similarity")), 6).alias("score"))
+    got = w.join(similar, "item").groupBy(key, "other").agg(F.round(F.sum(F.col("w") * F.col("similarity")), 6).alias("score"))
     have = w.select(key, F.col("item").alias("other")).distinct()
     return top(got.join(have, [key, "other"], "left_anti"), k, [key], [F.desc("score"), "other"])
 
@@ -82,13 +75,13 @@ def contextual(similar: DataFrame, current: DataFrame, viewed: DataFrame, k: int
 def model_lookup(events: DataFrame, models: DataFrame, defaults: list[str]) -> DataFrame:
     """Each event with the recommendations of the model valid at its time: none yet, no row; product unknown, the defaults.
 
-    models: version, accuracy, valid_from, product_id, recs (array). Versions become intervals.
+    models: version, accuracy, valid_from, product_id, recs (array). The versions travel as one row, a sorted array.
     """
-    versions = models.select("version", "accuracy", "valid_from").distinct()
-    spans = small(versions.withColumn("valid_to", F.lead("valid_from").over(W.orderBy("valid_from", "version"))))
-    at = events.join(spans, (F.col("us") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("us") < F.col("valid_to"))))
+    versions = models.select("version", "accuracy", "valid_from").distinct().agg(F.array_sort(F.collect_list(F.struct("valid_from", "version", "accuracy"))).alias("__all"))
+    at = events.join(F.broadcast(versions)).withColumn("__v", F.expr("try_element_at(filter(__all, v -> v.valid_from <= us), -1)")).filter("__v is not null")
+    at = at.select(*events.columns, "__v.version", "__v.accuracy", "__v.valid_from")
     recs = models.select("version", "product_id", "recs")
-    return at.join(small(recs), ["version", "product_id"], "left").withColumn("recs", F.coalesce("recs", F.array(*map(F.lit, defaults))))
+    return at.join(recs, ["version", "product_id"], "left").withColumn("recs", F.coalesce("recs", F.array(*map(F.lit, defaults))))
 
 
 def as_of(rows: DataFrame, versions: DataFrame, key: str, at: str, valid_from: str, values: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import PURCHASE
+
 #: Fixed values of the logistic model: weights, bias, means and deviations of history, value and size.
 WEIGHTS, BIAS = [1.8, 3.2, 0.9], -2.5
 MEANS, DEVIATIONS = [3.0, 150.0, 5.0], [2.0, 100.0, 3.0]
@@ -31,6 +33,16 @@ def classify(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("channel", F.when(~F.coalesce(valid, F.lit(False)), "INVALID_DATA").when(F.col("p") >= threshold, "HIGH_VALUE").otherwise("STANDARD"))
 
 
+def classify_lines(lines: DataFrame, value: str = "value", threshold: float = 0.5) -> DataFrame:
+    """classify() of purchases as JSON texts; what is no JSON object keeps its text and goes to PARSE_ERROR."""
+    text = F.col(value)
+    sound = F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{")
+    p = F.when(sound, F.from_json(text, PURCHASE))
+    rows = lines.select(text.alias("value"), p["userId"].alias("user_id"), p["totalValue"].alias("total_value"), F.coalesce(p["basketSize"], F.lit(0)).alias("basket_size"), F.coalesce(p["userPurchaseHistory"], F.lit(0)).alias("history"))
+    out = classify(rows, threshold)
+    return out.withColumn("channel", F.when(F.coalesce(sound, F.lit(False)), F.col("channel")).otherwise("PARSE_ERROR"))
+
+
 def three_classes(p: Column, high: float = 0.7, medium: float = 0.4) -> Column:
     return F.when(p >= high, "HIGH").when(p >= medium, "MEDIUM").otherwise("LOW")
 
@@ -70,8 +82,8 @@ def one_hot(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def folds(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """A fold in 0..k-1 by the key's hash, the same in every run and on every cluster."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(k)))
+    """A fold in 0..k-1 by the key's MD5, the same in every run, on every cluster and in other engines."""
+    return rows.withColumn("fold", F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % k)
 
 
 def split(rows: DataFrame, fractions: list[float], seed: int) -> list[DataFrame]:
@@ -102,7 +114,7 @@ def binary_metrics(rows: DataFrame, actual: str, predicted: str, beta: float = 1
         "fnr": per(fn, fn + tp),
         "fdr": per(fp, fp + tp),
     }
-    return c.select(*(F.col(n).cast("long").alias(n) for n in ("tp", "tn", "fp", "fn")), *(F.round(v, 6).alias(k) for k, v in out.items()))
+    return c.select(*(F.col(n).cast("long").alias(n) for n in ("tp", "tn", "fp", "fn")), *(v.alias(k) for k, v in out.items()))
 
 
 def regression_metrics(rows: DataFrame, actual: str, predicted: str, parameters: int = 1) -> DataFrame:
@@ -111,4 +123,4 @@ def regression_metrics(rows: DataFrame, actual: str, predicted: str, parameters:
     s = rows.agg(F.count("*").alias("n"), F.sum((y - f) ** 2).alias("rss"), (F.var_samp(y) * (F.count("*") - 1)).alias("tss"))
     n, rss, tss = F.col("n"), F.col("rss"), F.col("tss")
     free = n - parameters - 1
-    return s.select("n", F.round(rss / n, 4).alias("mse"), F.round(F.sqrt(rss / n), 4).alias("rmse"), F.round(F.sqrt(rss / free), 4).alias("rse"), F.round(1 - rss / tss, 6).alias("r2"), F.round(((tss - rss) / parameters) / (rss / free), 4).alias("f"))
+    return s.select("n", (rss / n).alias("mse"), F.sqrt(rss / n).alias("rmse"), F.sqrt(rss / free).alias("rse"), (1 - rss / tss).alias("r2"), (((tss - rss) / parameters) / (rss / free)).alias("f"))

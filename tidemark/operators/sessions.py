@@ -51,11 +51,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "session_id"
 
 
 def type_counts(sess: DataFrame) -> DataFrame:
-    return sess.groupBy("session_type").agg(F.count("*").alias("n"), F.sum("total_events").alias("events"), F.round(F.avg("unique_products"), 6).alias("avg_products"), F.round(F.avg("add_count"), 6).alias("avg_adds"))
+    return sess.groupBy("session_type").agg(F.count("*").alias("n"), F.sum("total_events").alias("events"), F.avg("unique_products").alias("avg_products"), F.avg("add_count").alias("avg_adds"))
 
 
 def conversion(sess: DataFrame) -> DataFrame:
-    return sess.agg(F.count("*").alias("n"), F.count_if("completed_purchase").alias("converted"), F.round(F.count_if("completed_purchase") / F.count("*"), 6).alias("rate"))
+    return sess.agg(F.count("*").alias("n"), F.count_if("completed_purchase").alias("converted"), (F.count_if("completed_purchase") / F.count("*")).alias("rate"))
 
 
 def abandoned_of_value(sess: DataFrame, least: float = 100.0) -> DataFrame:

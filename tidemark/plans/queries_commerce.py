@@ -72,7 +72,8 @@ _OWN = "own AS (SELECT DISTINCT session_id, product_id AS item FROM shop WHERE e
 def _models(s, d):
     """Two versions of product recommendations, three brand mates each, valid from two times."""
     p = products(s, d).select("product_id", "brand")
-    near = p.alias("a").join(p.alias("b"), (F.col("a.brand") == F.col("b.brand")) & (F.col("a.product_id") < F.col("b.product_id"))).groupBy(F.col("a.product_id").alias("product_id")).agg(F.slice(F.array_sort(F.collect_list("b.product_id")), 1, 3).alias("recs"))
+    w = W.partitionBy("brand").orderBy("product_id")
+    near = p.select("product_id", F.array_compact(F.array(*(F.lead("product_id", i).over(w) for i in (1, 2, 3)))).alias("recs")).filter("size(recs) > 0")
     v = s.createDataFrame([(1, 0.85, 1704300000000000), (2, 0.92, 1705500000000000)], "version int, accuracy double, valid_from bigint")
     return near.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).join(F.broadcast(v), "version").filter("version = 2 OR CAST(product_id AS BIGINT) % 2 = 0")
 
@@ -101,7 +102,7 @@ QUERIES = {
     ),
     "pattern_store_newest": (
         lambda s, d: baskets.newest(_rules(s, d).select(F.concat_ws("_", "a", "c").alias("pattern_id"), F.col("together").alias("us"))),
-        f"WITH {_RULES_F} SELECT a || '_' || c AS pattern_id, together AS us FROM r ORDER BY us DESC, pattern_id LIMIT 100",
+        f"WITH {_RULES_F} SELECT a || '_' || c AS pattern_id, together AS us FROM r ORDER BY us DESC, pattern_id LIMIT 5000",
     ),
     "pattern_interestingness": (
         lambda s, d: _rules(s, d).filter(baskets.significant(0.002, 0.12, 0.5)).select("a", "c", F.round(baskets.interestingness(F.col("confidence"), F.col("support"), F.col("lift")), 6).alias("interestingness")),
@@ -173,8 +174,8 @@ QUERIES = {
         f"WITH {PRODUCTS} SELECT product_id, name, count(*) AS low_lines FROM lineitem JOIN prod ON CAST(l_partkey AS VARCHAR) = product_id WHERE l_quantity < 10 GROUP BY 1, 2",
     ),
     "merged_models": (
-        lambda s, d: products(s, d).filter("inventory > 25").select("product_id", F.array_join(recommend.merge_models(F.array("brand", "category", "name", "product_id"), F.when(F.col("rating") > 3.5, F.array("category", "product_id", "brand"))), "|").alias("merged")).filter("merged is not null"),
-        f"WITH {PRODUCTS} SELECT product_id, CASE WHEN category IN (brand, name) OR product_id IN (brand, category, name) THEN NULL ELSE brand || '|' || category || '|' || name || '|' || product_id END AS merged FROM prod WHERE inventory > 25 AND rating > 3.5",
+        lambda s, d: products(s, d).select("product_id", F.array_join(recommend.merge_models(F.array("brand", "category", "name", "product_id"), F.when(F.col("rating") > 3.5, F.array("category", "product_id", "brand"))), "|").alias("merged")).filter("merged is not null"),
+        f"WITH {PRODUCTS} SELECT product_id, CASE WHEN category IN (brand, name) OR product_id IN (brand, category, name) THEN NULL ELSE brand || '|' || category || '|' || name || '|' || product_id END AS merged FROM prod WHERE rating > 3.5",
     ),
     "model_update": (
         lambda s, d: recommend.model_update(s.createDataFrame([("item", "Brand#1", "", 5)], "kind string, a string, b string, n bigint"), basket_items(s, d)),
@@ -233,7 +234,7 @@ QUERIES = {
     ),
     "users_online": (lambda s, d: shop_events(s, d).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("products")), f"WITH {SHOP} SELECT count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products FROM shop"),
     "trending_not_viewed": (
-        lambda s, d: (lambda e: recommend.popular(e, 30).withColumn("__one", F.lit(1)).join(e.select("user_id").distinct().withColumn("__one", F.lit(1)), "__one").select("user_id", "product_id", "n").join(e.filter("event_type = 'PRODUCT_VIEW'").select("user_id", "product_id").distinct(), ["user_id", "product_id"], "left_anti"))(shop_events(s, d)),
+        lambda s, d: (lambda e: e.select("user_id").distinct().join(F.broadcast(recommend.popular(e, 30).agg(F.collect_list(F.struct("product_id", "n")).alias("__top")))).select("user_id", F.inline("__top")).join(e.filter("event_type = 'PRODUCT_VIEW'").select("user_id", "product_id").distinct(), ["user_id", "product_id"], "left_anti"))(shop_events(s, d)),
         f"WITH {SHOP}, top AS (SELECT product_id, count(*) AS n FROM shop GROUP BY 1 ORDER BY n DESC, product_id LIMIT 30) SELECT u.user_id, top.product_id, n FROM top, (SELECT DISTINCT user_id FROM shop) u WHERE NOT EXISTS (SELECT 1 FROM shop v WHERE v.user_id = u.user_id AND v.product_id = top.product_id AND v.event_type = 'PRODUCT_VIEW')",
     ),
     "inventory_seed": (lambda s, d: products(s, d).select("product_id", F.col("inventory").alias("quantity"), F.lit(0).alias("reserved"), F.col("inventory").alias("available")), "SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_size AS quantity, 0 AS reserved, p_size AS available FROM part"),

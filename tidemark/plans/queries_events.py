@@ -40,11 +40,11 @@ QUERIES = {
     "sessions_30m": (lambda s, d: _flat(_sess("30 minutes")(s, d)), f"{_sess_sql(1_800_000_000)} SELECT {_COLS} FROM sess"),
     "sessions_12h": (lambda s, d: _flat(_sess("12 hours")(s, d)), f"{_sess_sql(HALF_DAY)} SELECT {_COLS} FROM sess"),
     "session_type_counts": (
-        lambda s, d: sessions.type_counts(_sess("12 hours")(s, d)),
+        lambda s, d: sessions.type_counts(_sess("12 hours")(s, d)).select("session_type", "n", "events", F.round("avg_products", 6).alias("avg_products"), F.round("avg_adds", 6).alias("avg_adds")),
         f"{_sess_sql(HALF_DAY)} SELECT session_type, count(*) AS n, CAST(sum(total_events) AS BIGINT) AS events, round(avg(unique_products), 6) AS avg_products, round(avg(add_count), 6) AS avg_adds FROM sess GROUP BY session_type",
     ),
     "conversion_rate": (
-        lambda s, d: sessions.conversion(_sess("12 hours")(s, d)),
+        lambda s, d: sessions.conversion(_sess("12 hours")(s, d)).select("n", "converted", F.round("rate", 6).alias("rate")),
         f"{_sess_sql(HALF_DAY)} SELECT count(*) AS n, count(*) FILTER (completed_purchase) AS converted, round(count(*) FILTER (completed_purchase) / count(*), 6) AS rate FROM sess",
     ),
     "high_value_abandoned": (
@@ -156,8 +156,17 @@ QUERIES |= {
     ),
     "stale_products": (
         lambda s, d: inventory.stale(product_updates(s, d), SEQ, 90 * _DAY, _HORIZON).select("product_id", "us", "seq1", "seq2", "idle_us", "fires_us", "severity"),
+        f"WITH {UPDATES}, l AS (SELECT *, coalesce(lead(us) OVER {W}, {_HORIZON}) - us AS idle_us FROM upd) SELECT product_id, us, seq1, seq2, idle_us, us + {90 * _DAY} AS fires_us, 'HIGH' AS severity FROM l WHERE idle_us >= {90 * _DAY}",
+    ),
+    "stale_at_horizon": (
+        lambda s, d: inventory.stale_at_horizon(product_updates(s, d), SEQ, 90 * _DAY, _HORIZON).select("product_id", "us", "seq1", "seq2", "idle_us", "fires_us", "severity"),
         f"WITH {UPDATES}, l AS (SELECT *, coalesce(lead(us) OVER {W}, {_HORIZON}) - us AS idle_us FROM upd) SELECT product_id, us, seq1, seq2, idle_us, us + {90 * _DAY} AS fires_us, CASE WHEN idle_us > {180 * _DAY} THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM l WHERE idle_us >= {90 * _DAY}",
     ),
+    "change_reasons": (
+        lambda s, d: _events("refactored")(s, d).withColumn("reason", inventory.reason()).filter("event_type NOT IN ('PRODUCT_ADDED', 'PRICE_CHANGED')").select("product_id", "us", "seq1", "seq2", "reason"),
+        f"""WITH {_REF} SELECT product_id, us, seq1, seq2, CASE event_type WHEN 'OUT_OF_STOCK' THEN 'Product is now out of stock' WHEN 'BACK_IN_STOCK' THEN 'Product restocked with ' || inventory || ' units'
+        WHEN 'INVENTORY_DECREASED' THEN (pi - inventory) || ' units sold/removed' ELSE (inventory - pi) || ' units added to inventory' END AS reason FROM ev WHERE event_type NOT IN ('PRODUCT_ADDED', 'PRICE_CHANGED')""",
+    ),
     "running_sales": (
         lambda s, d: inventory.running(product_updates(s, d), SEQ).select("product_id", "us", "seq1", "seq2", "running_total", F.round("running_avg", 6).alias("running_avg")),
         f"WITH {UPDATES} SELECT product_id, us, seq1, seq2, CAST(sum(inventory) OVER w AS BIGINT) AS running_total, round(avg(price) OVER w, 6) AS running_avg FROM upd WINDOW w AS (PARTITION BY product_id ORDER BY us, seq1, seq2, seq3, seq4, seq5 ROWS UNBOUNDED PRECEDING)",

@@ -59,6 +59,21 @@ sc AS (SELECT *, user_id IS NOT NULL AND total_value > 0 AND basket_size > 0 AS
 _AIS = "15M67F0000G?Uf6E`FepT@3n00Sa"
 
 
+def _purchase_lines(s, d):
+    """_purchases as JSON texts, every ninth of them broken."""
+    p = _purchases(s, d)
+    body = F.to_json(F.struct(F.col("user_id").alias("userId"), F.col("total_value").alias("totalValue"), F.col("basket_size").cast("int").alias("basketSize"), F.col("history").cast("int").alias("userPurchaseHistory")))
+    return p.select(F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("value"))
+
+
+def _inventory_lines(s, d):
+    """Inventory events with a currentProduct, which every fourth lacks; every fifteenth is broken."""
+    p = products(s, d).withColumn("n", F.col("product_id").cast("int"))
+    one = F.struct(F.col("product_id").alias("productId"), "name", "price", "inventory")
+    body = F.to_json(F.struct(F.lit("INVENTORY_UPDATE").alias("eventType"), F.when(F.col("n") % 4 != 0, one).alias("currentProduct")))
+    return p.select(F.when(F.col("n") % 15 == 0, F.lit("{broken")).otherwise(body).alias("value"))
+
+
 def _predicted(s, d):
     docs = table(s, d, "documents").select("doc_id", "n_chars")
     return table(s, d, "labels").join(docs, "doc_id").withColumn("predicted", (F.col("n_chars") > 800).cast("int"))
@@ -77,11 +92,11 @@ def _scaled(how, **k):
 
 QUERIES = {
     "chat_intents": (lambda s, d: messages(s, d).filter("role = 'user'").groupBy(chat.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n")), f"SELECT {_intent_sql()} AS intent, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1"),
-    "document_intents": (lambda s, d: table(s, d, "part").select("p_partkey", chat.intent(F.concat(F.lit("find the cost of "), "p_name")).alias("intent")), "SELECT p_partkey, 'PRICE_INQUIRY' AS intent FROM part"),
+    "document_intents": (lambda s, d: table(s, d, "documents").select("doc_id", chat.intent(F.col("text")).alias("intent")), f"SELECT doc_id, {_intent_sql()} AS intent FROM documents"),
     "last_10_messages": (lambda s, d: chat.last_n(messages(s, d)).select("conv_id", "turn", "place"), "SELECT conv_id, turn, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) WHERE place <= 10"),
     "chat_history": (
         lambda s, d: chat.history(messages(s, d)),
-        "SELECT conv_id, turn, CAST(count(text) OVER w AS BIGINT) AS n_before, sha256(coalesce(array_to_string(list(substr(text, 1, 40)) OVER w, '|'), '')) AS history_sha256 FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)",
+        "SELECT conv_id, turn, CAST(count(text) OVER w AS BIGINT) AS n_before, sha256(coalesce(array_to_string(list(text) OVER w, '|'), '')) AS history_sha256 FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)",
     ),
     "visible_messages": (
         lambda s, d: messages(s, d).withColumn("receiver", F.when(F.col("turn") % 3 != 0, F.col("conv_id") % 7)).withColumn("kind", F.when(F.col("role") == "system", "SYSTEM").otherwise("CHAT_MESSAGE")).filter(chat.visible_to(F.lit(3), F.col("kind"), F.col("conv_id") % 11, F.col("receiver"))).select("conv_id", "turn"),
@@ -140,6 +155,18 @@ QUERIES = {
         lambda s, d: scoring.classify(_purchases(s, d)).select("o_orderkey", "channel", F.round("p", 6).alias("p")),
         f"WITH {_PUR} SELECT o_orderkey, CASE WHEN valid IS NOT TRUE THEN 'INVALID_DATA' WHEN p >= 0.5 THEN 'HIGH_VALUE' ELSE 'STANDARD' END AS channel, CASE WHEN valid THEN round(p, 6) END AS p FROM sc",
     ),
+    "purchase_lines": (
+        lambda s, d: scoring.classify_lines(_purchase_lines(s, d)).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.sum("p"), 4).alias("p")),
+        f"WITH {_PUR} SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'PARSE_ERROR' WHEN valid IS NOT TRUE THEN 'INVALID_DATA' WHEN p >= 0.5 THEN 'HIGH_VALUE' ELSE 'STANDARD' END AS channel, count(*) AS n, round(sum(CASE WHEN valid AND o_orderkey % 9 <> 0 THEN p END), 4) AS p FROM sc GROUP BY 1",
+    ),
+    "current_products": (
+        lambda s, d: parsing.current_products(_inventory_lines(s, d)).select("productId", "name", "price", "inventory"),
+        "SELECT CAST(p_partkey AS VARCHAR) AS \"productId\", p_name AS name, p_retailprice AS price, p_size AS inventory FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 15 <> 0",
+    ),
+    "user_languages": (
+        lambda s, d: chat.languages(messages(s, d).select((F.col("conv_id") % 40).alias("user_id"), F.when(F.col("turn") % 3 != 0, F.concat(F.lit("L"), F.length("text") % 5)).alias("language"), "conv_id", "turn"), order=("conv_id", "turn")),
+        "SELECT user_id, arg_max(language, (conv_id, turn)) AS language FROM (SELECT conv_id % 40 AS user_id, conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 'L' || (length(text) % 5) END AS language FROM conversations) WHERE language IS NOT NULL GROUP BY 1",
+    ),
     "three_class_purchases": (
         lambda s, d: scoring.classify(_purchases(s, d)).filter("channel <> 'INVALID_DATA'").groupBy(scoring.three_classes(F.col("p")).alias("class")).agg(F.count("*").alias("n")),
         f"WITH {_PUR} SELECT CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS class, count(*) AS n FROM sc WHERE valid GROUP BY 1",
@@ -154,10 +181,10 @@ QUERIES = {
     "scaler_standard": (_scaled("standard"), _scaled_sql("(c_acctbal - av) / sd")),
     "scaler_decimal": (_scaled("decimal"), _scaled_sql("c_acctbal / pow(10, ceil(log10(ab)))")),
     "one_hot": (lambda s, d: scoring.one_hot(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["HOUSEHOLD", "MACHINERY"]).groupBy("c_mktsegment_HOUSEHOLD", "c_mktsegment_MACHINERY").agg(F.count("*").alias("n")), "SELECT CAST(c_mktsegment = 'HOUSEHOLD' AS INTEGER) AS \"c_mktsegment_HOUSEHOLD\", CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS \"c_mktsegment_MACHINERY\", count(*) AS n FROM customer GROUP BY 1, 2"),
-    "folds": (lambda s, d: scoring.folds(table(s, d, "customer"), "c_custkey", 5).groupBy("fold").agg(F.count("*").alias("n")), None),
+    "folds": (lambda s, d: scoring.folds(table(s, d, "customer"), "c_custkey", 5).groupBy("fold").agg(F.count("*").alias("n")), "SELECT CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold, count(*) AS n FROM customer GROUP BY 1"),
     "confusion_matrix": (lambda s, d: scoring.confusion(_predicted(s, d), "quality", "predicted"), "SELECT quality, CAST(n_chars > 800 AS INTEGER) AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2"),
     "confusion_metrics": (
-        lambda s, d: scoring.binary_metrics(_predicted(s, d), "quality", "predicted").select("tp", "tn", "fp", "fn", "accuracy", "precision", "recall", "f_beta", "mcc", "balanced"),
+        lambda s, d: scoring.binary_metrics(_predicted(s, d), "quality", "predicted").select("tp", "tn", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f_beta", "mcc", "balanced"))),
         """WITH x AS (SELECT quality AS a, CAST(n_chars > 800 AS INTEGER) AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) FILTER (a = 1 AND p = 1) AS tp, count(*) FILTER (a = 0 AND p = 0) AS tn, count(*) FILTER (a = 0 AND p = 1) AS fp, count(*) FILTER (a = 1 AND p = 0) AS fn FROM x)
         SELECT tp, tn, fp, fn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f_beta,
         round((tp * tn - fp * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced FROM c""",

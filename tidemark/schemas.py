@@ -9,12 +9,13 @@ SHOPPING_EVENT = (
 )
 ORDER_ITEM = ("orderId string, productId string, quantity int, timestamp bigint")
 PATTERN = ("antecedents array<string>, consequent string, support double, confidence double, lift double, timestamp bigint, userId string, sessionId string, category string")
-CDC = ("op string, source struct<table:string>")
+CDC = ("op string, source struct<table:string>, before string, after string")
 CART_ITEM = ("productId string, productName string, price double, quantity int, subtotal double, imageUrl string, addedAt bigint")
 INVENTORY_EVENT = ("productId string, productName string, eventType string, previousInventory int, currentInventory int, previousPrice double, currentPrice double, timestamp bigint, changeReason string, alertLevel string")
 ALERT = ("alertType string, productId string, message string, severity string, timestamp bigint")
 RAW_CHAT = ("userId string, toUserId string, type string, message string, timestamp bigint, preferredLanguage string, languages array<string>")
 ASSISTANT_CHAT = ("messageId string, sessionId string, userId string, text string, timestamp bigint, type string")
+RECOMMENDATION = ("recommendationId string, userId string, sessionId string, recommendedProducts array<string>, recommendationType string, confidence double, timestamp bigint")
 PURCHASE = ("userId string, sessionId string, items array<string>, totalValue double, basketSize int, userPurchaseHistory int, timestamp bigint")
 POINT = ("value int, timestamp bigint")
 VEHICLE = (

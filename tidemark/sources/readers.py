@@ -59,13 +59,48 @@ def table_or(spark: SparkSession, name: str, fallback: Callable[[], DataFrame])
     return spark.table(name) if spark.catalog.tableExists(name) else fallback()
 
 
+#: The patterns that stand in for a missing table (antecedents, consequent, support, confidence, lift, category).
+SAMPLES = [
+    (["laptop"], "mouse", 0.15, 0.75, 2.1, "electronics"),
+    (["laptop"], "keyboard", 0.12, 0.68, 1.9, "electronics"),
+    (["phone"], "charger", 0.20, 0.85, 2.8, "electronics"),
+    (["shirt"], "pants", 0.25, 0.72, 2.0, "fashion"),
+    (["dress"], "shoes", 0.18, 0.76, 2.3, "fashion"),
+    (["coffee_maker"], "coffee_beans", 0.22, 0.89, 2.7, "home_kitchen"),
+    (["coffee_maker"], "filters", 0.19, 0.81, 2.5, "home_kitchen"),
+    (["yoga_mat"], "yoga_blocks", 0.14, 0.67, 2.0, "sports"),
+    (["bicycle"], "helmet", 0.23, 0.87, 2.8, "sports"),
+]
+
+
+def stored_patterns(spark: SparkSession, name: str, now_ms: int) -> DataFrame:
+    """Patterns of a catalogue table, or the samples if there is none or it lacks a column; a time that is missing is now_ms."""
+
+    def samples() -> DataFrame:
+        rows = spark.createDataFrame(SAMPLES, "antecedents array<string>, consequent string, support double, confidence double, lift double, category string")
+        return rows.select("*", F.lit(None).cast("string").alias("userId"), F.lit(None).cast("string").alias("sessionId"), F.lit(now_ms).alias("timestamp"))
+
+    wanted = {"antecedents", "consequent", "support", "confidence", "lift", "category", "user_id", "session_id", "created_at"}
+    rows = table_or(spark, name, lambda: None)
+    if rows is None or not wanted <= set(rows.columns):
+        return samples()
+    at = F.coalesce(F.unix_millis(F.col("created_at").cast("timestamp")), F.lit(now_ms))
+    return rows.select("antecedents", "consequent", "support", "confidence", "lift", "category", F.col("user_id").alias("userId"), F.col("session_id").alias("sessionId"), at.alias("timestamp"))
+
+
 def since(rows: DataFrame, version: int, column: str = "version") -> DataFrame:
     """Incremental read: rows of versions after one already read; prunes partitions by version."""
     return rows.filter(F.col(column) > version)
 
 
-def as_json(rows: DataFrame) -> DataFrame:
-    return rows.select(F.coalesce(F.to_json(F.struct("*")), F.lit("{}")).alias("value"))
+#: Fixed value: what stands for a row that cannot be written.
+UNKNOWN = '{"antecedents":["unknown"],"consequent":"unknown","support":0.1,"confidence":0.5,"lift":1.0}'
+
+
+def as_json(rows: DataFrame, fallback: str = "{}") -> DataFrame:
+    """Rows as JSON texts; fallback (UNKNOWN for patterns) for a row without any value."""
+    empty = F.to_json(F.struct("*"))
+    return rows.select(F.when(empty.isNull() | (empty == "{}"), F.lit(fallback)).otherwise(empty).alias("value"))
 
 
 # -- generators ---------------------------------------------------------------------------------
@@ -78,7 +113,7 @@ def points(spark: SparkSession, per_second: int = 5, below: int = 100, seed: int
 
 
 #: Fixed values of the generator: weights of the categories.
-CATEGORIES = [("electronics", 0.40), ("fashion", 0.25), ("home", 0.20), ("sports", 0.15)]
+CATEGORIES = [("electronics", 0.40), ("fashion", 0.25), ("home_kitchen", 0.20), ("sports", 0.15)]
 
 
 def _draw(name: str, seed: int):
@@ -101,26 +136,38 @@ def historical_patterns(spark: SparkSession, templates: DataFrame, n: int = 5000
         pick = F.when(F.col("c") < edge, name).otherwise(pick)
     rows = rows.withColumn("category", pick)
     listed = templates.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("consequent", "antecedents", "support", "confidence", "lift"))).alias("__all"))
-    rows = rows.join(F.broadcast(listed), "category").withColumn("p", F.expr("__all[cast(floor(t * size(__all)) as int)]"))
+    missing = F.raise_error(F.concat(F.lit("no template of category "), F.col("category")))
+    rows = rows.join(F.broadcast(listed), "category", "left").withColumn("__all", F.when(F.col("__all").isNull(), missing.cast(listed.schema["__all"].dataType)).otherwise(F.col("__all")))
+    rows = rows.withColumn("p", F.expr("__all[cast(floor(t * size(__all)) as int)]"))
     jitter = lambda c, x, by: F.greatest(F.lit(0.0), F.col(f"p.{c}") + (F.col(x) * 2 - 1) * by).alias(c)
     age = F.least(F.lit(1.0), -F.log(1.0 - F.col("w")) / 2)
     return rows.select("category", "p.antecedents", "p.consequent", jitter("support", "s", 0.025), F.least(F.lit(1.0), jitter("confidence", "k", 0.05)).alias("confidence"), jitter("lift", "l", 0.1), (F.lit(now_ms) - (age * days * 86_400_000).cast("long")).alias("timestamp"), F.concat(F.lit("hist_user_"), F.col("id") % 1000).alias("userId"))
 
 
+#: Fixed values of the generator: price limit (none: all above), least and greatest stock.
+STOCK_BANDS = [(50, 50, 200), (200, 20, 100), (500, 10, 50), (None, 5, 25)]
+
+
 def variants(products: DataFrame) -> DataFrame:
-    """Two or three variants a product at 1, 1.2 and 1.5 times the price; stock by price band."""
+    """Two or three variants a product at 1, 1.2 and 1.5 times the price; stock drawn from the price's band.
+
+    Draws follow from the product and the variant, so runs repeat.
+    """
     n = F.when(F.pmod(F.xxhash64("product_id"), F.lit(2)) == 0, 3).otherwise(2)
     rows = products.withColumn("variant", F.explode(F.sequence(F.lit(1), n)))
-    price = F.round(F.col("price") * F.when(F.col("variant") == 1, 1.0).when(F.col("variant") == 2, 1.2).otherwise(1.5), 2)
-    stock = F.when(price < 50, 200).when(price < 200, 100).when(price < 1000, 50).otherwise(10)
-    return rows.withColumn("product_id", F.concat_ws("-", "product_id", "variant")).withColumn("price", price).withColumn("inventory", stock)
+    rows = rows.withColumn("__price", F.col("price") * F.when(F.col("variant") == 1, 1.0).when(F.col("variant") == 2, 1.2).otherwise(1.5))
+    stock = F.lit(None).cast("int")
+    for below, lo, hi in reversed(STOCK_BANDS):
+        drawn = (lo + F.pmod(F.xxhash64("product_id", "variant", F.lit("stock")), F.lit(hi - lo + 1))).cast("int")
+        stock = drawn if below is None else F.when(F.col("__price") < below, drawn).otherwise(stock)
+    return rows.withColumn("inventory", stock).withColumn("product_id", F.concat_ws("-", "product_id", "variant")).withColumn("price", F.round("__price", 2)).drop("__price")
 
 
 # -- adapters -----------------------------------------------------------------------------------
 
 
 def kafka_options(brokers: str, topics: list[str], group: str | None = None, start: str = "latest") -> dict[str, str]:
-    out = {"kafka.bootstrap.servers": brokers, "subscribe": ",".join(topics), "startingOffsets": start, "failOnDataLoss": "false"}
+    out = {"kafka.bootstrap.servers": brokers, "subscribe": ",".join(topics), "startingOffsets": start}
     return out | ({"kafka.group.id": group} if group else {})
 
 

@@ -29,6 +29,16 @@ def kafka(rows: DataFrame, brokers: str, topic: str, checkpoint: str):
     return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
+def append(rows: DataFrame, path: str, checkpoint: str, **trigger):
+    """A stream's rows appended as Parquet, exactly once by the sink's own log."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def console(rows: DataFrame, lines: int = 20):
+    """A stream's rows printed batch by batch; lines: how many of each batch."""
+    return rows.writeStream.format("console").option("truncate", "false").option("numRows", lines).start()
+
+
 def pattern_rows(patterns: DataFrame) -> DataFrame:
     """Patterns as stored: id, and times of second precision from milliseconds."""
     at = F.timestamp_seconds(F.floor(F.col("timestamp") / 1000))
@@ -38,7 +48,7 @@ def pattern_rows(patterns: DataFrame) -> DataFrame:
 class VersionedTable:
     """A keyed table as Parquet folders `version=n`: an upsert rewrites only the buckets it touches.
 
-    A reader takes of each bucket the newest version up to the one asked for, so old snapshots stay readable
+    A null key is a key like others. A reader takes of each bucket the newest version up to the one asked for, so old snapshots stay readable
     until they expire. Rows within a version are unique by key.
     """
 
@@ -67,7 +77,7 @@ class VersionedTable:
             one = self.spark.read.parquet(f"{self.path}/version={v}").withColumn("__version", F.lit(v))
             rows = one if rows is None else rows.unionByName(one)
         newest = rows.groupBy("__bucket").agg(F.max("__version").alias("__version"))
-        return rows.join(F.broadcast(newest), ["__bucket", "__version"]).drop("__bucket", "__version").filter(f"`{self.key}` is not null")
+        return rows.join(F.broadcast(newest), ["__bucket", "__version"]).drop("__bucket", "__version")
 
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -88,11 +98,12 @@ class VersionedTable:
                 # Column by column pairs, so the condition can see both sides.
                 a = held.select(*(F.col(c).alias(f"o_{c}") for c in held.columns))
                 b = new.select(*(F.col(c).alias(f"n_{c}") for c in new.columns))
-                j = a.join(b, F.col(f"o_{self.key}") == F.col(f"n_{self.key}"), "full")
-                wins = F.col(f"o_{self.key}").isNull() | (F.col(f"n_{self.key}").isNotNull() & keep())
+                a, b = a.withColumn("__o", F.lit(True)), b.withColumn("__n", F.lit(True))
+                j = a.join(b, F.col(f"o_{self.key}").eqNullSafe(F.col(f"n_{self.key}")), "full")
+                wins = F.col("__o").isNull() | (F.col("__n").isNotNull() & keep())
                 new = j.select(*(F.when(wins, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in new.columns))
             else:
-                new = held.join(new, self.key, "left_anti").select(*new.columns).unionByName(new)
+                new = held.join(new.select(F.col(self.key).alias("__k")), F.col(self.key).eqNullSafe(F.col("__k")), "left_anti").select(*new.columns).unionByName(new)
         new.withColumn("__bucket", self._bucket()).repartition(self.buckets, "__bucket").write.mode("overwrite").parquet(f"{self.path}/version={version}")
         return version
 

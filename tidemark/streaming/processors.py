@@ -85,11 +85,11 @@ class SequenceProcessor(StatefulProcessor):
     (next or at all) before the following step. A pattern must not end in notFollowedBy.
     """
 
-    def __init__(self, steps: list[tuple[str, str, str]], within_us: int):
-        self.steps, self.within = steps, within_us
+    def __init__(self, steps: list[tuple[str, str, str]], within_us: int, ttl_ms: int | None = None):
+        self.steps, self.within, self.ttl = steps, within_us, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", "step int, first bigint, ids string")
+        self.open = handle.getListState("open", "step int, first bigint, ids string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["us", "event_id"])
@@ -143,8 +143,83 @@ def advance(steps, within: int, runs: list[tuple], kind: str, us: int, ident: st
     return after, done
 
 
-def sequences(events: DataFrame, steps: list[tuple[str, str, str]], within_us: int) -> DataFrame:
-    return events.groupBy("session_id").transformWithStateInPandas(SequenceProcessor(steps, within_us), "session_id string, first_us bigint, last_us bigint, ids string", "Append", "None")
+def sequences(events: DataFrame, steps: list[tuple[str, str, str]], within_us: int, ttl_ms: int | None = None) -> DataFrame:
+    """ttl_ms: partial matches of a session that is idle for so long (processing time) are forgotten."""
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return events.groupBy("session_id").transformWithStateInPandas(SequenceProcessor(steps, within_us, ttl_ms), "session_id string, first_us bigint, last_us bigint, ids string", "Append", mode)
+
+
+class DeductionProcessor(StatefulProcessor):
+    """Order rows with the stock before and after, clamped at zero; product rows set the stock (inventory.deduct as a stream)."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getValueState("stock", "known boolean, n bigint", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf, out = pd.concat(list(rows)).sort_values(["us", "seq"]), []
+        known, n = self.stock.get() if self.stock.exists() else (False, 0)
+        for r in pdf.itertuples():
+            if not pd.isna(r.inventory):
+                known, n = True, int(r.inventory)
+            elif not pd.isna(r.quantity) and r.quantity > 0:
+                before, n = n, max(n - int(r.quantity), 0)
+                out.append((key[0], r.us, r.seq, before, n, "OUT_OF_STOCK" if known and n == 0 else "INVENTORY_DECREASED", not known or before >= r.quantity))
+        self.stock.update((known, n))
+        yield pd.DataFrame(out, columns=["product_id", "us", "seq", "previous", "current", "event_type", "sufficient"])
+
+    def close(self) -> None:
+        pass
+
+
+def deductions(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """log: product_id, us, seq, inventory (product rows) or quantity (order rows): two streams joined by their union."""
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return log.groupBy("product_id").transformWithStateInPandas(DeductionProcessor(ttl_ms), "product_id string, us bigint, seq bigint, previous bigint, current bigint, event_type string, sufficient boolean", "Append", mode)
+
+
+class CartProcessor(StatefulProcessor):
+    """Chat messages with their key's cart at their time, from events that came before (chat.basket_context as a stream).
+
+    Rows have src 0 (events) or 1 (messages). An add raises the count and the value by the product's first price; a
+    removal takes the product's rows out again; a completing event empties the cart.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState("items", "product_id string", "n int, price double", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf, out = pd.concat(list(rows)).sort_values(["us", "src", "id"]), []
+        items = {k[0]: list(v) for k, v in self.items.iterator()}
+        for r in pdf.itertuples():
+            if r.src == 1:
+                out.append((key[0], r.id, sum(n for n, _ in items.values()), round(sum(n * p for n, p in items.values()), 4), len(items)))
+            elif r.event_type == "ADD_TO_CART":
+                items.setdefault(r.product_id, [0, float(r.value)])[0] += 1
+            elif r.event_type == "REMOVE_FROM_CART":
+                items.pop(r.product_id, None)
+            elif r.event_type == "ORDER_PLACED":
+                items.clear()
+        self.items.clear()
+        for k, (n, price) in items.items():
+            self.items.updateValue((k,), (n, price))
+        yield pd.DataFrame(out, columns=["key", "msg_id", "item_count", "total_value", "products"])
+
+    def close(self) -> None:
+        pass
+
+
+def cart_context(messages: DataFrame, events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """messages: key, us, msg_id. events: key, us, event_id, event_type, product_id, value. Carts idle for ttl_ms (processing time) are forgotten."""
+    tag = messages.select("key", "us", F.lit(1).alias("src"), F.col("msg_id").cast("long").alias("id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("product_id"), F.lit(None).cast("double").alias("value"))
+    both = tag.unionByName(events.select("key", "us", F.lit(0).alias("src"), F.col("event_id").cast("long").alias("id"), "event_type", "product_id", "value"))
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return both.groupBy("key").transformWithStateInPandas(CartProcessor(ttl_ms), "key string, msg_id bigint, item_count bigint, total_value double, products bigint", "Append", mode)
 
 
 def late_split(batch: DataFrame, ts: str, seen_max_us: int, allowed_us: int) -> tuple[DataFrame, DataFrame]:
