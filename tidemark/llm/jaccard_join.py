@@ -405,6 +405,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
     placed, _ = _placed(own, ["__key"])
     least = placed.filter("__root is not null").groupBy("__root").agg(F.min(F.col("__key").cast("long")).alias("__least"))
+    least = scratch(least, "op6-least")  # apart from the join, which can then split a large component
     out = placed.join(least, "__root", "left")
     alone = F.when(F.col("__root").isNull(), F.col("__key").cast("long"))
     return out.select(F.col("__key").alias(key), F.col("__n").alias("n_shingles"), F.coalesce("__least", alone).alias("component_id"))

@@ -2,20 +2,23 @@
 
 A text's fingerprints are the least k-gram hashes of each window of w neighbouring k-grams, so any run
 of t = k + w - 1 words that a document shares with a benchmark item has a fingerprint that both keep.
-Fingerprints of both sides meet in a join, and each meeting is extended: the windows of the item that
-hold the fingerprint are compared word by word with the document around it. Documents without a
-meeting never leave their own row.
+Fingerprints of both sides meet in a join, and each meeting is extended: the document's windows that hold the
+gram are joined, as words, with the different windows of the benchmark. Each fingerprint and each window of the
+benchmark is one row whatever number of items has it, so no phrase makes documents meet items pair by pair. Documents
+without a meeting never leave their own row.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is `size` consecutive words of an item; a
 shorter item with any word is one window. Items are grouped by window length; for each length present
 the documents get fingerprints that guarantee that length.
 
-The benchmark's fingerprints are broadcast only while their number is under BROADCAST_ROWS; beyond that
-the join is shuffled by fingerprint.
+The benchmark's fingerprints, and its windows with their items, are broadcast only while their number is under
+BROADCAST_ROWS; beyond that the joins are shuffled.
 
 Defined results: a null text has no words and is hit by nothing; an empty benchmark hits nothing;
 repeated document rows are judged each on its own; an item id that occurs twice counts once. Documents
-without an id are judged like all others; items without an id hit words but are not counted or named.
+without an id are judged like all others; items without an id hit words but are not counted or named. A text of any
+length is one row of words; an empty table gives no rows; extra columns are not read by contamination() and pass through
+clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -82,44 +85,37 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         zero = F.lit(0).cast("long")
         return counted.select(F.col("__id.id").alias(key), *more, "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
-    # Items of one length at a time keep their own fingerprints only.
-    prints = with_fingerprints(items, plans).select("__item", "__t", F.explode_outer("__f").alias("f")).filter("f.t = __t").select("__item", "__t", F.col("f.h").alias("__h"), F.col("f.i").alias("__q"))
-    prints = scratch(prints, "op5-prints")
-    small = prints.count() <= BROADCAST_ROWS
+    # Items of one length at a time keep their own fingerprints only; each fingerprint is listed once, whatever number of items has it.
+    listed = with_fingerprints(items, plans).select("__t", F.explode_outer("__f").alias("f")).filter("f.t = __t").select("__t", F.col("f.h").alias("__h")).distinct()
+    listed = scratch(listed, "op5-prints")
+    small = listed.count() <= BROADCAST_ROWS
     own = with_fingerprints(rows.select("__id", "__row", words(F.col("__text")).alias("__w")), plans)
     # The outer form: the plain one adds a filter on the array, which would be pushed down and evaluate it again.
     own = own.select("__id", "__row", F.explode_outer("__f").alias("f")).select("__id", "__row", F.col("f.t").alias("__t"), F.col("f.h").alias("__h"), F.col("f.i").alias("__i"))
-    # First, which fingerprints of the benchmark occur; each once, whatever number of items has it.
-    listed = prints.select("__t", "__h").distinct()
     meetings = scratch(own.join(F.broadcast(listed) if small else listed, ["__t", "__h"], "left_semi"), "op5-meetings")
 
     # The words around each meeting, from the rows that have one.
-    by_row = meetings.groupBy("__id", "__row").agg(F.collect_set(F.struct("__t", "__h", "__i")).alias("__met"))
+    by_row = meetings.groupBy("__id", "__row").agg(F.collect_set(F.struct("__t", "__i")).alias("__met"))
     few = meetings.select("__id", "__row").distinct().count() <= 1 << 14
     hit_rows = rows.select("__id", "__row", "__text").join(F.broadcast(by_row.select("__id", "__row").distinct()), ["__id", "__row"], "left_semi") if few else rows.select("__id", "__row", "__text")
     hit_rows = hit_rows.dropDuplicates(["__id", "__row"]) if few else hit_rows
+    # A meeting is extended to every window of t words that holds its gram; neighbouring meetings share windows.
+    # A window is s * 65536 + t here: numbers, unlike structs, are made distinct by a hash set.
+    starts = "array_distinct(flatten(transform(__met, m -> transform(sequence(greatest(m.__i - m.__t + 1, 0), m.__i), s -> shiftleft(cast(s AS bigint), 16) | m.__t))))"
     around = (
         hit_rows.join(by_row, ["__id", "__row"])
-        .select("__id", "__row", words(F.col("__text")).alias("__w"), "__met")
-        .select("__id", "__row", F.expr("transform(__met, m -> struct(m.__t AS t, m.__h AS h, m.__i AS i, greatest(m.__i - m.__t, 0) AS base, slice(__w, greatest(m.__i - m.__t, 0) + 1, 3 * m.__t) AS near))").alias("__met"))
-        .select("__id", "__row", F.explode_outer("__met").alias("m"))
-        .select("__id", "__row", F.col("m.t").alias("__t"), F.col("m.h").alias("__h"), F.col("m.i").alias("__i"), F.col("m.base").alias("__base"), F.col("m.near").alias("__near"))
-    )
-    texts = prints.join(items.select("__item", "__w").distinct(), "__item")
-    texts = texts.select("__t", "__h", "__item", "__q", F.expr("slice(__w, greatest(__q - __t, 0) + 1, 3 * __t)").alias("__theirs"), F.greatest(F.col("__q") - F.col("__t"), F.lit(0)).alias("__from")).distinct()
-    windows = (
-        around.join(F.broadcast(texts) if small else texts, ["__t", "__h"])
-        .select("__id", "__row", "__item", "__t", "__i", "__base", "__near", "__q", "__from", "__theirs", F.explode(F.expr("sequence(0, __t - 1)")).alias("__o"))
-        .filter("__i - __o >= __base AND __q - __o >= __from")
-        .withColumn("__a", F.expr("slice(__near, __i - __o - __base + 1, __t)"))
-        .withColumn("__b", F.expr("slice(__theirs, __q - __o - __from + 1, __t)"))
-        .filter("size(__a) = __t AND __a = __b")
-        .select("__id", "__row", "__item", (F.col("__i") - F.col("__o")).alias("__s"), "__t")
-        .distinct()
+        .select("__id", "__row", words(F.col("__text")).alias("__w"), F.expr(starts).alias("__at"))
+        .select("__id", "__row", F.explode_outer(F.expr("transform(filter(transform(__at, x -> struct(cast(x & 65535 AS int) AS t, cast(shiftright(x, 16) AS int) AS s)), x -> x.s + x.t <= size(__w)), x -> struct(x.t AS t, x.s AS s, slice(__w, x.s + 1, x.t) AS a))")).alias("m"))
+        .select("__id", "__row", F.col("m.t").alias("__t"), F.col("m.s").alias("__s"), F.col("m.a").alias("__a"))
     )
+    # Each different window of the benchmark once, with its items: what extends is one row for a document's window.
+    theirs = items.select("__item", "__t", F.explode(F.expr("transform(sequence(0, size(__w) - __t), s -> slice(__w, s + 1, __t))")).alias("__a"))
+    theirs = scratch(theirs.groupBy("__t", "__a").agg(F.collect_set("__item.id").alias("__of")), "op5-windows")
+    weight = theirs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__of")), F.lit(0)).alias("m")).first()
+    windows = around.join(F.broadcast(theirs) if weight["n"] + weight["m"] <= BROADCAST_ROWS else theirs, ["__t", "__a"])
     found = (
         windows.groupBy("__id", "__row")
-        .agg(F.array_sort(F.collect_set(F.struct("__s", "__t"))).alias("__spans"), F.array_sort(F.collect_set("__item.id")).alias("__items"))
+        .agg(F.array_sort(F.collect_set(F.struct("__s", "__t"))).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__of")))).alias("__items"))
         .select(
             "__id",
             "__row",
