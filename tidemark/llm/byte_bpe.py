@@ -4,7 +4,10 @@ Leaves are byte positions; a leaf holds rank * width + position of the pair that
 root is the leftmost pair of least rank. A merge renews the leaves of the merged position, of its dead
 right neighbour and of its live left neighbour, and their paths to the root: logarithmic work a merge.
 Pieces of the same width are encoded side by side, one tree a row; pieces over WIDE bytes one by one.
-A piece that is itself a token is that token. Special tokens are ordinary text. A null text is empty.
+A piece that is itself a token is that token. Special tokens are ordinary text.
+
+Defined results: a null or empty text has no ids; a text of any length is encoded whole; repeated rows are encoded each on
+its own; an empty table gives no rows; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,11 @@ A text keeps its pieces' starts and the running count. A cut inside a piece chan
 piece plus the program's count of the rest: truncation and budget questions need no encoding.
 
 Counts are those of the tokenizers library with its defaults: strings of added special tokens inside a
-text count as one token each. A null text is empty and has 0 tokens.
+text count as one token each.
+
+Defined results: a null or empty text has 0 tokens and is under every limit; a text of any length is counted whole;
+repeated rows are counted each on its own; an empty table gives no rows; other columns are not read, so their names cannot
+clash.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The table of blocks is broadcast only while the number of listed keys keeps it u
 beyond that both joins are shuffled by key, and joins are on keys that are unique on the list's side.
 
 Defined results: a url that is null or has no `://` has an empty host and path, fits no rule and is
-allowed; empty lists allow everything; repeated rows are judged each on its own.
+allowed; empty lists allow everything; repeated rows are judged each on its own; a url of any length is judged whole; of
+rules with one host and path (a tie) the verdict that is last in the alphabet holds; an empty table gives no rows; other
+columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ near copies are most of a layout, boilerplate in it stays too.
 A block is the text between borders of block elements; references are decoded, white space runs become
 one blank, blocks are joined by a line feed in page order. Null html is empty and gives an empty text.
 Pivots are broadcast only while their html has at most PIVOT_BYTES in all; beyond that pages meet them in
-a join on their keys and a salt. Repeated rows are extracted each on its own; a null url has the empty host.
+a join on their keys and a salt. Repeated rows are extracted each on its own and count as one page; a null url has the
+empty host; of layouts with equally many pages (a tie) that with the greater hash is the host's main one; an html of any
+length is one tree; an empty table gives no rows; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
