@@ -98,9 +98,8 @@ def judge(pages: DataFrame, key: str, url: str, rules: DataFrame, listed: DataFr
     A rule's verdict stands; else a listed canonical URL is blocked and any other allowed.
     """
     rules = rules.select(F.concat("host", "path").alias("__rule"), F.length("path").alias("__cut"), F.col("verdict").alias("__verdict"))
-    cuts = [r[0] for r in rules.select("__cut").distinct().limit(4097).collect()]
-    if len(cuts) > 4096:
-        raise ValueError("rule paths have more than 4096 lengths")
+    # Different lengths alone: no more of them than the longest rule path has characters.
+    cuts = sorted(r[0] for r in rules.select("__cut").distinct().collect())
     by_rule, by_url = BlockedBloom(rules.select("__rule")), BlockedBloom(listed)
     rows = pages.select(F.col(key).alias("__id"), F.col(url).alias("__url"))
     # Each distinct URL is judged once: repeated ones join the answer by the URL itself.
@@ -111,7 +110,7 @@ def judge(pages: DataFrame, key: str, url: str, rules: DataFrame, listed: DataFr
     keyed = urls.filter("host != ''").select("__url", F.explode(hosts).alias("__h"), prefixes.alias("__p")).select("__url", F.explode("__p").alias("__pp"), "__h").select("__url", F.concat("__h", "__pp").alias("__rule"))
     small = by_rule.bounded and by_rule.n <= 1 << 16
     fits = by_rule.passing(keyed, "__rule").join(F.broadcast(rules) if small else rules, "__rule")
-    best = fits.groupBy("__url").agg(F.max_by(F.struct("__rule", "__verdict"), F.struct(F.length("__rule"), "__rule")).alias("__best"))
+    best = fits.groupBy("__url").agg(F.max_by(F.struct("__rule", "__verdict"), F.struct(F.length("__rule"), "__rule", "__verdict")).alias("__best"))
     hits = by_url.exact(urls.filter("__canonical is not null").select("__url", "__canonical"), "__canonical").select("__url", F.lit(True).alias("__listed"))
     # One row a URL with all that is known of it, by aggregation of the three sources.
     none = F.lit(None)
