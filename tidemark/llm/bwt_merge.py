@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, scratch, slices, utf8
-from .packed import SCHEMA, bundles, chunks, gather, merged, rows, split, unpack
+from .packed import SCHEMA, bundles, chunks, gather, gathered, merged, rows, split, unpack
 from .relative_lz import LAST
 
 SIZE = 200
@@ -230,7 +230,7 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
         hit = n[inverse] > 1
         yield rows(*bundles(place[hit].astype("<u4"), text[hit], per_text[0], parts), True)
 
-    asked = docs.select("__key", "__text").mapInArrow(ask, SCHEMA)
+    asked = docs.select("__key", "__text").mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
     answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u4", "__anchors"), "__key long, __anchors binary")
 
@@ -324,7 +324,7 @@ def repeated_ranges(docs: DataFrame, anchors: DataFrame, size: int, gram: int) -
             yield rows(*bundles(_flat(pairs), text, owners, parts), True)
 
     joined = docs.select("__key", "__text").join(anchors, "__key")
-    asked = joined.mapInArrow(ask, SCHEMA)
+    asked = joined.mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
     answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u8", "__ranges"), "__key long, __ranges binary")
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, column, mix, part_of, parts_for, scratch, slices, utf8
 from .graph import components
-from .packed import SCHEMA, bundles, chunks, rows, split, unbundle, unpack
+from .packed import SCHEMA, bundles, chunks, gathered, parcels, rows, split, unbundle, unpack
 
 GRAM = 5
 NUMER, DENOM = 75, 100
@@ -131,12 +131,12 @@ def _shared(docs: DataFrame) -> DataFrame:
                 text = np.repeat(np.arange(len(n)), n)
                 keep = one[text]
                 asks = list(chunks(h[keep], text[keep], parts, [names, n], None, WIDTH))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in asks], pa.int32()), pa.array([b for _, b in asks], pa.binary())], names=["__part", "__body"])
+                yield rows([p for p, _ in asks], [b for _, b in asks], False)
 
     def answer(batches):
         raw, part = [], 0
         for batch in batches:
-            raw += column(batch, "__body").to_pylist()
+            raw += parcels(batch)
             if len(batch):
                 part = column(batch, "__part")[0].as_py()
         h, text, per_text, _ = unpack(raw, WIDTH)
@@ -162,7 +162,7 @@ def _shared(docs: DataFrame) -> DataFrame:
 
     def total(batches):
         settled, often = split(batches)
-        keys, ends, values = unbundle([x for batch in settled for x in column(batch, "__body").to_pylist()], "<u8")
+        keys, ends, values = unbundle([x for batch in settled for x in parcels(batch)], "<u8")
         pairs = values.view("<u4").reshape(-1, 2).astype(np.int64)
         size = pairs[ends[:-1], 0] if len(keys) else np.zeros(0, np.int64)
         shared = np.add.reduceat(pairs[:, 1], ends[:-1]) if len(keys) else size
@@ -172,7 +172,7 @@ def _shared(docs: DataFrame) -> DataFrame:
             key, n = np.frombuffer(raw, "<i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(n)], names=["__set", "__n", "__shared"])
 
-    asked = docs.select("__text").mapInArrow(ask, "__part int, __body binary")
+    asked = docs.select("__text").mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
     answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(total, "__set long, __n long, __shared long"), parts
 

@@ -3,6 +3,9 @@
 A map task packs the triples of a slice of texts into one binary per part: per text its columns, then
 per triple the place (as a difference, compressed) and the low bytes of the hash, whose high bits are
 mostly given by the part. A part's task unpacks all its binaries and sorts plain arrays.
+
+A binary of a row is a run of parcels, each behind its length: a map task gathers the parcels of many slices before
+they leave it, so rows are as many as the blocks of the shuffle itself, not slices x parts.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-from .common import U64, column, part_of
+from .common import BATCH_BYTES, U64, column, part_of
+
+HOLD = 32 << 20
 
 
 def chunks(h: np.ndarray, text: np.ndarray, parts: int, per_text: list[np.ndarray], place: np.ndarray | None, width: int):
@@ -132,7 +137,7 @@ def merged(dtype, name: str, reduce=None):
     """
 
     def run(batches):
-        bodies = [x for batch in batches for x in column(batch, "__body").to_pylist()]
+        bodies = [x for batch in batches for x in parcels(batch)]
         keys, ends, values = unbundle(bodies, dtype)
         del bodies
         if reduce:
@@ -148,21 +153,60 @@ def merged(dtype, name: str, reduce=None):
 
 
 def rows(parts: list[int], bodies: list[bytes], settled: bool) -> pa.RecordBatch:
-    """Rows for a part: settled ones are bundles on their way to merged(), the others wait for an answer."""
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([settled] * len(parts), pa.bool_()), pa.array(bodies, pa.binary())], names=["__part", "__settled", "__body"])
+    """Rows for a part: settled ones are bundles on their way to merged(), the others wait for an answer. A body becomes a parcel."""
+    framed = [len(x).to_bytes(4, "little") + x for x in bodies]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([settled] * len(parts), pa.bool_()), pa.array(framed, pa.binary())], names=["__part", "__settled", "__body"])
 
 
 SCHEMA = "__part int, __settled boolean, __body binary"
 
 
+def parcels(batch: pa.RecordBatch) -> list[memoryview]:
+    """The bodies given to rows(), of all rows of a batch."""
+    out = []
+    for raw in column(batch, "__body").to_pylist():
+        raw, at = memoryview(raw), 0
+        while at < len(raw):
+            n = int.from_bytes(raw[at : at + 4], "little")
+            out.append(raw[at + 4 : at + 4 + n])
+            at += 4 + n
+    return out
+
+
+def gathered(batches, most: int = HOLD):
+    """Batches of rows(), with one row a part and kind for about every `most` bytes that a task sends."""
+    held: dict[tuple[bool, int], list[bytes]] = {}
+    size = 0
+
+    def emit():
+        keys, bodies, n = [], [], 0
+        for key in sorted(held):
+            body = b"".join(held.pop(key))
+            keys.append(key)
+            bodies.append(body)
+            n += len(body)
+            if n >= BATCH_BYTES or not held:
+                yield pa.RecordBatch.from_arrays([pa.array([p for _, p in keys], pa.int32()), pa.array([s for s, _ in keys], pa.bool_()), pa.array(bodies, pa.binary())], names=["__part", "__settled", "__body"])
+                keys, bodies, n = [], [], 0
+
+    for batch in batches:
+        for part, settled, body in zip(*(column(batch, c).to_pylist() for c in ("__part", "__settled", "__body")), strict=True):
+            held.setdefault((settled, part), []).append(body)
+            size += len(body)
+        if size >= most:
+            yield from emit()
+            size = 0
+    yield from emit()
+
+
 def split(batches):
-    """(batches of settled rows, to be passed on; list of the other binaries, complete once the batches are used up)."""
-    waiting: list[bytes] = []
+    """(batches of settled rows, to be passed on; list of the other bodies, complete once the batches are used up)."""
+    waiting: list[memoryview] = []
 
     def settled():
         for batch in batches:
             own = column(batch, "__settled")
-            waiting.extend(column(batch.filter(pc.invert(own)), "__body").to_pylist())
+            waiting.extend(parcels(batch.filter(pc.invert(own))))
             passed = batch.filter(own)
             if len(passed):
                 yield passed.select(["__part", "__settled", "__body"])

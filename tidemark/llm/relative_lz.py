@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Words, column, parts_for, slices, texts_of, utf8
-from .packed import SCHEMA, bundles, chunks, merged, rows, split, unpack
+from .packed import SCHEMA, bundles, chunks, gathered, merged, rows, split, unpack
 
 SIZE = 13
 WIDTH = 7
@@ -126,7 +126,7 @@ def repeated_factors(docs: DataFrame, size: int) -> DataFrame:
         hit, hits = _referred(h, ids[text], place)
         yield rows(*bundles(hits, text[hit], keys, parts), True)
 
-    asked = docs.select("__id", "__key", "__text").mapInArrow(ask, SCHEMA)
+    asked = docs.select("__id", "__key", "__text").mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
     answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
     own = merged(HIT, "__factors", lambda ends, hits: factors(ends, hits, size))
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(own, "__key long, __factors binary")
