@@ -228,3 +228,28 @@ def test_as_of_and_merge(spark):
     assert sorted((r.id, r.price) for r in recommend.as_of(rows, vers, "k", "at", "f", ["price"]).collect()) == [(1, 20.0), (2, None), (3, None)]
     two = spark.range(1).select(recommend.merge_models(F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "cxy"))).alias("m"), recommend.merge_models(F.array(F.lit("a")), F.lit(None).cast("array<string>")).alias("n")).first()
     assert two.m == ["a", "b", "c", "x"] and two.n is None
+
+
+def test_impossible_travel_and_brute_force(spark):
+    rows = [(1, "u", 0, "USA", "fail"), (2, "u", MIN, "USA", "fail"), (3, "u", 2 * MIN, "RU", "ok"), (4, "u", 40 * MIN, "USA", "ok"), (5, "u", 41 * MIN, None, "ok"), (6, "v", 0, "RU", "ok")]
+    ev = spark.createDataFrame([(i, u, t, p, k) for i, u, t, p, k in rows], "event_id int, session_id string, us bigint, place string, kind string")
+    got = cep.impossible_travel(ev, "place", 30 * MIN).collect()
+    assert [(r.event_id, r.from_place, r.to_place, r.took_us) for r in got] == [(3, "USA", "RU", MIN)]
+    hit = cep.preceded(ev, F.col("kind") == "fail", F.col("kind") == "ok", 2, 5 * MIN).collect()
+    assert [(r.event_id, r.before) for r in hit] == [(3, 2)]
+    assert cep.preceded(ev, F.col("kind") == "fail", F.col("kind") == "ok", 1, 5 * MIN, most=1).count() == 0
+
+
+def test_funnel(spark):
+    rows = [("a", 0, "S"), ("a", 1, "V"), ("a", 2, "P"), ("b", 0, "V"), ("b", 1, "S"), ("b", 2, "P"), ("c", 0, "S"), ("c", 50, "V"), ("d", 0, "V")]
+    ev = spark.createDataFrame(rows, "session_id string, us bigint, event_type string")
+    got = {r.session_id: (r.reached, r.lost_at, r.took_us) for r in cep.funnel(ev, ["S", "V", "P"], 10).collect()}
+    assert got == {"a": (3, None, 2), "b": (1, "V", 0), "c": (1, "V", 0)}
+
+
+def test_rules_in_force_and_permissions(spark):
+    rules = spark.createDataFrame([("a", 5), ("b", None), ("c", 20)], "rule string, expires_us bigint")
+    assert sorted(r.rule for r in recommend.in_force(rules, F.lit(5)).collect()) == ["b", "c"]
+    rows = spark.createDataFrame([(1, "admin", "ban"), (2, "user", "ban"), (3, None, "ban")], "id int, role string, action string")
+    grants = spark.createDataFrame([("admin", "ban"), ("admin", "ban"), ("user", "post")], "role string, action string")
+    assert [r.id for r in recommend.permitted(rows, grants, "role", "action").collect()] == [1]

@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def search(products: DataFrame, query: str, tags: bool = True, brand: bool = False) -> DataFrame:
-    """Case-insensitive containment in name, and in tags and brand if wanted."""
+def search(products: DataFrame, query: str, tags: bool = True, brand: bool = False, description: str | None = None) -> DataFrame:
+    """Case-insensitive containment in name, in the named column of descriptions, and in tags and brand if wanted."""
     q = query.lower()
     hit = F.lower("name").contains(q)
+    if description:
+        hit = hit | F.coalesce(F.lower(description).contains(q), F.lit(False))
     if tags:
         hit = hit | F.exists("tags", lambda t: F.lower(t).contains(q))
     if brand:

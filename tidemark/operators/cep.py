@@ -79,3 +79,40 @@ def followed_by_any(events: DataFrame, first: str, then: str, within_us: int, ke
     b = b.withColumn("__c", F.floor(F.col("then_us") / within_us))
     hit = (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__c")) & (F.col("then_us") > F.col("first_us")) & (F.col("then_us") - F.col("first_us") < within_us)
     return a.join(b, hit).select(key, "first_id", "then_id", (F.col("then_us") - F.col("first_us")).alias("took_us"))
+
+
+def impossible_travel(events: DataFrame, place: str, within_us: int, key: str = "session_id") -> DataFrame:
+    """Events whose place differs from that of the event just before them, less than within_us earlier; unknown places don't count."""
+    w = _by(key, ["us", "event_id"])
+    rows = events.withColumn("from_place", F.lag(place).over(w)).withColumn("took_us", F.col("us") - F.lag("us").over(w))
+    return rows.filter((F.col("from_place") != F.col(place)) & (F.col("took_us") < within_us)).select(key, "event_id", "us", "from_place", F.col(place).alias("to_place"), "took_us")
+
+
+def preceded(events: DataFrame, many: Column, then: Column, least: int, within_us: int, most: int | None = None, key: str = "session_id") -> DataFrame:
+    """Events of `then` with at least `least` (and at most `most`) events of `many` less than within_us before them.
+
+    Failed logins before a success, small payments before a large one. Of events at one time, those with smaller ids are before.
+    """
+    w = _by(key, ["us", "event_id"])
+    # Counted up to here, less what had been counted before the limit: two running aggregates, no list a row.
+    rows = events.withColumn("__many", F.coalesce(many, F.lit(False)).cast("int")).withColumn("__then", then)
+    so_far = F.coalesce(F.sum("__many").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    old = F.coalesce(F.sum("__many").over(W.partitionBy(key).orderBy("us").rangeBetween(W.unboundedPreceding, -within_us)), F.lit(0))
+    hit = rows.withColumn("before", so_far - old).filter(F.col("__then") & (F.col("before") >= least))
+    return (hit.filter(F.col("before") <= most) if most is not None else hit).select(key, "event_id", "us", "before")
+
+
+def funnel(events: DataFrame, kinds: list[str], within_us: int, key: str = "session_id") -> DataFrame:
+    """How far each key gets: from its first event of kinds[0], each next kind after the one before, all less than within_us from the start.
+
+    reached: steps done, 1 at least; lost_at: the kind it did not reach, null for keys that finish.
+    """
+    whole = W.partitionBy(key)
+    rows = events.filter(F.col("event_type").isin(*kinds)).withColumn("__t0", F.min(F.when(F.col("event_type") == kinds[0], F.col("us"))).over(whole))
+    for i, kind in enumerate(kinds[1:], 1):
+        in_time = (F.col("event_type") == kind) & (F.col("us") > F.col(f"__t{i - 1}")) & (F.col("us") - F.col("__t0") < within_us)
+        rows = rows.withColumn(f"__t{i}", F.min(F.when(in_time, F.col("us"))).over(whole))
+    steps = [F.col(f"__t{i}") for i in range(len(kinds))]
+    one = rows.groupBy(key).agg(*(F.first(c).alias(f"__t{i}") for i, c in enumerate(steps))).filter("__t0 is not null")
+    reached = sum((c.isNotNull().cast("int") for c in steps), F.lit(0))
+    return one.withColumn("reached", reached).select(key, "reached", F.try_element_at(F.array(*map(F.lit, kinds)), F.col("reached") + 1).alias("lost_at"), (F.greatest(*steps) - F.col("__t0")).alias("took_us"))

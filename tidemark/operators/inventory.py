@@ -148,3 +148,9 @@ def running(updates: DataFrame, order: list[str], key: str = "product_id", last:
 def snapshots(updates: DataFrame, size_us: int, order: list[str], key: str = "product_id") -> DataFrame:
     """The last state of each product in each period that has an update."""
     return updates.withColumn("period", F.floor(F.col("us") / size_us)).groupBy(key, "period").agg(F.count("*").alias("updates"), F.max_by(F.struct("inventory", "price"), F.struct(*order)).alias("s")).select(key, "period", "updates", "s.inventory", "s.price")
+
+
+def balances(log: DataFrame, order: list[str], amount: Column, limit: float | None = None, key: str = "account_id") -> DataFrame:
+    """log with `balance`, the running sum of amounts of its key, and `overdrawn`, whether it is under the limit (0 if none)."""
+    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return log.withColumn("balance", F.sum(amount).over(w)).withColumn("overdrawn", F.coalesce(F.col("balance") < (limit or 0.0), F.lit(False)))

@@ -121,3 +121,31 @@ def model_update(old: DataFrame, new_baskets: DataFrame) -> DataFrame:
     single = items.select(F.explode("s").alias("a")).groupBy("a").agg(F.count("*").alias("n")).select(F.lit("item").alias("kind"), "a", F.lit("").alias("b"), "n")
     pair = items.select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).select(F.lit("pair").alias("kind"), "a", "b", "n")
     return old.unionByName(single).unionByName(pair).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def in_force(rules: DataFrame, at_us: Column, expires: str = "expires_us") -> DataFrame:
+    """Rules that have not expired at a time; a rule without an end stays."""
+    return rules.filter(F.col(expires).isNull() | (F.col(expires) > at_us))
+
+
+def flagged(rows: DataFrame, flag: str, percent: int, user: str = "user_id", always: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `enabled`: whether a flag is on for their user, a stable share of users and those always in."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{flag}|"), F.col(user).cast("string"))), 1, 8), 16, 10).cast("long") % 100
+    on = F.coalesce(draw < percent, F.lit(False))
+    return rows.withColumn("enabled", on | F.coalesce(F.col(user).cast("string").isin(*always), F.lit(False)) if always else on)
+
+
+def permitted(rows: DataFrame, grants: DataFrame, role: str, action: str) -> DataFrame:
+    """rows whose role may do their action; grants: (role, action), kept distinct."""
+    return rows.join(grants.select(F.col("role").alias(role), F.col("action").alias(action)).distinct(), [role, action], "left_semi")
+
+
+def rate_limited(rows: DataFrame, most: int, within_us: int, key: str, at: str = "us") -> DataFrame:
+    """rows with `limited`: more than `most` rows of the key in the period that ends with them; equal times count together."""
+    w = W.partitionBy(key).orderBy(at).rangeBetween(-within_us, 0)
+    return rows.withColumn("limited", F.count("*").over(w) > most)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """rows with the columns of a table that has one row a key, as it stands when the job runs; keys it lacks take the defaults."""
+    return rows.join(table, key, "left").fillna(defaults)

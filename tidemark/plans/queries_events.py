@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cep, inventory, sessions
+from ..operators import baskets, cep, inventory, recommend, sessions
 from ..operators.sessions import ADD, ORDER, VIEW
 from .domain import ORDER as SEQ
 from .domain import SHOP, UPDATES, W, micros, product_updates, products, shop_events, table
@@ -184,3 +184,78 @@ QUERIES |= {
         "SELECT p_type AS category, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 6) AS avg_quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     ),
 }
+
+
+def _with_removals(s, d):
+    """Shopping events of which every fifth add takes its product out again, under the id of the next add."""
+    e = shop_events(s, d)
+    return e.withColumn("event_type", F.when((F.col("event_type") == ADD) & (F.col("event_id") % 5 == 0), "REMOVE_FROM_CART").otherwise(F.col("event_type")))
+
+
+def _completed(mode):
+    return lambda s, d: baskets.completed(_with_removals(s, d).withColumn("product_id", F.concat(F.lit("P"), F.pmod("event_id", F.lit(3)))), mode, HALF_DAY)
+
+
+_CUT = f"""{SHOP}, sh AS (SELECT session_id, event_id, us, value, 'P' || (event_id % 3) AS product_id, CASE WHEN event_type = '{ADD}' AND event_id % 5 = 0 THEN 'REMOVE_FROM_CART' ELSE event_type END AS event_type FROM shop),
+c AS (SELECT *, CASE WHEN coalesce(lag(event_type) OVER w = '{ORDER}', false) OR coalesce(us - lag(us) OVER w >= {HALF_DAY}, false) THEN 1 ELSE 0 END AS cut FROM sh WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
+seg AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY session_id ORDER BY us, event_id) AS BIGINT) AS segment FROM c),
+kept AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM seg r WHERE r.session_id = a.session_id AND r.segment = a.segment AND r.product_id = a.product_id AND r.event_type = 'REMOVE_FROM_CART' AND (r.us, r.event_id) > (a.us, a.event_id)) AS stays FROM seg a WHERE a.event_type = '{ADD}'),
+b AS (SELECT session_id, segment, count(*) FILTER (stays) AS n_items, array_to_string(list_sort(list(product_id) FILTER (stays)), ',') AS items, round(sum(value), 4) AS total_value FROM kept GROUP BY 1, 2)
+SELECT b.session_id, b.segment, e.us AS completed_us, n_items, items, total_value FROM b JOIN seg e ON e.session_id = b.session_id AND e.segment = b.segment AND e.event_type = '{ORDER}' WHERE n_items > 0"""
+
+
+def _raw(s, d):
+    return table(s, d, "events").withColumn("us", micros("ts")).withColumn("place", F.pmod("event_id", F.lit(4)))
+
+
+def _messages(s, d):
+    return _raw(s, d).filter("event_type = 'click'").select("user_id", "event_id", "us")
+
+
+_EV = "ev AS (SELECT *, epoch_us(ts) AS us, event_id % 4 AS place FROM events)"
+_KINDS = ["USER_LOGIN", VIEW, ADD, ORDER]
+
+QUERIES |= {
+    "baskets_original": (_completed("original"), f"WITH {_CUT}"),
+    "baskets_with_removals": (_completed("refactored"), f"WITH {_CUT}"),
+    "impossible_travel": (
+        lambda s, d: cep.impossible_travel(_raw(s, d), "place", HALF_DAY, "user_id"),
+        f"WITH {_EV} SELECT user_id, event_id, us, from_place, place AS to_place, took_us FROM (SELECT *, lag(place) OVER w AS from_place, us - lag(us) OVER w AS took_us FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)) WHERE from_place <> place AND took_us < {HALF_DAY}",
+    ),
+    "errors_before_purchase": (
+        lambda s, d: cep.preceded(_raw(s, d), F.col("event_type") == "error", F.col("event_type") == "purchase", 2, 4 * HALF_DAY, key="user_id"),
+        f"""WITH {_EV} SELECT * FROM (SELECT p.user_id, p.event_id, p.us, (SELECT count(*) FROM ev f WHERE f.user_id = p.user_id AND f.event_type = 'error' AND (f.us, f.event_id) < (p.us, p.event_id) AND p.us - f.us < {4 * HALF_DAY}) AS before
+        FROM ev p WHERE p.event_type = 'purchase') WHERE before >= 2""",
+    ),
+    "card_testing": (
+        lambda s, d: cep.preceded(_raw(s, d), F.col("value") <= 10.0, F.col("value") > 50.0, 1, 2 * HALF_DAY, 10, "user_id"),
+        f"""WITH {_EV} SELECT * FROM (SELECT p.user_id, p.event_id, p.us, (SELECT count(*) FROM ev f WHERE f.user_id = p.user_id AND f.value <= 10 AND (f.us, f.event_id) < (p.us, p.event_id) AND p.us - f.us < {2 * HALF_DAY}) AS before
+        FROM ev p WHERE p.value > 50) WHERE before BETWEEN 1 AND 10""",
+    ),
+    "onboarding_funnel": (
+        lambda s, d: cep.funnel(shop_events(s, d), _KINDS, 60 * HALF_DAY),
+        f"""WITH {SHOP}, a AS (SELECT session_id, min(us) AS t0 FROM shop WHERE event_type = '{_KINDS[0]}' GROUP BY 1),
+        b AS (SELECT a.*, (SELECT min(us) FROM shop s WHERE s.session_id = a.session_id AND s.event_type = '{VIEW}' AND s.us > t0 AND s.us - t0 < {60 * HALF_DAY}) AS t1 FROM a),
+        c AS (SELECT b.*, (SELECT min(us) FROM shop s WHERE s.session_id = b.session_id AND s.event_type = '{ADD}' AND s.us > t1 AND s.us - t0 < {60 * HALF_DAY}) AS t2 FROM b),
+        e AS (SELECT c.*, (SELECT min(us) FROM shop s WHERE s.session_id = c.session_id AND s.event_type = '{ORDER}' AND s.us > t2 AND s.us - t0 < {60 * HALF_DAY}) AS t3 FROM c)
+        SELECT session_id, CASE WHEN t3 IS NOT NULL THEN 4 WHEN t2 IS NOT NULL THEN 3 WHEN t1 IS NOT NULL THEN 2 ELSE 1 END AS reached,
+        CASE WHEN t3 IS NOT NULL THEN NULL WHEN t2 IS NOT NULL THEN '{ORDER}' WHEN t1 IS NOT NULL THEN '{ADD}' ELSE '{VIEW}' END AS lost_at, coalesce(t3, t2, t1, t0) - t0 AS took_us FROM e""",
+    ),
+    "rate_limited": (
+        lambda s, d: recommend.rate_limited(_messages(s, d), 2, HALF_DAY, "user_id").filter("limited").drop("limited"),
+        f"SELECT user_id, event_id, us FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {HALF_DAY} PRECEDING AND CURRENT ROW) AS n FROM (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click')) WHERE n > 2",
+    ),
+    "feature_flag": (
+        lambda s, d: recommend.flagged(table(s, d, "customer").select("c_custkey"), "new-cart", 30, "c_custkey", ("1", "2")),
+        "SELECT c_custkey, CAST('0x' || substr(md5('new-cart|' || c_custkey), 1, 8) AS BIGINT) % 100 < 30 OR c_custkey IN (1, 2) AS enabled FROM customer",
+    ),
+    "lookup_join": (
+        lambda s, d: recommend.looked_up(table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("k")), table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment")), "k", {"segment": "unknown"}).groupBy("segment").agg(F.count("*").alias("n")),
+        "SELECT coalesce(c_mktsegment, 'unknown') AS segment, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2 GROUP BY 1",
+    ),
+    "account_balances": (
+        lambda s, d: inventory.balances(table(s, d, "lineitem").select(F.col("l_suppkey").alias("account_id"), "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("amount")), ["l_orderkey", "l_linenumber", "l_partkey", "amount"], F.col("amount")).groupBy("account_id").agg(F.count_if("overdrawn").alias("overdrawn"), F.round(F.min("balance"), 4).alias("least"), F.round(F.max("balance"), 4).alias("most")),
+        """WITH b AS (SELECT l_suppkey AS account_id, sum(amount) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, amount ROWS UNBOUNDED PRECEDING) AS balance FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE -l_quantity END AS amount FROM lineitem))
+        SELECT account_id, count(*) FILTER (balance < 0) AS overdrawn, round(min(balance), 4) AS least, round(max(balance), 4) AS most FROM b GROUP BY 1""",
+    ),
+}
