@@ -47,7 +47,7 @@ class Encoder:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.first = self.rank(np.repeat(self.byte, 256), np.tile(self.byte, 256)).reshape(256, 256)
         self.pattern = pattern
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it is no pair or a side is missing (negative)."""
@@ -165,12 +165,10 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         p = Pieces(data, offs, self.pattern)
-        h, one, inverse = p.distinct()
-        keys = h.tolist()
+        keys, inverse = p.distinct()
         cache = self.cache
-        new = [i for i, k in enumerate(keys) if k not in cache]
-        s, e, raw = p.start[one[new]].tolist(), p.end[one[new]].tolist(), data.tobytes()
-        cache.update(zip([keys[i] for i in new], self.learn([raw[a:b] for a, b in zip(s, e, strict=True)]), strict=True))
+        new = [k for k in keys if k not in cache]
+        cache.update(zip(new, self.learn(new), strict=True))
         own = [cache[k] for k in keys]
         size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
         pool, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size

@@ -16,6 +16,7 @@ import regex
 
 from .bpe_files import splitter
 from .common import U64, mix, powers, prefix_hashes
+from .packed import gather
 
 #: The public pattern, and Unicode's White_Space.
 FAST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,10 +80,27 @@ class Pieces:
             s = np.cumsum([0, *sizes])[:-1]
         e = np.r_[s[1:], len(data)] if len(s) else s
         p, down = prefix_hashes(data), powers(len(data) + 1)[1]
-        self.start, self.end, self.at = s, e, np.searchsorted(s, offs)
+        self.data, self.start, self.end, self.at = data, s, e, np.searchsorted(s, offs)
         self.at[-1] = len(s)
         self.hash = mix((p[e] - p[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, index of one piece, inverse) of the distinct pieces."""
-        return np.unique(self.hash, return_index=True, return_inverse=True)
+    def same(self, one: np.ndarray, step: int = 1 << 20) -> bool:
+        """Whether each piece has the bytes of the piece one[i]; pieces follow each other without a gap, so data is all of them."""
+        size, first = self.end - self.start, self.start[one]
+        if not np.array_equal(size, size[one]):
+            return False
+        cuts = np.unique(np.r_[np.searchsorted(self.start, np.arange(0, len(self.data), step)), len(size)])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if not np.array_equal(self.data[gather(first[a:b], size[a:b])], self.data[self.start[a] : self.end[b - 1]]):
+                return False
+        return True
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """(bytes, inverse) of the distinct pieces: by hash, or by their bytes where two have one hash."""
+        raw = self.data.tobytes()
+        _, one, inverse = np.unique(self.hash, return_index=True, return_inverse=True)
+        if self.same(one[inverse]):
+            return [raw[a:b] for a, b in zip(self.start[one].tolist(), self.end[one].tolist(), strict=True)], inverse
+        own: dict[bytes, int] = {}
+        inverse = np.array([own.setdefault(raw[a:b], len(own)) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)], np.int64)
+        return list(own), inverse

@@ -168,7 +168,7 @@ class Counter:
         added = sorted(self.program.added, key=len, reverse=True)
         self.marks = set(added)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.cache: dict[int, int] = {}
+        self.cache: dict[bytes, int] = {}
 
     def sections(self, text: str) -> list[str]:
         """The text cut around added tokens, which are sections of their own."""
@@ -198,11 +198,9 @@ class Counter:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        h, one, inverse = p.distinct()
-        keys = h.tolist()
-        s, e = p.start[one].tolist(), p.end[one].tolist()
-        new = sorted((data[s[i] : e[i]], k) for i, k in enumerate(keys) if k not in cache)
-        cache.update(zip([k for _, k in new], self.program.totals([x for x, _ in new]), strict=True))
+        keys, inverse = p.distinct()
+        new = sorted(k for k in keys if k not in cache)
+        cache.update(zip(new, self.program.totals(new), strict=True))
         n = np.array([cache[k] for k in keys], np.int64)[inverse]
         n[mark] = 0
         for i in marks:
