@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lexical, url_filter, warc_zip
+from . import lexical, repair, url_filter, warc_zip
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -57,4 +57,4 @@ FROM d LEFT JOIN t USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip": warc_zip.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_winnowing": OP5, "op6_jaccard_join": OP6, "op8_relative_lz": OP8, "op9_bwt_merge": OP9, "op12_lexical": lexical.ORACLE}
+    return {"op1_warc_zip": warc_zip.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_winnowing": OP5, "op6_jaccard_join": OP6, "op8_relative_lz": OP8, "op9_bwt_merge": OP9, "op12_lexical": lexical.ORACLE, "op13_repair": repair.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bwt_merge, byte_bpe, jaccard_join, lexical, relative_lz, repetition, token_counts, url_filter, warc_zip, winnowing, wrapper
+from . import bwt_merge, byte_bpe, jaccard_join, lexical, relative_lz, repair, repetition, token_counts, url_filter, warc_zip, winnowing, wrapper
 from .oracles import oracle_sql
 
 __all__ = ["queries", "oracle_sql"]
@@ -21,4 +21,5 @@ def queries() -> dict:
         "op9_bwt_merge": bwt_merge.op9_bwt_merge,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
         "op12_lexical": lexical.op12_lexical,
+        "op13_repair": repair.op13_repair,
     }
