@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bwt_merge, byte_bpe, jaccard_join, lexical, relative_lz, repair, repetition, token_counts, url_filter, warc_zip, winnowing, wrapper
+from . import bwt_merge, byte_bpe, jaccard_join, lexical, relative_lz, repair, repetition, token_counts, toxicity, url_filter, warc_zip, winnowing, wrapper
 from .oracles import oracle_sql
 
 __all__ = ["queries", "oracle_sql"]
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_relative_lz": relative_lz.op8_relative_lz,
         "op9_bwt_merge": bwt_merge.op9_bwt_merge,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "op11_toxicity": toxicity.op11_toxicity,
         "op12_lexical": lexical.op12_lexical,
         "op13_repair": repair.op13_repair,
     }
