@@ -1,10 +1,10 @@
 """Toxicity by a linear-chain conditional random field over terms.
 
-Labels are of documents; tokens get theirs from the sample: a term is offending if it stands between many different
-neighbours in toxic documents (so that copies of one text are no evidence) and, in proportion, in far fewer in clean
-ones; tokens that are offending terms in a toxic document are tagged toxic. A chain of two tags is fitted to them by
+Labels are of documents; tokens get theirs from the sample: a term, or a beginning of terms, is offending if it stands
+between many different neighbours in toxic documents (so that copies of one text are no evidence) and is, in proportion,
+in far fewer clean ones; tokens that are or begin so in a toxic document are tagged toxic. A chain of two tags is fitted to them by
 maximum likelihood (L-BFGS; each evaluation is a Spark job that sums log-likelihood and gradient over the sample):
-features are the term, its neighbours, its first and last three bytes, and the transitions between tags.
+features are the term, its neighbours, its first 4 to 7 bytes, and the transitions between tags.
 
 Scoring is one pass without a shuffle. Forward-backward marginals of all tokens come from segments of SEGMENT tokens side by
 side: products of the segments' transfer matrices join them, so a text of any length costs the same a token. Spans
@@ -29,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, mix, scratch, slices, utf8
+from .common import column, mix, powers, prefix_hashes, scratch, slices, utf8
 from .terms import Terms
 
 FIT_ROWS = 8192
 FIT_LONGEST = 64 << 10
 VOCABULARY = 20_000
-#: An offending term has at least so many different neighbours on either side in toxic rows, and so many times those, in proportion, that it has in clean rows.
+#: Lengths, in bytes, of the beginnings of terms that have weights.
+STARTS = (4, 5, 6, 7)
+#: An offending term or beginning has at least so many different neighbours on either side in toxic rows (of 64 classes), and is in so many times more of them, in proportion, than of clean rows.
 CONTEXTS, ODDS = 5, 8.0
-#: A term of fewer different left neighbours has no weight of its own.
-LEAST_CONTEXTS = 3
-AFFIXES = 1 << 12
+#: A term or beginning in fewer rows of the sample has no weight of its own.
+LEAST_ROWS = 3
 SEGMENT = 128
 SLICE = 2 << 20
 PENALTY = 0.5
@@ -128,23 +129,8 @@ class Chain:
 # -- features -----------------------------------------------------------------------------------
 
 
-def affixes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the first and of the last three bytes of each term."""
-    data, offs = utf8_bytes(names)
-    a, b = offs[:-1], offs[1:]
-    out = []
-    for sign in (0, 1):
-        code = np.zeros(len(a), np.uint64)
-        for j in range(3):
-            at = a + j if sign == 0 else b - 1 - j
-            ok = (at >= a) & (at < b)
-            code = code * np.uint64(257) + np.where(ok, data[np.where(ok, at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) if len(data) else code
-        out.append((mix(code + np.uint64(sign)) % np.uint64(AFFIXES)).astype(np.int64))
-    return out[0], out[1]
-
-
-def utf8_bytes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    names = names.cast(pa.large_binary())
+def bytes_of(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of large binaries."""
     if not len(names):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offs = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
@@ -152,42 +138,59 @@ def utf8_bytes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)), offs - offs[0]
 
 
+def begins(names: pa.Array, k: int) -> pa.Array:
+    """The first k bytes of each term; null for shorter ones."""
+    data, offs = bytes_of(names)
+    ok = np.diff(offs) >= k
+    at = (offs[:-1][ok][:, None] + np.arange(k)[None, :]).ravel()
+    made = pa.Array.from_buffers(pa.large_binary(), int(ok.sum()), [None, pa.py_buffer(np.arange(int(ok.sum()) + 1, dtype=np.int64) * k), pa.py_buffer(data[at])])
+    return made.take(pa.array(np.where(ok, np.cumsum(ok) - 1, 0), mask=~ok))
+
+
+def hashes(names: pa.Array) -> np.ndarray:
+    """A hash of each term, the same everywhere."""
+    data, offs = bytes_of(names)
+    p, down = prefix_hashes(data), powers(len(data) + 1)[1]
+    return mix((p[offs[1:]] - p[offs[:-1]]) * down[offs[:-1]] + np.diff(offs).astype(np.uint64))
+
+
 class Features:
-    """Numbers of weights: term, left and right neighbour by vocabulary (the last number is for all others), affixes, bias, transitions."""
+    """Numbers of weights: term, left and right neighbour by vocabulary (the last number is for all others), first bytes of the term, bias, transitions."""
 
-    def __init__(self, vocabulary: pa.Array):
-        self.vocabulary, self.v = vocabulary, len(vocabulary) + 1
-        self.affix = 3 * self.v
-        self.bias = self.affix + 2 * AFFIXES
+    def __init__(self, vocabulary: pa.Array, starts: pa.Array):
+        self.vocabulary, self.starts, self.v = vocabulary, starts, len(vocabulary) + 1
+        self.start = 3 * self.v
+        self.bias = self.start + len(starts) + 1
         self.size = self.bias + 4
 
-    def of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vocabulary number, prefix bucket, suffix bucket) of each distinct term."""
-        known = np.asarray(pc.fill_null(pc.index_in(names, value_set=self.vocabulary), self.v - 1)).astype(np.int64)
-        return known, *affixes(names)
+    def of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(vocabulary number, numbers of the known beginnings, one row a length) of each distinct term."""
+        number = lambda x, among: np.asarray(pc.fill_null(pc.index_in(x, value_set=among, skip_nulls=True), len(among))).astype(np.int64)
+        return number(names, self.vocabulary), np.stack([number(begins(names, k), self.starts) for k in STARTS])
 
-    def scores(self, w: np.ndarray, term: np.ndarray, pre: np.ndarray, suf: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Score for the toxic tag of each token; code: the number of each token's distinct term."""
-        v = self.v
-        own = (w[term] + w[self.affix + pre] + w[self.affix + AFFIXES + suf] + w[self.bias])[code]
+    @staticmethod
+    def _inner(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each token but the first has the one before it in its own text."""
         inner = np.ones(len(code) + 1, bool)
         inner[at] = False
-        inner = inner[1:-1] if len(code) else inner[:0]
+        return inner[1:-1] if len(code) else inner[:0]
+
+    def scores(self, w: np.ndarray, term: np.ndarray, starts: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Score for the toxic tag of each token; code: the number of each token's distinct term."""
+        v, inner = self.v, self._inner(code, at)
+        own = (w[term] + w[self.start + starts].sum(0) + w[self.bias])[code]
         own[1:] += w[v + term][code[:-1]] * inner
         own[:-1] += w[2 * v + term][code[1:]] * inner
         return own
 
-    def gradient(self, rest: np.ndarray, term, pre, suf, code, at) -> np.ndarray:
+    def gradient(self, rest: np.ndarray, term: np.ndarray, starts: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sum over tokens of rest times the token's features."""
-        v, n = self.v, len(term)
-        inner = np.ones(len(code) + 1, bool)
-        inner[at] = False
-        inner = inner[1:-1] if len(code) else inner[:0]
+        v, n, inner = self.v, len(term), self._inner(code, at)
         per = np.bincount(code, rest, n)
         left = np.bincount(code[:-1], rest[1:] * inner, n) if len(code) else np.zeros(n)
         right = np.bincount(code[1:], rest[:-1] * inner, n) if len(code) else np.zeros(n)
         out = np.zeros(self.size)
-        for base, number, what in ((0, term, per), (v, term, left), (2 * v, term, right), (self.affix, pre, per), (self.affix + AFFIXES, suf, per)):
+        for base, number, what in ((0, term, per), (v, term, left), (2 * v, term, right), *((self.start, x, per) for x in starts)):
             np.add.at(out, base + number, what)
         out[self.bias] = rest.sum()
         return out
@@ -196,7 +199,7 @@ class Features:
 class Model:
     """base: the score of every text if nothing could be fitted."""
 
-    def __init__(self, base: float, features: Features | None = None, weights: np.ndarray | None = None, logistic: np.ndarray | None = None, offending: list[bytes] = ()):
+    def __init__(self, base: float, features: Features | None = None, weights: np.ndarray | None = None, logistic: np.ndarray | None = None, offending: list[list[bytes]] = ()):
         self.base, self.features, self.weights, self.logistic, self.offending = base, features, weights, logistic, list(offending)
 
     def marginals(self, data: np.ndarray, offs: np.ndarray) -> tuple[Terms, np.ndarray]:
@@ -265,44 +268,57 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def neighbours(sample: DataFrame) -> DataFrame:
-    """(term, left, right, toxic) of each token of the sample, as hashes of the neighbours; a text's ends are a neighbour too."""
+def units(sample: DataFrame) -> DataFrame:
+    """(whole, unit, t, c, left, right) for terms (whole) and their beginnings: toxic and clean rows that have it, and bitmaps of its neighbours in toxic rows."""
+    names_ = ["whole", "unit", "t", "c", "left", "right"]
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
                 t = Terms(*utf8(column(piece, "text")))
+                if not len(t.start):
+                    continue
                 names, code = t.encoded()
-                toxic = np.repeat(np.asarray(column(piece, "toxic")), np.diff(t.at))
-                edge = np.zeros(len(code) + 1, bool)
-                edge[t.at] = True
-                left, right = np.r_[-1, code[:-1]][: len(code)], np.r_[code[1:], -1][: len(code)]
-                left, right = np.where(edge[:-1], -1, left), np.where(edge[1:], -1, right)
-                named = pa.chunked_array([names, pa.array([b""], names.type)]).combine_chunks()
-                pick = lambda i: named.take(pa.array(np.where(i < 0, len(names), i)))
-                for a in range(0, len(code), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([x.cast(pa.binary()) for x in (pick(code[part]), pick(left[part]), pick(right[part]))] + [pa.array(toxic[part])], names=["term", "left", "right", "toxic"])
-
-    return sample.mapInArrow(run, "term binary, left binary, right binary, toxic int")
-
-
-def terms_of_sample(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """(vocabulary, offending terms)."""
-    n = neighbours(sample)
-    # One row a term, left neighbour and kind; right neighbours are counted apart, so a term's contexts never stand in one row.
-    sides = None
-    for side in ("left", "right"):
-        each = n.groupBy("term", side, "toxic").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias(f"t_{side}"), F.count_if(F.col("toxic") == 0).alias(f"c_{side}"))
-        sides = each if sides is None else sides.join(each, "term")
-    sides = scratch(sides.filter(F.col("t_left") + F.col("c_left") >= LEAST_CONTEXTS), "toxicity-terms")
-    total = sides.agg(F.sum("t_left"), F.sum("c_left")).first()
-    rate = (total[0] or 0) / max(total[1] or 0, 1)
-    often = sides.orderBy(F.desc(F.col("t_left") + F.col("c_left")), "term").limit(VOCABULARY).select("term").collect()
-    bad = (F.least("t_left", "t_right") >= CONTEXTS) & (F.col("t_left") >= ODDS * rate * (F.col("c_left") + 0.5))
-    offending = sides.filter(bad).orderBy(F.desc("t_left"), "term").limit(VOCABULARY).select("term").collect()
-    words = {bytes(r[0]) for r in offending}
-    return sorted(words | {bytes(r[0]) for r in often}), sorted(words)
+                doc = np.repeat(np.arange(len(piece)), np.diff(t.at))
+                toxic = np.asarray(column(piece, "toxic")) == 1
+                inner = Features._inner(code, t.at)
+                bit = np.uint64(1) << (hashes(names) % np.uint64(64))
+                left, right = np.ones(len(code), np.uint64), np.ones(len(code), np.uint64)  # a text's end is a neighbour too
+                left[1:] = np.where(inner, bit[code[:-1]], left[1:])
+                right[:-1] = np.where(inner, bit[code[1:]], right[:-1])
+                for k in (0, *STARTS):
+                    if k:
+                        of = begins(names, k).dictionary_encode()
+                        known, number = of.dictionary, np.asarray(of.indices.fill_null(-1)).astype(np.int64)[code]
+                    else:
+                        known, number = names, code
+                    ok = number >= 0
+                    pair = np.unique(number[ok] * len(piece) + doc[ok])
+                    in_toxic = toxic[pair % len(piece)]
+                    count = lambda which: pa.array(np.bincount(pair[which] // len(piece), minlength=len(known)).astype(np.int64))  # noqa: B023, E731
+                    masks = [np.zeros(len(known), np.uint64), np.zeros(len(known), np.uint64)]
+                    ok &= toxic[doc]
+                    for mask, side in zip(masks, (left, right), strict=True):
+                        np.bitwise_or.at(mask, number[ok], side[ok])
+                    cols = [pa.array(np.full(len(known), k == 0)), known.cast(pa.binary()), count(in_toxic), count(~in_toxic), *(pa.array(x.view(np.int64)) for x in masks)]
+                    yield pa.RecordBatch.from_arrays(cols, names=names_)
+
+    made = sample.mapInArrow(run, "whole boolean, unit binary, t bigint, c bigint, left bigint, right bigint")
+    return made.groupBy("whole", "unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(left))").alias("left"), F.expr("bit_count(bit_or(right))").alias("right"))
+
+
+def terms_of_sample(sample: DataFrame, toxic: int, clean: int) -> tuple[list[list[bytes]], list[list[bytes]]]:
+    """(vocabulary, offending) of whole terms and of beginnings."""
+    each = scratch(units(sample).filter(F.col("t") + F.col("c") >= LEAST_ROWS), "toxicity-units")
+    bad = (F.least("left", "right") >= CONTEXTS) & (F.col("t") >= ODDS * toxic / clean * (F.col("c") + 0.5))
+    known, offending = [], []
+    for whole in (True, False):
+        of = each.filter(F.col("whole") == whole)
+        words = {bytes(r[0]) for r in of.filter(bad).orderBy(F.desc("t"), "unit").limit(VOCABULARY).select("unit").collect()}
+        often = of.orderBy(F.desc(F.col("t") + F.col("c")), "unit").limit(VOCABULARY).select("unit").collect()
+        known.append(sorted(words | {bytes(r[0]) for r in often}))
+        offending.append(sorted(words))
+    return known, offending
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
@@ -321,41 +337,45 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return Model(toxic / max(toxic + clean, 1))
-    vocabulary, offending = terms_of_sample(sample)
-    features = Features(pa.array(vocabulary, pa.large_binary()))
-    bad = pa.array(offending, pa.large_binary())
+    known, offending = terms_of_sample(sample, toxic, clean)
+    features = Features(*(pa.array(x, pa.large_binary()) for x in known))
+    bad, bad_starts = (pa.array(x, pa.large_binary()) for x in offending)
 
     def coded(batches):
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
                 t = Terms(*utf8(column(piece, "text")))
                 names, code = t.encoded()
-                tags = np.asarray(pc.is_in(names, value_set=bad))[code] & np.repeat(np.asarray(column(piece, "toxic")) == 1, np.diff(t.at))
-                term, pre, suf = features.of(names)
-                cols = [x.astype(np.int32).tobytes() for x in (term, pre, suf, code, t.at)] + [tags.tobytes(), np.asarray(column(piece, "toxic")).astype(np.int32).tobytes()]
+                odd = np.asarray(pc.is_in(names, value_set=bad))
+                for k in STARTS:
+                    odd = odd | np.asarray(pc.is_in(begins(names, k), value_set=bad_starts, skip_nulls=True))
+                tags = odd[code] & np.repeat(np.asarray(column(piece, "toxic")) == 1, np.diff(t.at))
+                term, starts = features.of(names)
+                cols = [x.astype(np.int32).tobytes() for x in (term, starts, code, t.at)] + [tags.tobytes(), np.asarray(column(piece, "toxic")).astype(np.int32).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cols], names=kinds)
 
-    kinds = ["term", "pre", "suf", "code", "at", "tags", "toxic"]
+    kinds = ["term", "starts", "code", "at", "tags", "toxic"]
     table = scratch(sample.mapInArrow(coded, ", ".join(f"{k} binary" for k in kinds)), "toxicity-coded")
 
     def each(batches):
         for batch in batches:
             for i in range(len(batch)):
                 raw = [batch.column(j)[i].as_buffer() for j in range(len(kinds))]
-                yield [np.frombuffer(x, np.int32).astype(np.int64) for x in raw[:5]] + [np.frombuffer(raw[5], bool), np.frombuffer(raw[6], np.int32)]
+                term, starts, code, at = (np.frombuffer(x, np.int32).astype(np.int64) for x in raw[:4])
+                yield term, starts.reshape(len(STARTS), -1), code, at, np.frombuffer(raw[4], bool), np.frombuffer(raw[5], np.int32)
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
         def sums(batches):
             value, g = 0.0, np.zeros(features.size)
-            for term, pre, suf, code, at, tags, _ in each(batches):
-                e = features.scores(w, term, pre, suf, code, at)
+            for term, starts, code, at, tags, _ in each(batches):
+                e = features.scores(w, term, starts, code, at)
                 trans = w[features.bias + 1 :]
                 p, log_z, moves = Chain(e, at, trans).run(pairs=True)
                 before = np.r_[False, tags[:-1]][: len(tags)]
                 before[at[:-1][at[:-1] < len(tags)]] = False
                 own = np.array([(~before & tags).sum(), (before & ~tags).sum(), (before & tags).sum()], float)
                 value += log_z - float(e[tags].sum()) - float(own @ trans)
-                g += features.gradient(p - tags, term, pre, suf, code, at)
+                g += features.gradient(p - tags, term, starts, code, at)
                 g[features.bias + 1 :] += moves - own
             yield pa.RecordBatch.from_pydict({"value": [value], "g": [g.tobytes()]})
 
@@ -368,8 +388,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     w = descend(objective, start, iterations)
 
     def measured(batches):
-        for term, pre, suf, code, at, _, toxic_ in each(batches):
-            p = Chain(features.scores(w, term, pre, suf, code, at), at, w[features.bias + 1 :]).run()[0]
+        for term, starts, code, at, _, toxic_ in each(batches):
+            p = Chain(features.scores(w, term, starts, code, at), at, w[features.bias + 1 :]).run()[0]
             x = evidence(p, at)
             yield pa.RecordBatch.from_pydict({"odds": x[:, 1], "many": x[:, 2], "toxic": toxic_.astype(np.int32)})
 
