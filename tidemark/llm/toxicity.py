@@ -328,7 +328,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     chosen = lambda df: df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
     marks = chosen(labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())).groupBy(F.col(key).alias("__id")).agg(F.max(label).cast("int").alias("toxic"))
     texts = chosen(docs).select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= FIT_LONGEST)
-    return texts.join(marks, "__id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    # Copies of one text say no more than one of them.
+    return texts.join(marks, "__id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).dropDuplicates()
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, iterations: int = ITERATIONS) -> Model:
