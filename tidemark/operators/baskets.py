@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sessions import ADD
+from .sessions import ADD, VIEW
 
 REMOVE = "REMOVE_FROM_CART"
 COMPLETE = {"original": ("ORDER_PLACED", "CHECKOUT_COMPLETE"), "refactored": ("ORDER_PLACED", "CHECKOUT_COMPLETE", "PAYMENT_PROCESSED")}
 TIMEOUT = 1_800_000_000
+#: How many views a basket remembers.
+VIEWS = 50
 
 
 def segmented(events: DataFrame, mode: str = "refactored", timeout_us: int | None = TIMEOUT, key: str = "session_id", order: tuple = ("us", "event_id")) -> DataFrame:
@@ -21,21 +28,36 @@ def segmented(events: DataFrame, mode: str = "refactored", timeout_us: int | Non
     return events.withColumn("__cut", (done | idle).cast("int")).withColumn("segment", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__cut")
 
 
-def completed(events: DataFrame, mode: str = "refactored", timeout_us: int | None = TIMEOUT, key: str = "session_id", adjust_total_on_remove: bool = False) -> DataFrame:
-    """One row a completed basket with any item: an add counts unless its product is removed later in the segment."""
+def carts(events: DataFrame, mode: str = "refactored", timeout_us: int | None = TIMEOUT, key: str = "session_id", adjust_total_on_remove: bool = False, horizon_us: int | None = None) -> DataFrame:
+    """One row a basket that has ended with any item: (key, segment, kind, at_us, n_items, items, total_value, views).
+
+    kind is 'completed', or 'timeout' for a key that idles for the timeout, by horizon_us (none without it). An add counts unless its product is
+    removed later in the segment; views are the last VIEWS products viewed, oldest first.
+    """
     rows = segmented(events, mode, timeout_us, key)
-    per = ["__done", "__last"]
-    kind = F.col("event_type")
-    by_product = rows.groupBy(key, "segment", "product_id").agg(F.max(F.when(kind == REMOVE, F.struct("us", "event_id"))).alias("__gone"))
-    ends = rows.filter(kind.isin(*COMPLETE[mode])).select(key, "segment", F.col("us").alias(per[0]), F.col("event_id").alias(per[1]))
-    adds = rows.filter(kind == ADD).select(key, "segment", "product_id", "us", "event_id", "value")
+    what, of = F.col("event_type"), [key, "segment"]
+    ends = rows.groupBy(*of).agg(F.max(F.struct("us", "event_id", F.coalesce(what.isin(*COMPLETE[mode]), F.lit(False)).alias("done"))).alias("__end"))
+    by_product = rows.groupBy(*of, "product_id").agg(F.max(F.when(what == REMOVE, F.struct("us", "event_id"))).alias("__gone"))
+    adds = rows.filter(what == ADD).select(*of, "product_id", "us", "event_id", "value")
     both = adds.alias("a").join(by_product.alias("g"), (F.col(f"a.{key}") == F.col(f"g.{key}")) & (F.col("a.segment") == F.col("g.segment")) & F.col("a.product_id").eqNullSafe(F.col("g.product_id")))
     in_ = F.col("g.__gone").isNull() | (F.struct("a.us", "a.event_id") > F.col("g.__gone"))
     counted = in_ if adjust_total_on_remove else F.lit(True)
     basket = both.groupBy(F.col(f"a.{key}").alias(key), F.col("a.segment").alias("segment")).agg(
-        F.count_if(in_).alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.when(in_, F.col("a.product_id")))), ",").alias("items"), F.round(F.sum(F.when(counted, F.col("a.value")).otherwise(0.0)), 4).alias("total_value")
+        F.count_if(in_).alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.when(in_, F.col("a.product_id")))), ",").alias("items"), F.sum(F.when(counted, F.col("a.value")).otherwise(0.0)).alias("total_value")
     )
-    return basket.filter("n_items > 0").join(ends, [key, "segment"]).select(key, "segment", F.col(per[0]).alias("completed_us"), "n_items", "items", "total_value")
+    # No more than VIEWS rows a segment are gathered.
+    late = W.partitionBy(*of).orderBy(F.desc("us"), F.desc("event_id"))
+    seen = rows.filter((what == VIEW) & F.col("product_id").isNotNull()).withColumn("__n", F.row_number().over(late)).filter(F.col("__n") <= VIEWS)
+    seen = seen.groupBy(*of).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", "product_id")), asc=False), lambda x: x["product_id"]), ",").alias("views"))
+    out = basket.filter("n_items > 0").join(ends, of).join(seen, of, "left")
+    out = out.withColumn("kind", F.when(F.col("__end.done"), "completed").otherwise("timeout")).withColumn("at_us", F.col("__end.us") + F.when(F.col("__end.done"), 0).otherwise(timeout_us or 0))
+    timed = F.lit(False) if horizon_us is None or timeout_us is None else F.col("at_us") <= horizon_us
+    return out.filter((F.col("kind") == "completed") | timed).select(*of, "kind", "at_us", "n_items", "items", "total_value", F.coalesce("views", F.lit("")).alias("views"))
+
+
+def completed(events: DataFrame, mode: str = "refactored", timeout_us: int | None = TIMEOUT, key: str = "session_id", adjust_total_on_remove: bool = False) -> DataFrame:
+    """One row a completed basket with any item: an add counts unless its product is removed later in the segment."""
+    return carts(events, mode, timeout_us, key, adjust_total_on_remove).select(key, "segment", F.col("at_us").alias("completed_us"), "n_items", "items", "total_value")
 
 
 def pair_rules(items: DataFrame, basket: str = "basket_id", item: str = "item", min_support: float = 0.01, min_confidence: float = 0.3) -> DataFrame:
@@ -59,35 +81,111 @@ def pair_rules(items: DataFrame, basket: str = "basket_id", item: str = "item",
     return out.filter((F.col("confidence") > min_confidence) & (F.col("support") > min_support))
 
 
-def incremental_rules(items: DataFrame, keep: int = 1000, key: str = "user_id", full: tuple = (0.3, 0.01), single: float = 0.4) -> DataFrame:
+class History:
+    """A key's last `keep` + 1 baskets (the newest one included) as a ring of slots; of each item a mask of the slots that hold it.
+
+    What baskets hold a set of items is the intersection of masks, so a basket costs the same whatever the history: its slot's bits
+    are cleared for the basket that leaves and set for the one that comes.
+    """
+
+    def __init__(self, keep: int = 1000):
+        self.slots, self.count = keep + 1, 0
+        self.ring: dict[int, list[str]] = {}
+        self.masks: dict[str, int] = {}
+        self.entries: dict[str, int] = {}
+        self.newest: Counter = Counter()
+
+    def add(self, items: list[str]) -> None:
+        slot = self.count % self.slots
+        for x in self.ring.get(slot, ()):
+            self.masks[x] &= ~(1 << slot)
+            if not self.masks[x]:
+                del self.masks[x]
+        self.newest = Counter(items)
+        self.ring[slot] = sorted(self.newest)
+        for x, n in self.newest.items():
+            self.masks[x] = self.masks.get(x, 0) | 1 << slot
+            self.entries[x] = self.entries.get(x, 0) + n
+        self.count += 1
+
+    def rules(self) -> Iterator[tuple]:
+        """(antecedents, consequent, kind, confidence, support, lift) of the newest basket, all of them."""
+        s = sorted(self.newest)
+        masks, every = [self.masks[x] for x in s], (1 << self.slots) - 1
+        before, after = [every], [every]
+        for m in masks:
+            before.append(before[-1] & m)
+        for m in reversed(masks):
+            after.append(after[-1] & m)
+        after.reverse()
+        for i, c in enumerate(s):
+            if len(s) > 1:
+                others = before[i] & after[i + 1]
+                yield self._rule(",".join(s[:i] + s[i + 1 :]), c, "full", others, others & masks[i])
+        if sum(self.newest.values()) > 2:
+            for i, c in enumerate(s):
+                for j, a in enumerate(s):
+                    if i != j:
+                        yield self._rule(a, c, "single", masks[j], masks[j] & masks[i])
+
+    def _rule(self, a: str, c: str, kind: str, held: int, both: int) -> tuple:
+        together = both.bit_count()
+        confidence = together / held.bit_count()
+        return a, c, kind, confidence, together / self.count, confidence / (self.entries[c] / self.count)
+
+    def dump(self) -> str:
+        return json.dumps([self.count, list(self.ring.items()), {k: hex(m) for k, m in self.masks.items()}, self.entries])
+
+    def load(self, text: str) -> History:
+        self.count, ring, masks, self.entries = json.loads(text)
+        self.ring, self.masks = {int(k): v for k, v in ring}, {k: int(m, 16) for k, m in masks.items()}
+        return self
+
+
+RULE_COLUMNS = ["seq", "antecedents", "consequent", "kind", "confidence", "support", "lift"]
+
+
+def passes(rule: tuple, full: tuple, single: float) -> bool:
+    """Full rules need confidence and support, single ones confidence."""
+    return rule[3] > full[0] and rule[4] > full[1] if rule[2] == "full" else rule[3] > single
+
+
+def incremental_rules(items: DataFrame, keep: int = 1000, key: str = "user_id", full: tuple = (0.3, 0.01), single: float = 0.4, block: int = 4) -> DataFrame:
     """Rules emitted as each basket of a key arrives, from the baskets of that key held then.
 
-    items: key, basket_id, `seq` (the key's order of baskets: 1, 2, ...) and item, one row an entry. History
-    of basket n is n - keep .. n. Full rule: all other items -> item; single rules if the basket has more
-    than two entries. Support divides by all baskets so far, lift by item entries so far.
+    items: key, `seq` (the key's order of baskets: 1, 2, ...) and item, one row an entry. History of basket n is
+    n - keep .. n; null items are no items. Full rule: all other items -> item; single rules if the basket has more than two entries. Support
+    divides by all baskets so far, lift by item entries so far.
+
+    A key's baskets are cut into blocks of `block` * keep, each with the keep baskets before it to begin with, so that a key of any
+    size is spread over tasks; a task streams a block and holds keep + 1 baskets.
     """
-    rows = items.select(F.col(key).alias("k"), "seq", F.col("item").alias("i"))
-    baskets_ = rows.groupBy("k", "seq").agg(F.sort_array(F.collect_set("i")).alias("s"), F.count("*").alias("entries"))
-    so_far = rows.groupBy("k", "i", "seq").agg(F.count("*").alias("n"))
-    old = baskets_.select(F.col("k").alias("hk"), F.col("seq").alias("hseq"), F.col("s").alias("h"))
-    # History in blocks of `keep` baskets: a basket meets its own block and the one before.
-    now = baskets_.withColumn("__b", F.explode(F.array(F.floor(F.col("seq") / (keep + 1)), F.floor(F.col("seq") / (keep + 1)) - 1)))
-    old = old.withColumn("__hb", F.floor(F.col("hseq") / (keep + 1)))
-    near = now.join(old, (F.col("k") == F.col("hk")) & (F.col("__b") == F.col("__hb")) & (F.col("hseq") <= F.col("seq")) & (F.col("seq") - F.col("hseq") <= keep))
-    wanted = F.expr(
-        "concat(transform(filter(s, c -> size(s) > 1), c -> struct(array_remove(s, c) AS a, c AS c, 'full' AS kind)), "
-        "CASE WHEN entries > 2 THEN flatten(transform(s, c -> transform(array_remove(s, c), x -> struct(array(x) AS a, c AS c, 'single' AS kind)))) ELSE array() END)"
-    )
-    met = near.select("k", "seq", "h", F.explode(wanted).alias("r"))
-    held = F.size(F.array_except("r.a", "h")) == 0
-    agg = met.groupBy("k", "seq", F.col("r.a").alias("a"), F.col("r.c").alias("c"), F.col("r.kind").alias("kind")).agg(F.count_if(held).alias("occ"), F.count_if(held & F.array_contains("h", F.col("r.c"))).alias("co"))
-    # Entries of the consequent so far: its own baskets carry the running sum, and each rule's basket has it.
-    w = W.partitionBy("k", "i").orderBy("seq")
-    freq = so_far.select(F.col("k").alias("fk"), F.col("i").alias("fi"), F.col("seq").alias("fs"), F.sum("n").over(w).alias("freq"))
-    out = agg.join(freq, (F.col("k") == F.col("fk")) & (F.col("seq") == F.col("fs")) & (F.col("c") == F.col("fi")))
-    confidence, support = F.col("co") / F.col("occ"), F.col("co") / F.col("seq")
-    out = out.select(F.col("k").alias(key), "seq", F.array_join("a", ",").alias("antecedents"), F.col("c").alias("consequent"), "kind", confidence.alias("confidence"), support.alias("support"), (confidence / (F.col("freq") / F.col("seq"))).alias("lift"))
-    return out.filter(((F.col("kind") == "full") & (F.col("confidence") > full[0]) & (F.col("support") > full[1])) | ((F.col("kind") == "single") & (F.col("confidence") > single)))
+    rows = items.select(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq"), F.col("item").alias("i")).filter("i is not null")
+    each = rows.groupBy("k", "seq", "i").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(W.partitionBy("k", "i").orderBy("seq"))
+    baskets_ = each.withColumn("e", so_far).groupBy("k", "seq").agg(F.sort_array(F.collect_list(F.struct("i", "n", "e"))).alias("s"))
+    size, at = block * keep, F.col("seq") - 1
+    own = F.floor(at / size)
+    dealt = baskets_.select("k", F.explode(F.when(at % size >= size - keep, F.array(own, own + 1)).otherwise(F.array(own))).alias("b"), "seq", F.to_json("s").alias("s"), own.alias("own"))
+    dealt = dealt.repartition("k", "b").sortWithinPartitions("k", "b", "seq")
+    kind = items.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        history, now, begun = History(keep), None, False
+        for pdf in parts:
+            out = []
+            for k, b, seq, text, own_ in pdf.itertuples(index=False):
+                if not begun or (k, b) != now:
+                    history, now, begun = History(keep), (k, b), True
+                entries = [(x["i"], x["n"], x["e"]) for x in json.loads(text)]
+                history.count = seq - 1  # also sets the slot, so a block begins as if it had seen all
+                history.add([i for i, n, _ in entries for _ in range(n)])
+                history.entries = {i: e for i, _, e in entries}
+                if b == own_:
+                    out += [(k, seq, *r) for r in history.rules() if passes(r, full, single)]
+            yield pd.DataFrame(out, columns=[key, *RULE_COLUMNS])
+
+    return dealt.mapInPandas(run, f"`{key}` {kind}, seq bigint, antecedents string, consequent string, kind string, confidence double, support double, lift double")
 
 
 def pattern_id(antecedents: Column, consequent: Column) -> Column:

@@ -9,28 +9,51 @@ from pyspark.sql import functions as F
 from .baskets import segmented
 from .sessions import ADD, VIEW
 
+#: Scores are sums of doubles, which depend on their order in the last digits; they rank as equal to so many decimals.
+TIE = 9
+
+
 def top(df: DataFrame, k: int, per: list[str], order: list) -> DataFrame:
     """The first k rows of each group; `place` from 1."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(*per).orderBy(*order))).filter(F.col("place") <= k)
 
 
+def _listed(each: DataFrame, k: int, key: str) -> DataFrame:
+    """The k consequents of highest confidence of each add as one text."""
+    ranked = top(each, k, [key, "event_id"], [F.desc("confidence"), "consequent"])
+    out = ranked.groupBy(key, "event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "consequent"))), lambda x: x["consequent"]), ",").alias("products"))
+    return out.withColumn("kind", F.lit("BASKET_BASED")).withColumn("confidence", F.lit(0.75))
+
+
+def _parts(patterns: DataFrame, least: float) -> DataFrame:
+    """One row an antecedent of each pattern above the confidence asked for; need: how many it has."""
+    good = patterns.filter(F.col("confidence") > least).select("pattern_id", F.array_distinct("antecedents").alias("ants"), "consequent", "confidence")
+    return good.select("pattern_id", F.size("ants").alias("need"), "consequent", "confidence", F.explode("ants").alias("item"))
+
+
 def for_baskets(events: DataFrame, patterns: DataFrame, k: int = 5, least: float = 0.5, key: str = "session_id") -> DataFrame:
     """For each add: consequents of patterns whose antecedents the basket holds and whose consequent it lacks.
 
-    patterns: pattern_id, antecedents (array), consequent, confidence. A subset test is an equi-join: the
-    basket's items meet the exploded antecedents and as many must match as the pattern has.
+    patterns: pattern_id, antecedents (array), consequent, confidence. A basket is known by the first add of each of its
+    products: a pattern holds from the latest of its antecedents' first adds (a subset test that is an equi-join: as many must match as the
+    pattern has) until the consequent's own. So baskets are never carried from add to add.
     """
-    w = W.partitionBy(key, "segment").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    adds = segmented(events, "refactored", None, key).filter(F.col("event_type") == ADD).withColumn("basket", F.collect_set("product_id").over(w)).select(key, "event_id", "basket")
-    good = patterns.filter(F.col("confidence") > least).select("pattern_id", F.array_distinct("antecedents").alias("ants"), "consequent", "confidence")
-    parts = good.select("pattern_id", F.size("ants").alias("need"), "consequent", "confidence", F.explode("ants").alias("item"))
-    held = adds.select(key, "event_id", F.explode("basket").alias("item"))
-    met = held.join(parts, "item").groupBy(key, "event_id", "pattern_id", "need", "consequent", "confidence").agg(F.count("*").alias("have")).filter("have = need")
+    order = ("us", "event_id")
+    adds = segmented(events, "refactored", None, key).filter(F.col("event_type") == ADD).select(key, "segment", "event_id", F.col("product_id").alias("item"), F.struct(*order).alias("at"))
+    firsts = adds.groupBy(key, "segment", "item").agg(F.min("at").alias("at"))
+    met = firsts.join(_parts(patterns, least), "item").groupBy(key, "segment", "pattern_id", "need", "consequent", "confidence").agg(F.count("*").alias("have"), F.max("at").alias("begins")).filter("have = need")
+    own = firsts.select(key, "segment", F.col("item").alias("consequent"), F.col("at").alias("ends"))
+    spans = met.join(own, [key, "segment", "consequent"], "left").select(key, "segment", "consequent", "confidence", "begins", "ends")
+    hit = adds.join(spans, [key, "segment"]).filter((F.col("begins") <= F.col("at")) & (F.col("ends").isNull() | (F.col("at") < F.col("ends"))))
+    return _listed(hit.groupBy(key, "event_id", "consequent").agg(F.max("confidence").alias("confidence")), k, key)
+
+
+def for_held(adds: DataFrame, patterns: DataFrame, k: int = 5, least: float = 0.5, key: str = "session_id") -> DataFrame:
+    """for_baskets() where each add comes with what its basket holds (an array `basket`), as a stream gives it."""
+    held = adds.select(key, "event_id", F.explode(F.array_distinct("basket")).alias("item"))
+    met = held.join(_parts(patterns, least), "item").groupBy(key, "event_id", "pattern_id", "need", "consequent", "confidence").agg(F.count("*").alias("have")).filter("have = need")
     met = met.join(held.withColumnRenamed("item", "consequent"), [key, "event_id", "consequent"], "left_anti")
-    each = met.groupBy(key, "event_id", "consequent").agg(F.max("confidence").alias("confidence"))
-    ranked = top(each, k, [key, "event_id"], [F.desc("confidence"), "consequent"])
-    out = ranked.groupBy(key, "event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "consequent"))), lambda x: x["consequent"]), ",").alias("products"))
-    return out.withColumn("kind", F.lit("BASKET_BASED")).withColumn("confidence", F.lit(0.75))
+    return _listed(met.groupBy(key, "event_id", "consequent").agg(F.max("confidence").alias("confidence")), k, key)
 
 
 def for_views(events: DataFrame, patterns: DataFrame, k: int = 3, key: str = "session_id") -> DataFrame:
@@ -52,24 +75,24 @@ def by_rules(owned: DataFrame, rules: DataFrame, k: int = 5, key: str = "session
     met = owned.join(rules, owned["item"] == rules["a"]).select(key, "c", "confidence")
     freq = rules.groupBy("c").agg(F.count("*").alias("freq"))
     have = owned.select(F.col(key), F.col("item").alias("c")).distinct()
-    scored = met.groupBy(key, "c").agg(F.sum("confidence").alias("s")).join(freq, "c").join(have, [key, "c"], "left_anti").select(key, "c", F.round(F.col("s") + F.col("freq") / 100, 6).alias("score"))
-    return top(scored, k, [key], [F.desc("score"), "c"])
+    scored = met.groupBy(key, "c").agg(F.sum("confidence").alias("s")).join(freq, "c").join(have, [key, "c"], "left_anti").select(key, "c", (F.col("s") + F.col("freq") / 100).alias("score"))
+    return top(scored, k, [key], [F.desc(F.round("score", TIE)), "c"])
 
 
 def cross_sell(owned: DataFrame, rules: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     """Top partners: one point for each association and confidence times support for each rule met."""
     met = owned.join(rules, owned["item"] == rules["a"]).select(key, "c", (F.lit(1.0) + F.col("confidence") * F.col("support")).alias("p"))
     have = owned.select(F.col(key), F.col("item").alias("c")).distinct()
-    scored = met.groupBy(key, "c").agg(F.round(F.sum("p"), 6).alias("score")).join(have, [key, "c"], "left_anti")
-    return top(scored, k, [key], [F.desc("score"), "c"])
+    scored = met.groupBy(key, "c").agg(F.sum("p").alias("score")).join(have, [key, "c"], "left_anti")
+    return top(scored, k, [key], [F.desc(F.round("score", TIE)), "c"])
 
 
 def contextual(similar: DataFrame, current: DataFrame, viewed: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     """Top items by similarity to the current one plus half of that to viewed ones; viewed and current ones left out."""
     w = current.select(key, "item", F.lit(1.0).alias("w")).unionByName(viewed.select(key, "item", F.lit(0.5).alias("w")))
-    got = w.join(similar, "item").groupBy(key, "other").agg(F.round(F.sum(F.col("w") * F.col("similarity")), 6).alias("score"))
+    got = w.join(similar, "item").groupBy(key, "other").agg(F.sum(F.col("w") * F.col("similarity")).alias("score"))
     have = w.select(key, F.col("item").alias("other")).distinct()
-    return top(got.join(have, [key, "other"], "left_anti"), k, [key], [F.desc("score"), "other"])
+    return top(got.join(have, [key, "other"], "left_anti"), k, [key], [F.desc(F.round("score", TIE)), "other"])
 
 
 def model_lookup(events: DataFrame, models: DataFrame, defaults: list[str]) -> DataFrame:

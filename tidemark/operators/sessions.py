@@ -60,9 +60,9 @@ def conversion(sess: DataFrame) -> DataFrame:
 
 def abandoned_of_value(sess: DataFrame, least: float = 100.0) -> DataFrame:
     """Abandoned carts worth at least `least`."""
-    return sess.filter((F.col("session_type") == "ABANDONED_CART") & (F.round("added_value", 6) >= least))
+    return sess.filter((F.col("session_type") == "ABANDONED_CART") & (F.col("added_value") >= least))
 
 
 def windowed_counts(events: DataFrame, size: str, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """Tumbling or sliding counts and sums by event type."""
-    return events.groupBy(F.window(ts, size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
+    return events.groupBy(F.window(ts, size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")

@@ -80,7 +80,7 @@ def _models(s, d):
 
 QUERIES = {
     "basket_completed": (
-        lambda s, d: baskets.completed(shop_events(s, d), timeout_us=HALF_DAY),
+        lambda s, d: baskets.completed(shop_events(s, d), timeout_us=HALF_DAY).withColumn("total_value", F.round("total_value", 4)),
         f"""WITH {_SEG} SELECT a.session_id, a.segment, e.us AS completed_us, n_items, items, total_value FROM (SELECT session_id, segment, count(*) AS n_items, array_to_string(list_sort(list(product_id)), ',') AS items, round(sum(value), 4) AS total_value FROM seg WHERE event_type = 'ADD_TO_CART' GROUP BY 1, 2) a
         JOIN seg e ON e.session_id = a.session_id AND e.segment = a.segment AND e.event_type = 'ORDER_PLACED'""",
     ),
@@ -124,24 +124,24 @@ QUERIES = {
     ),
     "popular_topk": (lambda s, d: recommend.popular(shop_events(s, d), 10), f"WITH {SHOP} SELECT product_id, count(*) AS n FROM shop GROUP BY 1 ORDER BY n DESC, product_id LIMIT 10"),
     "rule_topk": (
-        lambda s, d: recommend.by_rules(_own(s, d), _prules(s, d)),
-        f"""WITH {SHOP}, {_PAT}, {_OWN}, fr AS (SELECT c, count(*) AS freq FROM pat GROUP BY 1), sc AS (SELECT session_id, pat.c, round(sum(confidence) + any_value(freq) / 100, 6) AS score FROM own JOIN pat ON a = item JOIN fr ON fr.c = pat.c WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
-        SELECT session_id, c, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+        lambda s, d: recommend.by_rules(_own(s, d), _prules(s, d)).withColumn("score", F.round("score", 6)),
+        f"""WITH {SHOP}, {_PAT}, {_OWN}, fr AS (SELECT c, count(*) AS freq FROM pat GROUP BY 1), sc AS (SELECT session_id, pat.c, round(sum(confidence) + any_value(freq) / 100, 9) AS score FROM own JOIN pat ON a = item JOIN fr ON fr.c = pat.c WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
+        SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
     "cross_sell_topk": (
-        lambda s, d: recommend.cross_sell(_own(s, d), _prules(s, d)),
-        f"""WITH {SHOP}, {_PRULES}, {_OWN}, sc AS (SELECT session_id, pat.c, round(sum(1.0::DOUBLE + confidence * support), 6) AS score FROM own JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
-        SELECT session_id, c, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+        lambda s, d: recommend.cross_sell(_own(s, d), _prules(s, d)).withColumn("score", F.round("score", 6)),
+        f"""WITH {SHOP}, {_PRULES}, {_OWN}, sc AS (SELECT session_id, pat.c, round(sum(1.0::DOUBLE + confidence * support), 9) AS score FROM own JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
+        SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
     "contextual_topk": (
         lambda s, d: recommend.contextual(
             _prules(s, d).select(F.col("a").alias("item"), F.col("c").alias("other"), F.col("confidence").alias("similarity")),
             shop_events(s, d).groupBy("session_id").agg(F.max_by("product_id", F.struct("us", "event_id")).alias("item")),
             shop_events(s, d).filter("event_type = 'PRODUCT_VIEW'").select("session_id", F.col("product_id").alias("item")).distinct(),
-        ),
+        ).withColumn("score", F.round("score", 6)),
         f"""WITH {SHOP}, {_PAT}, cur AS (SELECT session_id, arg_max(product_id, us) AS item FROM shop GROUP BY 1), vw AS (SELECT DISTINCT session_id, product_id AS item FROM shop WHERE event_type = 'PRODUCT_VIEW'),
-        wt AS (SELECT session_id, item, 1.0::DOUBLE AS w FROM cur UNION ALL SELECT session_id, item, 0.5 FROM vw), sc AS (SELECT session_id, c AS other, round(sum(w * confidence), 6) AS score FROM wt JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM wt h WHERE h.session_id = wt.session_id AND h.item = c) GROUP BY 1, 2)
-        SELECT session_id, other, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, other) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+        wt AS (SELECT session_id, item, 1.0::DOUBLE AS w FROM cur UNION ALL SELECT session_id, item, 0.5 FROM vw), sc AS (SELECT session_id, c AS other, round(sum(w * confidence), 9) AS score FROM wt JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM wt h WHERE h.session_id = wt.session_id AND h.item = c) GROUP BY 1, 2)
+        SELECT session_id, other, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, other) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
     "model_lookup": (
         lambda s, d: recommend.model_lookup(shop_events(s, d), _models(s, d), ["DEFAULT_REC_001", "DEFAULT_REC_002", "DEFAULT_REC_003"]).select("event_id", "version", "accuracy", F.array_join("recs", ",").alias("recs")),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import baskets, cep, inventory, recommend, sessions
 from ..operators.sessions import ADD, ORDER, VIEW
+from ..streaming import patterns
+from ..streaming.patterns import Pattern
 from .domain import ORDER as SEQ
 from .domain import SHOP, UPDATES, W, micros, product_updates, products, shop_events, table
 
@@ -49,14 +51,14 @@ QUERIES = {
     ),
     "high_value_abandoned": (
         lambda s, d: sessions.abandoned_of_value(_sess("12 hours")(s, d)).select("session_id", micros("start").alias("start_us"), F.round("added_value", 4).alias("added_value")),
-        f"{_sess_sql(HALF_DAY)} SELECT session_id, epoch_us(start) AS start_us, round(added_value, 4) AS added_value FROM sess WHERE session_type = 'ABANDONED_CART' AND round(added_value, 6) >= 100",
+        f"{_sess_sql(HALF_DAY)} SELECT session_id, epoch_us(start) AS start_us, round(added_value, 4) AS added_value FROM sess WHERE session_type = 'ABANDONED_CART' AND added_value >= 100",
     ),
     "tumbling_hour": (
-        lambda s, d: sessions.windowed_counts(table(s, d, "events"), "1 hour").select(micros("start").alias("start_us"), "event_type", "n", "total"),
+        lambda s, d: sessions.windowed_counts(table(s, d, "events"), "1 hour").select(micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total")),
         "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     ),
     "sliding_hour": (
-        lambda s, d: sessions.windowed_counts(table(s, d, "events"), "1 hour", "30 minutes").select(micros("start").alias("start_us"), "event_type", "n", "total"),
+        lambda s, d: sessions.windowed_counts(table(s, d, "events"), "1 hour", "30 minutes").select(micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total")),
         """SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) - k * 1800000000 AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total
         FROM events, (VALUES (0), (1)) AS t(k) GROUP BY 1, 2""",
     ),
@@ -187,21 +189,41 @@ QUERIES |= {
 
 
 def _with_removals(s, d):
-    """Shopping events of which every fifth add takes its product out again, under the id of the next add."""
+    """Shopping events of which every fifth add takes its product out again, and logins are the other completing events."""
     e = shop_events(s, d)
-    return e.withColumn("event_type", F.when((F.col("event_type") == ADD) & (F.col("event_id") % 5 == 0), "REMOVE_FROM_CART").otherwise(F.col("event_type")))
+    other = F.when(F.col("event_id") % 2 == 0, "CHECKOUT_COMPLETE").otherwise("PAYMENT_PROCESSED")
+    kind = F.when((F.col("event_type") == ADD) & (F.col("event_id") % 5 == 0), "REMOVE_FROM_CART").when(F.col("event_type") == "USER_LOGIN", other).otherwise(F.col("event_type"))
+    return e.withColumn("event_type", kind).withColumn("product_id", F.concat(F.lit("P"), F.pmod("event_id", F.lit(3))))
 
 
 def _completed(mode):
-    return lambda s, d: baskets.completed(_with_removals(s, d).withColumn("product_id", F.concat(F.lit("P"), F.pmod("event_id", F.lit(3)))), mode, HALF_DAY)
+    return lambda s, d: baskets.completed(_with_removals(s, d), mode, HALF_DAY).withColumn("total_value", F.round("total_value", 4))
 
 
-_CUT = f"""{SHOP}, sh AS (SELECT session_id, event_id, us, value, 'P' || (event_id % 3) AS product_id, CASE WHEN event_type = '{ADD}' AND event_id % 5 = 0 THEN 'REMOVE_FROM_CART' ELSE event_type END AS event_type FROM shop),
-c AS (SELECT *, CASE WHEN coalesce(lag(event_type) OVER w = '{ORDER}', false) OR coalesce(us - lag(us) OVER w >= {HALF_DAY}, false) THEN 1 ELSE 0 END AS cut FROM sh WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
+_REMOVALS = f"""{SHOP}, sh AS (SELECT session_id, event_id, us, value, 'P' || (event_id % 3) AS product_id, CASE WHEN event_type = '{ADD}' AND event_id % 5 = 0 THEN 'REMOVE_FROM_CART' WHEN event_type <> 'USER_LOGIN' THEN event_type WHEN event_id % 2 = 0 THEN 'CHECKOUT_COMPLETE' ELSE 'PAYMENT_PROCESSED' END AS event_type FROM shop)"""
+
+
+def _cut(mode: str) -> str:
+    done = ", ".join(f"'{x}'" for x in baskets.COMPLETE[mode])
+    return f"""{_REMOVALS},
+c AS (SELECT *, CASE WHEN coalesce(lag(event_type) OVER w IN ({done}), false) OR coalesce(us - lag(us) OVER w >= {HALF_DAY}, false) THEN 1 ELSE 0 END AS cut FROM sh WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
 seg AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY session_id ORDER BY us, event_id) AS BIGINT) AS segment FROM c),
 kept AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM seg r WHERE r.session_id = a.session_id AND r.segment = a.segment AND r.product_id = a.product_id AND r.event_type = 'REMOVE_FROM_CART' AND (r.us, r.event_id) > (a.us, a.event_id)) AS stays FROM seg a WHERE a.event_type = '{ADD}'),
-b AS (SELECT session_id, segment, count(*) FILTER (stays) AS n_items, array_to_string(list_sort(list(product_id) FILTER (stays)), ',') AS items, round(sum(value), 4) AS total_value FROM kept GROUP BY 1, 2)
-SELECT b.session_id, b.segment, e.us AS completed_us, n_items, items, total_value FROM b JOIN seg e ON e.session_id = b.session_id AND e.segment = b.segment AND e.event_type = '{ORDER}' WHERE n_items > 0"""
+b AS (SELECT session_id, segment, count(*) FILTER (stays) AS n_items, array_to_string(list_sort(list(product_id) FILTER (stays)), ',') AS items, round(sum(value), 4) AS total_value FROM kept GROUP BY 1, 2)"""
+
+
+def _cut_sql(mode: str) -> str:
+    done = ", ".join(f"'{x}'" for x in baskets.COMPLETE[mode])
+    return f"WITH {_cut(mode)} SELECT b.session_id, b.segment, e.us AS completed_us, n_items, items, total_value FROM b JOIN seg e ON e.session_id = b.session_id AND e.segment = b.segment AND e.event_type IN ({done}) WHERE n_items > 0"
+
+
+#: A time by which no more events come.
+HORIZON = 1_800_000_000_000_000
+_CARTS_SQL = f"""WITH {_cut("refactored")},
+last AS (SELECT session_id, segment, max(us) AS us, arg_max(event_type, (us, event_id)) AS event_type FROM seg GROUP BY 1, 2),
+v AS (SELECT session_id, segment, string_agg(product_id, ',' ORDER BY us, event_id) AS views FROM (SELECT *, row_number() OVER (PARTITION BY session_id, segment ORDER BY us DESC, event_id DESC) AS n FROM seg WHERE event_type = '{VIEW}') WHERE n <= 50 GROUP BY 1, 2)
+SELECT session_id, segment, CASE WHEN e THEN 'completed' ELSE 'timeout' END AS kind, CASE WHEN e THEN us ELSE us + {HALF_DAY} END AS at_us, n_items, items, total_value, coalesce(views, '') AS views
+FROM (SELECT *, event_type IN ('ORDER_PLACED', 'CHECKOUT_COMPLETE', 'PAYMENT_PROCESSED') AS e FROM b JOIN last USING (session_id, segment) LEFT JOIN v USING (session_id, segment)) WHERE n_items > 0"""
 
 
 def _raw(s, d):
@@ -216,8 +238,29 @@ _EV = "ev AS (SELECT *, epoch_us(ts) AS us, event_id % 4 AS place FROM events)"
 _KINDS = ["USER_LOGIN", VIEW, ADD, ORDER]
 
 QUERIES |= {
-    "baskets_original": (_completed("original"), f"WITH {_CUT}"),
-    "baskets_with_removals": (_completed("refactored"), f"WITH {_CUT}"),
+    "baskets_original": (_completed("original"), _cut_sql("original")),
+    "baskets_with_removals": (_completed("refactored"), _cut_sql("refactored")),
+    "carts_ended": (
+        lambda s, d: baskets.carts(_with_removals(s, d), "refactored", HALF_DAY, horizon_us=HORIZON).withColumn("total_value", F.round("total_value", 4)),
+        _CARTS_SQL,
+    ),
+    "pattern_view_any_order": (
+        lambda s, d: patterns.find(shop_events(s, d), Pattern.begin("v", f"event_type = '{VIEW}'").followed_by_any("o", f"event_type = '{ORDER}'").within(2 * HALF_DAY)).filter("kind = 'match'").drop("kind", "steps"),
+        f"""WITH {SHOP} SELECT a.session_id, a.us AS first_us, b.us AS last_us, a.event_id || ',' || b.event_id AS ids FROM shop a JOIN shop b ON a.session_id = b.session_id AND (b.us, b.event_id) > (a.us, a.event_id) AND b.us - a.us < {2 * HALF_DAY}
+        WHERE a.event_type = '{VIEW}' AND b.event_type = '{ORDER}'""",
+    ),
+    "pattern_add_no_order": (
+        lambda s, d: patterns.find(shop_events(s, d), Pattern.begin("a", f"event_type = '{ADD}'").not_followed_by(f"event_type = '{ORDER}'").within(2 * HALF_DAY), horizon_us=HORIZON).select("session_id", "kind", "first_us", "ids"),
+        f"""WITH {SHOP} SELECT session_id, 'match' AS kind, us AS first_us, CAST(event_id AS VARCHAR) AS ids FROM shop a WHERE event_type = '{ADD}' AND NOT EXISTS (SELECT 1 FROM shop b
+        WHERE b.session_id = a.session_id AND b.event_type = '{ORDER}' AND (b.us, b.event_id) > (a.us, a.event_id) AND b.us - a.us < {2 * HALF_DAY})""",
+    ),
+    "pattern_timeouts": (
+        lambda s, d: patterns.find(shop_events(s, d), Pattern.begin("a", f"event_type = '{ADD}'").not_followed_by("event_type = 'USER_LOGIN'").followed_by("o", f"event_type = '{ORDER}'").within(4 * HALF_DAY), horizon_us=HORIZON).select("session_id", "kind", "first_us", "last_us", "ids"),
+        f"""WITH {SHOP}, n AS (SELECT *, min(CASE WHEN event_type = '{ORDER}' THEN (us, event_id) END) OVER w AS o, min(CASE WHEN event_type = 'USER_LOGIN' THEN (us, event_id) END) OVER w AS l
+        FROM shop WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        t AS (SELECT session_id, us, event_id, CASE WHEN o[1] - us < {4 * HALF_DAY} THEN o END AS o, CASE WHEN l[1] - us < {4 * HALF_DAY} THEN l END AS l FROM n WHERE event_type = '{ADD}')
+        SELECT session_id, CASE WHEN o IS NULL THEN 'timeout' ELSE 'match' END AS kind, us AS first_us, coalesce(o[1], us) AS last_us, event_id || coalesce(',' || o[2], '') AS ids FROM t WHERE (o IS NULL AND l IS NULL) OR (o IS NOT NULL AND (l IS NULL OR l > o))""",
+    ),
     "impossible_travel": (
         lambda s, d: cep.impossible_travel(_raw(s, d), "place", HALF_DAY, "user_id"),
         f"WITH {_EV} SELECT user_id, event_id, us, from_place, place AS to_place, took_us FROM (SELECT *, lag(place) OVER w AS from_place, us - lag(us) OVER w AS took_us FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)) WHERE from_place <> place AND took_us < {HALF_DAY}",
