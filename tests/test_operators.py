@@ -90,7 +90,81 @@ def test_translation_and_time_limit(spark):
         return text.upper()
 
     asked = spark.createDataFrame([("a",), ("hang",), ("b",)], "prompt string").coalesce(1)
-    assert [r.answer for r in chat.answered(asked, slow, timeout=2.0, fallback="later").collect()] == ["A", "later", "B"]
+    assert [r.answer for r in chat.answered(asked, slow, timeout=2.0, late="later").collect()] == ["A", "later", "B"]
+
+
+def test_calls_in_order():
+    """One slow call holds back only what is behind it; never more than the window in flight; a late one gives way."""
+    import threading
+    import time
+
+    now, most, begun, lock = 0, 0, {}, threading.Lock()
+
+    def call(i):
+        nonlocal now, most
+        with lock:
+            now, begun[i] = now + 1, time.monotonic()
+            most = max(most, now)
+        time.sleep(0.8 if i == 3 else 5 if i == 20 else 0.02)
+        with lock:
+            now -= 1
+        return i * 10
+
+    start, got, at = time.monotonic(), [], {}
+    for item, answer in chat.in_order(iter(range(40)), call, 8, 2.0, "late"):
+        got.append((item, answer))
+        at[item] = time.monotonic() - start
+    assert got == [(i, "late" if i == 20 else i * 10) for i in range(40)]
+    assert at[2] < 0.5 < at[3] and most <= 9  # the hung one no longer counts
+    assert begun[10] - start < 0.6 and begun[11] - start > 0.7  # the window goes on while the slow call runs, and no further
+
+
+def test_answers_over_batches(spark):
+    rows = spark.createDataFrame([(i, f"q{i}") for i in range(250)], "i int, prompt string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        def client(text):
+            if text == "q9":
+                raise ValueError
+            return text.upper()
+
+        got = chat.answered(rows, client, workers=20, retries=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.i, r.answer) for r in got] == [(i, chat.FAILED if i == 9 else f"Q{i}") for i in range(250)]
+    df = spark.createDataFrame([("RECOMMENDATION", ["a"]), ("HELP", ["a"])], "intent string, available array<string>")
+    assert [r.recommended_products for r in chat.with_recommendations(df).collect()] == [["a"], None]
+
+
+def test_stale_severity(spark):
+    """At the moment a timer fires the threshold has just passed, whatever it is: MEDIUM, up to twice the threshold."""
+    hour = 3_600_000_000
+    df = spark.createDataFrame([("a", 0, 1)], "product_id string, us bigint, seq int")
+    for threshold in (hour, 90 * 24 * hour):
+        assert [r.severity for r in inventory.stale(df, ["us", "seq"], threshold, 10**18).collect()] == ["MEDIUM"]
+        assert [r.severity for r in inventory.stale_at_horizon(df, ["us", "seq"], threshold, 2 * threshold).collect()] == ["MEDIUM"]
+        assert [r.severity for r in inventory.stale_at_horizon(df, ["us", "seq"], threshold, 2 * threshold + 1).collect()] == ["HIGH"]
+
+
+def test_alert_messages(spark):
+    df = spark.createDataFrame([("LOW_STOCK", 3, 9.0, 9.0), ("OUT_OF_STOCK", 0, 9.0, 9.0), ("PRICE_DROP", 5, 100.0, 87.5), ("OTHER", 1, 1.0, 1.0)], "channel string, inventory int, prev_price double, price double")
+    assert [r.m for r in df.select(inventory.alert_message().alias("m")).collect()] == ["Low stock: only 3 items remaining", "Product is out of stock", "Price dropped 12.5% from $100.00 to $87.50", None]
+
+
+def test_snapshots_through_idle_time(spark):
+    df = spark.createDataFrame([("a", 5, 1, 7, 1.0), ("a", 8, 2, 6, 1.0), ("a", 41, 3, 4, 2.0), ("b", 22, 1, 9, 3.0), ("c", 99, 1, 1, 1.0)], "product_id string, us bigint, seq int, inventory int, price double")
+    spans = inventory.snapshot_spans(df, 10, ["us", "seq"], 65)
+    assert spans.count() == 3
+    got = sorted((r.product_id, r.period, r.updates, r.inventory) for r in inventory.periods(spans).collect())
+    assert got == [("a", 0, 2, 6), ("a", 1, 0, 6), ("a", 2, 0, 6), ("a", 3, 0, 6), ("a", 4, 1, 4), ("a", 5, 0, 4), ("b", 2, 1, 9), ("b", 3, 0, 9), ("b", 4, 0, 9), ("b", 5, 0, 9)]
+
+
+def test_unknown_pattern():
+    import json
+
+    from tidemark.sources import readers
+
+    assert json.loads(readers.UNKNOWN) == {"antecedents": ["unknown"], "consequent": "unknown", "support": 0.01, "confidence": 0.5, "lift": 1.0}
 
 
 def test_not_followed(spark):

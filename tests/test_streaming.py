@@ -15,7 +15,9 @@ T0 = 1_700_000_000
 
 def run(df, mode, tmp_path, name):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    if not q.awaitTermination(30):  # with state that expires by the clock a query has always something to do
+        q.processAllAvailable()
+        q.stop()
     return df.sparkSession.table(name)
 
 
@@ -72,14 +74,31 @@ def test_deductions_stream(spark, tmp_path):
 def test_cart_context_stream(spark, tmp_path):
     from tidemark.operators import chat
 
-    events = spark.createDataFrame([("k", 1, 1, "ADD_TO_CART", "a", 2.0), ("k", 2, 2, "ADD_TO_CART", "a", 3.0), ("k", 3, 3, "ADD_TO_CART", "b", 1.5), ("k", 9, 4, "ORDER_PLACED", None, None), ("j", 1, 5, "PRODUCT_VIEW", "a", 1.0)], "key string, us bigint, event_id bigint, event_type string, product_id string, value double")
-    messages = spark.createDataFrame([("k", 0, 10), ("k", 3, 11), ("k", 10, 12), ("j", 5, 13)], "key string, us bigint, msg_id bigint")
+    events = spark.createDataFrame([("k", 1, 1, "ADD_TO_CART", "a", 2.0), ("k", 2, 2, "ADD_TO_CART", "a", 3.0), ("k", 3, 3, "ADD_TO_CART", "b", 1.5), ("k", 4, 6, "REMOVE_FROM_CART", "a", None), ("k", 5, 7, "ADD_TO_CART", "a", 7.0), ("k", 5, 8, "REMOVE_FROM_CART", "c", None), ("k", 9, 4, "ORDER_PLACED", None, None), ("j", 1, 5, "PRODUCT_VIEW", "a", 1.0)], "key string, us bigint, event_id bigint, event_type string, product_id string, value double")
+    messages = spark.createDataFrame([("k", 0, 10), ("k", 3, 11), ("k", 4, 14), ("k", 6, 15), ("k", 10, 12), ("j", 5, 13)], "key string, us bigint, msg_id bigint")
     events.write.parquet(str(tmp_path / "events"))
     messages.write.parquet(str(tmp_path / "messages"))
     read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
     columns = ["key", "msg_id", "item_count", "total_value", "products"]
     out = run(processors.cart_context(read("messages", messages), read("events", events), ttl_ms=3_600_000).select(*columns), "append", tmp_path, "carts")
-    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in chat.basket_context(messages, events).select(*columns).collect())
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted(tuple(r) for r in chat.basket_context(messages, events).select(*columns).collect())
+    assert got == [("j", 13, 0, 0.0, 0), ("k", 10, 0, 0.0, 0), ("k", 11, 3, 5.5, 2), ("k", 12, 0, 0.0, 0), ("k", 14, 1, 1.5, 1), ("k", 15, 2, 8.5, 2)]
+
+
+def test_stale_uncancelled(spark, tmp_path):
+    """Several timers of one product at a time; equal to the batch form, and unlike the form that cancels."""
+    rows = [("a", T0), ("a", T0 + 1800), ("a", T0 + 1800), ("a", T0 + 9000), ("b", T0), ("z", T0 + 50_000)]
+    df = spark.createDataFrame([(p, t, t * 1_000_000, i) for i, (p, t) in enumerate(rows)], "product_id string, sec bigint, us bigint, seq int").withColumn("ts", F.timestamp_seconds("sec"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    hour = 3_600_000
+    got = sorted((r.product_id, r.fires_ms, r.idle_ms) for r in run(processors.stale_uncancelled(stream, hour, 2 * hour), "append", tmp_path, "uncancelled").collect())
+    batch = inventory.stale_uncancelled(df, ["us", "seq"], hour * 1000, 2 * hour * 1000, (T0 + 49_990) * 1_000_000)
+    assert got == sorted((r.product_id, r.fires_us // 1000, r.idle_us // 1000) for r in batch.collect())
+    assert [x[0] for x in got] == ["a", "a", "b"] and got[0][2] == 5400 * 1000
+    assert inventory.stale_uncancelled(df, ["us", "seq"], hour * 1000, hour * 1000, 10**18).count() == 0
+    assert inventory.stale(df, ["us", "seq"], hour * 1000, (T0 + 49_990) * 1_000_000).count() == 3
 
 
 def test_append_sink(spark, tmp_path):

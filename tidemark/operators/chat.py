@@ -44,21 +44,38 @@ def languages(rows: DataFrame, user: str = "user_id", language: str = "language"
     return rows.filter(F.col(language).isNotNull()).groupBy(user).agg(F.max_by(language, F.struct(*order)).alias(language))
 
 
-def translated(rows: DataFrame, client, kind: str = "CHAT_MESSAGE") -> DataFrame:
-    """rows with translations filled by client(text, languages) -> {language: text}; other kinds, and failed calls, keep theirs."""
+def translated(rows: DataFrame, client, kind: str = "CHAT_MESSAGE", workers: int = 100, timeout: float = 60.0) -> DataFrame:
+    """rows with translations filled by client(text, languages) -> {language: text}; other kinds, and failed or late calls, keep theirs.
+
+    Up to `workers` calls are in flight, over Arrow batches; rows stay in order.
+    """
+
+    def ask(item):
+        what, text, old = item
+        if what != kind or not old or text is None:
+            return {}
+        try:
+            return {k: v for k, v in client(text, list(old)).items() if k in old}
+        except Exception:  # the original text stands in
+            return {}
 
     def run(parts):
-        for pdf in parts:
-            made = []
-            for what, text, old in zip(pdf["type"], pdf["message"], pdf["translations"], strict=True):
-                old = dict(old) if old is not None else {}
-                if what == kind and old and text is not None:
-                    try:
-                        old |= {k: v for k, v in client(text, list(old)).items() if k in old}
-                    except Exception:  # the original text stands in
-                        pass
-                made.append(old)
-            yield pdf.assign(translations=made)
+        from collections import deque
+
+        held: deque = deque()
+
+        def items():
+            for pdf in parts:
+                if len(pdf):
+                    held.append(pdf)
+                    yield from ((what, text, dict(old) if old is not None else {}) for what, text, old in zip(pdf["type"], pdf["message"], pdf["translations"], strict=True))
+
+        made: list = []
+        for (_, _, old), new in in_order(items(), ask, workers, timeout, {}):
+            made.append(old | new)
+            if len(made) == len(held[0]):
+                yield held.popleft().assign(translations=made)
+                made = []
 
     return rows.mapInPandas(run, rows.schema)
 
@@ -84,19 +101,28 @@ def basket_context(messages: DataFrame, events: DataFrame) -> DataFrame:
     """Each message with its key's cart at its time: count, value and products of adds since the last order.
 
     messages: key, us, msg_id. events: key, us, event_id, event_type, product_id, value. At equal times events
-    come first. A repeated add raises the quantity and keeps the first price.
+    come first. A repeated add raises the quantity and keeps the first price; a removal takes the product out, so that a later
+    add of it begins anew.
     """
     tag = messages.select("key", "us", F.lit(1).alias("src"), F.col("msg_id").alias("id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("product_id"), F.lit(None).cast("double").alias("value"))
     both = tag.unionByName(events.select("key", "us", F.lit(0).alias("src"), F.col("event_id").alias("id"), "event_type", "product_id", "value"))
-    w = W.partitionBy("key").orderBy("us", "src", "id")
-    cut = F.sum((F.col("event_type") == "ORDER_PLACED").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = both.withColumn("seg", F.coalesce(cut, F.lit(0)))
-    add = F.col("event_type") == "ADD_TO_CART"
-    per = W.partitionBy("key", "seg", "product_id").orderBy("us", "src", "id")
-    rows = rows.withColumn("__price", F.when(add, F.first(F.when(add, F.col("value")), ignorenulls=True).over(per.rowsBetween(W.unboundedPreceding, 0))))
-    rows = rows.withColumn("__new", F.when(add & (F.count_if(add).over(per.rowsBetween(W.unboundedPreceding, 0)) == 1), 1).otherwise(0))
-    so_far = W.partitionBy("key", "seg").orderBy("us", "src", "id").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("item_count", F.count_if(add).over(so_far)).withColumn("total_value", F.round(F.coalesce(F.sum("__price").over(so_far), F.lit(0.0)), 4)).withColumn("products", F.sum("__new").over(so_far))
+    order, kind = ("us", "src", "id"), F.col("event_type")
+    add, gone = kind == "ADD_TO_CART", kind == "REMOVE_FROM_CART"
+    up_to_here = lambda *by: W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = both.withColumn("seg", F.coalesce(F.count_if(kind == "ORDER_PLACED").over(up_to_here("key")), F.lit(0)))
+    # A product's stay in the cart ends with its removal; the removing row is the last of the stay.
+    removed = F.count_if(gone).over(W.partitionBy("key", "seg", "product_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__stay", F.coalesce(removed, F.lit(0)))
+    stay = up_to_here("key", "seg", "product_id", "__stay")
+    rows = rows.withColumn("__n", F.count_if(add).over(stay)).withColumn("__price", F.first(F.when(add, F.col("value")), ignorenulls=True).over(stay))
+    some = gone & (F.col("__n") > 0)
+    change = lambda one, all_: F.when(add, one).when(some, -all_).otherwise(0)
+    so_far = up_to_here("key", "seg")
+    out = (
+        rows.withColumn("item_count", F.sum(change(F.lit(1), F.col("__n"))).over(so_far))
+        .withColumn("total_value", F.sum(change(F.coalesce("__price", F.lit(0.0)), F.col("__n") * F.coalesce("__price", F.lit(0.0))).cast("double")).over(so_far))
+        .withColumn("products", F.sum(change((F.col("__n") == 1).cast("int"), F.lit(1))).over(so_far))
+    )
     return out.filter("src = 1").select("key", F.col("id").alias("msg_id"), "item_count", "total_value", "products")
 
 
@@ -106,10 +132,50 @@ def prompt(role: str, cart: Column, past: Column, recs: Column, query: Column) -
     return F.concat_ws("\n", F.lit(role), part("Cart", cart), part("History", past), part("Recommendations", recs), part("Customer", query))
 
 
-def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100, retries: int = 3, pause: float = 1.0, fallback: str = "Sorry, I cannot answer right now.", timeout: float = 60.0) -> DataFrame:
-    """rows with `answer` by client(text), in order, many in flight; after the retries, or timeout seconds, the fallback.
+#: What stands for an answer that failed, and for one that is late.
+FAILED = "I'm sorry, I'm having trouble understanding. Could you please rephrase?"
+LATE = "I'm taking a bit longer to respond. Please wait a moment."
+
+
+def in_order(items, call, workers: int, timeout: float, late):
+    """(item, call(item)) in the order of items, with up to `workers` calls under way; call must not raise.
+
+    A window of calls slides over the items: a slow call holds back what is behind it in the output, while calls behind it go on up to
+    the window's end. A call that takes longer than timeout seconds gives `late` and no longer counts.
+    """
+    import threading
+    import time
+    from collections import deque
+
+    window: deque = deque()
+
+    def begin(item):
+        got, done = [], threading.Event()
 
-    client is called on the executors and must be serialisable; tests pass a function without network.
+        def work():
+            got.append(call(item))
+            done.set()
+
+        threading.Thread(target=work, daemon=True).start()  # its own, so that hung calls hold up no later ones
+        window.append((item, got, done, time.monotonic() + timeout))
+
+    def end():
+        item, got, done, until = window.popleft()
+        return (item, got[0]) if done.wait(max(0.0, until - time.monotonic())) else (item, late)
+
+    for item in items:
+        if len(window) >= workers:
+            yield end()
+        begin(item)
+    while window:
+        yield end()
+
+
+def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100, retries: int = 3, pause: float = 1.0, fallback: str = FAILED, timeout: float = 60.0, late: str = LATE) -> DataFrame:
+    """rows with `answer` by client(text), in order, up to `workers` in flight; fallback after the retries, `late` after timeout seconds.
+
+    The window of calls slides over Arrow batches. client is called on the executors and must be serialisable; tests pass a
+    function without network.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())])
 
@@ -125,21 +191,26 @@ def answered(rows: DataFrame, client, column: str = "prompt", workers: int = 100
         return fallback
 
     def run(parts):
-        import time
-        from concurrent.futures import ThreadPoolExecutor, TimeoutError
-
-        for pdf in parts:
-            texts, answers = pdf[column].tolist(), []
-            for i in range(0, len(texts), workers):
-                pool = ThreadPoolExecutor(workers)  # its own, so that hung calls hold up no later ones
-                calls, until, hung = [pool.submit(ask, x) for x in texts[i : i + workers]], time.monotonic() + timeout, False
-                for call in calls:
-                    try:
-                        answers.append(call.result(max(0.0, until - time.monotonic())))
-                    except TimeoutError:
-                        hung = True
-                        answers.append(fallback)
-                pool.shutdown(wait=not hung, cancel_futures=True)
-            yield pdf.assign(answer=answers)
+        from collections import deque
+
+        held: deque = deque()  # batches whose answers are not complete
+
+        def texts():
+            for pdf in parts:
+                if len(pdf):
+                    held.append(pdf)
+                    yield from pdf[column].tolist()
+
+        answers: list = []
+        for _, answer in in_order(texts(), ask, workers, timeout, late):
+            answers.append(answer)
+            if len(answers) == len(held[0]):
+                yield held.popleft().assign(answer=answers)
+                answers = []
 
     return rows.mapInPandas(run, schema)
+
+
+def with_recommendations(rows: DataFrame, intent_: str = "intent", available: str = "available") -> DataFrame:
+    """rows with `recommended_products`: what is available, if the customer asked for a recommendation."""
+    return rows.withColumn("recommended_products", F.when(F.col(intent_) == "RECOMMENDATION", F.col(available)))

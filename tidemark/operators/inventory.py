@@ -108,17 +108,35 @@ def deduct(log: DataFrame, order: list[str], key: str = "product_id") -> DataFra
 def stale(updates: DataFrame, order: list[str], threshold_us: int, horizon_us: int, key: str = "product_id") -> DataFrame:
     """Updates after which nothing came for threshold_us, up to the horizon; severity by the time idle when the timer fires.
 
-    A timer fires the moment the threshold is reached, so that time is the threshold: HIGH needs one of over two hours.
+    A timer is moved by each update and fires the moment the threshold is reached. HIGH needs twice the threshold, so an alert on
+    time is MEDIUM whatever the threshold.
     """
     w = W.partitionBy(key).orderBy(*order)
     idle = F.coalesce(F.lead("us").over(w), F.lit(horizon_us)) - F.col("us")
-    return updates.withColumn("idle_us", idle).filter(F.col("idle_us") >= threshold_us).withColumn("fires_us", F.col("us") + threshold_us).withColumn("severity", F.lit("HIGH" if threshold_us > 2 * HOUR else "MEDIUM"))
+    rows = updates.withColumn("idle_us", idle).filter(F.col("idle_us") >= threshold_us).withColumn("fires_us", F.col("us") + threshold_us)
+    return rows.withColumn("severity", severity_of(F.col("fires_us") - F.col("us"), threshold_us))
+
+
+def severity_of(idle_us: Column, threshold_us: int) -> Column:
+    return F.when(idle_us > 2 * threshold_us, "HIGH").otherwise("MEDIUM")
+
+
+def stale_uncancelled(updates: DataFrame, order: list[str], threshold_us: int, fires_after_us: int, horizon_us: int, key: str = "product_id") -> DataFrame:
+    """The original form: each update sets a timer of its own that no later one cancels, several of a key at a time.
+
+    A timer that fires by the horizon is judged against the last update up to then: an alert needs more than threshold_us between
+    them. With fires_after_us equal to the threshold none is ever late enough, which is the original's defect; what it meant needs later timers.
+    """
+    near = W.partitionBy(key).orderBy("us").rangeBetween(0, fires_after_us)
+    rows = updates.withColumn("fires_us", F.col("us") + fires_after_us).withColumn("last_us", F.max("us").over(near))
+    rows = rows.withColumn("idle_us", F.col("fires_us") - F.col("last_us"))
+    return rows.filter((F.col("fires_us") <= horizon_us) & (F.col("idle_us") > threshold_us)).withColumn("reason", stale_reason(F.col("idle_us")))
 
 
 def stale_at_horizon(updates: DataFrame, order: list[str], threshold_us: int, horizon_us: int, key: str = "product_id") -> DataFrame:
     """stale() as seen from the horizon: severity by the whole idle time, HIGH beyond twice the threshold."""
     rows = stale(updates, order, threshold_us, horizon_us, key)
-    return rows.withColumn("severity", F.when(F.col("idle_us") > 2 * threshold_us, "HIGH").otherwise("MEDIUM"))
+    return rows.withColumn("severity", severity_of(F.col("idle_us"), threshold_us))
 
 
 def reason(kind: str = "event_type") -> Column:
@@ -134,6 +152,13 @@ def reason(kind: str = "event_type") -> Column:
     )
 
 
+def alert_message(channel: str = "channel") -> Column:
+    """The text of an alert of alerts()."""
+    old, new = F.col("prev_price"), F.col("price")
+    fall = F.format_string("Price dropped %.1f%% from $%.2f to $%.2f", F.abs(percent(old, new)).cast("double"), old.cast("double"), new.cast("double"))
+    return F.when(F.col(channel) == "LOW_STOCK", F.format_string("Low stock: only %d items remaining", F.col("inventory"))).when(F.col(channel) == "OUT_OF_STOCK", F.lit("Product is out of stock")).when(F.col(channel) == "PRICE_DROP", fall)
+
+
 def stale_reason(idle_us: Column) -> Column:
     return F.format_string("No updates for %.1f hours", idle_us / float(HOUR))
 
@@ -150,6 +175,25 @@ def snapshots(updates: DataFrame, size_us: int, order: list[str], key: str = "pr
     return updates.withColumn("period", F.floor(F.col("us") / size_us)).groupBy(key, "period").agg(F.count("*").alias("updates"), F.max_by(F.struct("inventory", "price"), F.struct(*order)).alias("s")).select(key, "period", "updates", "s.inventory", "s.price")
 
 
+def snapshot_spans(updates: DataFrame, size_us: int, order: list[str], horizon_us: int, key: str = "product_id") -> DataFrame:
+    """What a timer that sets itself anew each period would show, idle periods included: spans of periods with one state.
+
+    A span goes from a period with an update to that before the next such period, or to the last one that ends by the
+    horizon: one row however long a product idles.
+    """
+    each = snapshots(updates, size_us, order, key)
+    last = F.floor(F.lit(horizon_us) / size_us) - 1
+    w = W.partitionBy(key).orderBy("period")
+    spans = each.withColumn("to_period", F.coalesce(F.lead("period").over(w) - 1, last)).filter(F.col("period") <= last)
+    return spans.select(key, F.col("period").alias("from_period"), F.least("to_period", last).alias("to_period"), "updates", "inventory", "price")
+
+
+def periods(spans: DataFrame) -> DataFrame:
+    """Rows of snapshot_spans() as one row a period; idle periods have no updates."""
+    rows = spans.withColumn("period", F.explode(F.sequence("from_period", "to_period")))
+    return rows.withColumn("updates", F.when(F.col("period") == F.col("from_period"), F.col("updates")).otherwise(F.lit(0).cast("long"))).drop("from_period", "to_period")
+
+
 def balances(log: DataFrame, order: list[str], amount: Column, limit: float | None = None, key: str = "account_id") -> DataFrame:
     """log with `balance`, the running sum of amounts of its key, and `overdrawn`, whether it is under the limit (0 if none)."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

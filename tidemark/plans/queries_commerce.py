@@ -56,6 +56,25 @@ q AS (SELECT m.*, (SELECT count(*) FROM li WHERE li.user_id = m.user_id AND li.i
 o AS (SELECT user_id, seq, array_to_string(a, ',') AS antecedents, c AS consequent, kind, co / occ AS confidence, co / seq AS support, (co / occ) / (freq / seq) AS lift FROM q)"""
 
 
+def _long(s, d):
+    """Baskets of makers of ten customers, whose histories are longer than what is kept."""
+    o = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 10).cast("string").alias("user_id"), micros("o_orderdate").alias("us"))
+    li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat(F.lit("M"), F.right("p_brand", F.lit(1))).alias("item"))
+    seqs = li.select("l_orderkey").distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("seq", F.row_number().over(W.partitionBy("user_id").orderBy("us", "o_orderkey")).cast("long"))
+    return li.join(seqs.drop("l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("user_id", "seq", "item")
+
+
+_LONG = """li AS (SELECT CAST(o_custkey % 10 AS VARCHAR) AS user_id, dense_rank() OVER (PARTITION BY o_custkey % 10 ORDER BY epoch_us(o_orderdate), o_orderkey) AS seq, 'M' || right(p_brand, 1) AS item, 1 << CAST(right(p_brand, 1) AS INTEGER) AS bit FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT user_id, seq, bit_or(bit) AS m, count(*) AS entries, list_sort(list(DISTINCT item)) AS s FROM li GROUP BY 1, 2),
+c AS (SELECT user_id, seq, m, entries, s, unnest(s) AS c FROM b),
+w AS (SELECT user_id, seq, c, m - (1 << CAST(right(c, 1) AS INTEGER)) AS a, array_to_string(list_filter(s, lambda x: x <> c), ',') AS antecedents, 'full' AS kind FROM c WHERE len(s) > 1
+  UNION ALL SELECT user_id, seq, c, 1 << CAST(right(x, 1) AS INTEGER), x, 'single' FROM (SELECT *, unnest(s) AS x FROM c WHERE entries > 2) WHERE x <> c),
+q AS (SELECT w.*, 1 << CAST(right(c, 1) AS INTEGER) AS cb FROM w),
+m AS (SELECT q.user_id, q.seq, q.antecedents, q.c, q.kind, count(*) FILTER ((h.m & q.a) = q.a) AS occ, count(*) FILTER ((h.m & (q.a | q.cb)) = (q.a | q.cb)) AS co FROM q JOIN b h ON h.user_id = q.user_id AND h.seq <= q.seq AND q.seq - h.seq <= 1000 GROUP BY ALL),
+z AS (SELECT user_id, seq, item, sum(count(*)) OVER (PARTITION BY user_id, item ORDER BY seq) AS freq FROM li GROUP BY 1, 2, 3),
+o AS (SELECT m.user_id, m.seq, antecedents, c AS consequent, kind, co / occ AS confidence, co / m.seq AS support, (co / occ) / (freq / m.seq) AS lift FROM m JOIN z ON z.user_id = m.user_id AND z.seq = m.seq AND z.item = m.c)"""
+
+
 def _own(s, d):
     return shop_events(s, d).filter("event_type = 'ADD_TO_CART'").select("session_id", F.col("product_id").alias("item")).distinct()
 
@@ -96,6 +115,11 @@ QUERIES = {
         lambda s, d: baskets.incremental_rules(_incremental(s, d)).select("user_id", "seq", "antecedents", "consequent", "kind", *(F.round(x, 6).alias(x) for x in ("confidence", "support", "lift"))),
         f"WITH {_INC} SELECT user_id, seq, antecedents, consequent, kind, round(confidence, 6) AS confidence, round(support, 6) AS support, round(lift, 6) AS lift FROM o WHERE (kind = 'full' AND confidence > 0.3 AND support > 0.01) OR (kind = 'single' AND confidence > 0.4)",
     ),
+    "rules_long_history": (
+        lambda s, d: baskets.incremental_rules(_long(s, d)).groupBy("user_id", "antecedents", "consequent", "kind").agg(F.count("*").alias("n"), *(F.sum(F.round(F.col(x) * 1e6).cast("long")).alias(f"{x}_millionths") for x in ("confidence", "support", "lift"))),
+        f"""WITH {_LONG} SELECT user_id, antecedents, consequent, kind, count(*) AS n, {", ".join(f"sum(CAST(round({x} * 1e6::DOUBLE) AS BIGINT))::BIGINT AS {x}_millionths" for x in ("confidence", "support", "lift"))} FROM o
+        WHERE (kind = 'full' AND confidence > 0.3 AND support > 0.01) OR (kind = 'single' AND confidence > 0.4) GROUP BY ALL""",
+    ),
     "pattern_best": (
         lambda s, d: baskets.best_patterns(baskets.incremental_rules(_incremental(s, d)).select(F.concat_ws("_", "antecedents", "consequent").alias("pattern_id"), F.col("seq").alias("us"), "confidence")).select("pattern_id", "us", F.round("confidence", 6).alias("confidence")),
         f"WITH {_INC}, e AS (SELECT antecedents || '_' || consequent AS pattern_id, seq, confidence FROM o WHERE (kind = 'full' AND confidence > 0.3 AND support > 0.01) OR (kind = 'single' AND confidence > 0.4)) SELECT pattern_id, min(seq) AS us, round(confidence, 6) AS confidence FROM (SELECT *, max(confidence) OVER (PARTITION BY pattern_id) AS best FROM e) WHERE confidence = best GROUP BY pattern_id, confidence",
@@ -125,13 +149,13 @@ QUERIES = {
     "popular_topk": (lambda s, d: recommend.popular(shop_events(s, d), 10), f"WITH {SHOP} SELECT product_id, count(*) AS n FROM shop GROUP BY 1 ORDER BY n DESC, product_id LIMIT 10"),
     "rule_topk": (
         lambda s, d: recommend.by_rules(_own(s, d), _prules(s, d)).withColumn("score", F.round("score", 6)),
-        f"""WITH {SHOP}, {_PAT}, {_OWN}, fr AS (SELECT c, count(*) AS freq FROM pat GROUP BY 1), sc AS (SELECT session_id, pat.c, round(sum(confidence) + any_value(freq) / 100, 9) AS score FROM own JOIN pat ON a = item JOIN fr ON fr.c = pat.c WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
-        SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+        f"""WITH {SHOP}, {_PAT}, {_OWN}, fr AS (SELECT c, count(*) AS freq FROM pat GROUP BY 1), sc AS (SELECT session_id, pat.c, sum(confidence) + any_value(freq) / 100 AS score FROM own JOIN pat ON a = item JOIN fr ON fr.c = pat.c WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
+        SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
     "cross_sell_topk": (
         lambda s, d: recommend.cross_sell(_own(s, d), _prules(s, d)).withColumn("score", F.round("score", 6)),
-        f"""WITH {SHOP}, {_PRULES}, {_OWN}, sc AS (SELECT session_id, pat.c, round(sum(1.0::DOUBLE + confidence * support), 9) AS score FROM own JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
-        SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+        f"""WITH {SHOP}, {_PRULES}, {_OWN}, sc AS (SELECT session_id, pat.c, sum(1.0::DOUBLE + confidence * support) AS score FROM own JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
+        SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
     "contextual_topk": (
         lambda s, d: recommend.contextual(
@@ -140,8 +164,8 @@ QUERIES = {
             shop_events(s, d).filter("event_type = 'PRODUCT_VIEW'").select("session_id", F.col("product_id").alias("item")).distinct(),
         ).withColumn("score", F.round("score", 6)),
         f"""WITH {SHOP}, {_PAT}, cur AS (SELECT session_id, arg_max(product_id, us) AS item FROM shop GROUP BY 1), vw AS (SELECT DISTINCT session_id, product_id AS item FROM shop WHERE event_type = 'PRODUCT_VIEW'),
-        wt AS (SELECT session_id, item, 1.0::DOUBLE AS w FROM cur UNION ALL SELECT session_id, item, 0.5 FROM vw), sc AS (SELECT session_id, c AS other, round(sum(w * confidence), 9) AS score FROM wt JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM wt h WHERE h.session_id = wt.session_id AND h.item = c) GROUP BY 1, 2)
-        SELECT session_id, other, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, other) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+        wt AS (SELECT session_id, item, 1.0::DOUBLE AS w FROM cur UNION ALL SELECT session_id, item, 0.5 FROM vw), sc AS (SELECT session_id, c AS other, sum(w * confidence) AS score FROM wt JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM wt h WHERE h.session_id = wt.session_id AND h.item = c) GROUP BY 1, 2)
+        SELECT session_id, other, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, other) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
     "model_lookup": (
         lambda s, d: recommend.model_lookup(shop_events(s, d), _models(s, d), ["DEFAULT_REC_001", "DEFAULT_REC_002", "DEFAULT_REC_003"]).select("event_id", "version", "accuracy", F.array_join("recs", ",").alias("recs")),
@@ -241,11 +265,14 @@ QUERIES = {
     "chat_basket_asof": (
         lambda s, d: chat.basket_context(
             table(s, d, "conversations").filter("role = 'user'").select((F.pmod("conv_id", F.lit(150))).cast("string").alias("key"), (F.lit(1704067200000000) + F.col("conv_id") * 14_400_000_000 + F.col("turn") * 60_000_000).alias("us"), (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id")),
-            shop_events(s, d).select(F.col("session_id").alias("key"), "us", "event_id", "event_type", "product_id", "value"),
-        ),
-        f"""WITH {SHOP}, msg AS (SELECT CAST(conv_id % 150 AS VARCHAR) AS key, 1704067200000000 + conv_id * 14400000000 + turn * 60000000 AS us, conv_id * 1000 + turn AS msg_id FROM conversations WHERE role = 'user'),
-        x AS (SELECT msg.*, (SELECT max(us) FROM shop o WHERE o.session_id = msg.key AND o.event_type = 'ORDER_PLACED' AND o.us <= msg.us) AS lo FROM msg),
-        a AS (SELECT x.key, x.msg_id, s.event_id, s.product_id, first_value(s.value) OVER (PARTITION BY x.msg_id, s.product_id ORDER BY s.us, s.event_id) AS price FROM x JOIN shop s ON s.session_id = x.key AND s.event_type = 'ADD_TO_CART' AND s.us <= x.us AND (x.lo IS NULL OR s.us > x.lo))
+            shop_events(s, d).select(F.col("session_id").alias("key"), "us", "event_id", F.when((F.col("event_type") == "ADD_TO_CART") & (F.col("event_id") % 4 == 0), "REMOVE_FROM_CART").otherwise(F.col("event_type")).alias("event_type"), F.concat(F.lit("P"), F.pmod("event_id", F.lit(3))).alias("product_id"), "value"),
+        ).withColumn("total_value", F.round(F.col("total_value") + 0.0, 4)),
+        f"""WITH {SHOP}, ev AS (SELECT session_id, us, event_id, 'P' || (event_id % 3) AS product_id, value, CASE WHEN event_type = 'ADD_TO_CART' AND event_id % 4 = 0 THEN 'REMOVE_FROM_CART' ELSE event_type END AS event_type FROM shop),
+        msg AS (SELECT CAST(conv_id % 150 AS VARCHAR) AS key, 1704067200000000 + conv_id * 14400000000 + turn * 60000000 AS us, conv_id * 1000 + turn AS msg_id FROM conversations WHERE role = 'user'),
+        x AS (SELECT msg.*, (SELECT max((us, event_id)) FROM ev o WHERE o.session_id = msg.key AND o.event_type = 'ORDER_PLACED' AND o.us <= msg.us) AS lo FROM msg),
+        b AS (SELECT x.key, x.msg_id, s.* FROM x JOIN ev s ON s.session_id = x.key AND s.us <= x.us AND (x.lo IS NULL OR (s.us, s.event_id) > x.lo)),
+        g AS (SELECT msg_id, product_id, max((us, event_id)) AS at FROM b WHERE event_type = 'REMOVE_FROM_CART' GROUP BY 1, 2),
+        a AS (SELECT b.msg_id, b.event_id, b.product_id, first_value(b.value) OVER (PARTITION BY b.msg_id, b.product_id ORDER BY b.us, b.event_id) AS price FROM b LEFT JOIN g USING (msg_id, product_id) WHERE b.event_type = 'ADD_TO_CART' AND (g.at IS NULL OR (b.us, b.event_id) > g.at))
         SELECT x.key, x.msg_id, count(a.event_id) AS item_count, round(coalesce(sum(price), 0.0), 4) AS total_value, count(DISTINCT product_id) AS products FROM x LEFT JOIN a ON a.msg_id = x.msg_id GROUP BY 1, 2""",
     ),
 }

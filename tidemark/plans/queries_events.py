@@ -158,12 +158,23 @@ QUERIES |= {
     ),
     "stale_products": (
         lambda s, d: inventory.stale(product_updates(s, d), SEQ, 90 * _DAY, _HORIZON).select("product_id", "us", "seq1", "seq2", "idle_us", "fires_us", "severity"),
-        f"WITH {UPDATES}, l AS (SELECT *, coalesce(lead(us) OVER {W}, {_HORIZON}) - us AS idle_us FROM upd) SELECT product_id, us, seq1, seq2, idle_us, us + {90 * _DAY} AS fires_us, 'HIGH' AS severity FROM l WHERE idle_us >= {90 * _DAY}",
+        f"WITH {UPDATES}, l AS (SELECT *, coalesce(lead(us) OVER {W}, {_HORIZON}) - us AS idle_us FROM upd) SELECT product_id, us, seq1, seq2, idle_us, us + {90 * _DAY} AS fires_us, 'MEDIUM' AS severity FROM l WHERE idle_us >= {90 * _DAY}",
     ),
     "stale_at_horizon": (
         lambda s, d: inventory.stale_at_horizon(product_updates(s, d), SEQ, 90 * _DAY, _HORIZON).select("product_id", "us", "seq1", "seq2", "idle_us", "fires_us", "severity"),
         f"WITH {UPDATES}, l AS (SELECT *, coalesce(lead(us) OVER {W}, {_HORIZON}) - us AS idle_us FROM upd) SELECT product_id, us, seq1, seq2, idle_us, us + {90 * _DAY} AS fires_us, CASE WHEN idle_us > {180 * _DAY} THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM l WHERE idle_us >= {90 * _DAY}",
     ),
+    "stale_uncancelled": (
+        lambda s, d: inventory.stale_uncancelled(product_updates(s, d), SEQ, 90 * _DAY, 120 * _DAY, _HORIZON).select("product_id", "us", "seq1", "seq2", "fires_us", "idle_us"),
+        f"WITH {UPDATES} SELECT product_id, us, seq1, seq2, us + {120 * _DAY} AS fires_us, us + {120 * _DAY} - last AS idle_us FROM (SELECT *, (SELECT max(o.us) FROM upd o WHERE o.product_id = u.product_id AND o.us BETWEEN u.us AND u.us + {120 * _DAY}) AS last FROM upd u) WHERE us + {120 * _DAY} <= {_HORIZON} AND us + {120 * _DAY} - last > {90 * _DAY}",
+    ),
+    "snapshots_through_idle": (
+        lambda s, d: inventory.periods(inventory.snapshot_spans(product_updates(s, d), 30 * _DAY, SEQ, _HORIZON)).groupBy("period").agg(F.count("*").alias("products"), F.sum("updates").alias("updates"), F.sum(F.col("inventory").cast("long")).alias("inventory")),
+        f"""WITH {UPDATES}, p AS (SELECT DISTINCT product_id FROM upd), g AS (SELECT product_id, unnest(range((SELECT min(us) // {30 * _DAY} FROM upd), {_HORIZON} // {30 * _DAY})) AS period FROM p),
+        s AS (SELECT product_id, us // {30 * _DAY} AS period, count(*) AS updates, arg_max(inventory, (us, seq1, seq2, seq3, seq4, seq5)) AS inventory FROM upd GROUP BY 1, 2),
+        f AS (SELECT g.product_id, g.period, coalesce(s.updates, 0) AS updates, last_value(s.inventory IGNORE NULLS) OVER (PARTITION BY g.product_id ORDER BY g.period) AS inventory FROM g LEFT JOIN s USING (product_id, period))
+        SELECT period, count(*) AS products, sum(updates)::BIGINT AS updates, sum(inventory)::BIGINT AS inventory FROM f WHERE inventory IS NOT NULL GROUP BY 1""",
+    ),
     "change_reasons": (
         lambda s, d: _events("refactored")(s, d).withColumn("reason", inventory.reason()).filter("event_type NOT IN ('PRODUCT_ADDED', 'PRICE_CHANGED')").select("product_id", "us", "seq1", "seq2", "reason"),
         f"""WITH {_REF} SELECT product_id, us, seq1, seq2, CASE event_type WHEN 'OUT_OF_STOCK' THEN 'Product is now out of stock' WHEN 'BACK_IN_STOCK' THEN 'Product restocked with ' || inventory || ' units'

@@ -94,7 +94,7 @@ def since(rows: DataFrame, version: int, column: str = "version") -> DataFrame:
 
 
 #: Fixed value: what stands for a row that cannot be written.
-UNKNOWN = '{"antecedents":["unknown"],"consequent":"unknown","support":0.1,"confidence":0.5,"lift":1.0}'
+UNKNOWN = '{"antecedents":["unknown"],"consequent":"unknown","support":0.01,"confidence":0.5,"lift":1.0}'
 
 
 def as_json(rows: DataFrame, fallback: str = "{}") -> DataFrame:

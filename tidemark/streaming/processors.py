@@ -77,6 +77,48 @@ def stale(updates: DataFrame, threshold_ms: int = HOUR_MS, late: str = "5 second
     return rows.groupBy("product_id").transformWithStateInPandas(StaleProcessor(threshold_ms), "product_id string, idle_since bigint", "Append", "EventTime")
 
 
+class UncancelledProcessor(StatefulProcessor):
+    """The original stale detector: a timer an update, several at a time, each judged against the last update when it fires."""
+
+    def __init__(self, threshold_ms: int, fires_after_ms: int):
+        self.threshold, self.fires_after = threshold_ms, fires_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for at in pdf["at_ms"].astype("int64").tolist():
+                self.times.appendValue((at,))
+                self.handle.registerTimer(at + self.fires_after)
+        yield self._rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fires = expiredTimerInfo.getExpiryTimeInMs()
+        times = sorted(t[0] for t in self.times.get())
+        last = max(t for t in times if t <= fires)
+        begun = sum(t == fires - self.fires_after for t in times)  # updates of one time share a timer
+        keep = [(t,) for t in times if t > fires - self.fires_after]
+        self.times.clear()
+        if keep:
+            self.times.put(keep)
+        yield self._rows([(key[0], fires, fires - last)] * begun if fires - last > self.threshold else [])
+
+    @staticmethod
+    def _rows(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["product_id", "fires_ms", "idle_ms"]).astype({"fires_ms": "int64", "idle_ms": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_uncancelled(updates: DataFrame, threshold_ms: int = HOUR_MS, fires_after_ms: int = HOUR_MS, late: str = "5 seconds", ts: str = "ts") -> DataFrame:
+    """inventory.stale_uncancelled as a stream."""
+    rows = updates.withWatermark(ts, late).withColumn("at_ms", F.unix_millis(F.col(ts).cast("timestamp")))
+    return rows.groupBy("product_id").transformWithStateInPandas(UncancelledProcessor(threshold_ms, fires_after_ms), "product_id string, fires_ms bigint, idle_ms bigint", "Append", "EventTime")
+
+
 class SequenceProcessor(StatefulProcessor):
     """A small automaton over one key's events: steps of (name, kind, how), how one of next, followedBy, followedByAny, notNext, notFollowedBy.
 
@@ -198,7 +240,7 @@ class CartProcessor(StatefulProcessor):
         items = {k[0]: list(v) for k, v in self.items.iterator()}
         for r in pdf.itertuples():
             if r.src == 1:
-                out.append((key[0], r.id, sum(n for n, _ in items.values()), round(sum(n * p for n, p in items.values()), 4), len(items)))
+                out.append((key[0], r.id, sum(n for n, _ in items.values()), float(sum(n * p for n, p in items.values())), len(items)))
             elif r.event_type == "ADD_TO_CART":
                 items.setdefault(r.product_id, [0, float(r.value)])[0] += 1
             elif r.event_type == "REMOVE_FROM_CART":
