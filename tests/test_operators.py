@@ -327,3 +327,59 @@ def test_rules_in_force_and_permissions(spark):
     rows = spark.createDataFrame([(1, "admin", "ban"), (2, "user", "ban"), (3, None, "ban")], "id int, role string, action string")
     grants = spark.createDataFrame([("admin", "ban"), ("admin", "ban"), ("user", "post")], "role string, action string")
     assert [r.id for r in recommend.permitted(rows, grants, "role", "action").collect()] == [1]
+
+
+def test_item_similarity(spark):
+    """Equal to the plain cosine at every threshold, a hot item included."""
+    import random
+
+    rng = random.Random(3)
+    sets = {b: {"hot"} | {rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))} for b in range(80)}
+    rows = [(b, i) for b, s in sets.items() for i in s] * 2 + [(1, None)]
+    df = spark.createDataFrame(rows, "basket_id int, item string")
+    n = {i: sum(i in s for s in sets.values()) for i in "hot a b c d e f g h".split()}
+    for least in (0.05, 0.3, 0.6, 1.0):
+        got = {(r.item, r.other): round(r.similarity, 9) for r in recommend.item_similarity(df, least).collect()}
+        cosine = {(x, y): sum({x, y} <= s for s in sets.values()) / (n[x] * n[y]) ** 0.5 for x in n for y in n if x != y}
+        assert got == {k: round(v, 9) for k, v in cosine.items() if v >= least}
+
+
+def test_basket_features(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("c", [5.0, 6.0]), ("d", [7.0, 8.0])], "item string, vector array<double>")
+    rows = spark.createDataFrame([(1, ["b", "x", "a"]), (2, []), (3, ["a", "b", "c", "d"])], "basket_id int, items array<string>")
+    got = {r.basket_id: r.features for r in recommend.basket_features(rows, vectors, 6, 2).collect()}
+    assert got == {1: [3.0, 4.0, 1.0, 2.0, 0.0, 0.0], 2: [0.0] * 6, 3: [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]}
+
+
+def test_exact_split(spark):
+    df = spark.createDataFrame([(i,) for i in range(1001)], "k int")
+    parts = [{r.k: r.part for r in scoring.exact_split(df.repartition(n), [0.5, 0.3, 0.2], "k", seed).collect()} for n, seed in ((1, 1), (7, 1), (3, 2))]
+    assert parts[0] == parts[1] != parts[2]
+    for p in parts:
+        assert [sum(v == x for v in p.values()) for x in (0, 1, 2, None)] == [500, 300, 200, 1] and len(p) == 1001
+    assert scoring.exact_split(df.filter("false"), [0.5], "k").count() == 0
+    with pytest.raises(ValueError):
+        scoring.exact_split(df, [0.9, 0.2], "k")
+
+
+def test_one_vs_rest(spark):
+    """The weights are those of a plain run of the same steps, and the loss falls."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = [(x := rng.gauss(0, 1), y := rng.gauss(0, 1), "a" if x > 0.3 else "b" if y > 0 else "c") for _ in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double, label string").repartition(3)
+    w = scoring.fit_one_vs_rest(df, ["x", "y"], "label", ["a", "b", "c"], 12, 1.5, 0.01)
+    data = np.array([[1.0, x, y] for x, y, _ in rows])
+    for c in "abc":
+        t, v = np.array([r[2] == c for r in rows], float), np.zeros(3)
+        losses = []
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-data @ v))
+            losses.append(-np.mean(t * np.log(p) + (1 - t) * np.log(1 - p)))
+            v = v - 1.5 * (data.T @ (p - t) / len(t) + 0.01 * np.r_[0, v[1:]])
+        assert np.allclose(v, w[c]) and losses[-1] < losses[0]
+    got = scoring.one_vs_rest(df, ["x", "y"], w)
+    assert got.filter("predicted = label").count() > 240

@@ -87,6 +87,37 @@ def cross_sell(owned: DataFrame, rules: DataFrame, k: int = 5, key: str = "sessi
     return top(scored, k, [key], [F.desc(F.round("score", TIE)), "c"])
 
 
+def item_similarity(items: DataFrame, least: float = 0.1, basket: str = "basket_id", item: str = "item") -> DataFrame:
+    """(item, other, similarity): cosine of the baskets of two different items, both ways, where it is `least` or more.
+
+    With n the baskets of an item, two have at most the lesser n in common, so their cosine is at most sqrt(lesser / greater): pairs
+    under the bound are never made. Pairs are made within baskets and counted before they are shuffled, so an item of a
+    third of all baskets is no hot key. Null items are no items.
+    """
+    each = items.filter(F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).alias("i")).distinct()
+    norms = each.groupBy("i").agg(F.count("*").alias("n"))
+    sets = each.join(norms, "i").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("s"))
+    # In ascending order of n, the partners of an item are those after it up to n / least**2.
+    near = F.expr(f"transform(s, (x, k) -> struct(x AS x, filter(slice(s, k + 2, size(s)), y -> y.n * {least * least}D <= x.n * (1D + 1e-9D)) AS ys))")
+    pairs = sets.select(F.explode(near).alias("p")).select("p.x", F.explode("p.ys").alias("y"))
+    both = pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("c"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("together"))
+    cosine = both.withColumn("similarity", F.col("together") / F.sqrt(F.col("n").cast("double") * F.col("m"))).filter(F.col("similarity") >= least)
+    ways = F.array(F.struct(F.col("a").alias("item"), F.col("c").alias("other")), F.struct(F.col("c").alias("item"), F.col("a").alias("other")))
+    return cosine.select(F.explode(ways).alias("w"), "similarity").select("w.item", "w.other", "similarity")
+
+
+def basket_features(baskets: DataFrame, vectors: DataFrame, size: int, dims: int, key: str = "basket_id") -> DataFrame:
+    """(key, features): the vectors of a basket's items one after the other, in order, those without a vector left out, zeros up to `size`.
+
+    baskets: key, items (array); vectors: item, vector. No more than size / dims items count.
+    """
+    most = size // dims
+    each = baskets.select(key, F.posexplode_outer("items").alias("place", "item")).join(vectors, "item", "left")
+    got = each.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("vector").isNotNull(), F.struct("place", "vector")))).alias("v"))
+    flat = F.flatten(F.transform(F.slice("v", 1, most), lambda x: x["vector"].cast("array<double>")))
+    return got.select(key, F.concat(flat, F.array_repeat(F.lit(0.0), size - F.size(flat))).alias("features"))
+
+
 def contextual(similar: DataFrame, current: DataFrame, viewed: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     """Top items by similarity to the current one plus half of that to viewed ones; viewed and current ones left out."""
     w = current.select(key, "item", F.lit(1.0).alias("w")).unionByName(viewed.select(key, "item", F.lit(0.5).alias("w")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import PURCHASE
@@ -90,6 +91,77 @@ def split(rows: DataFrame, fractions: list[float], seed: int) -> list[DataFrame]
     return rows.randomSplit(fractions, seed)
 
 
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """rows with `draw`, a number from the key and a seed; ordering by (draw, key) is a shuffle that repeats on any cluster."""
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return rows.withColumn("draw", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
+
+
+#: Buckets of draws that are counted; only those that hold a boundary are ranked.
+BUCKETS = 1 << 12
+
+
+def exact_split(rows: DataFrame, fractions: list[float], key: str, seed: int = 42) -> DataFrame:
+    """rows with `part`: of n rows the first int(n * fractions[0]) of the shuffle are part 0, and so on; what is over is null.
+
+    Sizes are exact and do not depend on partitioning: draws are counted by bucket, and rows are ranked only in the few buckets in which a
+    part ends. Rows of equal keys are in any order among each other.
+    """
+    if not fractions or any(f <= 0 for f in fractions) or sum(fractions) > 1 + 1e-9:
+        raise ValueError("fractions must be above zero and add up to no more than one")
+    drawn = shuffled(rows, key, seed).withColumn("__b", F.shiftright("draw", 60 - 12).cast("int"))
+    counts = {r["__b"]: r["n"] for r in drawn.groupBy("__b").agg(F.count("*").alias("n")).collect()}  # BUCKETS rows at most
+    total, ends, at = sum(counts.values()), [], 0
+    for f in fractions:
+        at += int(total * f + 1e-9)
+        ends.append(at)
+    # For each bucket the number of rows before it; a part that ends inside needs the rank there.
+    before, whole, cut = 0, [], []
+    for b in range(BUCKETS):
+        n = counts.get(b, 0)
+        if n and any(before < e < before + n for e in ends):
+            cut.append((b, before))
+        elif n:
+            whole.append((b, next((i for i, e in enumerate(ends) if before < e), None)))
+        before += n
+    place = F.row_number().over(W.partitionBy("__b").orderBy("draw", key)) + F.element_at(F.create_map(*[F.lit(x) for pair in cut or [(-1, 0)] for x in pair]), F.col("__b")) - 1
+    part = F.lit(None).cast("int")
+    for i in reversed(range(len(ends))):
+        part = F.when(F.col("__place") < ends[i], i).otherwise(part)
+    known = drawn.sparkSession.createDataFrame(whole, "__b int, part int")
+    settled = drawn.join(F.broadcast(known), "__b").drop("__b", "draw")  # BUCKETS rows at most
+    ranked = drawn.filter(F.col("__b").isin([b for b, _ in cut])).withColumn("__place", place).withColumn("part", part).drop("__b", "draw", "__place")
+    return settled.unionByName(ranked)
+
+
+def fit_one_vs_rest(rows: DataFrame, features_: list[str], label: str, classes: list, iterations: int = 50, rate: float = 1.0, penalty: float = 0.0) -> dict:
+    """{class: [bias, weights ...]} of logistic models by full gradient steps, all classes in one aggregation a step."""
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features_)]
+    w = {c: [0.0] * len(x) for c in classes}
+    for _ in range(iterations):
+        sums = []
+        for k, c in enumerate(classes):
+            z = reduce(lambda a, b: a + b, (v * f for v, f in zip(w[c], x, strict=True)))
+            rest = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col(label).eqNullSafe(F.lit(c)).cast("double")
+            sums += [F.avg(rest * f).alias(f"g{k}_{j}") for j, f in enumerate(x)]
+        g = rows.agg(*sums).first()
+        if g[0] is None:
+            break
+        w = {c: [v - rate * (g[f"g{k}_{j}"] + (penalty * v if j else 0.0)) for j, v in enumerate(w[c])] for k, c in enumerate(classes)}
+    return w
+
+
+def one_vs_rest(rows: DataFrame, features_: list[str], weights: dict) -> DataFrame:
+    """rows with `predicted`, the class of the greatest score; the first of equals in the order of weights."""
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features_)]
+    scores = [reduce(lambda a, b: a + b, (F.lit(v) * f for v, f in zip(w, x, strict=True))) for w in weights.values()]
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    out = F.lit(None)
+    for c, s in reversed(list(zip(weights, scores, strict=True))):
+        out = F.when(s == best, F.lit(c)).otherwise(out)
+    return rows.withColumn("predicted", out)
+
+
 def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return rows.groupBy(actual, predicted).agg(F.count("*").alias("n"))
 

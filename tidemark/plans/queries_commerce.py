@@ -157,6 +157,25 @@ QUERIES = {
         f"""WITH {SHOP}, {_PRULES}, {_OWN}, sc AS (SELECT session_id, pat.c, sum(1.0::DOUBLE + confidence * support) AS score FROM own JOIN pat ON a = item WHERE NOT EXISTS (SELECT 1 FROM own h WHERE h.session_id = own.session_id AND h.item = pat.c) GROUP BY 1, 2)
         SELECT session_id, c, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, c) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
     ),
+    "item_similarity": (
+        lambda s, d: recommend.item_similarity(basket_items(s, d), 0.08).withColumn("similarity", F.round("similarity", 9)),
+        """WITH e AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT i, count(*) AS n FROM e GROUP BY 1),
+        p AS (SELECT x.i AS item, y.i AS other, count(*) AS t FROM e x JOIN e y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2)
+        SELECT item, other, round(t / sqrt(CAST(a.n AS DOUBLE) * c.n), 9) AS similarity FROM p JOIN n a ON a.i = item JOIN n c ON c.i = other WHERE t / sqrt(CAST(a.n AS DOUBLE) * c.n) >= 0.08""",
+    ),
+    "contextual_similar": (
+        lambda s, d: recommend.contextual(
+            recommend.item_similarity(shop_events(s, d).select(F.col("session_id").alias("basket_id"), F.col("product_id").alias("item")), 0.05),
+            shop_events(s, d).groupBy("session_id").agg(F.max_by("product_id", F.struct("us", "event_id")).alias("item")),
+            shop_events(s, d).filter("event_type = 'PRODUCT_VIEW'").select("session_id", F.col("product_id").alias("item")).distinct(),
+        ).withColumn("score", F.round("score", 6)),
+        f"""WITH {SHOP}, e AS (SELECT DISTINCT session_id AS b, product_id AS i FROM shop WHERE product_id IS NOT NULL), n AS (SELECT i, count(*) AS n FROM e GROUP BY 1),
+        p AS (SELECT x.i AS a, y.i AS c, count(*) / sqrt(any_value(CAST(nx.n AS DOUBLE)) * any_value(ny.n)) AS sim FROM e x JOIN e y ON x.b = y.b AND x.i <> y.i JOIN n nx ON nx.i = x.i JOIN n ny ON ny.i = y.i GROUP BY 1, 2),
+        cur AS (SELECT session_id, arg_max(product_id, (us, event_id)) AS item FROM shop GROUP BY 1), vw AS (SELECT DISTINCT session_id, product_id AS item FROM shop WHERE event_type = 'PRODUCT_VIEW'),
+        wt AS (SELECT session_id, item, 1.0::DOUBLE AS w FROM cur UNION ALL SELECT session_id, item, 0.5 FROM vw),
+        sc AS (SELECT session_id, c AS other, sum(w * sim) AS score FROM wt JOIN p ON a = item WHERE sim >= 0.05 AND NOT EXISTS (SELECT 1 FROM wt h WHERE h.session_id = wt.session_id AND h.item = c) GROUP BY 1, 2)
+        SELECT session_id, other, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, other) AS INTEGER) AS place FROM sc) WHERE place <= 5""",
+    ),
     "contextual_topk": (
         lambda s, d: recommend.contextual(
             _prules(s, d).select(F.col("a").alias("item"), F.col("c").alias("other"), F.col("confidence").alias("similarity")),

@@ -180,6 +180,12 @@ QUERIES = {
     "scaler_range": (_scaled("range", low=-1.0, high=1.0), _scaled_sql("(c_acctbal - lo) / (hi - lo) * 2.0 - 1.0")),
     "scaler_standard": (_scaled("standard"), _scaled_sql("(c_acctbal - av) / sd")),
     "scaler_decimal": (_scaled("decimal"), _scaled_sql("c_acctbal / pow(10, ceil(log10(ab)))")),
+    "exact_split": (
+        lambda s, d: scoring.exact_split(table(s, d, "orders").select("o_orderkey"), [0.6, 0.25, 0.1], "o_orderkey", 7),
+        """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY CAST('0x' || substr(md5('7|' || o_orderkey), 1, 15) AS BIGINT), o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+        e AS (SELECT *, CAST(floor(n * 0.6::DOUBLE + 1e-9) AS BIGINT) AS a, CAST(floor(n * 0.25::DOUBLE + 1e-9) AS BIGINT) AS b, CAST(floor(n * 0.1::DOUBLE + 1e-9) AS BIGINT) AS c FROM r)
+        SELECT o_orderkey, CAST(CASE WHEN place < a THEN 0 WHEN place < a + b THEN 1 WHEN place < a + b + c THEN 2 END AS INTEGER) AS part FROM e""",
+    ),
     "one_hot": (lambda s, d: scoring.one_hot(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["HOUSEHOLD", "MACHINERY"]).groupBy("c_mktsegment_HOUSEHOLD", "c_mktsegment_MACHINERY").agg(F.count("*").alias("n")), "SELECT CAST(c_mktsegment = 'HOUSEHOLD' AS INTEGER) AS \"c_mktsegment_HOUSEHOLD\", CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS \"c_mktsegment_MACHINERY\", count(*) AS n FROM customer GROUP BY 1, 2"),
     "folds": (lambda s, d: scoring.folds(table(s, d, "customer"), "c_custkey", 5).groupBy("fold").agg(F.count("*").alias("n")), "SELECT CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold, count(*) AS n FROM customer GROUP BY 1"),
     "confusion_matrix": (lambda s, d: scoring.confusion(_predicted(s, d), "quality", "predicted"), "SELECT quality, CAST(n_chars > 800 AS INTEGER) AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2"),
