@@ -95,3 +95,32 @@ def test_late_sessions(spark, tmp_path, seed):
 def test_keep_must_cover_the_lateness(spark):
     with pytest.raises(ValueError):
         sessions.late_sessions(spark.readStream.format("rate").load(), keep_ms=10)
+
+
+def test_many_orders_of_arrival():
+    """The state machine alone, over many random streams: also sessions that fire, grow and fire again at their new end."""
+    again = 0
+    for seed in range(80):
+        rng, gap, bound, lateness = random.Random(seed), 30_000, 5_000, 120_000
+        batches, t, ident = [], 0, 0
+        for _ in range(rng.randint(2, 10)):
+            batch = []
+            for _ in range(rng.randint(1, 9)):
+                t += rng.randint(0, 20_000)
+                late = rng.choice([0, 0, 2_000, 50_000, 70_000, 90_000, 400_000])
+                batch.append((rng.choice("ab"), ident, T0 + max(0, t - late), rng.choice(["PRODUCT_VIEW", "ADD_TO_CART", "ORDER_PLACED"]), float(rng.randint(1, 9))))
+                ident += 1
+            batches.append(batch)
+        batches += [[("z", ident, T0 + t + 10_000_000, "USER_LOGIN", 0.0)], [("z", ident + 1, T0 + t + 10_000_001, "USER_LOGIN", 0.0)]]
+        held, top, out = {}, None, []
+        for batch in batches:
+            now = None if top is None else top - bound
+            for key in sorted({e[0] for e in batch} | set(held)):
+                s = held.setdefault(key, sessions.Sessions(gap, lateness))
+                for e in sorted((x for x in batch if x[0] == key), key=lambda x: (x[2], x[1])):
+                    out += [(key, *r) for r in s.event(e[2], e[3], e[4], now)]
+                out += [(key, *r) for r in s.fire(now)]
+            top = max([top or 0, *(e[2] for e in batch)])
+        assert sorted(out) == replay(batches, gap, bound, lateness)
+        again += sum(r[4] > 1 for r in out)
+    assert again > 20

@@ -63,19 +63,18 @@ def completed(events: DataFrame, mode: str = "refactored", timeout_us: int | Non
 def pair_rules(items: DataFrame, basket: str = "basket_id", item: str = "item", min_support: float = 0.01, min_confidence: float = 0.3) -> DataFrame:
     """Rules a -> c between single items over all baskets, with support, confidence and lift.
 
-    One shuffle by basket serves all counts. A rule's support is no more than that of its items, so items at or
-    under min_support leave before pairs are made.
+    Entries of an item are no fewer than its baskets, so items whose entries are at or under min_support of the baskets leave
+    before pairs are made. Baskets are gathered once; singles and pairs are counted in one aggregation, combined before its shuffle.
     """
-    each = items.select(F.col(basket).alias("b"), F.col(item).alias("i")).repartition("b").groupBy("b", "i").agg(F.count("*").alias("n"))
-    total = each.agg(F.count_distinct("b").alias("total"))
-    freq = each.groupBy("i").agg(F.sum("n").alias("entries"), F.count("*").alias("baskets"))
-    often = freq.join(F.broadcast(total)).filter(F.col("baskets") / F.col("total") > min_support).select("i")  # one row beside the counts
-    sets = each.join(often, "i", "left_semi").groupBy("b").agg(F.collect_list("i").alias("s"))
-    pairs = sets.select(F.col("s").alias("s"), F.explode("s").alias("a")).select("a", F.explode("s").alias("c")).filter("a <> c").groupBy("a", "c").agg(F.count("*").alias("together"))
-    a = freq.select(F.col("i").alias("a"), F.col("baskets").alias("of_a"))
-    c = freq.select(F.col("i").alias("c"), F.col("entries").alias("entries_c"))
-    # The one-row total rides on the aggregated pairs, never on baskets.
-    out = pairs.join(a, "a").join(c, "c").withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    rows = items.select(F.col(basket).alias("b"), F.col(item).alias("i"))
+    total = rows.select("b").distinct().agg(F.count("b").alias("total"))
+    entries = rows.filter("i is not null").groupBy("i").agg(F.count("*").alias("entries"))
+    often = entries.join(F.broadcast(total)).filter(F.col("entries") / F.col("total") > min_support)  # one row beside the counts
+    sets = rows.join(often.select("i"), "i", "left_semi").groupBy("b").agg(F.collect_set("i").alias("s"))
+    made = F.expr("concat(transform(s, x -> struct(x AS a, null AS c)), flatten(transform(s, x -> transform(filter(s, y -> y <> x), y -> struct(x AS a, y AS c)))))")
+    counts = sets.select(F.explode(made).alias("p")).groupBy("p.a", "p.c").agg(F.count("*").alias("together"))
+    pairs = counts.withColumn("of_a", F.max(F.when(F.col("c").isNull(), F.col("together"))).over(W.partitionBy("a"))).filter("c is not null")
+    out = pairs.join(often.select(F.col("i").alias("c"), F.col("entries").alias("entries_c"), "total"), "c")
     confidence, support = F.col("together") / F.col("of_a"), F.col("together") / F.col("total")
     out = out.select("a", "c", "together", support.alias("support"), confidence.alias("confidence"), (confidence / (F.col("entries_c") / F.col("total"))).alias("lift"))
     return out.filter((F.col("confidence") > min_confidence) & (F.col("support") > min_support))

@@ -24,38 +24,35 @@ COLUMNS = ["kind", "start_ms", "end_ms", "revision", "events", "views", "adds",
 
 
 class Sessions:
-    """The sessions of one key: [start, end, revision, events, views, adds, orders, added value] each, revision 0 until it fires."""
+    """The sessions of one key: [start, end, revision, changed, events, views, adds, orders, added value] each; changed: since it last fired."""
 
     def __init__(self, gap: int, lateness: int, held: list[list] | None = None):
-        self.gap, self.lateness, self.held, self.touched = gap, lateness, held or [], set()
+        self.gap, self.lateness, self.held = gap, lateness, held or []
 
     def event(self, ms: int, kind: str, value: float, now: int | None) -> list[tuple]:
         """What the event gives at once: a row 'late', or nothing."""
-        one = [ms, ms + self.gap, 0, 1, int(kind == VIEW), int(kind == ADD), int(kind == ORDER), value if kind == ADD else 0.0]
+        one = [ms, ms + self.gap, 0, True, 1, int(kind == VIEW), int(kind == ADD), int(kind == ORDER), value if kind == ADD else 0.0]
         near = [s for s in self.held if s[0] <= one[1] and s[1] >= one[0]]
         end = max([one[1], *(s[1] for s in near)])
         if now is not None and end - 1 + self.lateness <= now:
-            return [("late", one[0], one[1], 0, *one[3:])]
+            return [("late", one[0], one[1], 0, *one[4:])]
         for s in near:
-            one = [min(one[0], s[0]), max(one[1], s[1]), max(one[2], s[2]), *(a + b for a, b in zip(one[3:], s[3:], strict=True))]
-            self.touched.discard((s[0], s[1]))
+            one = [min(one[0], s[0]), max(one[1], s[1]), max(one[2], s[2]), True, *(a + b for a, b in zip(one[4:], s[4:], strict=True))]
         self.held = sorted([*(s for s in self.held if s not in near), one])
-        self.touched.add((one[0], one[1]))
         return []
 
     def fire(self, now: int | None) -> list[tuple]:
         """Sessions that the watermark has reached and that are new or changed since they fired; those past the lateness go."""
         out = []
         for s in self.held:
-            if now is not None and s[1] - 1 <= now and (s[2] == 0 or (s[0], s[1]) in self.touched):
-                s[2] += 1
-                out.append(("session", s[0], s[1], s[2], *s[3:]))
-        self.touched.clear()
+            if now is not None and s[1] - 1 <= now and s[3]:
+                s[2], s[3] = s[2] + 1, False
+                out.append(("session", *s[:3], *s[4:]))
         self.held = [s for s in self.held if now is None or s[1] - 1 + self.lateness > now]
         return out
 
     def due(self) -> list[int]:
-        return [s[1] - 1 if s[2] == 0 else s[1] - 1 + self.lateness for s in self.held]
+        return [s[1] - 1 if s[3] else s[1] - 1 + self.lateness for s in self.held]
 
 
 class LateSessionProcessor(StatefulProcessor):
