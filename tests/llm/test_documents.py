@@ -272,3 +272,9 @@ def _tokenizer(kind, path, kept={}):  # noqa: B006
     if path not in kept:
         kept[path] = kind.from_file(path)
     return kept[path]
+
+
+def test_result_column_must_be_free(frame):
+    for made in (lambda d: repetition.score(d, into="n_words"), lambda d: relative_lz.parse(d, into="__key")):
+        with pytest.raises(ValueError):
+            made(frame)

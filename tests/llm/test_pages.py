@@ -49,6 +49,34 @@ def test_archives(pages, rows, spark):
     assert none.count() == 0
 
 
+def test_archives_without_a_stored_index(spark, tmp_path, monkeypatch):
+    """Members that no stored index covers are scanned; other record types are left out; a packed data member raises."""
+    import gzip
+
+    from pyspark.errors import PythonException
+
+    monkeypatch.setattr(warc_zip, "SCAN_READ", 64)
+
+    def warc(kind, body, head=b"", ctype=None):
+        block = head + body
+        extra = f"Content-Type: {ctype}\r\n" if ctype else ""
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://x\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    records = [warc("warcinfo", b"made by", ctype="application/warc-fields"), warc("response", b"A" * 900, http, "application/http; msgtype=response"), warc("request", b"", b"GET / HTTP/1.1\r\n\r\n", "application/http"), warc("resource", b"no head\r\n\r\nhere", ctype="text/plain"), warc("conversion", b"text", ctype="text/plain"), warc("response", b"old", http)]
+    names = [str(tmp_path / f"{k}.zip") for k in ("none", "deflated", "packed")]
+    for path, how in zip(names, (None, zipfile.ZIP_DEFLATED, None)):
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+            z.writestr("archive/a.warc.gz", b"".join(records), zipfile.ZIP_DEFLATED if "packed" in path else zipfile.ZIP_STORED)
+            if how is not None:
+                z.writestr("indexes/index.cdxj", "junk" * 100, how)
+    read = lambda path: sorted((r.record_type, bytes(r.payload)) for r in warc_zip.read_records(warc_zip.locate_records(spark.createDataFrame([(f"file://{path}",)], "path string"))).collect())
+    want = sorted([("response", b"A" * 900), ("resource", b"no head\r\n\r\nhere"), ("conversion", b"text"), ("response", b"old")])
+    assert read(names[0]) == want and read(names[1]) == want
+    with pytest.raises(PythonException, match="not stored"):
+        read(names[2])
+
+
 def test_archive_of_another_writer(spark, tmp_path):
     """Several data members, a compressed CDXJ index, records without the writer's own fields."""
     import gzip

@@ -90,3 +90,42 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_goes_on_where_it_ended(spark, docs, bench, tmp_path, monkeypatch):
+    """A stage that fails ends a run; the next of its name does the rest only, and leaves one result and no scratch tables."""
+    import pathlib
+
+    import pytest
+
+    import corpus_pipeline
+    from tidemark.llm import common
+
+    sf, base = str(tmp_path / "in"), tmp_path / "shared"
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(bench, "item_id int, text string").write.parquet(f"{sf}/benchmark.parquet")
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: str(base))
+    began, stages = [], list(corpus_pipeline.STAGES)
+
+    def noted(name, stage, fails):
+        def run(*a):
+            began.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return stage(*a)
+
+        return name, run
+
+    want = sorted((tuple(r) for r in corpus_pipeline.run(spark, sf).collect()), key=repr)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(n, f, i == 3) for i, (n, f) in enumerate(stages)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf, "a")
+    assert len(began) == 4
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(n, f, False) for n, f in stages])
+    assert sorted((tuple(r) for r in corpus_pipeline.run(spark, sf, "a").collect()), key=repr) == want
+    assert began[4:] == [n for n, _ in stages[3:]]
+    assert sorted(p.name for p in pathlib.Path(base, "tidemark", "pipeline-a").iterdir() if not p.name.startswith(".")) == ["4", "input"]
+    spark.createDataFrame(docs[:3], "doc_id bigint, text string").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    with pytest.raises(ValueError):
+        corpus_pipeline.run(spark, sf, "a")
+    assert common._UNDER.get() is None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import math
 import re
 import shutil
@@ -56,30 +57,42 @@ def light_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+_UNDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("tidemark-scratch", default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch_under(spark: SparkSession, path: str):
+    """Scratch tables made inside lie under path, and go at the end: what was read of them must be written by then."""
+    token = _UNDER.set(path)
+    try:
+        yield
+    finally:
+        _UNDER.reset(token)
+        remove(spark, path)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{_UNDER.get() or shared_dir(spark) + '/tidemark'}/{name}-{uuid.uuid4().hex}"
     with light_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of what df reads, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def parts_for(df: DataFrame, target: int = 16 << 20) -> int:
-    """How many shuffle parts so that each covers about `target` bytes of df's input; df has the texts as `__text`.
+    """How many shuffle parts so that each covers about `target` bytes of df's texts, which it has as `__text`.
 
-    Where the optimizer has no sound estimate (rows not read from files, joins), the texts are measured.
+    The texts are measured, in a scan of that column: sizes of files say little where they are compressed.
     """
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    size = input_bytes(df)
-    if size > 1 << 42:
-        size = df.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = df.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     return max(least, math.ceil(size / target))
 
 

@@ -186,7 +186,9 @@ def measure(texts: pa.Array, min_words: int, max_fraction: float, max_longest: i
 def score(
     docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST, into: str = "repetition"
 ) -> DataFrame:
-    """docs with a struct column `into` holding FIELDS."""
+    """docs with a struct column `into`, which must not be one of docs, holding FIELDS."""
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into}")
     kind = T.StructType([T.StructField(k, T.LongType() if t == "long" else T.BooleanType()) for k, t in FIELDS])
     schema = T.StructType([*docs.schema.fields, T.StructField(into, kind)])
 

@@ -4,7 +4,8 @@ The reader finds the end-of-directory record from the file's tail, follows the Z
 where there are any, parses the central directory with its ZIP64 extra fields, and takes the stored
 (uncompressed) members alone: the index, and the WARC member whose records are gzip members of their
 own. Index entries give each record's range inside the WARC member, so a record is one range read of
-the ZIP file. A task reads ranges of a bounded number of records; ranges that touch are read at once.
+the ZIP file. A task reads ranges of a bounded number of records; ranges that touch are read at once. Stored data members
+that no stored index covers are scanned for their records; a data member that is not stored raises.
 
 Files lie in the shared folder and are reached through pyarrow's file systems (local, HDFS, S3, GCS). A
 writing task gives its file a name of its own and reports it when it is complete; a file of an attempt
@@ -40,6 +41,9 @@ ROLL_BYTES = 256 << 20
 ROLL_RECORDS = 20_000
 RECORDS_A_READ = 256
 GAP_READ = 8 << 20
+SCAN_READ = 1 << 20
+#: Record types that carry a page; others (warcinfo, request, metadata) are left out.
+PAGES = ("response", "revisit", "resource", "conversion")
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 STORED = 0
 
@@ -144,7 +148,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 # -- reading ------------------------------------------------------------------------------------
 
 
-def directory(read, size: int) -> dict[str, tuple[int, int]]:
+def directory(read, size: int, packed_too: list[str] | None = None) -> dict[str, tuple[int, int]]:
     """(offset of the data, bytes) of each stored member; read(offset, length) gives bytes of the file."""
     tail_at = max(0, size - (22 + 0xFFFF + 20))
     tail = read(tail_at, size - tail_at)
@@ -175,6 +179,8 @@ def directory(read, size: int) -> dict[str, tuple[int, int]]:
                 packed = next(wide) if packed == 0xFFFFFFFF else packed
                 header = next(wide) if header == 0xFFFFFFFF else header
             extra = extra[4 + m :]
+        if method != STORED and packed_too is not None:
+            packed_too.append(name)
         if method == STORED:
             local = read(header, 30)
             if local[:4] != b"PK\3\4":
@@ -188,12 +194,13 @@ _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
 
 
 def parse_record(packed: bytes) -> dict:
-    """Fields of one record, with its payload."""
+    """Fields of one record, with its payload: the block, without the HTTP head that exchanges have."""
     raw = gzip.decompress(packed)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(head)}
-    block = rest[: int(fields["content-length"])]
-    fields["payload"] = block.partition(b"\r\n\r\n")[2]
+    block, kind = rest[: int(fields["content-length"])], fields.get("content-type", "")
+    http = kind.lower().startswith("application/http") if kind else fields.get("warc-type") in ("response", "revisit", "request")
+    fields["payload"] = block.partition(b"\r\n\r\n")[2] if http else block
     return fields
 
 
@@ -230,6 +237,44 @@ def index_entries(name: str, raw: bytes, members: dict[str, tuple[int, int]]) ->
     return sorted(out)
 
 
+def scanned(read, at: int, size: int):
+    """(offset in the file, bytes) of each gzip member of a data member, found by inflating it piece by piece."""
+    begin, end = at, at + size
+    while begin < end:
+        member, to = zlib.decompressobj(31), begin
+        while not member.eof:
+            if to >= end:
+                raise EOFError("a record ends after its archive member")
+            raw = read(to, min(SCAN_READ, end - to))
+            to += len(raw)
+            while raw and not member.eof:
+                member.decompress(raw, SCAN_READ)
+                raw = member.unconsumed_tail
+        length = to - begin - len(member.unused_data)
+        yield begin, length
+        begin += length
+
+
+def records_of(path: str, read, size: int) -> list[tuple[int, int]]:
+    """Ranges of the records of an archive: those its indexes list, and of data members that no stored index covers those found by a scan.
+
+    A data member that is compressed as a whole cannot be read by ranges: ValueError.
+    """
+    packed: list[str] = []
+    members = directory(read, size, packed)
+    whole = sorted(n for n in packed if n.startswith("archive/"))
+    if whole:
+        raise ValueError(f"{path}: members {', '.join(whole)} are not stored")
+    out: list[tuple[int, int]] = []
+    for name, (at, n) in members.items():
+        if name.startswith("indexes/"):
+            out += index_entries(name, read(at, n), members)
+    for name, (at, n) in members.items():
+        if name.startswith("archive/") and name.endswith(".gz") and not any(at <= x < at + n for x, _ in out):
+            out += scanned(read, at, n)
+    return sorted(set(out))
+
+
 def locate_records(archives: DataFrame) -> DataFrame:
     """(path, offsets, lengths): ranges of records in each archive, RECORDS_A_READ a row."""
 
@@ -237,19 +282,16 @@ def locate_records(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path in column(batch, "path").to_pylist():
                 f, read = _opened(path)
-                members = directory(read, f.size())
-                for name, (at, size) in members.items():
-                    if name.startswith("indexes/"):
-                        entries = index_entries(name, read(at, size), members)
-                        rows = [entries[i : i + RECORDS_A_READ] for i in range(0, len(entries), RECORDS_A_READ)]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([path] * len(rows), pa.string()),
-                                pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.int64())),
-                                pa.array([[x for _, x in r] for r in rows], pa.list_(pa.int64())),
-                            ],
-                            names=["path", "offsets", "lengths"],
-                        )
+                entries = records_of(path, read, f.size())
+                rows = [entries[i : i + RECORDS_A_READ] for i in range(0, len(entries), RECORDS_A_READ)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path] * len(rows), pa.string()),
+                        pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.int64())),
+                        pa.array([[x for _, x in r] for r in rows], pa.list_(pa.int64())),
+                    ],
+                    names=["path", "offsets", "lengths"],
+                )
                 f.close()
 
     return archives.mapInArrow(run, "path string, offsets array<long>, lengths array<long>")
@@ -284,6 +326,8 @@ def read_records(located: DataFrame) -> DataFrame:
                 rows = []
                 for raw in ranges(offsets, lengths, read):
                     x = parse_record(raw)
+                    if x["warc-type"] not in PAGES:
+                        continue
                     said = x.get("warc-payload-digest", "")
                     said, n = said.removeprefix("sha256:") if said.startswith("sha256:") else None, x.get("payload-length")
                     digest, n = (said, n and int(n)) if x["warc-type"] == "revisit" else (hashlib.sha256(x["payload"]).hexdigest(), len(x["payload"]))
@@ -292,7 +336,8 @@ def read_records(located: DataFrame) -> DataFrame:
                     page, to = x.get("page-id"), x.get("refers-to-page-id")
                     rows.append((page and int(page), n, digest, x["warc-type"], to and int(to), x.get("warc-target-uri"), x["payload"]))
                 f.close()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return located.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
