@@ -4,12 +4,13 @@ quality rules -> one document of each group of near duplicates -> removal of rep
 removal of contaminated documents -> token ids.
 
 Defined results: a null or empty text fails the quality rules, so it reaches no later stage; a null id counts as
-larger than any other; of repeated rows one stays; a text of which all words are cut stays as an empty one; an
+larger than any other; of repeated rows one stays; a text of any length is judged and encoded whole; a text of which all words are cut stays as an empty one; an
 empty table passes all stages and gives no rows; extra columns pass through, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, jaccard_join, relative_lz, repetition, winnowing
 from tidemark.llm.bpe_files import default_path, default_pattern
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import remove, scratch_under, shared_dir
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -70,12 +71,43 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str) -> DataFrame:
-    """The stages one after the other on documents, each result written to the shared folder."""
+def fingerprint(spark, *tables: DataFrame) -> str:
+    """A digest of the files that tables read: their paths, lengths and times."""
+    seen = []
+    for table in tables:
+        for uri in sorted(table.inputFiles()):
+            at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+            seen.append(f"{uri} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join([*(name for name, _ in STAGES), *seen]).encode()).hexdigest()
+
+
+def run(spark, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The stages one after the other on documents, each result written to the shared folder.
+
+    A run of a name that was ended goes on after its last complete stage, given that its input files are the same; else ValueError.
+    What a stage leaves for itself goes when it is complete, and its input with it, so that one result is kept at a time.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/tidemark/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/tidemark/pipeline-{name or uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = fingerprint(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    if store.exists(path(f"{base}/input")):
+        known = [x.getPath().getName() for x in store.listStatus(path(f"{base}/input"))]
+        if known != [mark]:
+            raise ValueError(f"run {name} began with other documents")
+    store.mkdirs(path(f"{base}/input/{mark}"))
+    done = [i for i in range(len(STAGES)) if store.exists(path(f"{base}/{i}/_SUCCESS"))]
+    if done:
+        docs = spark.read.parquet(f"{base}/{done[-1]}")
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.option("compression", "zstd").parquet(f"{base}/{i}")
+        if done and i <= done[-1]:
+            continue
+        with scratch_under(spark, f"{base}/scratch"):
+            out = stage(spark, docs, sf_dir)
+            out.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
