@@ -96,14 +96,18 @@ AIS_FIELDS = [("type", 0, 6, False), ("repeat", 6, 8, False), ("mmsi", 8, 38, Fa
 def ais(payload: Column) -> Column:
     """Fields of an armoured AIS payload; null if it has under 168 bits."""
     code = lambda c: F.ascii(c) - 48 - F.when(F.ascii(c) - 48 > 40, 8).otherwise(0)
-    bits = F.array_join(F.transform(F.split(payload, "(?!^)"), lambda c: F.lpad(F.bin(code(c)), 6, "0")), "")
+    text = F.array_join(F.transform(F.split(payload, "(?!^)"), lambda c: F.lpad(F.bin(code(c)), 6, "0")), "")
 
-    def field(a: int, b: int, signed: bool) -> Column:
-        value = F.conv(F.substring(bits, a + 1, b - a), 2, 10).cast("long")
-        return F.when(F.substring(bits, a + 1, 1) == "1", value - (1 << (b - a))).otherwise(value) if signed else value
+    def fields(bits: Column) -> Column:
+        def field(a: int, b: int, signed: bool) -> Column:
+            value = F.conv(F.substring(bits, a + 1, b - a), 2, 10).cast("long")
+            return F.when(F.substring(bits, a + 1, 1) == "1", value - (1 << (b - a))).otherwise(value) if signed else value
 
-    out = [(field(a, b, s) / 600000.0 if n in ("lon", "lat") else field(a, b, s)).alias(n) for n, a, b, s in AIS_FIELDS]
-    return F.when(F.length(bits) >= 168, F.struct(*out))
+        out = [(field(a, b, s) / 600000.0 if n in ("lon", "lat") else field(a, b, s)).alias(n) for n, a, b, s in AIS_FIELDS]
+        return F.when(F.length(bits) >= 168, F.struct(*out))
+
+    # The variable of a lambda is computed once, a column would be once a field.
+    return F.transform(F.array(text), fields)[0]
 
 
 def geo(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -75,6 +75,15 @@ z AS (SELECT user_id, seq, item, sum(count(*)) OVER (PARTITION BY user_id, item
 o AS (SELECT m.user_id, m.seq, antecedents, c AS consequent, kind, co / occ AS confidence, co / m.seq AS support, (co / occ) / (freq / m.seq) AS lift FROM m JOIN z ON z.user_id = m.user_id AND z.seq = m.seq AND z.item = m.c)"""
 
 
+#: Rules of itemsets of two and three items; the tables have no frequent larger ones.
+_ITEMSETS = """WITH e AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT count(DISTINCT b) AS total FROM e),
+s AS (SELECT [i] AS s, count(*) AS n FROM e GROUP BY i UNION ALL SELECT [x.i, y.i], count(*) FROM e x JOIN e y ON x.b = y.b AND x.i < y.i GROUP BY x.i, y.i
+  UNION ALL SELECT [x.i, y.i, z.i], count(*) FROM e x JOIN e y ON x.b = y.b AND x.i < y.i JOIN e z ON z.b = x.b AND y.i < z.i GROUP BY x.i, y.i, z.i),
+f AS (SELECT s, n, total FROM s, t WHERE n >= 0.01 * total),
+r AS (SELECT s, n, total, unnest(s) AS c FROM f WHERE len(s) > 1), q AS (SELECT list_filter(s, lambda x: x <> c) AS a, c, n, total FROM r)
+SELECT array_to_string(a, ',') AS antecedents, c AS consequent, round(q.n / f.n, 6) AS confidence, round(q.n / q.total, 6) AS support FROM q JOIN f ON f.s = a WHERE q.n / f.n >= 0.1"""
+
+
 def _own(s, d):
     return shop_events(s, d).filter("event_type = 'ADD_TO_CART'").select("session_id", F.col("product_id").alias("item")).distinct()
 
@@ -132,7 +141,7 @@ QUERIES = {
         lambda s, d: _rules(s, d).filter(baskets.significant(0.002, 0.12, 0.5)).select("a", "c", F.round(baskets.interestingness(F.col("confidence"), F.col("support"), F.col("lift")), 6).alias("interestingness")),
         f"WITH {_RULES_F} SELECT a, c, round(0.4 * confidence + CASE WHEN lift > 1 THEN least(lift / 10, 0.3) ELSE 0 END + least(support * 10, 0.3), 6) AS interestingness FROM r WHERE support >= 0.002 AND confidence >= 0.12 AND lift >= 0.5",
     ),
-    "itemset_rules": (lambda s, d: baskets.itemset_rules(basket_items(s, d), min_support=0.01, min_confidence=0.1).select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedents"), F.col("consequent")[0].alias("consequent"), F.round("confidence", 6).alias("confidence"), F.round("support", 6).alias("support")), None),
+    "itemset_rules": (lambda s, d: baskets.itemset_rules(basket_items(s, d), min_support=0.01, min_confidence=0.1).select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedents"), F.col("consequent")[0].alias("consequent"), F.round("confidence", 6).alias("confidence"), F.round("support", 6).alias("support")), _ITEMSETS),
     "recommend_basket": (
         lambda s, d: recommend.for_baskets(shop_events(s, d), _patterns(s, d), least=0.2),
         f"""WITH {SHOP}, {_PAT}, g AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'ORDER_PLACED' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM shop),

@@ -56,7 +56,6 @@ pu AS (SELECT o_orderkey, CASE WHEN o_custkey % 50 <> 0 THEN CAST(o_custkey AS V
   row_number() OVER (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate), o_orderkey) - 1 AS history FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
 sc AS (SELECT *, user_id IS NOT NULL AND total_value > 0 AND basket_size > 0 AS valid, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(-2.5::DOUBLE + (history - 3.0) / 2.0 * 1.8 + (total_value - 150.0) / 100.0 * 3.2 + (basket_size - 5.0) / 3.0 * 0.9))) AS p FROM pu)"""
 
-_AIS = "15M67F0000G?Uf6E`FepT@3n00Sa"
 
 
 def _purchase_lines(s, d):
@@ -79,6 +78,23 @@ def _predicted(s, d):
     return table(s, d, "labels").join(docs, "doc_id").withColumn("predicted", (F.col("n_chars") > 800).cast("int"))
 
 
+def shouted(text: str, languages: list[str]) -> dict[str, str]:
+    """A translator for queries: it knows texts of even length only, and marks them."""
+    if len(text) % 2:
+        raise ValueError("no translation")
+    return {x: f"{x}: {text}" for x in languages}
+
+
+def _armoured():
+    """AIS payloads of values that follow from an order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    values = {"type": 1 + k % 3, "repeat": F.lit(0), "mmsi": 200_000_000 + c * 7, "nav_status": k % 16, "rot": k % 256 - 128, "sog": c % 1023, "accuracy": k % 2, "lon": k * 7919 % 216_000_000 - 108_000_000, "lat": c * 104_729 % 108_000_000 - 54_000_000, "cog": k % 3600, "heading": c % 360, "second": k % 60}
+    # A negative number's low bits are those of its two's complement.
+    text = F.concat(*(F.lpad(F.bin(values[n].cast("long").bitwiseAND(F.lit((1 << (b - a)) - 1))), b - a, "0") for n, a, b, _ in parsing.AIS_FIELDS))
+    six = F.regexp_extract_all(F.rpad(text, 168, "0"), F.lit("[01]{6}"), F.lit(0))
+    return F.array_join(F.transform(F.transform(six, lambda x: F.conv(x, 2, 10).cast("int")), lambda v: F.char(v + F.when(v < 40, 48).otherwise(56))), "")
+
+
 _SCALE = ["c_acctbal"]
 
 
@@ -103,8 +119,10 @@ QUERIES = {
         "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0 OR role = 'system' OR conv_id % 11 = 3 OR conv_id % 7 = 3",
     ),
     "enriched_chat": (
-        lambda s, d: chat.localised(chat.enrich(messages(s, d).select(F.col("conv_id").cast("string").alias("userId"), F.lit(None).cast("string").alias("toUserId"), F.lit("CHAT_MESSAGE").alias("type"), F.col("text").alias("message"), F.col("turn").alias("timestamp"), F.array(F.lit("DE"), F.lit("FR")).alias("languages"))), "DE").groupBy("userId").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if("translated").alias("translated")),
-        "SELECT CAST(conv_id AS VARCHAR) AS \"userId\", count(*) AS n, count(DISTINCT (text, turn)) AS ids, 0 AS translated FROM conversations GROUP BY 1",
+        lambda s, d: chat.localised(chat.translated(chat.enrich(messages(s, d).select(F.col("conv_id").cast("string").alias("userId"), F.lit(None).cast("string").alias("toUserId"), F.when(F.col("role") == "system", "SYSTEM").otherwise("CHAT_MESSAGE").alias("type"), F.col("text").alias("message"), F.col("turn").alias("timestamp"), F.when(F.col("turn") % 3 == 0, F.array(F.lit("DE"), F.lit("FR"))).otherwise(F.array(F.lit("FR"))).alias("languages"))), shouted), "DE")
+        .groupBy("userId").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if("translated").alias("translated"), F.sum(F.length("text")).alias("chars")),
+        """SELECT CAST(conv_id AS VARCHAR) AS "userId", count(*) AS n, count(DISTINCT (role = 'system', text, turn)) AS ids, count(*) FILTER (t) AS translated, sum(length(text) + CASE WHEN t THEN 4 ELSE 0 END)::BIGINT AS chars
+        FROM (SELECT *, role <> 'system' AND turn % 3 = 0 AND length(text) % 2 = 0 AS t FROM conversations) GROUP BY 1""",
     ),
     "prompts": (
         lambda s, d: messages(s, d).filter("role = 'user'").select("conv_id", "turn", F.sha2(chat.prompt("You are a shop assistant.", F.when(F.col("turn") % 2 == 0, "2 items"), F.lit(None).cast("string"), F.lit("bolt"), F.col("text")), 256).alias("sha")),
@@ -148,8 +166,10 @@ QUERIES = {
         "SELECT CASE event_type WHEN 'purchase' THEN 'orders' WHEN 'click' THEN 'cart' WHEN 'view' THEN 'views' ELSE 'default' END AS channel, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1",
     ),
     "ais_decode": (
-        lambda s, d: table(s, d, "nation").select("n_nationkey", parsing.ais(F.when(F.col("n_nationkey") % 5 == 0, "short").otherwise(_AIS)).alias("m")).select("n_nationkey", "m.type", "m.mmsi", F.round("m.lon", 5).alias("lon"), F.round("m.lat", 5).alias("lat")),
-        None,
+        lambda s, d: table(s, d, "orders").select("o_orderkey", parsing.ais(F.when(F.col("o_orderkey") % 50 == 0, "short").otherwise(_armoured())).alias("m")).select("o_orderkey", "m.type", "m.mmsi", "m.nav_status", "m.rot", "m.sog", F.round(F.col("m.lon") * 600000).cast("long").alias("lon"), F.round(F.col("m.lat") * 600000).cast("long").alias("lat"), "m.cog"),
+        """SELECT o_orderkey, CASE WHEN ok THEN 1 + o_orderkey % 3 END AS type, CASE WHEN ok THEN 200000000 + o_custkey * 7 END AS mmsi, CASE WHEN ok THEN o_orderkey % 16 END AS nav_status, CASE WHEN ok THEN o_orderkey % 256 - 128 END AS rot,
+        CASE WHEN ok THEN o_custkey % 1023 END AS sog, CASE WHEN ok THEN o_orderkey * 7919 % 216000000 - 108000000 END AS lon, CASE WHEN ok THEN o_custkey * 104729 % 108000000 - 54000000 END AS lat, CASE WHEN ok THEN o_orderkey % 3600 END AS cog
+        FROM (SELECT *, o_orderkey % 50 <> 0 AS ok FROM orders)""",
     ),
     "classified_purchases": (
         lambda s, d: scoring.classify(_purchases(s, d)).select("o_orderkey", "channel", F.round("p", 6).alias("p")),
