@@ -39,7 +39,6 @@ def _cdc_lines(s, d):
 
 def _wire_events(s, d):
     e = shop_events(s, d)
-    body = F.struct(F.col("event_id").cast("string").alias("eventId"), "session_id", F.col("event_type").alias("eventType"), F.col("product_id").alias("productId"))
     body = F.struct(F.col("event_id").cast("string").alias("eventId"), F.col("session_id").alias("sessionId"), F.col("event_type").alias("eventType"), F.col("product_id").alias("productId"))
     return e.select(F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("SHOPPING").alias("eventType"), body.alias("payload")))).otherwise(F.to_json(body)).alias("value"))
 
