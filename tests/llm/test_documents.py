@@ -159,28 +159,49 @@ def test_merge_of_shards_equals_one_suffix_array(texts, size, room):
     assert [sorted(p.tolist()) for p in got_] == [sorted(i for v in want for k, i in v if k == s) for s in range(len(strings))]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text("ab", min_size=6, max_size=14), min_size=2, max_size=8), st.sampled_from([4, 6, 5, 16]))
-def test_interleave_is_in_suffix_order(texts, size):
-    """Intervals come in byte order, and a symbol of the transform is the bytes before a suffix."""
-    step = bwt_merge.stride(size)
-    strings = [b"z" * step + x.encode() for x in texts if len(x) >= size]
-    strings = [x for x in strings if len({x[i : i + size] for i in range(len(x) - size + 1)}) == len(x) - size + 1]
+def _distinct(texts, size):
+    """Strings whose own windows differ, as runs are."""
+    out = [x.encode() for x in texts if len(x) >= size]
+    return [x for x in out if len({x[i : i + size] for i in range(len(x) - size + 1)}) == len(x) - size + 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab", min_size=6, max_size=14), min_size=1, max_size=8), st.sampled_from([3, 4, 6, 5, 11]))
+def test_transform_of_a_shard_equals_a_plain_suffix_array(texts, size):
+    strings, step = [x.encode() for x in texts if len(x) >= size], bwt_merge.stride(size)
     if not strings:
         return
+    shard = bwt_merge.Shard(strings, size, step)
+    symbols = [(k, i, [x[j : j + step] for j in range(i, min(i + size, len(x) - step + 1), step)]) for k, x in enumerate(strings) for i in range(len(x))]
+    plain = sorted(symbols, key=lambda v: (v[2], v[0], v[1]))
     start = np.cumsum([0, *map(len, strings)])
-    rows = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(start[:-1], start[1:], strict=True)])
-    source = np.repeat(np.arange(len(strings)), [len(x) - size + 1 for x in strings])
-    shard = bwt_merge.Shard(np.frombuffer(b"".join(strings), np.uint8), rows, source, step)
-    at, block = bwt_merge.interleave(shard.code, rows, source, size, step)
-    found = [[] for _ in range(len(np.unique(block)))]
-    for i, b in zip(at.tolist(), np.unique(block, return_inverse=True)[1].tolist(), strict=True):
-        found[b].append((int(source[i]), int(rows[i] - start[source[i]])))
-    assert found == _plain_intervals(strings, size)
-    flat = b"".join(strings)
-    for p in rows[rows % 3 == 0].tolist():
-        if p >= step:
-            assert int(shard.alphabet[shard.code[p - step]]).to_bytes(step, "big") == flat[p - step : p]
+    assert shard.order.tolist() == [int(start[k]) + i for k, i, _ in plain]
+    named = [b"", *(int(x).to_bytes(step, "big") for x in shard.alphabet)]
+    assert [named[c] for c in shard.symbol.tolist()] == [strings[k][i - step : i] if i >= step else b"" for k, i, _ in plain]
+    assert [named[c] for c in shard.first.tolist()] == [v[0] if v else b"" for _, _, v in plain]
+    for (_, i, _), left, row in zip(plain, shard.left.tolist(), range(len(plain)), strict=True):
+        assert left == -1 if i < step else shard.order[left] == shard.order[row] - step
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.text("ab", min_size=6, max_size=14), min_size=1, max_size=4), min_size=2, max_size=4), st.sampled_from([4, 6, 5, 11]))
+def test_merge_of_transforms_is_in_suffix_order(groups, size):
+    """Intervals of windows that several shards have: in byte order, one window a shard."""
+    groups = [g for g in (_distinct(x, size) for x in groups) if g]
+    if len(groups) < 2:
+        return
+    step = bwt_merge.stride(size)
+    shards = [bwt_merge.Shard(g, size, step) for g in groups]
+    orders, flats = [x.order for x in shards], [b"".join(g) for g in groups]
+    rows, block, ends = bwt_merge.merge(shards, size, step)
+    found = {}
+    for r, b in zip(rows.tolist(), block.tolist(), strict=True):
+        k = int(np.searchsorted(ends, r, "right"))
+        p = int(orders[k][r - (ends[k - 1] if k else 0)])
+        found.setdefault(b, []).append((flats[k][p : p + size], k))
+    have = [{x[i : i + size] for x in g for i in range(len(x) - size + 1)} for g in groups]
+    every = sorted(set().union(*have))
+    assert list(found.values()) == [[(w, k) for k in range(len(groups)) if w in have[k]] for w in every if sum(w in h for h in have) > 1]
 
 
 def test_bpe(frame, docs, empty):

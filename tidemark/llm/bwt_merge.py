@@ -8,18 +8,17 @@ can share so much are merged, in shards that meet in one place:
 2. Runs of windows with one anchor that occurs again send their bytes to the part of that anchor. Equal
    runs (compared as bytes) are one string from there on: in a slice of documents before they are sent, in
    a part while they arrive, so a passage of very many documents takes the room of one.
-3. In a part, the runs that share their anchor with a different run are the strings to be merged. A run is
-   the smallest shard: its own windows differ from each other. Runs make shards of about SHARD bytes, and
-   the shards make the part, both by the same interleave refinement (`interleave`):
-   the transform of a shard gives, for each suffix, the symbol before it, a string of up to eight bytes of an
-   alphabet in byte order; the alphabets of shards are merged first. The interleave starts with the shards
-   one after the other. Each pass deals it stably by the preceding symbols, which sorts the suffixes that
-   stand one symbol further left; suffixes are never compared, and none is sorted again. A border falls
-   between neighbours where the dealt symbol or an earlier border separates them: they part at that
-   common prefix. Of an interval between borders whose suffixes all come from one shard, the shard knows
-   order and common prefixes already, so it is settled and leaves. What is left after size bytes are the
-   intervals of common prefix `size` or more. A shard hands on one suffix of each such interval.
-   Suffixes that no window of their run begins with at that depth are left out from the start.
+3. In a part, the runs that share their anchor with a different run are the strings to be merged, in shards
+   of about SHARD bytes. A symbol is a string of up to eight bytes, of an alphabet in byte order. A shard has its
+   suffix order up to `size` bytes, by prefix doubling over symbols, and its transform (`Shard`): the symbol
+   before each suffix, and the row of the suffix that begins there. Its own repeated windows follow from the order.
+   Shards are then merged by their transforms alone (`merge`): the alphabets first, then the interleave, which starts with
+   the shards one after the other, each in its order. Each pass deals it stably by the symbols before the suffixes,
+   which gives the interleave of the suffixes one symbol further left; no text is read and no suffix compared. A border
+   falls between neighbours where the dealt symbol or an earlier border separates them: they part at that common
+   prefix. Of an interval whose suffixes all come from one shard, that shard knows order and common prefixes
+   already, so it leaves. What is left after size bytes are the intervals of common prefix `size` or more.
+   A shard hands on one suffix of each interval of its own; suffixes that lead to no window are left out from the start.
 
 Texts are UTF-8 bytes; matches never cross documents. Defined results: a null or empty text has no bytes and no
 spans; texts under `size` bytes keep all; rows with equal ids count as different places, each judged on its own, so
@@ -96,94 +95,135 @@ def stride(size: int) -> int:
     return max(x for x in range(1, 9) if size % x == 0)
 
 
+def _ranks(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each pair, 0 for (0, 0), else from 1; the places by rank, equal ones by place). Values up to their number."""
+    n, bits = len(first), len(first).bit_length()
+    if 3 * bits <= 64:
+        key = first.astype(U64) << U64(2 * bits) | second.astype(U64) << U64(bits) | np.arange(n, dtype=U64)
+        key.sort()
+        at = (key & U64((1 << bits) - 1)).astype(np.int64)
+        key >>= U64(bits)
+    else:
+        at = np.lexsort((second, first))
+        key = first[at].astype(U64) << U64(32) | second[at].astype(U64)
+    rank = np.empty(n, np.int64)
+    rank[at] = np.cumsum(np.r_[key[:1] != 0, key[1:] != key[:-1]])
+    return rank, at
+
+
 class Shard:
-    """Strings (one after the other in text) with the windows that begin in them, and their transform.
+    """Strings, one after the other, their suffix order and its transform.
 
-    rows: places of the windows, source: the smaller shard each comes from. alphabet: the sorted distinct symbols;
-    code: that of the symbol at each place, so code[p - step] is the one before the suffix at p.
+    Rows are suffixes in order. first: the symbol a suffix begins with (0: its string ends before one is full);
+    symbol: the transform, the symbol before it (0: none in its string); left: the row of the suffix that begins
+    there. Symbols count from 1 in alphabet, the sorted distinct ones. windows: places of the windows, rank: the interval
+    of common prefix `size` or more each is in, twice: whether it holds another window. leads, lead_rank: place and rank of
+    one window of each interval.
     """
 
-    __slots__ = ("text", "rows", "source", "step", "alphabet", "code")
+    __slots__ = ("lengths", "windows", "rank", "twice", "leads", "lead_rank", "row", "order", "alphabet", "first", "symbol", "left")
 
-    def __init__(self, text: np.ndarray, rows: np.ndarray, source: np.ndarray, step: int):
-        self.text, self.rows, self.source, self.step = text, rows, source, step
-        key = np.zeros(max(len(text) - step + 1, 0), U64)
+    def __init__(self, strings: list[bytes], size: int, step: int):
+        text = np.frombuffer(b"".join(strings), np.uint8)
+        self.lengths = np.array([len(x) for x in strings])
+        n, place = len(text), np.arange(len(text))
+        stop = np.repeat(np.cumsum(self.lengths), self.lengths)
+        key = np.zeros(n - step + 1, U64)
         for j in range(step):
             key <<= U64(8)
-            key |= text[j : len(text) - step + 1 + j]
-        self.alphabet, code = np.unique(key, return_inverse=True)
-        self.code = code.astype(np.int32)
-
-
-def interleave(code: np.ndarray, rows: np.ndarray, source: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes into rows, interval of each), in byte order: the windows that another source has too.
-
-    rows: shard after shard; windows of one source must differ from each other.
+            key |= text[j : n - step + 1 + j]
+        full = np.flatnonzero(place + step <= stop)
+        self.alphabet, inverse = np.unique(key[full], return_inverse=True)
+        code = np.zeros(n, np.int64)
+        code[full] = inverse + 1
+        rank, order = _ranks(code, np.zeros(n, np.int64)) if step == size else (code, None)
+        depth = 1
+        while depth * step < size:
+            to = min(2 * depth, size // step)
+            shift = (to - depth) * step
+            second = np.zeros(n, np.int64)
+            second[: n - shift] = rank[shift:]
+            second[place + shift >= stop] = 0
+            rank, order = _ranks(rank, second)
+            depth = to
+        self.order, self.row = order.astype(np.int32), np.empty(n, np.int32)
+        self.row[order] = place
+        before = order - step
+        inside = before >= (stop - np.repeat(self.lengths, self.lengths))[order]
+        self.first = code[order].astype(np.int32)
+        self.symbol = np.where(inside, code[before], 0).astype(np.int32)
+        self.left = np.where(inside, self.row[before], -1).astype(np.int32)
+        self.windows = np.flatnonzero(place + size <= stop).astype(np.int32)
+        self.rank = rank[self.windows].astype(np.int32)
+        self.twice = (np.bincount(self.rank) > 1)[self.rank]
+        lead = np.full(n + 1, -1)
+        lead[self.rank[::-1]] = self.windows[::-1]
+        self.lead_rank = np.flatnonzero(lead >= 0)
+        self.leads = lead[self.lead_rank]
+
+
+def interleave(first: np.ndarray, symbol: np.ndarray, left: np.ndarray, rows: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, interval of each), in order: suffixes of `depth` symbols that begin a suffix of another shard too.
+
+    first, symbol, left: those of all shards, one after the other; ends: where each shard's rows end. rows: the suffixes
+    to begin with, whose symbols before them lead, `depth` symbols in all, to suffixes that differ from each other in a shard.
     """
-    at, block = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-    for depth in range(step, size + 1, step):
-        key = code[rows[at] + (size - depth)].astype(U64) << U64(32) | np.arange(len(at), dtype=U64)
-        key.sort()  # by symbol, then by the order so far: a stable deal
-        by, symbol = (key & U64(0xFFFFFFFF)).astype(np.int64), key >> U64(32)
-        at, block = at[by], block[by]
-        new = np.r_[True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])] if len(at) else np.zeros(0, bool)
+    at, block = rows, np.zeros(len(rows), np.int64)
+    for k in range(depth):
+        key = (symbol if k else first)[at].astype(U64) << U64(32) | np.arange(len(at), dtype=U64)
+        key.sort()  # by symbol, then by the interleave so far: a stable deal
+        by, dealt = (key & U64(0xFFFFFFFF)).astype(np.int64), key >> U64(32)
+        at, block = (left[at] if k else at)[by], block[by]
+        new = np.r_[True, (dealt[1:] != dealt[:-1]) | (block[1:] != block[:-1])] if len(at) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         if not len(head):
             break
-        own, count = source[at], np.diff(np.r_[head, len(at)])
+        own, count = np.searchsorted(ends, at, "right"), np.diff(np.r_[head, len(at)])
         open_ = np.repeat(np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head), count)
         at, block = at[open_], np.cumsum(new)[open_]
     return at, block
 
 
+def merge(shards: list[Shard], size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, interval of each, ends): rows of windows that another shard has too, by the shards' transforms; ends as for interleave."""
+    alphabet = np.unique(np.concatenate([x.alphabet for x in shards]))
+    ends = np.cumsum([len(x.first) for x in shards])
+    first, symbol, left, rows = [], [], [], []
+    for x, base in zip(shards, np.r_[0, ends[:-1]].tolist(), strict=True):
+        code = np.r_[0, np.searchsorted(alphabet, x.alphabet) + 1].astype(np.int32)
+        first.append(code[x.first])
+        symbol.append(code[x.symbol])
+        left.append(x.left + np.int32(base))
+        rows.append(np.sort(x.row[x.leads + size - step]).astype(np.int64) + base)
+        x.alphabet = x.order = x.first = x.symbol = x.left = None
+    at, block = interleave(np.concatenate(first), np.concatenate(symbol), np.concatenate(left), np.concatenate(rows), ends, size // step)
+    return at, block, ends
+
+
 def shared_windows(strings: list[bytes], size: int, room: int = SHARD) -> list[np.ndarray]:
     """Per string, the places of its windows that another string has too; a string's own windows must differ."""
-    step, out = stride(size), []
-    shards: list[Shard] = []
-    first = at = 0
-    marks, heads = [], []
+    step, shards, first = stride(size), [], 0
     while first < len(strings):
         last, held = first, 0
         while last < len(strings) and (last == first or held + len(strings[last]) <= room):
             held += len(strings[last])
             last += 1
-        few = strings[first:last]
-        start = np.cumsum([0, *map(len, few)])
-        n = np.diff(start) - size + 1
-        own = np.repeat(np.arange(len(few)), n)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        shard = Shard(np.frombuffer(b"".join(few), np.uint8), start[own] + place, own, step)
-        hit, interval = interleave(shard.code, shard.rows, shard.source, size, step)
-        twice, carried = np.zeros(len(own), bool), np.ones(len(own), bool)
-        twice[hit], carried[hit] = True, False
-        lead = np.r_[True, interval[1:] != interval[:-1]] if len(hit) else np.zeros(0, bool)
-        mate = np.arange(len(own))  # the row that stands for each row from here on
-        mate[hit] = hit[lead][np.cumsum(lead) - 1] if len(hit) else hit
-        carried[hit[lead]] = True
-        shards.append(shard)
-        marks.append((len(few), n, place, twice, mate))
-        heads.append(np.flatnonzero(carried))
+        shards.append(Shard(strings[first:last], size, step))
         first = last
     if len(shards) > 1:
-        alphabet = np.unique(np.concatenate([x.alphabet for x in shards]))
-        code = np.concatenate([np.r_[np.searchsorted(alphabet, x.alphabet).astype(np.int32)[x.code], np.zeros(len(x.text) - len(x.code), np.int32)] for x in shards])
-        base = np.cumsum([0, *(len(x.text) for x in shards)])
-        rows = np.concatenate([x.rows[h] + b for x, h, b in zip(shards, heads, base, strict=False)])
-        source = np.repeat(np.arange(len(shards)), [len(h) for h in heads])
-        for x in shards:
-            x.code = x.alphabet = None
-        hit, _ = interleave(code, rows, source, size, step)
-        ends = np.cumsum([0, *(len(h) for h in heads)])
+        hit, _, ends = merge(shards, size, step)
         hit = np.sort(hit)
-        for k, (_, _, _, twice, mate) in enumerate(marks):
-            own = hit[np.searchsorted(hit, ends[k]) : np.searchsorted(hit, ends[k + 1])] - ends[k]
-            also = np.zeros(len(twice), bool)
-            also[heads[k][own]] = True
-            twice |= also[mate]
-    for count, n, place, twice, _ in marks:
-        ends = np.cumsum(n)
-        for i in range(count):
-            out.append(place[ends[i] - n[i] : ends[i]][twice[ends[i] - n[i] : ends[i]]])
+        cut = np.searchsorted(hit, np.r_[0, ends])
+        for x, base, a, b in zip(shards, np.r_[0, ends[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            also = np.zeros(len(x.row) + 1, bool)
+            also[x.lead_rank[np.isin(x.row[x.leads], hit[a:b] - base)]] = True
+            x.twice |= also[x.rank]
+    out = []
+    for x in shards:
+        stop = np.cumsum(x.lengths)
+        found = x.windows[x.twice]
+        cut = np.searchsorted(found, np.r_[0, stop]).tolist()
+        out += [found[a:b] - s for a, b, s in zip(cut[:-1], cut[1:], (stop - x.lengths).tolist(), strict=True)]
     return out
 
 
