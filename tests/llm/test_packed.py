@@ -2,8 +2,12 @@ from __future__ import annotations
 
 import random
 
-from tidemark.llm.common import column
-from tidemark.llm.packed import gathered, parcels, rows, split
+import numpy as np
+from tidemark.llm import bwt_merge, jaccard_join, packed, relative_lz
+from tidemark.llm.common import column, part_of
+from tidemark.llm.packed import chunks, gathered, parcels, rows, split, steps, unpack
+
+from . import brute
 
 
 def _sent(slices, parts, rng):
@@ -39,3 +43,40 @@ def test_split_parts_kinds():
 
 def test_gathered_of_nothing():
     assert list(gathered(iter([]))) == []
+
+
+def _parcels_of(n, parts, span):
+    rng = np.random.default_rng(5)
+    h, text = rng.integers(0, 2**64, n, dtype=np.uint64), np.sort(rng.integers(0, 50, n))
+    return h, text, np.arange(n), list(chunks(h, text, parts, [np.arange(50) * 7], np.arange(n), 8, span))
+
+
+def test_chunks_hold_every_triple():
+    for parts, span in ((1, 1), (8, 1), (1000, 1), (1000, 32)):
+        h, text, place, sent = _parcels_of(3000, parts, span)
+        got = set()
+        for p, body in sent:
+            own, at, (ids,), where = unpack([body], 8)
+            assert (part_of(own, parts) // span == p).all()
+            got |= set(zip(own.tolist(), ids[at].tolist(), where.tolist(), strict=True))
+        assert got == set(zip(h.tolist(), (text * 7).tolist(), place.tolist(), strict=True))
+    assert list(chunks(h[:0], text[:0], 8, [place], place[:0], 8)) == []
+
+
+def test_parcels_of_a_slice_do_not_grow_with_parts():
+    """A slice of some 180,000 triples makes far fewer parcels than triples, at any number of parts."""
+    for parts in (200, 4096, 20_000, 200_000, 2_000_000):
+        groups, span = steps(parts)
+        assert groups * span >= parts and (groups - 1) * span < parts
+        assert groups <= 4096 and span <= 4096
+
+
+def test_two_steps_give_the_rows_of_one(frame, docs, monkeypatch):
+    monkeypatch.setattr(packed, "ONE_STEP", 1)
+    assert steps(4)[1] > 1
+    flat = relative_lz.parse(frame).select("doc_id", "relative_lz.n_words", "relative_lz.n_removed", "relative_lz.kept_sha256")
+    assert sorted(map(tuple, flat.collect()), key=repr) == sorted(brute.op8(docs), key=repr)
+    out = bwt_merge.dedup(frame).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.op9(docs), key=repr)
+    linked = jaccard_join.jaccard_components(frame).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, linked.collect()), key=repr) == sorted(brute.op6(docs), key=repr)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, column, mix, part_of, parts_for, powers, prefix_hashes, scratch, slices, utf8
-from .packed import SCHEMA, bundles, chunks, gather, gathered, merged, rows, split, unpack
+from .packed import SCHEMA, bundles, chunks, dealt, gather, gathered, merged, rows, split, steps, unpack
 from .relative_lz import LAST
 
 SIZE = 200
@@ -243,6 +243,7 @@ def _flat(pairs: np.ndarray) -> np.ndarray:
 def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """(__key, __anchors): for rows with any, places of anchors that occur elsewhere."""
     parts = parts_for(docs)
+    _, span = steps(parts)
 
     def ask(batches):
         for batch in batches:
@@ -255,7 +256,7 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 _, one, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 known = n[inverse] > 1
                 one = np.sort(one)
-                asks = list(chunks(h[one], text[one], parts, [keys], place[one], WIDTH))
+                asks = list(chunks(h[one], text[one], parts, [keys], place[one], 8 if span > 1 else WIDTH, span))
                 yield rows([p for p, _ in asks], [b for _, b in asks], False)
                 yield rows(*bundles(place[known].astype("<u4"), text[known], keys, parts), True)
 
@@ -271,7 +272,7 @@ def shared_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
         yield rows(*bundles(place[hit].astype("<u4"), text[hit], per_text[0], parts), True)
 
     asked = docs.select("__key", "__text").mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
-    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    answered = dealt(asked, parts, WIDTH).mapInArrow(answer, SCHEMA)
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(merged("<u4", "__anchors"), "__key long, __anchors binary")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, column, mix, part_of, parts_for, scratch, slices, utf8
 from .graph import components
-from .packed import SCHEMA, bundles, chunks, gathered, parcels, rows, split, unbundle, unpack
+from .packed import SCHEMA, bundles, chunks, dealt, gathered, parcels, rows, split, steps, unbundle, unpack
 
 GRAM = 5
 NUMER, DENOM = 75, 100
@@ -120,6 +120,7 @@ def _shared(docs: DataFrame) -> DataFrame:
     """Rows (__set, __n, __shared) of the sets that may link: size, and how many shingles another set has; and, with a
     null __set, (__n, __shared) = (key, number of sets) of frequent shingles."""
     parts = parts_for(docs)
+    _, span = steps(parts)
 
     def ask(batches):
         for batch in batches:
@@ -130,7 +131,7 @@ def _shared(docs: DataFrame) -> DataFrame:
                 one[np.unique(names, return_index=True)[1]] = True
                 text = np.repeat(np.arange(len(n)), n)
                 keep = one[text]
-                asks = list(chunks(h[keep], text[keep], parts, [names, n], None, WIDTH))
+                asks = list(chunks(h[keep], text[keep], parts, [names, n], None, 8 if span > 1 else WIDTH, span))
                 yield rows([p for p, _ in asks], [b for _, b in asks], False)
 
     def answer(batches):
@@ -173,7 +174,7 @@ def _shared(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(n)], names=["__set", "__n", "__shared"])
 
     asked = docs.select("__text").mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
-    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    answered = dealt(asked, parts, WIDTH).mapInArrow(answer, SCHEMA)
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(total, "__set long, __n long, __shared long"), parts
 
 

@@ -6,41 +6,72 @@ mostly given by the part. A part's task unpacks all its binaries and sorts plain
 
 A binary of a row is a run of parcels, each behind its length: a map task gathers the parcels of many slices before
 they leave it, so rows are as many as the blocks of the shuffle itself, not slices x parts.
+
+Beyond ONE_STEP parts triples travel in two steps (`dealt`): to groups of parts, as many as a group has parts, and from there,
+32 MB at a time, to the parts. A slice makes a parcel a group, so the work a triple stays nearly the same at any number of parts.
 """
 
 from __future__ import annotations
 
+import math
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, U64, column, part_of
 
 HOLD = 32 << 20
+#: Parts up to which a slice sends to each part itself.
+ONE_STEP = 4096
+
+
+def steps(parts: int) -> tuple[int, int]:
+    """(first receivers, parts of each): the parts themselves, or groups of them where a slice would have too little for each."""
+    span = 1 if parts <= ONE_STEP else math.isqrt(parts - 1) + 1
+    return -(-parts // span), span
 
 
-def chunks(h: np.ndarray, text: np.ndarray, parts: int, per_text: list[np.ndarray], place: np.ndarray | None, width: int):
-    """(part, binary) pairs. text: ascending indexes into the arrays of per_text (int64 each)."""
-    part = part_of(h, parts)
+def chunks(h: np.ndarray, text: np.ndarray, parts: int, per_text: list[np.ndarray], place: np.ndarray | None, width: int, span: int = 1):
+    """(part // span, binary) pairs. text: ascending indexes into the arrays of per_text (int64 each).
+
+    All columns are made for the whole slice at once; what is left for a binary is to cut and compress its bytes.
+    """
+    if not len(h):
+        return
+    part = part_of(h, parts) // span
     order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    part, t = part[order], text[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    new = np.r_[True, t[1:] != t[:-1]]
+    new[cut] = True
+    head = np.flatnonzero(new)
+    first = np.searchsorted(head, cut)
+    columns = [np.diff(np.r_[head, len(t)]).astype(np.uint32)]
+    for values in per_text:
+        own = values[t[head]]
+        step = np.diff(own, prepend=0)
+        step[first] = own[first]
+        columns.append(step)
+    if place is not None:
+        own = place[order]
+        step = np.diff(own, prepend=0)
+        step[head] = own[head]
+        step = step.astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    body = memoryview(np.ascontiguousarray(h[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+    ends, last = np.r_[cut, len(t)].tolist(), np.r_[first, len(head)].tolist()
     squeeze = zstandard.ZstdCompressor(level=1)
-    for p in range(parts):
-        at = order[ends[p] : ends[p + 1]]
-        if not len(at):
-            continue
-        t = text[at]
-        head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        meta = [np.diff(np.r_[head, len(at)]).astype(np.uint32).tobytes()]
-        for column in per_text:
-            meta.append(np.diff(column[t[head]], prepend=0).tobytes())
+    for i, p in enumerate(part[cut].tolist()):
+        a, b, x, y = ends[i], ends[i + 1], last[i], last[i + 1]
+        meta = [c[x:y].tobytes() for c in columns]
         if place is not None:
-            step = np.diff(place[at], prepend=0)
-            step[head] = place[at[head]]
-            meta.append(step.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-        body = np.ascontiguousarray(h[at].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        yield p, np.array([len(head), len(at), len(per_text), place is not None], "<u4").tobytes() + len(m := squeeze.compress(b"".join(meta))).to_bytes(4, "little") + m + body
+            meta.append(step[a:b].T.tobytes())
+        m = squeeze.compress(b"".join(meta))
+        yield p, b"".join((struct.pack("<5I", y - x, b - a, len(per_text), place is not None, len(m)), m, body[a * width : b * width]))
 
 
 def unpack(binaries: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray | None]:
@@ -212,3 +243,32 @@ def split(batches):
                 yield passed.select(["__part", "__settled", "__body"])
 
     return settled(), waiting
+
+
+def dealt(asked: DataFrame, parts: int, width: int) -> DataFrame:
+    """Rows by part. asked: rows of gathered(), whose triples chunks() made for steps(parts), with all eight bytes if they are groups."""
+    groups, span = steps(parts)
+    if span > 1:
+
+        def deal(bodies):
+            h, text, per_text, place = unpack(bodies, 8)
+            sent = list(chunks(h, text, parts, per_text, place, width))
+            return rows([p for p, _ in sent], [b for _, b in sent], False)
+
+        def again(batches):
+            held, size = [], 0
+            for batch in batches:
+                own = column(batch, "__settled")
+                yield batch.filter(own).select(["__part", "__settled", "__body"])
+                for body in parcels(batch.filter(pc.invert(own))):
+                    held.append(body)
+                    size += len(body)
+                    if size >= HOLD // 2:
+                        yield deal(held)
+                        held, size = [], 0
+            if held:
+                yield deal(held)
+
+        group = F.when(F.col("__settled"), F.floor(F.col("__part") / span)).otherwise(F.col("__part")).cast("int")
+        asked = asked.repartitionById(groups, group).mapInArrow(lambda batches: gathered(again(batches)), SCHEMA)
+    return asked.repartitionById(parts, F.col("__part"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Words, column, parts_for, slices, texts_of, utf8
-from .packed import SCHEMA, bundles, chunks, gathered, merged, rows, split, unpack
+from .packed import SCHEMA, bundles, chunks, dealt, gathered, merged, rows, split, steps, unpack
 
 SIZE = 13
 WIDTH = 7
@@ -93,6 +93,7 @@ def repeated_factors(docs: DataFrame, size: int) -> DataFrame:
     docs: __id (long, never null), __key (unique to a row but for equal rows), __text.
     """
     parts = parts_for(docs)
+    _, span = steps(parts)
 
     def ask(batches):
         for batch in batches:
@@ -104,7 +105,7 @@ def repeated_factors(docs: DataFrame, size: int) -> DataFrame:
                 # Of equal seeds in this slice, only those of its smallest id have to ask.
                 known, hits = _referred(h, ids[text], place)
                 open_ = np.flatnonzero(~known)
-                asks = list(chunks(h[open_], text[open_], parts, [ids, keys], place[open_], WIDTH))
+                asks = list(chunks(h[open_], text[open_], parts, [ids, keys], place[open_], 8 if span > 1 else WIDTH, span))
                 yield rows([p for p, _ in asks], [b for _, b in asks], False)
                 yield rows(*bundles(hits, text[known], keys, parts), True)
 
@@ -127,7 +128,7 @@ def repeated_factors(docs: DataFrame, size: int) -> DataFrame:
         yield rows(*bundles(hits, text[hit], keys, parts), True)
 
     asked = docs.select("__id", "__key", "__text").mapInArrow(lambda batches: gathered(ask(batches)), SCHEMA)
-    answered = asked.repartitionById(parts, F.col("__part")).mapInArrow(answer, SCHEMA)
+    answered = dealt(asked, parts, WIDTH).mapInArrow(answer, SCHEMA)
     own = merged(HIT, "__factors", lambda ends, hits: factors(ends, hits, size))
     return answered.repartitionById(parts, F.col("__part")).mapInArrow(own, "__key long, __factors binary")
 
