@@ -219,6 +219,29 @@ def test_incremental_rules(spark):
     assert got == {(1, "a", "b"): (1.0, 1.0, 1.0), (1, "b", "a"): (1.0, 1.0, 1.0), (2, "c", "a"): (1.0, 0.5, 1.0), (2, "a", "c"): (0.5, 0.5, 1.0)}
 
 
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    from tidemark.plans import domain, queries_commerce
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert domain.parts(spark, sf, "lineitem", 500) == -(-lines // 500)
+    monkeypatch.setattr(queries_commerce, "parts", lambda *_: 9)
+    for name in ("rules_incremental", "rules_long_history", "pattern_best"):
+        plan = queries_commerce.QUERIES[name][0](spark, sf)._jdf.queryExecution().toString()
+        assert "REPARTITION_BY_NUM" in plan and ", 9)" in plan, name
+    assert queries_commerce._incremental(spark, sf).rdd.getNumPartitions() == 9
+
+
+def test_wide_baskets_leave_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(baskets, "OUT", 100)
+    rows = [("k", n, f"{(n * 7 + i) % 40:02d}") for n in range(1, 9) for i in range(12)]
+    got = baskets.incremental_rules(spark.createDataFrame(rows, "user_id string, seq bigint, item string"), full=(-1.0, -1.0), single=-1.0, parts=3)
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted((r.seq, r.n, r.least) for r in got.groupBy("seq").agg(F.count("*").alias("n"), F.min("confidence").alias("least")).collect()) == sorted(
+        (n, 12 + 12 * 11, min(sum({a, c} <= s for s in held) / sum(a in s for s in held) for a in held[-1] for c in held[-1] if a != c)) for n, held in ((n, [{x for _, m, x in rows if m == i} for i in range(1, n + 1)]) for n in range(1, 9))
+    )
+
+
 def test_pattern_store_keeps_its_own_cap(spark):
     from tidemark.plans import catalog
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.baskets import ADD, COMPLETE, REMOVE, RULE_COLUMNS, TIMEOUT, VIEWS, History, passes
+from ..operators.baskets import ADD, COMPLETE, REMOVE, RULE_COLUMNS, TIMEOUT, VIEWS, History
 from ..operators.sessions import VIEW
 from .ordered import Ordered, run_ordered
 
@@ -91,7 +91,7 @@ class RuleProcessor(Ordered):
 
     def event(self, history: History, us: int, place: int, row: list) -> list[tuple]:
         history.add(json.loads(row[0]))
-        return [(history.count, *r) for r in history.rules() if passes(r, self.full, self.single)]
+        return [(history.count, *r) for r in history.rules(self.full, self.single)]
 
 
 def rules(baskets: DataFrame, keep: int = 1000, late: str = "5 seconds", key: str = "user_id", ts: str = "ts", full: tuple = (0.3, 0.01), single: float = 0.4) -> DataFrame:
