@@ -367,6 +367,17 @@ def test_item_similarity(spark):
         assert got == {k: round(v, 9) for k, v in cosine.items() if v >= least}
 
 
+def test_contextual_scores_are_summed_by_parts_of_keys(spark):
+    similar = spark.createDataFrame([(f"i{a}", f"i{b}", 1 / (1 + abs(a - b))) for a in range(6) for b in range(6) if a != b], "item string, other string, similarity double")
+    current = spark.createDataFrame([(f"s{n}", f"i{n % 6}") for n in range(40)] + [(None, "i1")], "session_id string, item string")
+    viewed = spark.createDataFrame([(f"s{n}", f"i{(n + 2) % 6}") for n in range(40)], "session_id string, item string")
+    rows = [recommend.contextual(similar, current, viewed, parts=p) for p in (1, 5)]
+    assert "REPARTITION_BY_NUM" in rows[1]._jdf.queryExecution().toString()
+    one, five = (sorted((str(r.session_id), r.place, r.other, round(r.score, 9)) for r in df.collect()) for df in rows)
+    assert one == five and len(one) == 40 * 4 + 5
+    assert [x for x in one if x[0] == "s0"][0] == ("s0", 1, "i1", round(1 / 2 + 0.5 / 2, 9))
+
+
 def test_basket_features(spark):
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("c", [5.0, 6.0]), ("d", [7.0, 8.0])], "item string, vector array<double>")
     rows = spark.createDataFrame([(1, ["b", "x", "a"]), (2, []), (3, ["a", "b", "c", "d"])], "basket_id int, items array<string>")
