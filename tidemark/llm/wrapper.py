@@ -30,7 +30,9 @@ import html as entities
 import re
 import sys
 import zlib
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +79,7 @@ WORDS = frozenset(
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_ORDERS = np.array([[j * 0x9E3779B9 & 0xFFFFFFFF] for j in range(MARKS)], np.uint64)
 _DIGIT = re.compile(r"\d")
 #: Tags that make a layout; Java patterns.
 SECTIONS = r"(?i)<(?:div|section|main|article|header|footer|aside|nav)\b[^>]*"
@@ -303,9 +306,12 @@ def _hash(text: str) -> int:
 
 def sketch(text: str) -> list[int]:
     """Minimum hashes of the text's runs of three words, by MARKS orders."""
-    words = text.split()
-    grams = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))}
-    return [min((g ^ (j * 0x9E3779B9 & 0xFFFFFFFF)) * 0x85EBCA6B + (g >> 13) * 0xC2B2AE35 & 0xFFFFFFFF for g in grams) for j in range(MARKS)]
+    data = " ".join(text.split()).encode("utf-8", "replace")
+    ends = [*accumulate(len(x) + 1 for x in data.split(b" "))]  # one more than where each word ends: where the next one starts
+    crc = zlib.crc32
+    grams = {crc(data[s : e - 1]) for s, e in zip([0, *ends], ends[2:] or ends[-1:])}
+    g = np.fromiter(grams, np.uint64, len(grams))
+    return (((g ^ _ORDERS) * np.uint64(0x85EBCA6B) + (g >> np.uint64(13)) * np.uint64(0xC2B2AE35)) & np.uint64(0xFFFFFFFF)).min(axis=1).tolist()
 
 
 class Pivots:
